@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioframe.llm import mixing, packing, secrets
+from folioframe.llm import mixing, neardup, packing, secrets
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op6_scan_secrets": secrets.op6_scan_secrets,
     "op8_pack_power_of_two": packing.op8_pack_power_of_two,
 }
