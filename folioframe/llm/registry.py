@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from folioframe.llm import mixing, neardup, packing, secrets
+from folioframe.llm import html_text, mixing, neardup, packing, secrets, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op6_scan_secrets": secrets.op6_scan_secrets,
+    "op7_score_toxicity": toxicity.op7_score_toxicity,
     "op8_pack_power_of_two": packing.op8_pack_power_of_two,
+    "op10_extract_text": html_text.op10_extract_text,
 }
 
 ORACLE_SQL = {

@@ -164,8 +164,11 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", window: int = WINDOW, k
     )
 
 
-def redact(docs: DataFrame, *, text: str = "text", mark: str = "[secret]", window: int = WINDOW) -> DataFrame:
-    """``docs`` with every span of its text replaced; clean texts are unchanged."""
+def redact(docs: DataFrame, *, text: str = "text", length: str | None = None, mark: str = "[secret]", window: int = WINDOW) -> DataFrame:
+    """``docs`` with every span of its text replaced; rows with clean texts are unchanged.
+
+    ``length`` names a column that holds the text's length in code points.
+    """
     found = scan_secrets(docs, text=text, window=window)
     empty = F.array().cast("array<struct<s:long,e:long>>")
     merged = F.aggregate(
@@ -184,6 +187,9 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "[secret]", windo
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, (a["at"] + 1).cast("int"), F.length(t))),
     )
     cleaned = found.withColumn("_spans", F.when(F.size("all_spans") > 0, merged).otherwise(empty)).withColumn(text, F.when(F.size("_spans") > 0, pieces).otherwise(t))
+    if length is not None:
+        kind = docs.schema[length].dataType
+        cleaned = cleaned.withColumn(length, F.when(F.size("_spans") > 0, F.length(text).cast(kind)).otherwise(F.col(length)))
     return cleaned.select(*docs.columns)
 
 

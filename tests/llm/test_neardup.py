@@ -7,6 +7,9 @@ from folioframe.session import table
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+
+
+
 def shingle_set(text, k):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
