@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioframe.llm import html_text, mixing, neardup, packing, secrets, toxicity
+from folioframe.llm import html_text, media, mixing, neardup, packing, secrets, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_scan_secrets": secrets.op6_scan_secrets,
     "op7_score_toxicity": toxicity.op7_score_toxicity,
     "op8_pack_power_of_two": packing.op8_pack_power_of_two,
+    "op9_media_columns": media.op9_media_columns,
     "op10_extract_text": html_text.op10_extract_text,
 }
 
