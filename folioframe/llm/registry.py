@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioframe.llm import html_text, media, mixing, neardup, packing, secrets, toxicity
+from folioframe.llm import html_text, media, mixing, neardup, packing, secrets, topk, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_top_k": topk.op2_top_k,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op6_scan_secrets": secrets.op6_scan_secrets,
     "op7_score_toxicity": toxicity.op7_score_toxicity,
@@ -16,4 +17,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op2_top_k": topk.OP2_SQL,
 }
