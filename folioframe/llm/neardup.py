@@ -13,8 +13,8 @@ Links are confirmed on full sets, in two rounds. In the first, a node emits no
 more than a spanning forest of its candidate pairs, best estimates first; a
 large node does so block by block, its first class standing in every block.
 Confirmed links join classes into components. In the second, large nodes that
-still hold several components branch on, ``depth`` levels at most, and every
-candidate pair between different components is confirmed; a link inside a
+hold more than ``limit`` classes beside their largest component branch on,
+``depth`` levels at most, and every candidate pair between different components is confirmed; a link inside a
 component would change nothing. Nodes that stay large are compared block by
 block, all pairs of blocks that hold different components, so none is skipped.
 
@@ -353,8 +353,11 @@ def near_duplicates(
 
     leaves, level, large = [top.filter(F.col("count") <= limit)], 1, top.filter(F.col("count") > limit)
     while True:
-        names = large.join(now.select("class_id", "component"), "class_id").groupBy("node").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed")
-        large = materialize(large.join(names.select("node"), "node", "left_semi"), "neardup-large")
+        held = large.join(now.select("class_id", "component"), "class_id").groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+        names = held.groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter("most < n").select("node", (F.col("n") - F.col("most")).alias("others"))
+        large = materialize(large.join(names, "node"), "neardup-large")
+        leaves.append(large.filter(F.col("others") <= limit).drop("others"))
+        large = large.filter(F.col("others") > limit).drop("others")
         if large.isEmpty():
             break
         if level == depth:

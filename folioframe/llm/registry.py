@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from folioframe.llm import html_text, lm, media, mixing, neardup, packing, secrets, topk, toxicity
+from folioframe.llm import html_text, lm, media, mixing, neardup, packing, quality, secrets, topk, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_top_k": topk.op2_top_k,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_lm_scores": lm.op4_lm_scores,
+    "op5_quality": quality.op5_quality,
     "op6_scan_secrets": secrets.op6_scan_secrets,
     "op7_score_toxicity": toxicity.op7_score_toxicity,
     "op8_pack_power_of_two": packing.op8_pack_power_of_two,
