@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from folioframe.plans import library_queries
+
+QUERIES = dict(library_queries.QUERIES)
+ORACLE_SQL = dict(library_queries.ORACLE_SQL)
