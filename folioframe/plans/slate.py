@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioframe.plans import library_queries
+from folioframe.plans import library_queries, text_queries
 
-QUERIES = dict(library_queries.QUERIES)
-ORACLE_SQL = dict(library_queries.ORACLE_SQL)
+QUERIES = library_queries.QUERIES | text_queries.QUERIES
+ORACLE_SQL = library_queries.ORACLE_SQL | text_queries.ORACLE_SQL
