@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioframe.plans import library_queries, text_queries
+from folioframe.plans import library_queries, source_queries, text_queries
 
-QUERIES = library_queries.QUERIES | text_queries.QUERIES
-ORACLE_SQL = library_queries.ORACLE_SQL | text_queries.ORACLE_SQL
+QUERIES = library_queries.QUERIES | text_queries.QUERIES | source_queries.QUERIES
+ORACLE_SQL = library_queries.ORACLE_SQL | text_queries.ORACLE_SQL | source_queries.ORACLE_SQL
