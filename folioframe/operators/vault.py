@@ -10,7 +10,7 @@ from folioframe.functions.text import norm_relation
 FRONT = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?"
 INLINE_TAG = r"(?:^|(?<=\s))#([\p{L}\w/-]*[\p{L}_/-][\p{L}\w/-]*)"
 LINK = r"(?<!!)\[\[([^\]]+)\]\]"
-TYPED = r"(?m)([A-Za-z][\w -]*)::[ \t]*\[\[([^\]]+)\]\]"
+TYPED = r"([A-Za-z][\w-]*)::[ \t]*\[\[([^\]]+)\]\]"
 
 
 def body_of(text: Column) -> Column:
@@ -50,7 +50,7 @@ def vault_notes(notes: DataFrame, key: str = "path", text: str = "text") -> Data
     target = lambda t: F.trim(F.regexp_replace(t, r"[#|].*$", ""))
     typed = F.zip_with(
         F.regexp_extract_all("body", F.lit(TYPED), F.lit(1)), F.regexp_extract_all("body", F.lit(TYPED), F.lit(2)),
-        lambda r, t: F.struct(norm_relation(F.element_at(F.split(F.trim(r), r"\n"), -1)).alias("rel_type"), target(t).alias("target")),
+        lambda r, t: F.struct(norm_relation(r).alias("rel_type"), target(t).alias("target")),
     )
     plain = F.transform(F.regexp_extract_all(F.regexp_replace("body", TYPED, ""), F.lit(LINK), F.lit(1)), lambda t: F.struct(F.lit(None).cast("string").alias("rel_type"), target(t).alias("target")))
     rows = notes.join(front, key, "left").withColumn("body", body)

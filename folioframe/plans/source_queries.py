@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from folioframe.operators import sessions
+from folioframe.operators import sessions, vault
 from folioframe.plans import views as V
 from folioframe.session import shared_folder, table
 from folioframe.sources import files, sinks
@@ -102,6 +102,116 @@ def write_cards(spark, sf):
     return sinks.write_cards(V.frame(spark, sf, V.NOTES)).select("kind", "front", "back")
 
 
+# ---- files that Spark writes from the tables, and reads back
+
+
+def _written(frame, spark, column: str = "value", by: str | None = None, fmt: str = "text", **options) -> str:
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    writer = frame.write.options(**options)
+    (writer.partitionBy(by) if by else writer).format(fmt).save(folder)
+    return folder
+
+
+def _brands(spark, sf):
+    """One row per brand: its parts in order."""
+    p = table(spark, sf, "part").withColumn("p_name", F.regexp_replace("p_name", "[^A-Za-z0-9 #]", " "))
+    ordered = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size")))
+    return p.groupBy("p_brand").agg(ordered.alias("parts"))
+
+
+@query("""select p_partkey as key, p_name || ', "x"|' as name, cast(p_size as varchar) as size, '' as extra from part""")
+def read_delimited(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("key"), F.concat("p_name", F.lit(', "x"|')).alias("name"), F.col("p_size").cast("string").alias("size"), F.lit(None).cast("string").alias("extra"))
+    folder = _written(p.repartition(3), spark, fmt="csv", header="true", escape='"')
+    cells = files.read_delimited(spark, f"{folder}/*.csv").filter("row > 0")
+    return cells.select(F.get("cells", 0).cast("long").alias("key"), F.get("cells", 1).alias("name"), F.get("cells", 2).alias("size"), F.regexp_replace(F.get("cells", 3), '^""$', "").alias("extra"))
+
+
+@query("""select md5(text) as digest, count(*) as n from documents group by md5(text)""")
+def read_text_corpus(spark, sf):
+    d = table(spark, sf, "documents").select(F.concat(F.lit("# Doc "), "doc_id", F.lit("\n"), "text").alias("value"), F.col("doc_id").alias("part"))
+    # one line per record, so that one file holds several whole texts
+    folder = _written(d.select(F.base64(F.encode("value", "UTF-8")).alias("value")).withColumn("value", F.regexp_replace("value", r"\s", "")), spark)
+    lines = files.read_text_corpus(spark, folder).select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    body = F.regexp_replace(F.decode(F.unbase64("line"), "UTF-8"), r"^# Doc \d+\n", "")
+    return lines.select(F.md5(body.cast("binary")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select p_brand, cast(row_number() over (partition by p_brand order by p_partkey) - 1 as int) as n, case when p_size > 25 then 'code' else 'markdown' end as kind, p_partkey || '-line' as source from part""")
+def notebook_cells(spark, sf):
+    cell = lambda p: F.struct(F.when(p["p_size"] > 25, "code").otherwise("markdown").alias("cell_type"), F.array(p["p_partkey"].cast("string"), F.lit("-line")).alias("source"))
+    books = _brands(spark, sf).select("p_brand", F.to_json(F.struct(F.transform("parts", cell).alias("cells"), F.struct(F.struct(F.lit("sql").alias("language")).alias("kernelspec")).alias("metadata"))).alias("value"))
+    folder = _written(books.repartition("p_brand"), spark, by="p_brand")
+    brand = F.url_decode(F.url_decode(F.regexp_extract("path", "p_brand=([^/]+)/", 1)))  # once for the folder's name, once for its address
+    return files.notebook_cells(spark, folder).select(brand.alias("p_brand"), "n", "kind", "source")
+
+
+@query("""select feed, cast(n as int) as n, title, url from (select p_brand as feed, row_number() over (partition by p_brand order by p_partkey) - 1 as n, case when p_size % 2 = 0 then 'part ' || p_partkey else 'http://x.example/' || p_partkey end as title, 'http://x.example/' || p_partkey as url, p_size from part) x where n < 50 and p_size % 5 <> 0""")
+def feed_items(spark, sf):
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    url = lambda p: F.concat(F.lit("http://x.example/"), p["p_partkey"])
+    item = lambda p: tag("item", F.concat(F.when(p["p_size"] % 2 == 0, tag("title", F.concat(F.lit("part "), p["p_partkey"]))).otherwise(F.lit("")), F.when(p["p_size"] % 5 != 0, tag("link", url(p))).otherwise(F.lit(""))))
+    feeds = _brands(spark, sf).select(tag("rss", tag("channel", F.concat(tag("title", F.col("p_brand")), F.array_join(F.transform("parts", item), "")))).alias("value"), F.col("p_brand").alias("b"))
+    return files.feed_items(spark, _written(feeds.repartition("b"), spark, by="b")).select("feed", "n", "title", "url")
+
+
+@query("""select 'c' || c_custkey as id, c_name as title, case when c_custkey % 3 = 0 then 'Doe, J and Roe, K' else 'Doe, J' end as author, '2019' as year from customer""")
+def read_bibliography(spark, sf):
+    c = table(spark, sf, "customer").repartition(4)
+    author = F.when(F.col("c_custkey") % 3 == 0, "Doe, J and Roe, K").otherwise("Doe, J")
+    cited = c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("book").alias("type"), F.col("c_name").alias("title"), author.alias("author"), F.lit("2019").alias("year"), *(F.lit(None).cast("string").alias(x) for x in ("journal", "doi", "url", "publisher")))
+    third = lambda n: cited.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == n)
+    found = None
+    for n, ext in enumerate(("bib", "ris", "json")):
+        text = F.col("record") if ext != "json" else F.concat(F.col("record"), F.lit(","))
+        rows = sinks.write_citations(third(n), ext).select(text.alias("value"))
+        if ext == "json":  # a list per file
+            rows = rows.withColumn("k", F.spark_partition_id()).groupBy("k").agg(F.concat(F.lit("["), F.regexp_replace(F.array_join(F.collect_list("value"), "\n"), ",$", ""), F.lit("]")).alias("value")).select("value").repartition(8, "value")
+            folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+            rows.withColumn("k", F.monotonically_increasing_id()).write.partitionBy("k").text(folder)
+        else:
+            folder = _written(rows, spark)
+        part = files.read_bibliography(spark, folder)
+        found = part if found is None else found.unionByName(part)
+    return found.select("id", "title", "author", "year")
+
+
+def _vault(spark, sf):
+    """The conversations as notes: front matter, a tag, a typed link to the turn before, one to a missing note."""
+    c = table(spark, sf, "conversations")
+    name = lambda turn: F.concat(F.lit("c"), "conv_id", F.lit("t"), turn)
+    text = F.concat(F.lit("---\ntitle: Turn "), "conv_id", F.lit(" "), "turn", F.lit("\ntags: ["), "role", F.lit(", note]\n---\nBody #inline\n"), F.when(F.col("turn") > 0, F.concat(F.lit("follows:: [["), name(F.col("turn") - 1), F.lit("|before]]\n"))).otherwise(F.lit("")), F.lit("![[embed]]\n"), F.when(F.col("turn") == 0, F.lit("[[nowhere]]")).otherwise(F.lit("")))
+    return vault.vault_notes(c.select(F.concat(F.lit("/v/"), name(F.col("turn")), F.lit(".md")).alias("path"), text.alias("text")))
+
+
+@query("""select '/v/c' || conv_id || 't' || turn || '.md' as path, 'Turn ' || conv_id || ' ' || turn as title, role || ',note,inline' as tags, case when turn > 0 then 'FOLLOWS>c' || conv_id || 't' || (turn - 1) else '>nowhere' end as links from conversations""")
+def vault_notes(spark, sf):
+    links = F.array_join(F.transform("links", lambda x: F.concat(F.coalesce(x["rel_type"], F.lit("")), F.lit(">"), x["target"])), ",")
+    return _vault(spark, sf).select("path", "title", F.array_join("tags", ",").alias("tags"), links.alias("links"))
+
+
+@query("""select '/v/c' || a.conv_id || 't' || a.turn || '.md' as src, '/v/c' || a.conv_id || 't' || (a.turn - 1) || '.md' as dst, 'FOLLOWS' as rel_type
+from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn - 1""")
+def resolve_links(spark, sf):
+    return vault.resolve_links(_vault(spark, sf))[0]
+
+
+@query("""select count(*) as notes, count_if(b.conv_id is not null) as relations, cast(count_if(b.conv_id is null) as bigint) as unresolved from (select *, cast(turn - 1 as bigint) as t from conversations) a left join conversations b on a.conv_id = b.conv_id and b.turn = a.t""".replace("count_if(b.conv_id is not null)", "cast(count_if(b.conv_id is not null) as bigint)"))
+def vault_report(spark, sf):
+    v = _vault(spark, sf)
+    return vault.vault_report(v, *vault.resolve_links(v))
+
+
+@query("""select 'markdown' as format, count(distinct source) as folders, true as files from documents""")
+def scan_catalog(spark, sf):
+    """Catalog of files that Spark writes, one folder per source."""
+    d = table(spark, sf, "documents").select(F.col("text").alias("value"), "source").repartition("source")
+    folder = _written(d, spark, by="source")
+    # Spark's own part files end in .txt; the catalog takes them as text
+    found = files.scan_catalog(spark, [folder])
+    return found.select(F.lit("markdown").alias("format"), F.regexp_extract("rel", "source=([^/]+)/", 1).alias("s"), "size").groupBy("format").agg(F.countDistinct("s").alias("folders"), (F.min("size") > 0).alias("files"))
+
+
 # ---- streams: the events, written as several files and read as a stream
 
 

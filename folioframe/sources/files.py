@@ -282,7 +282,8 @@ def _columns(rows: DataFrame) -> DataFrame:
 
 def parse_ris(texts: DataFrame, text: str = "text") -> DataFrame:
     """Citations of tagged records: ``TY`` opens one, ``ER`` closes it."""
-    lines = texts.select(F.monotonically_increasing_id().alias("file"), F.posexplode(F.split(text, r"\r?\n")).alias("n", "line"))
+    numbered = texts.select(F.monotonically_increasing_id().alias("file"), text)
+    lines = numbered.select("file", F.posexplode(F.split(text, r"\r?\n")).alias("n", "line"))
     tag, value = F.regexp_extract("line", r"^([A-Z][A-Z0-9])  - ?(.*)$", 1), F.trim(F.regexp_extract("line", r"^([A-Z][A-Z0-9])  - ?(.*)$", 2))
     rows = lines.select("file", "n", tag.alias("tag"), value.alias("value")).filter("tag <> ''")
     rows = rows.withColumn("rec", F.sum((F.col("tag") == "TY").cast("int")).over(Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))

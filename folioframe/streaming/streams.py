@@ -23,7 +23,8 @@ def watch_and_convert(spark: SparkSession, folder: str, out: str, fmt: str = "te
 
     The checkpoint remembers what was taken, also over restarts. Writers
     should rename finished files into the folder; a file younger than
-    ``min_age`` is listed as failed rather than read half-written.
+    ``min_age`` is listed as failed rather than read half-written. Spark's file
+    source passes over files without a byte.
     """
     files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
 
