@@ -12,11 +12,14 @@ compared exhaustively by one-byte sketches of the minwise values.
 Links are confirmed on full sets, in two rounds. In the first, a node emits no
 more than a spanning forest of its candidate pairs, best estimates first; a
 large node does so block by block, its first class standing in every block.
-Confirmed links join classes into components. In the second, large nodes that
-hold more than ``limit`` classes beside their largest component branch on,
-``depth`` levels at most, and every candidate pair between different components is confirmed; a link inside a
-component would change nothing. Nodes that stay large are compared block by
-block, all pairs of blocks that hold different components, so none is skipped.
+Confirmed links join classes into components; a further link inside a
+component would change nothing. In the second, large nodes that hold more than
+``limit`` classes beside their largest component branch on, ``depth`` levels
+at most, and nodes that stay large are compared block by block, all pairs of
+blocks that hold different components, so none is skipped. Members with a
+candidate in another component get their full sets, and the node confirms
+links itself. So either round emits rows in proportion to a node's members,
+not to its pairs.
 
 Defined cases: a null or blank text has an empty set and is linked with
 nothing; a text shorter than a shingle is one shingle; rows with equal ids
@@ -170,83 +173,166 @@ def branch(rows: DataFrame, level: int, trees: int, threshold: float) -> DataFra
     return rows.select("node", "class_id", "signature").mapInArrow(down, "node long, class_id long")
 
 
-def compared(ids: np.ndarray, comp: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, side: np.ndarray, threshold: float, every: bool) -> list[tuple[int, int]]:
-    """Candidate pairs of one group: members of different components, of side 0 with
-    those of side 1 (or with each other, if there is one side), whose sketches agree.
-    ``every``: all of them; else a spanning forest, best estimates first."""
+def agreeing(i: int, to: np.ndarray, comp: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``to`` that may be linked with ``i`` across components, and their estimates."""
     least = threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / HASHES)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    apart = len(left) and len(right)
-    if not apart:
-        left = right = np.arange(len(ids))
-    found_i, found_j, found_e = [], [], []
-    for k, i in enumerate(left):
-        to = right if apart else right[k + 1 :]
-        small, big = np.minimum(sizes[to], sizes[i]), np.maximum(sizes[to], sizes[i])
-        to = to[(comp[to] != comp[i]) & (small >= threshold * big - 1e-9)]
-        if len(to):
-            e = (sketch[to] == sketch[i]).mean(axis=1)
-            near = e >= least
-            found_i += [i] * int(near.sum())
-            found_j += to[near].tolist()
-            found_e += e[near].tolist()
-    if every or len(found_i) < 2:
-        return [(int(ids[i]), int(ids[j])) for i, j in zip(found_i, found_j, strict=True)]
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
+    small, big = np.minimum(sizes[to], sizes[i]), np.maximum(sizes[to], sizes[i])
+    to = to[(comp[to] != comp[i]) & (small >= threshold * big - 1e-9)]
+    e = (sketch[to] == sketch[i]).mean(axis=1) if len(to) else np.empty(0)
+    return to[e >= least], e[e >= least]
+
+
+class Union:
+    """Sets of components that grow together."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent.setdefault(x, x) != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    out = []
-    for e in np.argsort(-np.array(found_e), kind="stable"):
-        a, b = root(int(comp[found_i[e]])), root(int(comp[found_j[e]]))
-        if a != b:
-            parent[b] = a
-            out.append((int(ids[found_i[e]]), int(ids[found_j[e]])))
-    return out
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        a, b = self.root(a), self.root(b)
+        self.parent[b] = a
+        return a != b
+
 
+def pairs_of(side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member with those it meets: of the other side, or the later ones where there is one side."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if len(left) and len(right):
+        for i in left:
+            yield int(i), right
+    else:
+        whole = np.arange(len(side))
+        for i in whole:
+            yield int(i), whole[i + 1 :]
 
-def candidates(groups: DataFrame, threshold: float, every: bool) -> DataFrame:
-    """Pairs (``a`` < ``b``) from groups (``node``, ``p``, ``q``) of members.
 
-    Groups are sorted runs of rows, each of two blocks at most, read from
-    Arrow batches; a run that a batch cuts is carried to the next.
+def groups_in(batches: Iterator[pa.RecordBatch], n_numbers: int) -> Iterator[list]:
+    """Sorted runs of equal first three columns as lists of columns.
+
+    The first ``n_numbers`` columns become arrays, the others lists. A run
+    that a batch cuts is carried to the next.
     """
-    keys = ["node", "p", "q"]
+    held: list | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols: list = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_numbers)] + [batch.column(i).to_pylist() for i in range(n_numbers, batch.num_columns)]
+        if held is not None:
+            cols = [np.concatenate([h, c]) if k < n_numbers else h + c for k, (h, c) in enumerate(zip(held, cols, strict=True))]
+        change = (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)
+        starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+        held = [c[starts[-1] :] for c in cols]
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            yield [c[s:e] for c in cols]
+    if held is not None:
+        yield held
+
+
+KEYS = ["node", "p", "q"]
+
+
+def sorted_groups(groups: DataFrame, *columns: str) -> DataFrame:
+    return groups.select(*KEYS, *columns).repartition(*KEYS).sortWithinPartitions(*KEYS)
+
+
+def forests(groups: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (``a`` < ``b``): per group a spanning forest of its candidate pairs, best estimates first."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def pairs(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-            out = set()
-            for s, e in zip(starts, ends, strict=True):
-                ids, comp, sizes, side, sketch = (c[s:e] for c in cols[3:])
-                if e - s < 2 or (comp == comp[0]).all():
-                    continue
-                out.update((min(x), max(x)) for x in compared(ids, comp, sizes, sketch, side, threshold, every) if x[0] != x[1])
+        for _, _, _, ids, comp, sizes, side, sketch in groups_in(batches, 7):
+            if len(ids) < 2 or (comp == comp[0]).all():
+                continue
+            marks = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, HASHES)
+            found = [(-e, i, int(j)) for i, to in pairs_of(side) for j, e in zip(*agreeing(i, to, comp, sizes, marks, threshold), strict=True)]
+            union = Union()
+            out = [tuple(sorted((int(ids[i]), int(ids[j])))) for _, i, j in sorted(found) if union.join(int(comp[i]), int(comp[j]))]
             a, b = zip(*out, strict=True) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
+    return sorted_groups(groups, "class_id", "component", "n_shingles", "side", "sketch").mapInArrow(compare, "a long, b long").distinct()
+
+
+def hopeful(groups: DataFrame, threshold: float) -> DataFrame:
+    """The members of each group that have a candidate in it: rows (``node``, ``p``, ``q``, ``class_id``, ``side``).
+
+    A pair that meets in several nodes is a candidate in the first of them
+    only. One row per member at most, whatever the number of pairs.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, p, q, ids, comp, sizes, side, sketch, nodes in groups_in(batches, 7):
+            if len(ids) < 2 or (comp == comp[0]).all():
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            cols.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, HASHES))
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            change = (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)
-            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
-            held = [c[starts[-1] :] for c in cols]
-            if len(starts) > 1:
-                yield pairs(cols, starts[:-1], starts[1:])
-        if held is not None:
-            yield pairs(held, np.array([0]), np.array([len(held[0])]))
+            marks = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, HASHES)
+            places = [set(x) for x in nodes]
+            keep = np.zeros(len(ids), bool)
+            for i, to in pairs_of(side):
+                near, _ = agreeing(i, to, comp, sizes, marks, threshold)
+                mine = [j for j in near.tolist() if min(places[i] & places[j]) == node[0]]
+                if mine:
+                    keep[i] = True
+                    keep[mine] = True
+            n = int(keep.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node[:n], pa.int64()), pa.array(p[:n], pa.int64()), pa.array(q[:n], pa.int64()), pa.array(ids[keep], pa.int64()), pa.array(side[keep], pa.int32())], [*KEYS, "class_id", "side"]
+            )
+
+    rows = sorted_groups(groups, "class_id", "component", "n_shingles", "side", "sketch", "nodes")
+    return rows.mapInArrow(compare, "node long, p long, q long, class_id long, side int")
+
+
+def confirmed_inside(groups: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Links (``a`` < ``b``) confirmed on the full sets of a group's members: a forest that joins all it can.
+
+    Candidates are tried best estimates first; a pair whose components are
+    joined by then is not tried, for its link would change nothing.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, _, _, ids, comp, sizes, side, sketch, nodes, full in groups_in(batches, 7):
+            marks = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, HASHES)
+            places = [set(x) for x in nodes]
+            sets = [np.frombuffer(x, np.uint64) for x in full]
+            union, out = Union(), []
+            for i, to in pairs_of(side):
+                near, e = agreeing(i, to, comp, sizes, marks, threshold)
+                for j in near[np.argsort(-e, kind="stable")].tolist():
+                    if min(places[i] & places[j]) != node[0] or union.root(int(comp[i])) == union.root(int(comp[j])):
+                        continue
+                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                        union.join(int(comp[i]), int(comp[j]))
+                        out.append(tuple(sorted((int(ids[i]), int(ids[j])))))
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = sorted_groups(groups, "class_id", "component", "n_shingles", "side", "sketch", "nodes", "full")
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
+def full_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(``class_id``, ``full``) of texts (``class_id``, ``text``); a text that is not the class's own is left out."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            ids, out = [], []
+            for c, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingles(value.as_py(), words, hashes)
+                if class_name(s) == c:
+                    ids.append(c)
+                    out.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["class_id", "full"])
 
-    rows = groups.select(*keys, "class_id", "component", "n_shingles", "side", "sketch")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
+    return texts.select("class_id", "text").mapInArrow(build, "class_id long, full binary").dropDuplicates(["class_id"])
 
 
 def first_groups(nodes: DataFrame, limit: int) -> DataFrame:
@@ -347,8 +433,7 @@ def near_duplicates(
         return ids.join(found, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
 
     groups = first_groups(top, limit).join(drawn.withColumn("component", F.col("class_id")), "class_id")
-    tried = materialize(candidates(groups, similarity, every=False), "neardup-pairs")
-    links = confirmed(tried)
+    links = confirmed(materialize(forests(groups, similarity), "neardup-pairs"))
     now = materialize(component_of(links, drawn), "neardup-now")
 
     leaves, level, large = [top.filter(F.col("count") <= limit)], 1, top.filter(F.col("count") > limit)
@@ -369,9 +454,13 @@ def near_duplicates(
     nodes = leaves[0]
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)
-    groups = second_groups(nodes.join(now.select("class_id", "component"), "class_id"), limit).join(now, "class_id")
-    rest = materialize(candidates(groups, similarity, every=True).join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
-    links = links.unionByName(confirmed(rest))
+    met = second_groups(nodes.join(now.select("class_id", "component"), "class_id"), limit)
+    places = nodes.groupBy("class_id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    known = materialize(now.join(places, "class_id"), "neardup-known")
+    members = materialize(hopeful(met.join(known, "class_id"), similarity), "neardup-members")
+    ends = members.select("class_id").distinct().join(classes.select("class_id", "rep"), "class_id")
+    sets = full_sets(texts.join(ends, "rep"), words)
+    links = links.unionByName(materialize(confirmed_inside(members.join(known.join(sets, "class_id"), "class_id"), similarity, percent), "neardup-links"))
 
     whole = component_of(links, classes.select("class_id", "rep"))
     names = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
