@@ -4,12 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_folio_shipped", False):
+        return
+    context._folio_shipped = True
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="folio-code-")) / "folioframe.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder, by any path Spark can open."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,4 +65,6 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
     )
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
