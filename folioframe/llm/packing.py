@@ -8,7 +8,7 @@ a bucket over tasks, and pieces are numbered inside (length, salt).
 
 Defined cases: a null or empty text is one piece holding the end token; rows
 with equal ids or texts are packed separately; special token strings in a text
-become their special id, as in the reference vocabulary file.
+become their special id, as in the vocabulary file.
 """
 
 from __future__ import annotations
