@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.operators.components import connected_components
-from folioframe.llm.words import WORD, words_of
+from folioframe.llm.words import WORD
 from folioframe.session import materialize
 
 WORDS = 5
@@ -47,32 +47,12 @@ HASHES = 128
 TREES = 16
 DEPTH = 6
 LIMIT = 256
-CACHE = 1 << 20
 #: A pair whose sketches agree less than this many standard errors below the threshold is no candidate.
 ERRORS = 4.0
 
 _rng = np.random.default_rng(20240229)
-_MULTIPLY = (_rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-
-
-class WordHashes:
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        out = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            out[i] = h
-        return out
+_MULTIPLY = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -81,12 +61,54 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
+#: Random values of the bytes, an odd base and its inverse modulo 2^64.
+_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the base and of its inverse; kept, and grown by doubling."""
+    if len(_powers[0]) <= n:
+        size = 1 << n.bit_length()
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, base, np.uint64))])
+    return _powers[0], _powers[1]
+
+
+def word_hashes(text: str | None, part: int = 1 << 18) -> np.ndarray:
+    """64-bit hashes of a text's words (the rule of ``words_of``), without making the words.
+
+    A word's hash is a polynomial of its bytes, taken from running sums over a
+    part of the text; parts end at blanks.
+    """
+    data = np.frombuffer(text.encode("utf-8").lower(), np.uint8) if text else np.empty(0, np.uint8)
+    found, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + part)
+        if end < len(data):
+            blanks = np.flatnonzero(_BLANK[data[at:end]])
+            while not len(blanks) and end < len(data):  # a word longer than a part
+                end = min(len(data), at + 2 * (end - at))
+                blanks = np.flatnonzero(_BLANK[data[at:end]])
+            end = at + int(blanks[-1]) + 1 if len(blanks) and end < len(data) else end
+        chunk = data[at:end]
+        solid = np.concatenate([[False], ~_BLANK[chunk], [False]])
+        edges = np.flatnonzero(solid[1:] != solid[:-1])
+        first, last = edges[::2], edges[1::2]
+        up, down = _power(len(chunk))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[chunk] * up[: len(chunk)])])
+        found.append(_mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
+        at = end
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
+def shingles(text: str | None, k: int) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted."""
-    words = words_of(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes(words)
+    h = word_hashes(text)
+    if not len(h):
+        return h
     n = max(1, len(h) - k + 1)
     out = np.full(n, np.uint64(min(k, len(h))), np.uint64)
     for i in range(min(k, len(h))):
@@ -96,22 +118,21 @@ def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
 
 def minwise(sets: np.ndarray) -> np.ndarray:
     """The smallest value of each hash over a non-empty set, 32 bits."""
-    best = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(sets), 2048):  # bounded memory for very long texts
-        part = sets[i : i + 2048]
-        np.minimum(best, (part[None, :] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1), out=best)
-    return (_mix(best) >> np.uint64(32)).astype(np.uint32)
+    best = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    x = (sets >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(x), 512):  # a part's products stay in the cache
+        np.minimum(best, (x[None, i : i + 512] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1), out=best)
+    return (_mix(best.astype(np.uint64) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
 
 
 def set_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """Per document: ``text_hash``, ``n_shingles``, ``class_id`` (a 64-bit digest of the set; null if empty) and the minwise values."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             sizes, names, signatures = [], [], []
             for value in batch.column(2):
-                s = shingles(value.as_py(), words, hashes)
+                s = shingles(value.as_py(), words)
                 sizes.append(len(s))
                 names.append(class_name(s))
                 signatures.append(minwise(s).tobytes() if len(s) else None)
@@ -173,13 +194,33 @@ def branch(rows: DataFrame, level: int, trees: int, threshold: float) -> DataFra
     return rows.select("node", "class_id", "signature").mapInArrow(down, "node long, class_id long")
 
 
-def agreeing(i: int, to: np.ndarray, comp: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Those of ``to`` that may be linked with ``i`` across components, and their estimates."""
+SMALL = 48
+
+
+def near_pairs(comp: np.ndarray, sizes: np.ndarray, side: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (i, j, estimate) of a group: members of different
+    components that may be linked, of either side where there are two sides."""
     least = threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / HASHES)
-    small, big = np.minimum(sizes[to], sizes[i]), np.maximum(sizes[to], sizes[i])
-    to = to[(comp[to] != comp[i]) & (small >= threshold * big - 1e-9)]
-    e = (sketch[to] == sketch[i]).mean(axis=1) if len(to) else np.empty(0)
-    return to[e >= least], e[e >= least]
+    n = len(comp)
+    apart = side.any() and not side.all()
+    if n <= SMALL:
+        at = np.arange(n)
+        meet = (side[:, None] < side[None, :]) if apart else (at[:, None] < at[None, :])
+        meet &= (comp[:, None] != comp[None, :]) & (np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9)
+        i, j = np.nonzero(meet)
+        e = (sketch[i] == sketch[j]).mean(axis=1) if len(i) else np.empty(0)
+        return i[e >= least], j[e >= least], e[e >= least]
+    left = np.flatnonzero(side == 0) if apart else np.arange(n)
+    right = np.flatnonzero(side == 1) if apart else None
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in left:
+        to = right if apart else np.arange(i + 1, n)
+        to = to[(comp[to] != comp[i]) & (np.minimum(sizes[to], sizes[i]) >= threshold * np.maximum(sizes[to], sizes[i]) - 1e-9)]
+        if len(to):
+            e = (sketch[to] == sketch[i]).mean(axis=1)
+            near = e >= least
+            found.append((np.full(int(near.sum()), i), to[near], e[near]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
 
 
 class Union:
@@ -202,40 +243,44 @@ class Union:
         return a != b
 
 
-def pairs_of(side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each member with those it meets: of the other side, or the later ones where there is one side."""
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if len(left) and len(right):
-        for i in left:
-            yield int(i), right
-    else:
-        whole = np.arange(len(side))
-        for i in whole:
-            yield int(i), whole[i + 1 :]
-
-
 def groups_in(batches: Iterator[pa.RecordBatch], n_numbers: int) -> Iterator[list]:
     """Sorted runs of equal first three columns as lists of columns.
 
-    The first ``n_numbers`` columns become arrays, the others lists. A run
-    that a batch cuts is carried to the next.
+    The first ``n_numbers`` columns become arrays, the next (the sketches) a
+    matrix; lists and sets after it become lists of arrays. A run that a batch
+    cuts is carried to the next; runs of one row are passed over.
     """
     held: list | None = None
+
+    def arrays(column: pa.Array) -> list[np.ndarray]:
+        if pa.types.is_list(column.type):
+            flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            return [flat[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
+        return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols: list = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_numbers)] + [batch.column(i).to_pylist() for i in range(n_numbers, batch.num_columns)]
+        cols: list = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_numbers)]
+        cols.append(np.frombuffer(b"".join(batch.column(n_numbers).to_pylist()), np.uint8).reshape(-1, HASHES))
+        cols += [arrays(batch.column(i)) for i in range(n_numbers + 1, batch.num_columns)]
         if held is not None:
-            cols = [np.concatenate([h, c]) if k < n_numbers else h + c for k, (h, c) in enumerate(zip(held, cols, strict=True))]
+            cols = [h + c if isinstance(c, list) else np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
         change = (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)
         starts = np.concatenate([[0], np.flatnonzero(change) + 1])
         held = [c[starts[-1] :] for c in cols]
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
+        ends = starts[1:]
+        for s, e in zip(starts[:-1][ends - starts[:-1] > 1], ends[ends - starts[:-1] > 1], strict=True):
             yield [c[s:e] for c in cols]
-    if held is not None:
+    if held is not None and len(held[0]) > 1:
         yield held
 
 
+def first_common(a: np.ndarray, b: np.ndarray) -> int:
+    """The smallest node that both lists hold."""
+    return min(set(a.tolist()) & set(b.tolist()))
+
+
 KEYS = ["node", "p", "q"]
 
 
@@ -248,13 +293,15 @@ def forests(groups: DataFrame, threshold: float) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, ids, comp, sizes, side, sketch in groups_in(batches, 7):
-            if len(ids) < 2 or (comp == comp[0]).all():
+            if (comp == comp[0]).all():
+                continue
+            i_, j_, e = near_pairs(comp, sizes, side, sketch, threshold)
+            if not len(e):
                 continue
-            marks = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, HASHES)
-            found = [(-e, i, int(j)) for i, to in pairs_of(side) for j, e in zip(*agreeing(i, to, comp, sizes, marks, threshold), strict=True)]
+            order = np.argsort(-e, kind="stable")
             union = Union()
-            out = [tuple(sorted((int(ids[i]), int(ids[j])))) for _, i, j in sorted(found) if union.join(int(comp[i]), int(comp[j]))]
-            a, b = zip(*out, strict=True) if out else ((), ())
+            out = [tuple(sorted((int(ids[i]), int(ids[j])))) for i, j in zip(i_[order], j_[order], strict=True) if union.join(int(comp[i]), int(comp[j]))]
+            a, b = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return sorted_groups(groups, "class_id", "component", "n_shingles", "side", "sketch").mapInArrow(compare, "a long, b long").distinct()
@@ -269,17 +316,15 @@ def hopeful(groups: DataFrame, threshold: float) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, p, q, ids, comp, sizes, side, sketch, nodes in groups_in(batches, 7):
-            if len(ids) < 2 or (comp == comp[0]).all():
+            if (comp == comp[0]).all():
                 continue
-            marks = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, HASHES)
-            places = [set(x) for x in nodes]
+            i_, j_, _ = near_pairs(comp, sizes, side, sketch, threshold)
             keep = np.zeros(len(ids), bool)
-            for i, to in pairs_of(side):
-                near, _ = agreeing(i, to, comp, sizes, marks, threshold)
-                mine = [j for j in near.tolist() if min(places[i] & places[j]) == node[0]]
-                if mine:
-                    keep[i] = True
-                    keep[mine] = True
+            for i, j in zip(i_.tolist(), j_.tolist(), strict=True):
+                if not (keep[i] and keep[j]) and first_common(nodes[i], nodes[j]) == node[0]:
+                    keep[i] = keep[j] = True
+            if not keep.any():
+                continue
             n = int(keep.sum())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(node[:n], pa.int64()), pa.array(p[:n], pa.int64()), pa.array(q[:n], pa.int64()), pa.array(ids[keep], pa.int64()), pa.array(side[keep], pa.int32())], [*KEYS, "class_id", "side"]
@@ -298,19 +343,16 @@ def confirmed_inside(groups: DataFrame, threshold: float, percent: int) -> DataF
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, _, _, ids, comp, sizes, side, sketch, nodes, full in groups_in(batches, 7):
-            marks = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, HASHES)
-            places = [set(x) for x in nodes]
-            sets = [np.frombuffer(x, np.uint64) for x in full]
+            i_, j_, e = near_pairs(comp, sizes, side, sketch, threshold)
             union, out = Union(), []
-            for i, to in pairs_of(side):
-                near, e = agreeing(i, to, comp, sizes, marks, threshold)
-                for j in near[np.argsort(-e, kind="stable")].tolist():
-                    if min(places[i] & places[j]) != node[0] or union.root(int(comp[i])) == union.root(int(comp[j])):
-                        continue
-                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
-                        union.join(int(comp[i]), int(comp[j]))
-                        out.append(tuple(sorted((int(ids[i]), int(ids[j])))))
+            for k in np.argsort(-e, kind="stable"):
+                i, j = int(i_[k]), int(j_[k])
+                if union.root(int(comp[i])) == union.root(int(comp[j])) or first_common(nodes[i], nodes[j]) != node[0]:
+                    continue
+                shared = len(np.intersect1d(full[i], full[j], assume_unique=True))
+                if 100 * shared >= percent * (len(full[i]) + len(full[j]) - shared):
+                    union.join(int(comp[i]), int(comp[j]))
+                    out.append(tuple(sorted((int(ids[i]), int(ids[j])))))
             a, b = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -322,11 +364,10 @@ def full_sets(texts: DataFrame, words: int) -> DataFrame:
     """(``class_id``, ``full``) of texts (``class_id``, ``text``); a text that is not the class's own is left out."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             ids, out = [], []
             for c, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles(value.as_py(), words, hashes)
+                s = shingles(value.as_py(), words)
                 if class_name(s) == c:
                     ids.append(c)
                     out.append(s.tobytes())
@@ -376,15 +417,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     both = one.join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         last: tuple = (None, None, None)
         for batch in batches:
             ok = []
             for a, b, text_a, text_b in zip(*(batch.column(i) for i in range(4)), strict=True):
                 a, b, text_a = a.as_py(), b.as_py(), text_a.as_py()
                 if last[:2] != (a, text_a):
-                    last = a, text_a, shingles(text_a, words, hashes)
-                x, y = last[2], shingles(text_b.as_py(), words, hashes)
+                    last = a, text_a, shingles(text_a, words)
+                x, y = last[2], shingles(text_b.as_py(), words)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(class_name(x) == a and class_name(y) == b and 100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))

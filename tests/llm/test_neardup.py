@@ -86,3 +86,18 @@ def test_long_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5000, 5000), (None, 4)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges, "a", "b").collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def test_word_hashes_follow_the_words():
+    import numpy as np
+
+    from folioframe.llm.words import words_of
+
+    texts = ["", None, " \t\r\n\x0b\x0c", "One one ONE two", "é É x\x1cy a b", "w" * 3000 + " " + "v" * 10, " ".join(f"t{i % 977}" for i in range(9000)), " lead and trail "]
+    for t in texts:
+        words = words_of(t)
+        for part in (64, 1 << 18):
+            h = N.word_hashes(t, part)
+            assert len(h) == len(words)
+            assert len(set(h.tolist())) == len(set(words)) == len({(a, b) for a, b in zip(words, h.tolist(), strict=True)})
+    assert np.array_equal(N.word_hashes("abc x", 64), N.word_hashes("  ABC  x"))
