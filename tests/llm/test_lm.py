@@ -86,3 +86,57 @@ def test_no_training_rows_and_empty(spark):
     got = L.lm_scores(only).collect()
     assert all(r.score == 0 and r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in got) and got
     assert L.lm_scores(only.limit(0)).count() == 0
+
+
+def brute_model(rows, order):
+    """(id, log10 probability) of every row, from the counts of all n-grams."""
+    grams = [{} for _ in range(order + 1)]
+    padded = [(i, [b"", *L.words_of(t), b""]) for i, t in rows]
+    for i, w in padded:
+        for k in range(1, order + 1) if not held(i) else ():
+            for j in range(max(1, k - 1), len(w)):
+                g = tuple(w[j - k + 1 : j + 1])
+                grams[k][g] = grams[k].get(g, 0) + 1
+    n, v = sum(grams[1].values()), len(grams[1])
+    out = []
+    for i, w in padded:
+        total = 0.0
+        for j in range(1, len(w)):
+            p = (grams[1].get((w[j],), 0) + 0.1) / (n + 0.1 * (v + 1))
+            for k in range(2, min(order, j + 1) + 1):
+                g = tuple(w[j - k + 1 : j + 1])
+                p = (grams[k].get(g, 0) + 20 * p) / (grams[k - 1].get(g[:-1], 0) + 20)
+            total += math.log10(p)
+        out.append((-1 if i is None else i, total))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("order", "block_tokens"), [(1, 50_000), (3, 50_000), (3, 1 << 20), (4, 20_000)])
+def test_every_ngram_counts(docs, order, block_tokens):
+    frame, rows = docs
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in L.lm_scores(frame, order=order, block_tokens=block_tokens).collect())
+    for a, b in zip(got, brute_model([r[:2] for r in rows], order), strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 * max(1, abs(b[1]))
+
+
+def test_rare_ngram_counts_in_a_large_corpus(spark):
+    """600,000 tokens of frequent words, so that the old floors (18 and 2 tokens) would drop what occurs a few times."""
+    common = "a b c d e f " * 1000
+    rows = [(i, common, "en", "s", 1) for i in range(100)] + [(i, f"rare{i % 4} pair{i % 4} end", "en", "s", 1) for i in range(1000, 1020)]
+    got = sorted((r.doc_id, r.score) for r in L.lm_scores(spark.createDataFrame(rows, DOCS)).collect())
+    for a, b in zip(got, brute_model([r[:2] for r in rows], 3), strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 * max(1, abs(b[1]))
+
+
+def test_scores_are_those_of_the_whole_automaton(docs):
+    frame, rows = docs
+    frame = frame.filter("doc_id between 2 and 400")  # ids that occur once
+    blocks = materialize(L.token_blocks(frame), "t")
+    a, n, v = L.build_automaton(blocks, materialize(L.word_totals(blocks), "t"), core_floor=0.0, arc_floor=0.0, fewest=1)
+    got = {r.doc_id: r.score for r in L.lm_scores(frame).collect() if not r.held_out}
+    number = {h: i for i, h in enumerate(a.core.tolist())}
+    texts = {r[0]: r[1] for r in rows}
+    for i, score in got.items():
+        c = [*(number[L.word_hash(w)] for w in L.words_of(texts[i])), number[L.END]]
+        assert abs(a.score(c, np.log10(a.core_p[c]).tolist()) - score) < 1e-6 * max(1, abs(score))
+    assert len(got) > 100
