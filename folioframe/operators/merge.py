@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TEXT_CAP = 2_000_000
 #: Types whose values count as progress; a boolean does not.
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -29,8 +28,8 @@ def refresh_index(old: DataFrame, new: DataFrame, *, key: str = "path", mark: tu
     action = F.when(~has_new, "drop").when(has_old & same, "reuse").when(fresh, "extract").when(has_old, "stale").otherwise("failed")
     old_side = F.col("_action").isin("reuse", "stale")
     pick = lambda c: F.when(old_side, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
-    cut = F.when(F.col("_action").isin("drop", "failed"), None).otherwise(F.substring(pick(text), 1, TEXT_CAP))
-    return joined.withColumn("_action", action).select(F.coalesce(f"b.{key}", f"a.{key}").alias(key), *(pick(m).alias(m) for m in mark), cut.alias(text), F.col("_action").alias("action"))
+    kept = F.when(F.col("_action").isin("drop", "failed"), None).otherwise(pick(text))
+    return joined.withColumn("_action", action).select(F.coalesce(f"b.{key}", f"a.{key}").alias(key), *(pick(m).alias(m) for m in mark), kept.alias(text), F.col("_action").alias("action"))
 
 
 def _newer(a: str, b: str, prefer: str) -> Column:

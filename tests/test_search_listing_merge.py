@@ -150,3 +150,9 @@ def test_sessions_break_at_gaps_pauses_and_documents(spark):
     rows = [(1, t0 + dt.timedelta(hours=h), i, d, s, w) for i, (h, d, s, w) in enumerate([(0, 1, True, 5), (1, 1, True, 9), (2, 2, True, 1), (3, 2, False, 2), (4, 2, True, 3), (40, 2, True, 4)])]
     got = sessions.reading_sessions(spark.createDataFrame(rows, "reader long, ts timestamp, event_id long, doc long, speaking boolean, word_idx int"), words_total=8).orderBy("started").collect()
     assert [(r.doc, r.seconds, r.words_read) for r in got] == [(1, 3600.0, 8), (2, 0.0, 2), (2, 0.0, 4), (2, 0.0, 5)]
+
+
+def test_refreshed_texts_are_whole(spark):
+    new = spark.createDataFrame([(1, 1)], "path long, size long").withColumn("text", F.repeat(F.lit("abcd"), 600_000))
+    old = spark.createDataFrame([], "path long, size long, text string")
+    assert M.refresh_index(old, new, mark=("size",)).select(F.length("text")).first()[0] == 2_400_000
