@@ -28,7 +28,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 LOGIN = r"\b(?i:user(?:name)?|login|account|client_?id|access_?key_?id)\x20*[:=]\x20*[\"']?[A-Za-z0-9][A-Za-z0-9@._-]{2,}"
-STRONG_LOOKING = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_-])"
+STRONG_LOOKING = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"\b(?i:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh|jdbc:[a-z]+)://[^\x20\x09-\x0D\"'<>]+"
 
 #: In the order in which spans of equal start are listed.

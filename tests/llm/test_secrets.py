@@ -74,3 +74,20 @@ def test_empty_and_clashing_columns(spark):
     assert S.scan_secrets(docs).count() == 0 and S.redact(docs).columns == docs.columns
     one = spark.createDataFrame([(1, "username: alice Zx9" + "aB3d" * 10, "x", "s", 1, 7, "k", 3)], docs.schema)
     assert S.scan_secrets(one, keep=["doc_id", "start", "kind"]).first().kind == "k"
+
+
+def test_opaque_values_after_any_name(spark):
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    token, url_safe = "Zx9" + "aB3d" * 9, "Ab3_dE-9" * 5
+    texts = {
+        1: f"AWS_ACCESS_KEY_ID=AKIA{'B7' * 8}\nAWS_SECRET_ACCESS_KEY={key}",
+        2: f"https://svc.example/v1?key={token}",
+        3: f"username: alice ghp_{token}",
+        4: f"client_id: alice X_SIGNING={url_safe}==",
+        5: f"X_SIGNING={key} alone",
+    }
+    hidden = {1: key, 2: token, 3: token, 4: url_safe}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], DOCS)
+    for r in S.scan_secrets(docs).collect():
+        assert any(s.kind == 4 and hidden[r.doc_id] in r.text[s.start : s.end] for s in r.all_spans) if r.doc_id in hidden else not r.all_spans
+    assert all(hidden.get(r.doc_id, "\0") not in r.text for r in S.redact(docs).collect())
