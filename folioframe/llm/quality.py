@@ -65,7 +65,7 @@ class Features:
         raw = text or ""
         size = max(1, len(raw))
         signs = sum(raw.count(c) for c in "#$%&*|!")
-        texture = [1.0, min(1.0, signs / n), len(places) / n, (counts.max() if len(words) else 0) / n, size / n / 10.0, sum(map(raw.count, "0123456789")) / size * 10, (sum(1 for c in raw[:: max(1, size // 2000)] if c.isupper()) / min(size, 2000))]
+        texture = [1.0, min(1.0, signs / n), len(places) / n, (counts.max() if len(words) else 0) / n, size / n / 10.0, sum(map(raw.count, "0123456789")) / size * 10, sum(map(str.isupper, raw)) / size]
         values = np.sqrt(counts / n)
         return np.concatenate([np.arange(len(texture)), places]).astype(np.int32), np.concatenate([texture, values])
 

@@ -24,3 +24,10 @@ def test_awkward_rows(spark):
     none = Q.co_train(docs, table(spark, sf, "labels").limit(0))
     assert all(r.score > 0.99 for r in Q.score_quality(odd, none).collect())
     assert Q.co_train(docs.limit(0), table(spark, sf, "labels")).both[0] == 0.5
+
+
+def test_upper_case_share_is_that_of_the_whole_text():
+    share = lambda text: Q.Features().text(text)[1][6]
+    for n in (1, 300, 500, 700, 1_000, 5_000):
+        assert abs(share("Abcd " * n) - 0.2) < 1e-9
+    assert abs(share("aB" * 5_000) - 0.5) < 1e-9
