@@ -6,9 +6,12 @@ Every piece is a sequence of its own: no sequence crosses documents and none
 needs padding. Pieces of equal length form a bucket; a salt by content splits
 a bucket over tasks, and pieces are numbered inside (length, salt).
 
-Defined cases: a null or empty text is one piece holding the end token; rows
-with equal ids or texts are packed separately; special token strings in a text
-become their special id, as in the vocabulary file.
+Defined cases: a null or empty text is one piece holding the end token; a null
+id stays null; rows with equal ids or texts are packed separately; special token
+strings in a text become their special id, as in the vocabulary file; a text of
+any length, of one run of blanks too, gets the ids of the vocabulary file; an
+empty table gives an empty result; extra columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,16 +37,29 @@ def encoder(name: str = VOCABULARY):
     """A function from texts to lists of ids.
 
     The vocabulary's rank file gives the same ids as its json file several
-    times faster; a test holds the two against each other.
+    times faster; a test holds the two against each other. Its splitting of a
+    text gives up on runs of about a million blanks; such a text goes to the
+    json file.
     """
     import public_tokenizers
     import tiktoken
+    import tokenizers
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     special = {"<|endoftext|>": len(ranks)}
     enc = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: enc.encode(text, allowed_special="all")
+    slower: list[tokenizers.Tokenizer] = []
+
+    def encode(text: str) -> list[int]:
+        try:
+            return enc.encode(text, allowed_special="all")
+        except ValueError:  # the pattern's stack is exhausted
+            if not slower:
+                slower.append(tokenizers.Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))
+            return slower[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def pieces(n: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:

@@ -22,6 +22,23 @@ def test_ids_equal_the_tokenizer_file(spark):
         assert fast(a) == b.ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "x" + " " * 1_000_000 + "y", "ab " + " \n\t" * 300_000, "a" * 1_000_000, "\u3000" * 1_000_000])
+def test_long_runs_get_the_same_ids(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert P.encoder()(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_stage_takes_long_runs(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, " " * 1_000_000, "en", "s", 1), (2, "x", "en", "s", 1)], DOCS)
+    got = corpus_pipeline.pack(spark, docs, "").collect()
+    assert sum(r.length for r in got if r.doc_id == 1) == 1_000_001
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 2047, 2048, 2049, 5000, 4096])
 def test_pieces_are_powers_of_two(n):
     got = P.pieces(n)
