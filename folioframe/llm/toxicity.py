@@ -13,17 +13,21 @@ texts; its evidence is counted in distinct neighbourhoods (the words before
 and after it), so words that only travel along in copies of one toxic text are
 not learned. The weight is the term's
 log odds. An exception phrase is a term with a neighbouring word whose
-texts are mostly not toxic. Length exponent and curve minimise log loss.
+texts are mostly not toxic. Length exponent and curve minimise log loss. As many
+terms are learned as pass the thresholds; a term stands in a share of the toxic
+texts, so their number is bounded by the sample.
 
 Defined cases: null and empty texts score as texts without hits; rows with
 equal ids are scored separately; with no labels at all every score is 0; an
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; input columns named ``score`` or
+``predicted`` give way to the results, other columns are kept.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,7 +41,6 @@ from folioframe.llm.words import remainder
 from folioframe.session import materialize, table
 
 SAMPLE = 20_000
-TERMS = 400
 MIN_TEXTS = 5
 MIN_SHARE = 0.005
 MIN_ODDS = 2.0
@@ -99,7 +102,24 @@ def hits(folded: str, automaton) -> list[tuple[int, int, float, str]]:
         if (start and folded[start - 1].isalnum()) or (end < last and folded[end + 1].isalnum()):
             continue
         (found if weight is not None else shields).append((start, end + 1, weight, term))
-    return [h for h in found if not any(s <= h[0] and h[1] <= e for s, e, _, _ in shields)] if shields else found
+    if not shields:
+        return found
+    #: the farthest end of the phrases that start at or before each start
+    shields.sort(key=lambda s: s[0])
+    starts, ends = [s[0] for s in shields], []
+    for s in shields:
+        ends.append(max(s[1], ends[-1]) if ends else s[1])
+    return [h for h in found if h[0] < starts[0] or ends[bisect_right(starts, h[0]) - 1] < h[1]]
+
+
+def neighbours(folded: str, found: list[tuple[int, int, float, str]]) -> tuple[list[str], list[str]]:
+    """The whole words before and after each hit, empty at the text's ends."""
+    if not found:
+        return [], []
+    spans = [m.span() for m in _WORD.finditer(folded)]
+    starts = [s for s, _ in spans]
+    word = lambda i: folded[spans[i][0] : spans[i][1]] if 0 <= i < len(spans) else ""
+    return [word(bisect_left(starts, h[0]) - 1) for h in found], [word(bisect_left(starts, h[1])) for h in found]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -127,8 +147,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE,
     return chosen.filter("text is not null").groupBy(F.md5(F.col("text").cast("binary")).alias("_hash")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, terms: int = TERMS, **options: object) -> Lexicon:
-    """The lexicon, from a bounded sample. What reaches the driver is bounded by ``terms`` and the sample."""
+def learn(docs: DataFrame, labels: DataFrame, **options: object) -> Lexicon:
+    """The lexicon, from a bounded sample of labelled rows. What reaches the driver is bounded by the sample."""
     rows = materialize(labelled_sample(docs, labels, **options), "toxicity-sample")
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
@@ -147,7 +167,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, terms: int = TERMS, **options:
     odds = F.log(((F.col("pos") + 0.1) / (n_pos + 0.1)) / ((F.col("neg") + 0.1) / (n_neg + 0.1)))
     least = max(MIN_TEXTS, math.ceil(MIN_SHARE * n_pos))
     named = counts.filter((F.col("pos") >= least) & (F.length("term") > 1)).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
-    top = {r["term"]: r["odds"] for r in named.orderBy(F.desc(F.col("odds") * F.col("pos")), "term").limit(terms).collect()}
+    #: a term stands in ``least`` texts of the sample, so there are few
+    top = {r["term"]: r["odds"] for r in named.collect()}
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Lexicon(top).automaton()
@@ -158,8 +179,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, terms: int = TERMS, **options:
                 found = hits(folded, automaton)
                 out["n"].append(len(folded))
                 out["terms"].append([h[3] for h in found])
-                out["before"].append([(_WORD.findall(folded[max(0, h[0] - 40) : h[0]]) or [""])[-1] for h in found])
-                out["after"].append([(_WORD.findall(folded[h[1] : h[1] + 40]) or [""])[0] for h in found])
+                before, after = neighbours(folded, found)
+                out["before"].append(before)
+                out["after"].append(after)
             kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.string())] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 

@@ -37,3 +37,51 @@ def test_awkward_rows(spark):
     assert X.score_toxicity(docs.limit(5), none).filter("predicted = 1").count() == 0
     assert X.score_toxicity(docs.limit(0), lexicon).count() == 0
     assert X.drop_toxic(docs, table(spark, sf, "labels")).columns == docs.columns
+
+
+def naive_hits(folded, lexicon):
+    """Every term and phrase tried at every place."""
+    whole = lambda s, e: not (s and folded[s - 1].isalnum()) and not (e < len(folded) and folded[e].isalnum())
+
+    def places(t):
+        at, found = folded.find(t), []
+        while at >= 0:
+            if whole(at, at + len(t)):
+                found.append((at, at + len(t)))
+            at = folded.find(t, at + 1)
+        return found
+
+    shields = [p for x in lexicon.exceptions for p in places(x)]
+    return sorted((s, e, w, t) for t, w in lexicon.weights.items() for s, e in places(t) if not any(a <= s and e <= b for a, b in shields))
+
+
+def test_query_equals_naive_matching(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    lexicon = X.learn(docs, table(spark, sf, "labels"))
+    want = {}
+    for r in docs.collect():
+        folded = X.fold(r.text)
+        want[r.doc_id] = lexicon.score(sum(h[2] for h in naive_hits(folded, lexicon)), len(folded))
+    got = {r.doc_id: (r.score, r.predicted) for r in X.op7_score_toxicity(spark, sf).collect()}
+    assert got.keys() == want.keys() and lexicon.weights
+    assert all(abs(got[k][0] - v) < 1e-9 and got[k][1] == (v >= 0.3) for k, v in want.items())
+
+
+def test_hits_and_neighbours_by_brute_force():
+    lex = X.Lexicon({"trash": 2.0, "can": 1.0, "bad": 1.0}, ["trash can", "a trash can here", "not bad"])
+    a = lex.automaton()
+    for text in ("a trash can here can", "not bad, bad trash", "trash can trash", "canbad can", "", "trash " * 50 + "can"):
+        assert sorted(X.hits(text, a)) == naive_hits(text, lex)
+    found = X.hits("very--long" + "x" * 60 + " trash  sh", a)
+    assert X.neighbours("very--long" + "x" * 60 + " trash  sh", found) == (["long" + "x" * 60], ["sh"])
+    assert X.neighbours("trash", X.hits("trash", a)) == ([""], [""])
+
+
+def test_long_texts_are_linear():
+    import time
+
+    lex = X.Lexicon({"trash": 2.0}, ["trash can"])
+    began = time.perf_counter()
+    assert len(X.hits("trash can trash " * 60_000, lex.automaton())) == 60_000
+    assert time.perf_counter() - began < 5
