@@ -16,8 +16,11 @@ whole source.
 Defined cases: null or blank text has size 0 and takes 0 words; the null
 source is a source of its own, last in order; rows with equal ids are separate
 rows; a source without words has target 0; an empty table gives an empty
-result. Columns of the input are kept; helper columns start with ``_mix_`` and
-are dropped.
+result. Columns of the input are kept, but those named ``size``,
+``source_size``, ``target``, ``copies`` or ``taken`` give way to the results
+(``mixed_rows`` keeps every column); helper columns start with ``_mix_`` and are
+dropped. The water-filling sorts one row per source in one task; sources are
+names of collections, not hosts.
 """
 
 from __future__ import annotations
