@@ -1,21 +1,31 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags and at double line breaks. Blocks inside elements that
-hold no article text by their meaning (navigation, header and footer outside
-the article, sidebar, form, script, style) or by their class or id (advert,
-cookie notice, comments) are boilerplate. The first pass classifies the others
-by length, link density and stop-word density: ``good``, ``bad``, or, for short
-ones, ``near-good`` and ``short``. The second pass gives ambiguous short blocks
-the label of the nearest decided neighbours. Where a page marks its article,
-what the article holds beside boilerplate elements is good and the rest bad.
+A page is cut into blocks at block-level tags and at double line breaks. The
+first pass looks at every block by itself. Blocks inside elements that hold no
+article text by their meaning (navigation, header and footer outside the
+article, sidebar, form, script, style) or by their class or id (advert, cookie
+notice, comments) are boilerplate; the others are classified by length, link
+density and stop-word density as ``good``, ``bad``, or ambiguous: ``near-good``
+and ``short``. Where the page marks an article, that is evidence: what stands in
+it and would be bad is ambiguous. The second pass gives ambiguous blocks the
+label of their nearest decided neighbours, other than boilerplate by its mark, on
+the same side of the article's borders, and, where none is decided there, keeps them in an article and on pages
+without any good block. Text outside a marked article that holds good text is no
+part of it.
+
+On pages in languages without a stop list here (next to no stop word in all of
+the page's unlinked text) length and links decide alone.
 
 Character references are decoded, white space inside a block becomes one
 space, blocks are joined in page order by a line end. Nothing else is dropped
-or cut.
+or cut. Reading is one pass over the page: a tag that never ends is text, and
+from the first attribute value on whose quote is never closed, quotes are not
+heeded any more.
 
 Defined cases: null or empty html gives an empty text; unclosed or misnested
 tags are read to the end of the page; rows with equal ids are read separately;
-extra columns are ignored; an empty table gives an empty result.
+input columns named ``text`` or ``n_chars`` give way to the results, other
+columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,6 +60,8 @@ MARKED = re.compile(
     r"disqus|related|recommended|recommendations|share|sharing|social|login|signup|signin|search|pagination|pager|copyright|disclaimer|skip|hidden)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Words of a class or id by which an article is none: teasers, adverts, comments.
+NO_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|sponsored|promo|comment|comments|related|teaser)(?:$|[\s_-]|\d)", re.I)
 #: Roles that mark an element as boilerplate.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 #: Frequent words of the languages that pages come in; short list, for density only.
@@ -62,7 +74,10 @@ STOP = frozenset(
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 LINKS_HIGH = 0.2
 STOP_LOW, STOP_HIGH = 0.12, 0.2
+#: A page below this share of stop words is in a language without a stop list here.
+STOP_ANY = 0.04
 _SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
@@ -75,23 +90,27 @@ class Block:
     label: str = ""
 
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SIGN = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Where an item of the kind ends although its end tag is missing: at the next of its kind, unless one of these stands between.
-BARRIERS = {"p": BLOCKS - {"p"}, "li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("table",)), "th": frozenset(("table",))}
+#: An open item of these kinds ends at the next of its kind, unless one of these was opened in between; an open paragraph ends at any block.
+BARRIERS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 
 
 class _Page:
     """The open elements and the blocks found so far.
 
     An open element is (tag, boilerplate, silent); counts of the open ones of
-    each property make a block's state a look-up.
+    each property make a block's state a look-up, and so do the places of the
+    open elements of each name and of the block-level ones.
     """
 
     def __init__(self) -> None:
         self.stack: list[tuple[str, bool, bool]] = []
+        self.open: dict[str, list[int]] = {}
+        self.firm: list[int] = []
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.links = self.plain = self.silent = self.article = self.heading = self.link = 0
@@ -113,10 +132,18 @@ class _Page:
             self.parts, self.links = [], 0
 
     def pop(self, i: int) -> None:
-        for element in self.stack[i:]:
+        for element in reversed(self.stack[i:]):
             self._count(element, -1)
+            self.open[element[0]].pop()
+            if element[0] in BLOCKS:
+                self.firm.pop()
         del self.stack[i:]
 
+    def last(self, tag: str) -> int:
+        """The place of the last open element of that name, or -1."""
+        at = self.open.get(tag)
+        return at[-1] if at else -1
+
     def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
             if self.broken:
@@ -128,19 +155,17 @@ class _Page:
             self.flush()
         if tag in VOID:
             return
-        if tag in BARRIERS or (tag in BLOCKS and self.stack and self.stack[-1][0] == "p"):
-            kind = tag if tag in BARRIERS else "p"
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == kind:
-                    self.pop(i)
-                    break
-                if self.stack[i][0] in BARRIERS[kind]:
-                    break
+        if tag in BARRIERS:
+            at = self.last(tag)
+            if at >= 0 and all(self.last(b) < at for b in BARRIERS[tag]):
+                self.pop(at)
+        elif tag in BLOCKS and self.firm and self.stack[self.firm[-1]][0] == "p" and (tag == "p" or self.firm[-1] == len(self.stack) - 1):
+            self.pop(self.firm[-1])
         plain = tag in PLAIN or tag == "footer" or (tag == "header" and not self.article)
         if not plain and attributes and _TELLING.search(attributes):
             named = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
             plain = (
-                (tag not in ("html", "body", "article", "main") and bool(MARKED.search(f"{named.get('class', '')} {named.get('id', '')}")))
+                (tag not in ("html", "body", "main") and bool((NO_ARTICLE if tag == "article" else MARKED).search(f"{named.get('class', '')} {named.get('id', '')}")))
                 or named.get("role", "").lower() in ROLES
                 or "hidden" in named
                 or named.get("aria-hidden") == "true"
@@ -149,18 +174,18 @@ class _Page:
         if attributes.endswith("/") and tag not in BLOCKS:
             return
         element = (tag, plain, tag in SILENT)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.firm.append(len(self.stack))
         self.stack.append(element)
         self._count(element, 1)
 
     def end(self, tag: str) -> None:
         if tag in BLOCKS and tag != "br":
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.pop(i)
-                return
-            if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
-                return
+        at = self.last(tag)
+        if at >= 0 and (tag in BLOCKS or not self.firm or self.firm[-1] < at):  # inline elements end inside their block only
+            self.pop(at)
 
     def data(self, text: str) -> None:
         if self.silent or not text:
@@ -174,76 +199,135 @@ class _Page:
             self.links += len(text.strip())
 
 
+def tag_end(html: str, at: int, quotes: bool) -> tuple[int, bool]:
+    """Where a tag that is open at ``at`` ends (-1: never), and whether quotes are heeded from here on."""
+    begun = at
+    while quotes:
+        sign = _SIGN.search(html, at)
+        if sign is None:
+            break
+        if sign[0] == ">":
+            return sign.end(), True
+        before = sign.start() - 1
+        while html[before].isspace():
+            before -= 1
+        if html[before] != "=":  # a quote opens a value only
+            at = sign.end()
+            continue
+        at = html.find(sign[0], sign.end()) + 1
+        if not at:
+            break
+    return html.find(">", begun) + 1 or -1, False
+
+
 def blocks_of(html: str | None) -> list[Block]:
     """The blocks of a page, in order; anything that is no tag is text."""
-    page, html, at = _Page(), html or "", 0
+    page, html, at, begun, quotes = _Page(), html or "", 0, 0, True
     while True:
-        token = _TOKEN.search(html, at)
-        if token is None:
+        less = html.find("<", at)
+        if less < 0:
             break
-        page.data(html[at : token.start()])
-        at = token.end()
-        tag = (token[2] or token[5] or "").lower()
-        if not tag:
+        if html.startswith(("<!", "<?"), less):  # comments, sections, declarations
+            close, skip = ("-->", 2) if html.startswith("<!--", less) else ("]]>", 9) if html.startswith("<![CDATA[", less) else (">", 2)
+            end = html.find(close, less + skip)
+            page.data(html[begun:less])
+            at = begun = len(html) if end < 0 else end + len(close)
+            continue
+        closing = html.startswith("</", less)
+        name = _NAME.match(html, less + 1 + closing)
+        if name is None:
+            at = less + 1
             continue
-        if token[1] or token[4]:
+        end, quotes = tag_end(html, name.end(), quotes)
+        if end < 0:
+            break
+        page.data(html[begun:less])
+        at = begun = end
+        tag = name[0].lower()
+        if closing:
             page.end(tag)
             continue
-        page.start(tag, token[3] if token[2] else token[6])
+        page.start(tag, html[name.end() : end - 1])
         if tag in RAW:  # nothing inside is a tag
             close = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
-            page.data(html[at : close.start() if close else len(html)])
-            at = close.start() if close else len(html)
-    page.data(html[at:])
+            stop = close.start() if close else len(html)
+            page.data(html[at:stop])
+            at = begun = stop
+    page.data(html[begun:])
     page.flush()
     return page.blocks
 
 
-def first_pass(block: Block) -> str:
-    """``bad``, ``good``, ``near-good`` or ``short``."""
+def stop_words(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = _WORD.findall(text.lower())
+    return sum(map(STOP.__contains__, words)), len(words)
+
+
+def first_pass(block: Block, density: float | None) -> str:
+    """``bad``, ``good``, ``near-good`` or ``short``; without a stop list ``density`` is None."""
     if block.plain:
         return "bad"
-    if block.article:
-        return "good"
-    if block.links / max(1, len(block.text)) > LINKS_HIGH:
-        return "bad"
+    doubtful = "short" if block.article else "bad"
+    if block.links > LINKS_HIGH * len(block.text):
+        return doubtful
     if len(block.text) < LENGTH_LOW:
-        return "bad" if block.links else "short"
-    words = [w.strip(".,;:!?").lower() for w in block.text.split(" ")]
-    density = sum(w in STOP for w in words) / len(words)
-    if density >= STOP_HIGH:
+        return doubtful if block.links else "short"
+    if density is None or density >= STOP_HIGH:
         return "good" if len(block.text) > LENGTH_HIGH else "near-good"
-    return "near-good" if density >= STOP_LOW else "bad"
+    if density < STOP_LOW and len(block.text) <= LENGTH_HIGH:  # too few words to go by
+        return "short"
+    return "near-good" if density >= STOP_LOW else doubtful
+
+
+def second_pass(blocks: list[Block], labels: list[str], alone: str) -> list[str]:
+    """Ambiguous blocks get the labels of the nearest decided ones; ``alone`` where there is none."""
+    decided = ("good", "bad")
+    ahead: list[int | None] = [None] * len(blocks)
+    near: int | None = None
+    for i in range(len(blocks) - 1, -1, -1):
+        ahead[i] = near
+        near = i if labels[i] in decided else near
+    found, before = [], None
+    for i, b in enumerate(blocks):
+        after = ahead[i]
+        sides = [labels[j] for j in (before, after) if j is not None]
+        if labels[i] in decided:
+            found.append(labels[i])
+            before = i
+        elif not sides:
+            found.append(alone)
+        elif labels[i] == "near-good":
+            found.append("good" if "good" in sides else "bad")
+        elif b.heading:  # a heading goes with what it heads
+            found.append(labels[after] if after is not None else "bad")
+        elif len(sides) == 2 and sides[0] != sides[1]:
+            found.append(sides[0] if i - before <= after - i else sides[1])
+        else:
+            found.append(sides[0])
+    return found
 
 
 def classify(blocks: list[Block]) -> list[Block]:
     """Labels every block ``good`` or ``bad``."""
-    for b in blocks:
-        b.label = first_pass(b)
-    decided = [i for i, b in enumerate(blocks) if b.label in ("good", "bad")]
-    if any(b.article and b.label == "good" for b in blocks):  # the page says where its article is
-        for b in blocks:
-            b.label = "good" if b.label == "good" and b.article else "bad"
-        return blocks
-    final = [b.label for b in blocks]
+    counts = [(0, 0) if b.plain else stop_words(b.text) for b in blocks]
+    stops, words = (sum(c[k] for c, b in zip(counts, blocks, strict=True) if not b.links) for k in (0, 1))
+    listed = stops >= STOP_ANY * words
+    labels = [first_pass(b, s / max(1, n) if listed else None) for b, (s, n) in zip(blocks, counts, strict=True)]
+    #: an element's own mark says nothing about its neighbours
+    inside = [i for i, b in enumerate(blocks) if b.article and not b.plain]
+    outside = [i for i, b in enumerate(blocks) if not b.article and not b.plain]
+    no_good = "good" not in labels
+    for zone, alone in ((inside, "good"), (outside, "bad")):
+        of_zone = [labels[i] for i in zone]
+        if zone is outside and no_good and not inside:  # a page of short blocks: what nothing speaks against
+            of_zone = ["bad" if x == "bad" else "good" for x in of_zone]
+        for i, label in zip(zone, second_pass([blocks[i] for i in zone], of_zone, alone), strict=True):
+            blocks[i].label = label
+    article = any(blocks[i].label == "good" for i in inside)
     for i, b in enumerate(blocks):
-        if b.label in ("good", "bad"):
-            continue
-        before = next((j for j in reversed(decided) if j < i), None)
-        after = next((j for j in decided if j > i), None)
-        sides = [blocks[j].label for j in (before, after) if j is not None]
-        if b.label == "near-good":
-            final[i] = "good" if "good" in sides or not sides else "bad"
-        elif b.heading:
-            final[i] = "good" if after is not None and blocks[after].label == "good" else "bad"
-        elif len(set(sides)) == 1:
-            final[i] = sides[0]
-        elif len(sides) == 2:
-            final[i] = blocks[before if i - before <= after - i else after].label
-        else:
-            final[i] = "bad"
-    for b, label in zip(blocks, final, strict=True):
-        b.label = label
+        if b.plain or (article and not b.article):
+            b.label = "bad"
     return blocks
 
 
