@@ -7,23 +7,26 @@ when its complement stands within ``window`` code points of it in the same
 text: an identifier or an endpoint needs a secret, and a weak secret needs an
 identifier or an endpoint. The link is an interval join: the parts of a text
 are placed in buckets of ``window`` code points, each part looks in the
-buckets it covers and one on each side, and a semi-join on (text, bucket) with the
+buckets it covers and one on each side, and a semi-join on (row, bucket) with the
 distance condition keeps a part once, whatever the number of its partners.
 
+Every text is scanned once: spans are written to the shared folder with a number
+for the row, and the join moves numbers and spans only. As a row is a scope of
+its own, copies of one text are spread over as many keys.
+
 Spans are code points, end exclusive. Positions come from the lengths of the
 gaps and the matches, because Spark's expressions return matches without
 offsets.
 
-Defined cases: a null or empty text has no spans; rows with equal ids and
-texts get equal spans; extra columns are kept; an empty table gives an empty
-result.
-"""
+Defined cases: a null or empty text has no spans; rows with X"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.session import materialize
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -35,6 +38,8 @@ ENDPOINT = r"\b(?i:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh|jdbc:
 KINDS = ("assign", "access", "hex", "login", "opaque", "endpoint")
 WINDOW = 200
 CHUNK = 512
+#: Spans that are cut out of a text at a time.
+PART = 64
 SPAN = "array<struct<start:long,kind:int,end:long>>"
 
 
@@ -50,8 +55,9 @@ def _spans(text: Column, matches: Column, pattern: str, kind: int, keep: Column
         F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("g"), matches.alias("m"), flags.alias("k")),
         lambda x: F.struct(F.length(x["g"]).cast("long").alias("g"), F.length(x["m"]).cast("long").alias("m"), x["k"].alias("k")),
     )
-    n_chunks = F.ceil(F.size(matches) / F.lit(CHUNK)).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda c: F.slice(steps, c * CHUNK + 1, F.lit(CHUNK)))
+    pieces = lambda x: F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / F.lit(CHUNK)).cast("int") - 1), lambda c: F.slice(x, c * CHUNK + 1, F.lit(CHUNK)))
+    #: the steps are bound to a name, so that they are made once and not once per chunk
+    chunks = F.flatten(F.transform(F.array(steps), pieces))
     total = lambda chunk: F.aggregate(chunk, F.lit(0).cast("long"), lambda a, s: a + s["g"] + s["m"])
     empty = F.array().cast(SPAN)
 
@@ -141,27 +147,57 @@ def linked_spans(parts: DataFrame, window: int = WINDOW) -> DataFrame:
     return hit.groupBy("_key").agg(F.collect_set(F.struct("start", "kind", "end")).cast(SPAN).alias("_linked"))
 
 
+def _scanned(docs: DataFrame, text: str, window: int, keep: list[str]) -> DataFrame:
+    """(``_row``, ``_base``, ``_all``): the columns ``keep`` as one struct, strong spans, and all with the linked weak ones.
+
+    Rows without weak parts stay where they are; only the others meet the links.
+    """
+    found = weak_spans(base_spans(docs.select(F.struct(*keep).alias("_row"), F.col(text).alias("_text")), "_text"), "_text")
+    numbered = found.select(F.monotonically_increasing_id().alias("_key"), "_row", F.concat("_assign", "_access", "_hex").alias("_base"), "_weak")
+    rows = materialize(numbered, "secrets-spans")
+    weak = rows.filter(F.size("_weak") > 0)
+    linked = linked_spans(weak.select("_key", F.concat("_base", "_weak").alias("_spans")), window)
+    met = weak.join(linked, "_key", "left").select("_row", "_base", F.concat("_base", F.coalesce("_linked", F.array().cast(SPAN))).alias("_all"))
+    return met.unionByName(rows.filter(F.size("_weak") == 0).select("_row", "_base", F.col("_base").alias("_all")))
+
+
 def scan_secrets(docs: DataFrame, *, text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``base_spans`` and ``all_spans`` arrays.
+    """``docs`` (or its columns ``keep``) with ``base_spans`` and ``all_spans`` arrays."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("base_spans", "all_spans")]
+    found = _scanned(docs, text, window, keep)
+    return found.select("_row.*", F.array_sort("_base").alias("base_spans"), F.array_sort("_all").alias("all_spans"))
+
+
+def without_spans(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with each run of overlapping or touching ``spans`` (sorted) replaced by ``mark``.
 
-    Only texts that hold a weak part and its complement take part in the join.
+    A part of the spans is cut from its own stretch of the text, so a long text
+    is walked once a part, not once a span.
     """
-    keep = docs.columns if keep is None else keep
-    scanned = weak_spans(base_spans(docs.select(*docs.columns, F.struct(*keep).alias("_row")), text), text)
-    rows = scanned.select(
-        "_row",
-        F.struct(F.xxhash64(F.col(text)).alias("h"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("m")).alias("_text"),
-        F.concat("_assign", "_access", "_hex").alias("_base"),
-        "_weak",
-    )
-    #: rows without weak parts get keys that match nothing and spread evenly
-    alone = F.struct(F.xxhash64("_row").alias("h"), F.lit("").alias("m"))
-    rows = rows.withColumn("_key", F.when(F.size("_weak") > 0, F.col("_text")).otherwise(alone)).drop("_text")
-    with_weak = rows.filter(F.size("_weak") > 0).select("_key", F.concat("_base", "_weak").alias("_spans"))
-    linked = linked_spans(with_weak.dropDuplicates(["_key"]), window)
-    return rows.join(linked, "_key", "left").select(
-        "_row.*", F.array_sort("_base").alias("base_spans"), F.array_sort(F.concat("_base", F.coalesce("_linked", F.array().cast(SPAN)))).alias("all_spans")
-    )
+    n_parts = F.ceil(F.size(spans) / F.lit(PART)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n_parts - 1), lambda c: F.slice(spans, c * PART + 1, F.lit(PART)))
+    begun = lambda at: F.greatest(at, F.lit(0).cast("long"))
+    cut = lambda t, a, b: F.substring(t, (a + 1).cast("int"), F.greatest(b - a, F.lit(0).cast("long")).cast("int"))
+
+    def woven(stretch: Column, part: Column, at: Column) -> Column:
+        """What a part leaves of its stretch, which begins at ``at``."""
+        return F.aggregate(
+            part,
+            F.struct(at.alias("at"), F.lit("").alias("out")),
+            lambda a, s: F.struct(
+                F.greatest(a["at"], s["end"]).alias("at"),
+                F.concat(a["out"], cut(stretch, begun(a["at"]) - begun(at), s["start"] - begun(at)), F.when(s["start"] > a["at"], mark).otherwise("")).alias("out"),
+            ),
+            lambda a: a["out"],
+        )
+
+    def step(a: Column, part: Column) -> Column:
+        last = F.greatest(a["at"], F.array_max(F.transform(part, lambda s: s["end"])))
+        stretch = F.transform(F.array(cut(text, begun(a["at"]), last)), lambda t: woven(t, part, a["at"]))
+        return F.struct(last.alias("at"), F.concat(a["out"], stretch).alias("out"))
+
+    start = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(parts, start, step, lambda a: F.concat(F.array_join(a["out"], ""), cut(text, begun(a["at"]), F.length(text).cast("long"))))
 
 
 def redact(docs: DataFrame, *, text: str = "text", length: str | None = None, mark: str = "[secret]", window: int = WINDOW) -> DataFrame:
@@ -169,28 +205,14 @@ def redact(docs: DataFrame, *, text: str = "text", length: str | None = None, ma
 
     ``length`` names a column that holds the text's length in code points.
     """
-    found = scan_secrets(docs, text=text, window=window)
-    empty = F.array().cast("array<struct<s:long,e:long>>")
-    merged = F.aggregate(
-        "all_spans",
-        empty,
-        lambda a, x: F.when(
-            (F.size(a) > 0) & (x["start"] <= F.get(a, F.size(a) - 1)["e"]),
-            F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.get(a, F.size(a) - 1)["s"].alias("s"), F.greatest(F.get(a, F.size(a) - 1)["e"], x["end"]).alias("e")))),
-        ).otherwise(F.concat(a, F.array(F.struct(x["start"].alias("s"), x["end"].alias("e"))))),
-    )
-    t = F.col(text)
-    pieces = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, x: F.struct(x["e"].alias("at"), F.concat(a["out"], F.array(F.substring(t, (a["at"] + 1).cast("int"), (x["s"] - a["at"]).cast("int")), F.lit(mark))).alias("out")),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, (a["at"] + 1).cast("int"), F.length(t))),
-    )
-    cleaned = found.withColumn("_spans", F.when(F.size("all_spans") > 0, merged).otherwise(empty)).withColumn(text, F.when(F.size("_spans") > 0, pieces).otherwise(t))
+    found = _scanned(docs, text, window, docs.columns).withColumn("_all", F.array_sort("_all"))
+    old = F.col("_row").getField(text)
+    dirty = F.size("_all") > 0
+    found = found.withColumn("_new", F.when(dirty, without_spans(old, F.col("_all"), mark)).otherwise(old))
+    changed = {text: F.col("_new")}
     if length is not None:
-        kind = docs.schema[length].dataType
-        cleaned = cleaned.withColumn(length, F.when(F.size("_spans") > 0, F.length(text).cast(kind)).otherwise(F.col(length)))
-    return cleaned.select(*docs.columns)
+        changed[length] = F.when(dirty, F.length("_new").cast(docs.schema[length].dataType)).otherwise(F.col("_row").getField(length))
+    return found.select(*(changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op6_scan_secrets(spark, sf_dir):

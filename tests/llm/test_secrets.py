@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from folioframe.llm import secrets as S
 from folioframe.session import table
@@ -70,10 +72,12 @@ def test_redaction_and_query(spark):
 
 
 def test_empty_and_clashing_columns(spark):
-    docs = spark.createDataFrame([], DOCS + ", start long, kind string, _weak int")
+    docs = spark.createDataFrame([], DOCS + ", start long, kind string, _weak int, _row int, _key string, base_spans int")
     assert S.scan_secrets(docs).count() == 0 and S.redact(docs).columns == docs.columns
-    one = spark.createDataFrame([(1, "username: alice Zx9" + "aB3d" * 10, "x", "s", 1, 7, "k", 3)], docs.schema)
+    one = spark.createDataFrame([(1, "username: alice Zx9" + "aB3d" * 10, "x", "s", 1, 7, "k", 3, 4, "y", 5)], docs.schema)
     assert S.scan_secrets(one, keep=["doc_id", "start", "kind"]).first().kind == "k"
+    got = S.scan_secrets(one).first()
+    assert (got._row, got._key, len(got.all_spans)) == (4, "y", 2) and S.redact(one).first().base_spans == 5
 
 
 def test_opaque_values_after_any_name(spark):
@@ -91,3 +95,53 @@ def test_opaque_values_after_any_name(spark):
     for r in S.scan_secrets(docs).collect():
         assert any(s.kind == 4 and hidden[r.doc_id] in r.text[s.start : s.end] for s in r.all_spans) if r.doc_id in hidden else not r.all_spans
     assert all(hidden.get(r.doc_id, "\0") not in r.text for r in S.redact(docs).collect())
+
+
+WEAK = [(3, S.LOGIN), (4, S.STRONG_LOOKING), (5, S.ENDPOINT)]
+
+
+def brute_linked(text, window):
+    """All spans by comparing every weak part with every other part."""
+    base = brute(text)
+    weak = sorted((m.start(), k, m.end()) for k, p in WEAK for m in re.finditer(p, text or ""))
+    role = ("secret", "name", "secret", "name", "secret", "place")
+    meets = lambda a, b: (role[a[1]] == "secret") != (role[b[1]] == "secret") and b[0] <= a[2] + window and a[0] <= b[2] + window
+    return sorted({*base, *(a for a in weak if any(meets(a, b) for b in base + weak))})
+
+
+def brute_redacted(text, spans):
+    out, at = [], -1
+    for s, _, e in spans:
+        if s > at:
+            out += [text[max(at, 0) : s], "[secret]"]
+        at = max(at, e)
+    return "".join(out) + text[max(at, 0) :]
+
+
+def some_texts(n, seed):
+    r = random.Random(seed)
+    parts = ["username: alice", "user=\U0001f600", "login:bob99", "client_id=ab-c", "https://svc.example:80/x?y=é", "redis://h", "token=abcdef", "AKIA" + "B" * 17, "f" * 30,
+             "Zx9" + "aB3d" * 10, "password: 'hunter22'", "é" * 7, " ", "\n", "word " * 5, "word " * 30, "\U0001f600", "-" * 90]
+    return [r.choice(("", " ")).join(r.choice(parts) for _ in range(r.randrange(1, 60))) for _ in range(n)]
+
+
+def test_links_and_redaction_match_brute_force(spark):
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(some_texts(400, 7))] + [(0, "username: alice " + "Zx9" + "aB3d" * 10, "en", "s", 1)] * 50
+    docs = spark.createDataFrame(rows, DOCS)
+    linked = 0
+    for r in S.scan_secrets(docs).collect():
+        want = brute_linked(r.text, S.WINDOW)
+        assert [tuple(s) for s in r.all_spans] == want, r.text
+        linked += sum(k >= 3 for _, k, _ in want)
+    assert linked > 500
+    want = sorted(brute_redacted(t, brute_linked(t, S.WINDOW)) for _, t, *_ in rows)
+    got = S.redact(docs, length="n_chars").collect()
+    assert sorted(r.text for r in got) == want and all(r.n_chars == len(r.text) or r.n_chars == 1 for r in got)
+
+
+def test_long_texts_are_linear(spark):
+    text = "é token=abcdef0 " * 60_000
+    docs = spark.createDataFrame([(1, text, "en", "s", 1)], DOCS)
+    began = time.perf_counter()
+    assert S.redact(docs).first().text == "é [secret] " * 60_000
+    assert time.perf_counter() - began < 60
