@@ -1,141 +1,14 @@
-"""Text normalisation: numbers in words, abbreviations, lexicons, Markdown and wiki markup."""
+"""Text normalisation: lexicons, abbreviations and numbers in words; numbers and markup are read in their own modules."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from functools import lru_cache
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-_TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
-_MONTHS = "January February March April May June July August September October November December".split()
-_ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
-
-
-def _small(n: int) -> str:
-    """Words of a number below a thousand."""
-    if n >= 100:
-        return f"{_ONES[n // 100]} hundred" + (f" {_small(n % 100)}" if n % 100 else "")
-    if n >= 20:
-        return _TENS[n // 10] + (f"-{_ONES[n % 10]}" if n % 10 else "")
-    return _ONES[n]
-
-
-def int_words(n: int) -> str:
-    """Words of an integer from 0 to a quadrillion; digits beyond."""
-    if n >= 10**15:
-        return str(n)
-    parts = [f"{_small(n // u % 1000)} {name}" for u, name in ((10**12, "trillion"), (10**9, "billion"), (10**6, "million"), (10**3, "thousand")) if n // u % 1000]
-    if n % 1000 or not parts:
-        parts.append(_small(n % 1000))
-    return " ".join(parts)
-
-
-def year_words(n: int) -> str:
-    """A year as it is read: nineteen eighty-four, twenty oh five, two thousand."""
-    century, rest = divmod(n, 100)
-    if not 100 <= n <= 2999 or n % 1000 == 0:
-        return int_words(n)
-    return f"{int_words(century)} " + ("hundred" if not rest else f"oh {int_words(rest)}" if rest < 10 else int_words(rest))
-
-
-def ordinal_words(n: int) -> str:
-    """first, twenty-second, one hundredth."""
-    head, last = re.fullmatch("(.*?)([a-z]+|[0-9]+)", int_words(n)).groups()
-    return head + (_ORDINALS.get(last) or (last[:-1] + "ieth" if last.endswith("y") else last + "th"))
-
-
-#: Numbers in text, the more specific kinds first; one pass reads them all.
-ISO, US = r"\b\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\b", r"\b(?:0?[1-9]|1[0-2])/(?:0?[1-9]|[12]\d|3[01])/\d{4}\b"
-TIME, MONEY = r"\b(?:[01]?\d|2[0-3]):[0-5]\d(?::\d\d)?(?:\s*[AaPp][Mm])?", r"[$£€]\d[\d,]*\.?(?:\d{2})?"
-PERCENT, ORDINAL, GROUPED = r"\b\d+(?:\.\d+)?%", r"\b\d+(?:[sS][tT]|[nN][dD]|[rR][dD]|[tT][hH])\b", r"\b\d{1,3}(?:,\d{3})+\b"
-DECIMAL, PLAIN = r"(?<![\d/\-])\b\d+\.\d+\b(?![-/\d])", r"(?<!\.)\b\d{4,}\b(?!\.)"
-KINDS = (("iso_date", ISO), ("us_date", US), ("time", TIME), ("money", MONEY), ("percent", PERCENT), ("ordinal", ORDINAL), ("grouped", GROUPED), ("decimal", DECIMAL), ("plain", PLAIN))
-ANY_NUMBER = "|".join(f"(?:{p})" for _, p in KINDS)
-
-
-_COMPILED = {name: re.compile(p, re.A) for name, p in KINDS}
-_ANY = re.compile(ANY_NUMBER, re.A)
-
-
-def number_kind(literal: str) -> str:
-    """Which kind of number a match is."""
-    return next((name for name, p in _COMPILED.items() if p.fullmatch(literal)), "plain")
-
-
-def _decimal(text: str) -> str:
-    whole, _, part = text.partition(".")
-    return int_words(int(whole)) + (" point " + " ".join(_ONES[int(d)] for d in part) if part else "")
-
-
-def _date(month: str, day: str, year: str) -> str:
-    return f"{_MONTHS[int(month) - 1]} {ordinal_words(int(day))}, {year_words(int(year))}"
-
-
-def _time(text: str) -> str:
-    h, mi = map(int, re.match(r"(\d+):(\d+)", text).groups())
-    said = text[-2:].upper() if text[-1] in "mM" else ""
-    if not said and mi == 0 and h in (0, 12):
-        return "noon" if h else "midnight"
-    period = said or ("AM" if h < 12 else "PM")
-    hour = h if said == "PM" and h < 12 else (h % 12 or 12) if said == "AM" else h if h <= 12 else h - 12
-    return " ".join([int_words(hour), *([int_words(mi)] if mi else []), period])
-
-
-def _money(text: str) -> str:
-    major, minor = {"$": ("dollar", "cent"), "£": ("pound", "penny"), "€": ("euro", "cent")}[text[0]]
-    whole, cents = re.fullmatch(r".(\d[\d,]*)\.?(\d{2})?", text).groups()
-    counted = [(int(whole.replace(",", "")), major), (int(cents or 0), minor)]
-    return " and ".join(f"{int_words(n)} {name}{'' if n == 1 else 's'}" for n, name in counted if n) or f"zero {major}s"
-
+from folioframe.functions.markup import strip_markdown, wiki_rule_hits, wiki_to_markdown
+from folioframe.functions.numbers import number_table, say_number, verbalize_numbers
 
-@lru_cache(maxsize=1 << 16)
-def say_number(literal: str) -> str:
-    """A matched number in words."""
-    kind = number_kind(literal)
-    if kind == "iso_date":
-        year, month, day = literal.split("-")
-        return _date(month, day, year)
-    if kind == "us_date":
-        return _date(*literal.split("/"))
-    if kind in ("time", "money"):
-        return (_time if kind == "time" else _money)(literal)
-    if kind in ("percent", "decimal"):
-        return _decimal(literal.rstrip("%")) + (" percent" if kind == "percent" else "")
-    n = int(re.sub("[^0-9]", "", literal))
-    if kind == "ordinal":
-        return ordinal_words(n)
-    return year_words(n) if kind == "plain" and 1000 <= n <= 2099 else int_words(n)
-
-
-def verbalize_numbers(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Texts with their numbers in words; texts without digits stay in the JVM."""
-
-
-    @F.pandas_udf("string")
-    def said(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _ANY.sub(lambda m: say_number(m[0]), t))
-
-    digits = F.col(text).rlike("[0-9]")
-    return docs.withColumn(text, F.when(digits, said(F.when(digits, F.col(text)))).otherwise(F.col(text)))
-
-
-def number_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(``literal``, ``count``, ``kind``, ``words``): every distinct number of a corpus, said once."""
-    found = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(ANY_NUMBER), F.lit(0))).alias("literal"))
-    counts = found.groupBy("literal").agg(F.count(F.lit(1)).alias("count"))
-
-    def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            literals = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(number_kind, literals), pa.string()), pa.array(map(say_number, literals), pa.string())], ["literal", "count", "kind", "words"])
-
-    return counts.mapInArrow(say, "literal string, count long, kind string, words string")
+__all__ = ["apply_lexicon", "expand_abbreviations", "normalize_corpus", "number_table", "say_number", "strip_markdown", "verbalize_numbers", "wiki_rule_hits", "wiki_to_markdown"]
 
 
 def _quoted(term: str) -> str:
@@ -146,14 +19,14 @@ def expand_abbreviations(text: Column, builtin: dict[str, str], custom: dict[str
     """Abbreviations written out: custom ones before built-in ones, the longest first."""
     for table in (custom or {}, builtin):
         for short in sorted(table, key=lambda k: (-len(k), k)):
-            text = F.regexp_replace(text, rf"(?<!\w){_quoted(short)}(?!\w)", table[short].replace("\\", "\\\\").replace("$", "\\$"))
+            text = F.regexp_replace(text, rf"(?U)(?<!\w){_quoted(short)}(?!\w)", table[short].replace("\\", "\\\\").replace("$", "\\$"))
     return text
 
 
 def apply_lexicon(text: Column, lexicon: dict[str, str]) -> Column:
     """Whole words replaced by their spoken form, whatever their case."""
     for word in sorted(lexicon, key=lambda k: (-len(k), k)):
-        text = F.regexp_replace(text, rf"(?i)(?<!\w){_quoted(word)}(?!\w)", lexicon[word].replace("\\", "\\\\").replace("$", "\\$"))
+        text = F.regexp_replace(text, rf"(?iU)(?<!\w){_quoted(word)}(?!\w)", lexicon[word].replace("\\", "\\\\").replace("$", "\\$"))
     return text
 
 
@@ -167,67 +40,3 @@ def normalize_corpus(docs: DataFrame, *, lexicon: dict[str, str] | None = None,
     if numbers:
         before = verbalize_numbers(before, text)
     return before.withColumn("changed", ~F.col(text).eqNullSafe(F.col("_before"))).drop("_before")
-
-
-def _apply(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    for pattern, new in rules:
-        text = F.regexp_replace(text, pattern, new)
-    return text
-
-
-#: Markdown taken off, in order; code goes before inline marks, lists before indented code.
-MARKDOWN_LISTS = ((r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"(?m)^[ \t]*\d+[.)][ \t]+", ""))
-MARKDOWN_CODE_DROPPED = ((r"```[\s\S]*?```", ""), (r"~~~[\s\S]*?~~~", ""), (r"(?m)^    .+$", ""))
-MARKDOWN_CODE_KEPT = ((r"```\w*\n?", ""),)
-MARKDOWN_MARKS = (
-    (r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^(?:\*{3,}|-{3,}|_{3,})[ \t]*$", ""), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"`+(.+?)`+", "$1"),
-    (r"\*{3}(.+?)\*{3}", "$1"), (r"_{3}(.+?)_{3}", "$1"), (r"\*{2}(.+?)\*{2}", "$1"), (r"_{2}(.+?)_{2}", "$1"), (r"\*([^*\n]+?)\*", "$1"), (r"_([^_\n]+?)_", "$1"), (r"(?m)^(?:>[ \t]?)+", ""),
-)
-MARKDOWN_SPACE = ((r"\n{3,}", "\n\n"), (r"(?<!\n)\n(?!\n)", " "), (r"^\s+|\s+$", ""))
-
-
-def strip_markdown(text: Column, *, skip_code: bool = True) -> Column:
-    """Plain text of Markdown; a table's cells become sentences."""
-    text = _apply(text, MARKDOWN_LISTS + (MARKDOWN_CODE_DROPPED if skip_code else MARKDOWN_CODE_KEPT) + MARKDOWN_MARKS)
-    text = _apply(text, ((r"(?m)^\|?[ \t]*:?-{3,}[-:| \t]*$\n?", ""), (r"(?m)^[ \t]*\|[ \t]*|[ \t]*\|[ \t]*$", ""), (r"[ \t]*\|[ \t]*", ". ")))
-    return _apply(text, MARKDOWN_SPACE)
-
-
-#: Line rules of each dialect, in order: pattern and replacement.
-WIKI = {
-    "mediawiki": (
-        *((rf"^={{{n}}}\s*([^=].*?)\s*={{{n}}}\s*$", "#" * max(1, n - 1) + " $1") for n in range(6, 1, -1)),
-        (r"\{\{[^}]+\}\}", ""), (r"(?i)\[\[(?:File|Image|Media):[^\]]*\]\]", ""), (r"\[\[([^|\]]+)\|([^\]]+)\]\]", "$2"), (r"\[\[([^\]]+)\]\]", "$1"),
-        (r"\[https?://\S+\s+([^\]]+)\]", "$1"), (r"\[https?://\S+\]", ""), (r"'''(.+?)'''", "**$1**"), (r"''(.+?)''", "*$1*"), (r"^!\s*", "| "), (r"^\|\|", "|"),
-    ),
-    "creole": (
-        *((rf"^={{{n}}}\s*([^=].*?)\s*=*\s*$", "#" * n + " $1") for n in range(6, 0, -1)),
-        (r"^\s*-{4,}\s*$", "---"), (r"\{\{\{(.+?)\}\}\}", "`$1`"), (r"(?<!:)//(.+?)(?<!:)//", "*$1*"), (r"\[\[([^|\]]+)\|([^\]]+)\]\]", "[$2]($1)"), (r"\[\[([^\]]+)\]\]", "[$1]($1)"),
-        (r"\{\{([^|}]+)\|([^}]+)\}\}", "![$2]($1)"), (r"\{\{([^}]+)\}\}", "![]($1)"), (r"^#\s+", "1. "),
-    ),
-    "textile": (
-        (r"^#{1,3} ", "1. "), *((rf"^h{n}\. (.+)$", "#" * n + " $1") for n in range(1, 7)), (r"^bq\. ", "> "), (r"^p\. ", ""),
-        (r"\*\*(.+?)\*\*", "\x01$1\x01"), (r"(?<!^)\*(?!\*)(.+?)\*|^\*(?![* ])(.+?)\*", "**$1$2**"), ("\x01", "**"), (r"__(.+?)__", "*$1*"), (r"_(?!_)(.+?)_", "*$1*"), (r"@(.+?)@", "`$1`"), (r'"([^"]+)":(https?://\S+)', "[$1]($2)"), (r"^\*{1,3} ", "* "),
-    ),
-}
-#: Lines that a dialect drops.
-WIKI_DROPPED = {"mediawiki": r"^(?:\{\||\|\}|\|\+|\|-)", "creole": None, "textile": None}
-
-
-def wiki_to_markdown(docs: DataFrame, dialect: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts of a wiki dialect as Markdown, line by line."""
-    from folioframe.operators.shaping import joined, lines_of
-
-    lines = lines_of(docs, key, text)
-    if WIKI_DROPPED[dialect]:
-        lines = lines.filter(~F.col("line").rlike(WIKI_DROPPED[dialect]))
-    return joined(lines.withColumn("line", _apply(F.col("line"), WIKI[dialect])), [key], "n", "line", text)
-
-
-def wiki_rule_hits(docs: DataFrame, dialect: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``rule``, ``hits``): how many lines each rule of a dialect changes."""
-    from folioframe.operators.shaping import lines_of
-
-    lines = lines_of(docs, key, text)
-    rules = F.array(*[F.when(F.col("line").rlike(p), F.lit(i)) for i, (p, _) in enumerate(WIKI[dialect])])
-    return lines.select(F.explode(F.array_compact(rules)).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("hits"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,6 +12,28 @@ from pyspark.sql import functions as F
 SENTENCE_GAP = r"(?<=[.!?…])\s+(?=[A-Z\"“‘(])|(?<=[.!?…])\s*\n|\n{2,}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it (in lambdas too)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fold_cuts(units: Column, start: Column, step: Callable[[Column, Column], Column], cut: Callable[[Column, Column], Column], mark: Callable[[Column], Column], kind: str, part: int = 512) -> Column:
+    """A fold over an array that notes places: struct ``cuts`` (an array of ``kind``) and ``last`` (the final state).
+
+    ``mark`` of the state is noted before each unit that ``cut`` holds for. Notes
+    are kept per part of the units, as appending to one array copies it.
+    """
+    n_parts = F.greatest(F.ceil(F.size(units) / part).cast("int"), F.lit(1))
+    parts = F.transform(F.sequence(F.lit(0), n_parts - 1), lambda k: F.slice(units, k * part + 1, F.lit(part)))
+    none = F.array().cast(f"array<{kind}>")
+    note = lambda a, u: F.when(cut(a["s"], u), F.concat(a["c"], F.array(mark(a["s"])))).otherwise(a["c"])
+    inside = lambda s, us: F.aggregate(us, F.struct(s.alias("s"), none.alias("c")), lambda a, u: F.struct(step(a["s"], u).alias("s"), note(a, u).alias("c")))
+    begin = F.struct(start.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("c"))
+    return F.aggregate(
+        parts, begin, lambda a, us: let(inside(a["s"], us), lambda r: F.struct(r["s"].alias("s"), F.concat(a["c"], F.array(r["c"])).alias("c"))), lambda a: F.struct(F.flatten(a["c"]).alias("cuts"), a["s"].alias("last"))
+    )
+
+
 def count_of(text: Column, needle: str) -> Column:
     """Non-overlapping occurrences of a non-empty literal."""
     return F.when(F.length(text) > 0, ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("long")).otherwise(F.lit(0).cast("long"))

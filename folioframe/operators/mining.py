@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,18 +10,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.functions.text import sentences
+from folioframe.functions.text import let, sentences
 
+#: A name is two to four capitalised words.
 CAP_PHRASE = r"\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){1,3})\b"
-NUMBER = r"\b\d[\d,]*(?:\.\d+)?%?"
-PROPER = r"\b[A-Z][\w'-]*(?:\s+[A-Z][\w'-]*)*"
 #: Patterns of the two domains and their labels.
 DOMAINS = {
-    "legal": (("\\bSection\\s+\\d+\\w*", "LAW"), ("\\bArticle\\s+\\d+\\w*", "LAW"), ("\\bAct\\s+of\\s+\\d{4}", "LAW"), ("§\\s*\\d+\\w*", "LAW")),
-    "medical": (("\\b[A-Z]{2,5}\\b", "DRUG"), ("\\b[a-zA-Z]{3,}(?:mab|ine|ase|cillin|olol|pril|sartan)\\b", "DRUG")),
+    "legal": [(r"\bSection\s+\d+\w*", "LAW"), (r"\bArticle\s+\d+\w*", "LAW"), (r"\bAct\s+of\s+\d{4}", "LAW"), (r"§\s*\d+\w*", "LAW")],
+    "medical": [(r"\b[A-Z]{2,5}\b", "DRUG"), (r"\b[a-zA-Z]{3,}(?:mab|ine|ase|cillin|olol|pril|sartan)\b", "DRUG")],
+}
+#: Small words inside names.
+PARTICLES = "of the and de von van".split()
+NUMBER = r"\b\d[\d,]*(?:\.\d+)?%?"
+PROPER = rf"(?U)\b[A-Z][\w'-]*(?:\s+(?:(?:{'|'.join(PARTICLES)})\s+)?[A-Z][\w'-]*)*"
+LETTERS = r"\p{L}[\p{L}\p{M}]*(?:[-'][\p{L}\p{M}]+)*"
+#: English function words by class; one that opens a sentence is no name.
+FUNCTION_WORDS = {
+    "determiners": "a all an another any both each either every few many most much neither no several some such that the these this those what which",
+    "pronouns": "he her hers him his i it its me mine my one our ours she their theirs them they us we who whose you your yours",
+    "prepositions": "about above across after against along among around at before behind below beneath beside between beyond by despite down during except for from in inside into near of off on onto out outside over past since through throughout till to toward under until up upon with within without",
+    "conjunctions": "although and as because but if lest nor once or provided so than though unless when whenever where whereas wherever whether while yet",
+    "adverbs": "afterwards again also always besides even finally first furthermore hence here how however indeed instead later meanwhile moreover never nevertheless next not now often only otherwise perhaps rather sometimes soon still then there thereafter therefore thus today too very why",
+    "verbs": "are be been being can could did do does had has have is may might must shall should was were will would",
 }
-#: Words that open a sentence and are no names.
-OPENERS = ("The", "A", "An", "This", "That", "These", "Those", "It", "He", "She", "They", "We", "You", "I", "In", "On", "At", "For", "And", "But", "Or", "As", "If", "So", "To", "Of", "By", "When", "While", "Because", "There", "Here", "Then", "Thus", "However", "Therefore")
+OPENERS = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
 #: The order in which a word's parts of speech are listed.
 PARTS = ("noun", "verb", "adjective", "adverb")
 
@@ -74,14 +85,17 @@ def spans_of(docs: DataFrame, pattern: str, label: str, key: str = "doc_id", tex
     return rows.withColumn("end", end).select(key, "i", "gap", F.col("_m").alias("text"), F.lit(label).alias("label"), (F.col("end") - F.length("_m")).alias("start"), "end")
 
 
-def concept_spans(docs: DataFrame, domain: str = "", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Names of two to four capitalised words that open no sentence, and a domain's terms, with their places."""
-    caps = spans_of(docs, CAP_PHRASE, "CONCEPT", key, text)
+def concept_spans(docs: DataFrame, domain: str = "", key: str = "doc_id", text: str = "text", terms: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Names of two to four capitalised words that open no sentence, and a domain's terms, with their places.
+
+    ``terms`` are (pattern, label) pairs to use instead of the domain's.
+    """
+    caps = spans_of(docs, "(?U)" + CAP_PHRASE, "CONCEPT", key, text)
     before = F.regexp_replace("gap", r"[ \t]+$", "")
     opens = ((F.col("i") == 0) & (before == "")) | before.rlike(r"[.!?\n]$")
     out = caps.filter(~opens).drop("i", "gap")
-    for pattern, label in DOMAINS.get(domain, ()):
-        out = out.unionByName(spans_of(docs, pattern, label, key, text).drop("i", "gap"))
+    for pattern, label in DOMAINS.get(domain, []) if terms is None else terms:
+        out = out.unionByName(spans_of(docs, "(?U)" + pattern, label, key, text).drop("i", "gap"))
     return out
 
 
@@ -104,18 +118,24 @@ def suggest_links(concepts: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def cloze_candidates(sentence: Column, rare: Column | None = None, most: int = 3) -> Column:
-    """Up to ``most`` terms to blank: names, then numbers, then rare words, in text order."""
-    phrases = F.transform(
-        F.regexp_extract_all(sentence, F.lit(PROPER), F.lit(0)),
-        lambda p: F.when(F.element_at(F.split(p, r"\s+"), 1).isin(*OPENERS), F.regexp_replace(p, r"^\S+\s*", "")).otherwise(p),
-    )
-    terms = F.concat(phrases, F.regexp_extract_all(sentence, F.lit(NUMBER), F.lit(0)))
-    if rare is not None:
-        terms = F.concat(terms, rare)
-    terms = F.filter(terms, lambda t: F.length(t) > 1)
-    first = F.filter(terms, lambda t, i: ~F.exists(F.slice(terms, 1, i), lambda u: F.lower(u) == F.lower(t)))
-    kept = F.slice(first, 1, most)
-    return F.transform(F.array_sort(F.transform(kept, lambda t: F.struct(F.instr(sentence, t).alias("at"), t.alias("t")))), lambda x: x["t"])
+    """Up to ``most`` terms to blank, in text order: the first names and numbers, then the rarest words if these are too few."""
+    opener = lambda p: F.lower(F.element_at(F.split(p, r"\s+"), 1)).isin(*sorted(OPENERS))
+    names = F.transform(F.regexp_extract_all(sentence, F.lit(PROPER), F.lit(0)), lambda p: F.when(opener(p), F.regexp_replace(p, r"^\S+\s*", "")).otherwise(p))
+    numbers = F.regexp_extract_all(sentence, F.lit(NUMBER), F.lit(0))
+    once = lambda terms: F.filter(terms, lambda t, i: (F.length(t) > 1) & ~F.exists(F.slice(terms, 1, i), lambda u: F.lower(u) == F.lower(t)))
+    placed = lambda terms: F.transform(F.array_sort(F.transform(terms, lambda t: F.struct(F.instr(sentence, t).alias("at"), t.alias("t")))), lambda x: x["t"])
+    facts = let(F.concat(names, numbers), lambda t: F.slice(placed(once(t)), 1, most))
+    if rare is None:
+        return facts
+    return placed(let(F.concat(facts, F.coalesce(rare, F.array().cast("array<string>"))), lambda t: F.slice(once(t), 1, most)))
+
+
+def rare_words(sentences_: DataFrame, frequencies: DataFrame, keys: list[str], sentence: str, *, most: int = 3, least: int = 4, threshold: float = 4.5) -> DataFrame:
+    """(keys, ``rare``): the rarest words of each sentence that the frequency table (``word``, ``zipf``) knows."""
+    words = F.array_distinct(F.filter(F.regexp_extract_all(sentence, F.lit(LETTERS), F.lit(0)), lambda w: F.length(w) >= least))
+    rows = sentences_.select(*keys, F.posexplode(words).alias("_at", "_w")).withColumn("word", F.lower("_w"))
+    found = rows.join(frequencies.filter((F.col("zipf") > 0) & (F.col("zipf") < threshold)).select("word", "zipf"), "word")
+    return found.groupBy(*keys).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("zipf", "_at", "_w"))), 1, 2 * most), lambda x: x["_w"]).alias("rare"))
 
 
 def blanked(sentence: Column, term: Column, mark: Column) -> Column:
@@ -124,13 +144,16 @@ def blanked(sentence: Column, term: Column, mark: Column) -> Column:
     return F.when(F.regexp_like(sentence, quoted), F.concat(F.call_function("regexp_extract", sentence, quoted, F.lit(1)), mark, F.call_function("regexp_extract", sentence, quoted, F.lit(2)))).otherwise(sentence)
 
 
-def cloze_cards(docs: DataFrame, *, most: int = 3, numbered: bool = False, key: str = "doc_id", text: str = "text", note: str | None = None) -> DataFrame:
+def cloze_cards(docs: DataFrame, *, most: int = 3, numbered: bool = False, key: str = "doc_id", text: str = "text", note: str | None = None, frequencies: DataFrame | None = None) -> DataFrame:
     """(key, ``n``, ``front``, ``back``, ``terms``): one card per sentence with something to blank.
 
-    ``numbered`` marks blanks as ``{{cN::term}}``.
+    ``numbered`` marks blanks as ``{{cN::term}}``. With a frequency table
+    (``word``, ``zipf``), rare words fill up the terms.
     """
     rows = docs.select(key, F.col(note).alias("_note") if note else F.lit(None).cast("string").alias("_note"), F.posexplode(sentences(F.col(text))).alias("n", "_s"))
-    rows = rows.withColumn("terms", cloze_candidates(F.col("_s"), None, most)).filter(F.size("terms") > 0)
+    if frequencies is not None:
+        rows = rows.join(rare_words(rows, frequencies, [key, "n"], "_s", most=most), [key, "n"], "left")
+    rows = rows.withColumn("terms", cloze_candidates(F.col("_s"), F.col("rare") if frequencies is not None else None, most)).filter(F.size("terms") > 0)
     mark = (lambda t, i: F.concat(F.lit("{{c"), i.cast("string"), F.lit("::"), t, F.lit("}}"))) if numbered else (lambda t, i: F.lit("_____"))
     numbered_terms = F.transform("terms", lambda t, i: F.struct(t.alias("t"), (i + 1).alias("i")))
     front = F.aggregate(numbered_terms, F.col("_s"), lambda a, x: blanked(a, x["t"], mark(x["t"], x["i"])))
@@ -141,42 +164,69 @@ def cloze_cards(docs: DataFrame, *, most: int = 3, numbered: bool = False, key:
 _GAP = re.compile(r"(?<=[.!?…])\s+(?=[A-Z\"“‘(])|(?<=[.!?…])\s*\n|\n{2,}")
 
 
-def lexrank(parts: list[str], threshold: float = 0.1, damping: float = 0.85, rounds: int = 100) -> np.ndarray:
-    """Centrality of sentences: a random walk over pairs whose tf-idf vectors are alike (Erkan and Radev, 2004).
+def sentence_links(parts: list[str], threshold: float, cells: int = 1 << 22) -> list[np.ndarray]:
+    """Rows of the matrix of linked sentences, in blocks of about ``cells`` cells; blocks of large matrices are packed bits.
 
-    Similarities are computed in blocks of rows, so memory grows with the links.
+    Similarities are products of dense blocks over the words that a block shares
+    with other sentences; a word of one sentence links it to itself alone.
     """
-    bags = [Counter(re.findall(r"\w+", s.lower())) for s in parts]
     n = len(parts)
-    seen = Counter(w for b in bags for w in b)
-    place = {w: i for i, w in enumerate(seen)}
-    idf = np.array([np.log(n / seen[w]) + 1.0 for w in place])
-    rows = [(np.array([place[w] for w in b], int), np.array(list(b.values()), float)) for b in bags]
-    vectors = [(p, c * idf[p] / max(1e-12, np.sqrt(((c * idf[p]) ** 2).sum()))) for p, c in rows]
-    posts: list[list[int]] = [[] for _ in place]
-    weights: list[list[float]] = [[] for _ in place]
-    for i, (p, v) in enumerate(vectors):
-        for k, x in zip(p.tolist(), v.tolist(), strict=True):
-            posts[k].append(i)
-            weights[k].append(x)
-    post = [(np.array(a, int), np.array(b)) for a, b in zip(posts, weights, strict=True)]
-    links = []
-    for p, v in vectors:
-        s = np.zeros(n)
-        for k, x in zip(p.tolist(), v.tolist(), strict=True):
-            s[post[k][0]] += x * post[k][1]
-        links.append(np.flatnonzero(s >= threshold))
+    numbers: dict[str, int] = {}
+    words = [np.array([numbers.setdefault(w, len(numbers)) for w in re.findall(r"\w+", s.lower())], np.int64) for s in parts]
+    row = np.repeat(np.arange(n), [len(w) for w in words])
+    place, count = np.unique(row * max(1, len(numbers)) + np.concatenate(words), return_counts=True)
+    row, word = np.divmod(place, max(1, len(numbers)))
+    seen = np.bincount(word, minlength=len(numbers))
+    value = count * (np.log(n / seen[word]) + 1.0)
+    value /= np.sqrt(np.bincount(row, value**2, minlength=n))[row]
+    shared = seen[word] > 1
+    row, word, value = row[shared], word[shared], value[shared]
+    block, found = max(1, min(n, cells // n)), []
+    at = np.searchsorted(row, np.arange(0, n + block, block))
+    filled = np.array([len(w) > 0 for w in words])
+    column = np.full(len(numbers), -1)
+    for i in range(len(at) - 1):
+        here = slice(at[i], at[i + 1])
+        mine, local = np.unique(word[here], return_inverse=True)
+        column[mine] = np.arange(len(mine))
+        height = min(block, n - i * block)
+        left = np.zeros((height, len(mine)), np.float32)
+        left[row[here] - i * block, local] = value[here]
+        linked = np.zeros((height, n), bool)
+        for j in range(len(at) - 1):
+            there = slice(at[j], at[j + 1])
+            known = column[word[there]] >= 0
+            right = np.zeros((min(block, n - j * block), len(mine)), np.float32)
+            right[row[there][known] - j * block, column[word[there][known]]] = value[there][known]
+            linked[:, j * block : j * block + len(right)] = left @ right.T >= threshold
+        column[mine] = -1
+        own = np.arange(height)
+        linked[own, own + i * block] = filled[own + i * block]
+        found.append(linked if n * n <= cells else np.packbits(linked, axis=1))
+    return found
+
+
+def lexrank(parts: list[str], threshold: float = 0.1, damping: float = 0.85, rounds: int = 100) -> np.ndarray:
+    """Centrality of sentences: a random walk over pairs whose tf-idf vectors are alike (Erkan and Radev, 2004)."""
+    n = len(parts)
+    if not n:
+        return np.empty(0)
+    blocks = sentence_links(parts, threshold)
+    whole = lambda b: b if b.dtype == bool else np.unpackbits(b, axis=1, count=n)
+    if len(blocks) == 1:
+        blocks = [whole(blocks[0]).astype(np.float64)]
+        whole = lambda b: b
+    degree = np.maximum(1, np.concatenate([whole(b).sum(axis=1) for b in blocks]))
     score = np.full(n, 1.0 / n)
-    degree = np.array([max(1, len(x)) for x in links], float)
-    source = np.concatenate(links) if n else np.empty(0, int)
-    target = np.repeat(np.arange(n), [len(x) for x in links])
     for _ in range(rounds):
-        new = (1 - damping) / n + damping * np.bincount(target, (score / degree)[source], minlength=n)
+        share = score / degree
+        new = (1 - damping) / n + damping * np.concatenate([whole(b) @ share for b in blocks])
         new /= new.sum()
-        if np.abs(new - score).max() < 1e-9:
-            break
+        done = np.abs(new - score).max() < 1e-9
         score = new
-    return new if n else score
+        if done:
+            break
+    return score
 
 
 def summarize(docs: DataFrame, *, n: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,15 +247,45 @@ def summarize(docs: DataFrame, *, n: int = 7, key: str = "doc_id", text: str = "
     return rows.mapInArrow(run, rows.select(key).schema.add("summary", "string"))
 
 
-def align_tokens(docs: DataFrame, *, key: str = "doc_id", spoken: str = "spoken", rendered: str = "rendered", chunk: int = 2000) -> DataFrame:
-    """(key, ``idx``, ``offset``): for each spoken word the place of the rendered word it stands for.
+def matched_places(spoken: list[str], shown: list[str], chunk: int, pad: int) -> list[int | None]:
+    """For each spoken word the place of the shown word it was matched with, if any.
 
-    Documents whose word lists are equal are matched by position in the JVM;
-    only the others go to Python. Unmatched words take the next matched place,
-    at the end the last, else 0.
+    Stretches of both sides are aligned one after the other, each from where the
+    last match ended; where a stretch has no word in common, both sides move on
+    by half a stretch.
     """
     from difflib import SequenceMatcher
 
+    found: list[int | None] = [None] * len(spoken)
+    s = r = 0
+    while s < len(spoken) and r < len(shown):
+        a, b = spoken[s : s + chunk], shown[r : r + chunk + pad]
+        runs = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()[:-1]
+        if runs:
+            for run in runs:
+                found[s + run.a : s + run.a + run.size] = range(r + run.b, r + run.b + run.size)
+            s, r = s + runs[-1].a + runs[-1].size, r + runs[-1].b + runs[-1].size
+        else:
+            s, r = s + max(1, chunk // 2), r + max(1, chunk // 2)
+    return found
+
+
+def filled_places(found: list[int | None]) -> list[int]:
+    """Words without a match take the next one's place, at the end the last one's, else 0."""
+    out, ahead = [0] * len(found), None
+    tail = max((f for f in found if f is not None), default=0)
+    for i in range(len(found) - 1, -1, -1):
+        ahead = found[i] if found[i] is not None else ahead
+        out[i] = tail if ahead is None else ahead
+    return out
+
+
+def align_tokens(docs: DataFrame, *, key: str = "doc_id", spoken: str = "spoken", rendered: str = "rendered", chunk: int = 2000, pad: int = 500) -> DataFrame:
+    """(key, ``idx``, ``offset``): for each spoken word the place of the rendered word it stands for.
+
+    Documents whose word lists are equal are matched by position in the JVM;
+    only the others go to Python.
+    """
     words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
     rows = docs.select(key, words(F.coalesce(F.col(spoken), F.lit(""))).alias("_a"), words(F.coalesce(F.col(rendered), F.lit(""))).alias("_b"))
     same = rows.filter(F.col("_a") == F.col("_b")).select(key, F.posexplode("_a").alias("idx", "_")).select(key, "idx", F.col("idx").alias("offset"))
@@ -213,24 +293,8 @@ def align_tokens(docs: DataFrame, *, key: str = "doc_id", spoken: str = "spoken"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, a, b in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found: list[int | None] = [None] * len(a)
-                base = 0
-                for i in range(0, len(a), chunk):
-                    x, y = a[i : i + chunk], b[base : base + 2 * chunk]
-                    blocks = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
-                    for m in blocks:
-                        for d in range(m.size):
-                            found[i + m.a + d] = base + m.b + d
-                    last = [m.b + m.size for m in blocks if m.size]
-                    base += last[-1] if last else 0
-                filled: list[int] = [0] * len(a)
-                ahead: int | None = None
-                for i in range(len(a) - 1, -1, -1):
-                    ahead = found[i] if found[i] is not None else ahead
-                    filled[i] = -1 if ahead is None else ahead
-                tail = max((f for f in found if f is not None), default=0)
-                filled = [tail if f < 0 else f for f in filled]
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(a), batch.schema.field(0).type), pa.array(range(len(a)), pa.int32()), pa.array(filled, pa.int32())], [key, "idx", "offset"])
+                places = filled_places(matched_places(a, b, chunk, pad))
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(a), batch.schema.field(0).type), pa.array(range(len(a)), pa.int32()), pa.array(places, pa.int32())], [key, "idx", "offset"])
 
     other = rows.filter(F.col("_a") != F.col("_b"))
     return same.unionByName(other.mapInArrow(run, other.select(key).schema.add("idx", "integer").add("offset", "integer")))

@@ -2,7 +2,10 @@
 
 Greedy cuts are folds over one document's units. The accumulators hold
 counters and the places of the cuts only, so a fold costs time in proportion
-to the units; texts are put together afterwards from slices.
+to the units; texts are put together afterwards from slices. Units and cuts are
+bound to names, so that a document is taken apart once, and only the finished
+pieces leave the expression. Generators are outer ones: from others Spark infers
+a filter that would fold every document a second time.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.functions.text import SENTENCE_GAP
+from folioframe.functions.text import SENTENCE_GAP, fold_cuts, let
 
 HEADING = r"^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$"
 
@@ -67,28 +70,27 @@ def pack_cues(docs: DataFrame, duration: Column, *, max_words: int = 12, max_cha
     A cue ends before a sentence, at ``max_words`` words, or where another word
     would pass ``max_chars``.
     """
-    pieces = F.split(text, SENTENCE_GAP, -1)
-    token = lambda w, first: F.struct(F.length(w).alias("l"), first.alias("s"), w.alias("w"))
-    of = lambda p, i: F.transform(F.regexp_extract_all(p, F.lit(r"\S+"), F.lit(0)), lambda w, j: token(w, (j == 0) & (i > 0) & ~p.rlike(r"^\s")))
-    tokens = docs.filter(F.col(text).isNotNull()).select(key, duration.cast("double").alias("_d"), F.flatten(F.transform(pieces, of)).alias("_t")).filter(F.size("_t") > 0)
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("words"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("cuts"))
+    words = lambda p: F.regexp_extract_all(p, F.lit(r"\S+"), F.lit(0))
+    opens = lambda p, i, j: (j == 0) & (i > 0) & ~p.rlike(r"^\s")
+    tokens = F.flatten(F.transform(F.split(text, SENTENCE_GAP, -1), lambda p, i: F.transform(words(p), lambda w, j: F.struct(F.length(w).alias("l"), opens(p, i, j).alias("s"), w.alias("w")))))
+    zero = F.lit(0)
+    start = F.struct(zero.alias("i"), zero.alias("words"), zero.alias("chars"), zero.alias("u"))
+    cut = lambda a, t: (a["words"] == 0) | t["s"] | (a["words"] >= max_words) | (a["chars"] + t["l"] + 1 > max_chars)
+    place = lambda a: F.struct(a["i"].alias("i"), a["u"].alias("u"))
 
     def step(a: Column, t: Column) -> Column:
-        cut = (a["words"] == 0) | t["s"] | (a["words"] >= max_words) | (a["chars"] + t["l"] + 1 > max_chars)
-        return F.struct(
-            (a["i"] + 1).alias("i"), F.when(cut, 1).otherwise(a["words"] + 1).alias("words"), (F.when(cut, 0).otherwise(a["chars"]) + t["l"] + 1).alias("chars"),
-            F.when(cut, F.concat(a["cuts"], F.array(a["i"]))).otherwise(a["cuts"]).alias("cuts"),
-        )
-
-    cut = tokens.withColumn("_c", F.aggregate("_t", start, step, lambda a: a["cuts"]))
-    total = F.aggregate("_t", F.lit(0), lambda a, t: a + t["l"] + 1)
-    cues = cut.withColumn("_total", total).select(key, "_d", "_t", "_c", "_total", F.posexplode("_c").alias("n", "_from"))
-    upto = F.coalesce(F.get("_c", F.col("n") + 1), F.size("_t"))
-    mine = F.slice("_t", F.col("_from") + 1, upto - F.col("_from"))
-    weight = F.aggregate(mine, F.lit(0), lambda a, t: a + t["l"] + 1)
-    cues = cues.select(key, "n", "_d", "_total", weight.alias("_w"), F.array_join(F.transform(mine, lambda t: t["w"]), " ").alias("cue"))
-    ends = F.sum("_w").over(_running([key], "n"))
-    return cues.withColumn("_u", ends).select(key, "n", (F.col("_d") * (F.col("_u") - F.col("_w")) / F.col("_total")).alias("start_s"), (F.col("_d") * F.col("_u") / F.col("_total")).alias("end_s"), "cue")
+        new = cut(a, t)
+        return F.struct((a["i"] + 1).alias("i"), F.when(new, 1).otherwise(a["words"] + 1).alias("words"), (F.when(new, 0).otherwise(a["chars"]) + t["l"] + 1).alias("chars"), (a["u"] + t["l"] + 1).alias("u"))
+
+    def cues(t: Column, f: Column) -> Column:
+        """Each cut's stretch of the words ``t``; ``u`` counts what stands before a cut."""
+        upto = lambda i: F.coalesce(F.get(f["cuts"], i + 1), place(f["last"]))
+        text_of = lambda c, e: F.array_join(F.transform(F.slice(t, c["i"] + 1, e["i"] - c["i"]), lambda w: w["w"]), " ")
+        return F.transform(f["cuts"], lambda c, i: let(upto(i), lambda e: F.struct(i.alias("n"), c["u"].alias("a"), e["u"].alias("b"), f["last"]["u"].alias("t"), text_of(c, e).alias("cue"))))
+
+    found = let(tokens, lambda t: let(fold_cuts(t, start, step, cut, place, "struct<i:int,u:int>"), lambda f: cues(t, f)))
+    rows = docs.filter(F.col(text).isNotNull()).select(key, duration.cast("double").alias("_d"), F.explode_outer(found).alias("c")).filter("c is not null")
+    return rows.select(key, "c.n", (F.col("_d") * F.col("c.a") / F.col("c.t")).alias("start_s"), (F.col("_d") * F.col("c.b") / F.col("c.t")).alias("end_s"), "c.cue")
 
 
 # ---- pages and chunks
@@ -96,14 +98,19 @@ def pack_cues(docs: DataFrame, duration: Column, *, max_words: int = 12, max_cha
 
 def paginate(docs: DataFrame, *, words_per_page: int = 1200, key: str = "doc_id", n_words: str = "n_words", starts: str = "block_starts") -> DataFrame:
     """Pages (key, ``page``, ``start``, ``end``) of whole blocks, closed at the first block start that reaches the target."""
-    n = F.col(n_words).cast("int")
-    inner = F.filter(F.array_sort(F.array_distinct(F.col(starts).cast("array<int>"))), lambda b: (b > 0) & (b < n))
-    bounds = F.concat(inner, F.array(n))
-    begin = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("cuts"))
-    step = lambda a, b: F.when((b - a["at"] >= max(1, words_per_page)) & (b < n), F.struct(b.alias("at"), F.concat(a["cuts"], F.array(b)).alias("cuts"))).otherwise(a)
-    cuts = F.when(n > 0, F.aggregate(bounds, begin, step, lambda a: a["cuts"])).otherwise(F.array(F.lit(0)))
-    pages = docs.select(key, n.alias("_n"), cuts.alias("_c")).select(key, "_n", "_c", F.posexplode("_c").alias("page", "start"))
-    return pages.select(key, "page", "start", F.coalesce(F.get("_c", F.col("page") + 1), F.greatest("_n", F.lit(0))).alias("end"))
+    document = F.struct(F.greatest(F.col(n_words).cast("int"), F.lit(0)).alias("n"), F.array_sort(F.array_distinct(F.col(starts).cast("array<int>"))).alias("b"))
+
+    def cuts(d: Column) -> Column:
+        """The starts of the pages; the fold's state is the last of them."""
+        opens = lambda a, b: (b - a["at"] >= max(1, words_per_page)) & (b > 0) & (b < d["n"])
+        step = lambda a, b: F.struct(F.when(opens(a, b), b).otherwise(a["at"]).alias("at"))
+        noted = fold_cuts(d["b"], F.struct(F.lit(0).alias("at")), step, opens, lambda a: a["at"], "int")
+        #: a page's start is noted when the next one opens
+        return let(noted, lambda f: F.concat(f["cuts"], F.array(f["last"]["at"])))
+
+    page = lambda d, c, s, i: F.struct(i.alias("page"), s.alias("start"), F.coalesce(F.get(c, i + 1), d["n"]).alias("end"))
+    pages = let(document, lambda d: let(cuts(d), lambda c: F.transform(c, lambda s, i: page(d, c, s, i))))
+    return docs.select(key, F.explode_outer(pages).alias("p")).filter("p is not null").select(key, "p.page", "p.start", "p.end")
 
 
 def page_of_word(pages: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -128,30 +135,31 @@ def chunk_text(docs: DataFrame, *, limit: int = 4500, key: str = "doc_id", text:
     sentence at the limit. ``chunk`` and ``sep`` of all rows make up the text,
     with blanks between the sentences of a cut paragraph made one space.
     """
-    unit = lambda p, s: F.struct(p.alias("p"), s.alias("s"))
-    hard = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(x) / limit).cast("int") - 1, F.lit(0))), lambda k: F.substring(x, k * limit + 1, F.lit(limit)))
+    unit = lambda p, s: F.struct(p.alias("p"), F.length(p).alias("l"), s.alias("s"))
+    between = lambda i, n, sep, last: F.when(i < n - 1, F.lit(sep)).otherwise(last)
+
+    def hard(x: Column, after: Column) -> Column:
+        """A sentence, cut at the limit where it is longer."""
+        n = F.ceil(F.length(x) / limit).cast("int")
+        return F.when(F.length(x) <= limit, F.array(unit(x, after))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda k: unit(F.substring(x, k * limit + 1, F.lit(limit)), between(k, n, "", after))))
 
     def of_paragraph(p: Column, after: Column) -> Column:
-        parts = F.split(p, r"(?<=[.!?…])\s+", -1)
-        cut = F.flatten(
-            F.transform(parts, lambda x, j: F.transform(hard(x), lambda y, k: unit(y, F.when(k < F.size(hard(x)) - 1, "").when(j < F.size(parts) - 1, " ").otherwise(after))))
-        )
+        cut = let(F.split(p, r"(?<=[.!?…])\s+", -1), lambda parts: F.flatten(F.transform(parts, lambda x, j: hard(x, between(j, F.size(parts), " ", after)))))
         return F.when(F.length(p) <= limit, F.array(unit(p, after))).otherwise(cut)
 
-    paragraphs = F.split(text, "\n\n", -1)
-    units = F.flatten(F.transform(paragraphs, lambda p, i: of_paragraph(p, F.when(i < F.size(paragraphs) - 1, F.lit("\n\n")).otherwise(F.lit("")))))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("l"), F.lit(0).alias("s"), F.array(F.lit(0)).alias("cuts"))
+    units = let(F.split(text, "\n\n", -1), lambda ps: F.flatten(F.transform(ps, lambda p, i: of_paragraph(p, between(i, F.size(ps), "\n\n", F.lit(""))))))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("l"), F.lit(0).alias("s"))
+    cut = lambda a, u: (a["i"] == 0) | ((a["l"] + a["s"] > 0) & (a["l"] + a["s"] + u["l"] > limit))
+    step = lambda a, u: F.struct((a["i"] + 1).alias("i"), F.when(cut(a, u), u["l"]).otherwise(a["l"] + a["s"] + u["l"]).alias("l"), F.length(u["s"]).alias("s"))
 
-    def step(a: Column, u: Column) -> Column:
-        length = a["l"] + a["s"] + F.length(u["p"])
-        cut = (a["l"] + a["s"] > 0) & (length > limit)
-        return F.struct((a["i"] + 1).alias("i"), F.when(cut, F.length(u["p"])).otherwise(length).alias("l"), F.length(u["s"]).alias("s"), F.when(cut, F.concat(a["cuts"], F.array(a["i"]))).otherwise(a["cuts"]).alias("cuts"))
+    def chunk(m: Column, i: Column) -> Column:
+        """The units of a chunk put together; the last one's separator follows it."""
+        whole = F.array_join(F.transform(m, lambda u, k: F.concat(u["p"], F.when(k < F.size(m) - 1, u["s"]).otherwise(F.lit("")))), "")
+        return F.struct(i.alias("n"), whole.alias("chunk"), F.element_at(m, -1)["s"].alias("sep"))
 
-    rows = docs.filter(F.length(text) > 0).select(key, units.alias("_u")).withColumn("_c", F.aggregate("_u", start, step, lambda a: a["cuts"]))
-    rows = rows.select(key, "_u", "_c", F.posexplode("_c").alias("n", "_from"))
-    mine = F.slice("_u", F.col("_from") + 1, F.coalesce(F.get("_c", F.col("n") + 1), F.size("_u")) - F.col("_from"))
-    whole = F.array_join(F.transform(mine, lambda u, k: F.concat(u["p"], F.when(k < F.size(mine) - 1, u["s"]).otherwise(F.lit("")))), "")
-    return rows.select(key, "n", whole.alias("chunk"), F.element_at(mine, -1)["s"].alias("sep")).filter("length(chunk) > 0 or length(sep) > 0")
+    chunks = let(units, lambda u: let(fold_cuts(u, start, step, cut, lambda a: a["i"], "int")["cuts"], lambda c: F.transform(c, lambda s, i: let(F.slice(u, s + 1, F.coalesce(F.get(c, i + 1), F.size(u)) - s), lambda m: chunk(m, i)))))
+    rows = docs.filter(F.length(text) > 0).select(key, F.explode_outer(chunks).alias("c"))
+    return rows.filter("length(c.chunk) > 0 or length(c.sep) > 0").select(key, "c.n", "c.chunk", "c.sep")
 
 
 # ---- chapters, outlines, tables, footnotes

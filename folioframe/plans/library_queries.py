@@ -110,7 +110,7 @@ def valid_isbn(spark, sf):
 
 
 _STATS = "select user_id as path, sum(value) as seconds, cast(count(*) as bigint) as words_read, cast(floor(max(value)) as int) % 100 as pct, concat('user ', user_id, ' ', repeat('x', cast(user_id % 60 as int))) as title from {events} group by user_id"
-_POSITIONS = "select user_id as path, cast(max(event_id) % 100 as int) as pct from {events} where user_id % 3 = 0 group by user_id"
+_POSITIONS = "select user_id as path, cast(max(event_id) % 100 as int) as pct from {events} where event_type = 'purchase' group by user_id"
 
 
 @query(f"""with l as ({LIBRARY}), s as ({V.plain(_STATS)}), p as ({V.plain(_POSITIONS)})
@@ -120,12 +120,12 @@ def library_entries(spark, sf):
     return out.select("path", "title", "pct", F.round("seconds", 3).alias("seconds"))
 
 
-@query(f"""with f as (select path, title, cast(n_chars % 100 as int) as pct from ({LIBRARY}) l where path % 2 = 0), s as ({V.plain(_POSITIONS)}), r as (select path, title, pct from ({V.plain(_STATS)}) y)
+@query(f"""with f as (select path, title, cast(n_chars % 100 as int) as pct from ({LIBRARY}) l), s as ({V.plain(_POSITIONS)}), r as (select path * 7 as path, title, pct from ({V.plain(_STATS)}) y)
 select f.path, f.title, coalesce(s.pct, f.pct) as pct, 'folder' as source, 0 as part from f left join s on f.path = s.path
 union all select path, title, pct, 'recent', 1 from r where path not in (select path from f)""")
 def combined_listing(spark, sf):
-    files = V.frame(spark, sf, V.LIBRARY).filter("path % 2 = 0").select("path", "title", (F.col("n_chars") % 100).cast("int").alias("pct"))
-    return L.combined_listing(files, V.frame(spark, sf, _STATS).select("path", "title", "pct"), V.frame(spark, sf, _POSITIONS))
+    files = V.frame(spark, sf, V.LIBRARY).select("path", "title", (F.col("n_chars") % 100).cast("int").alias("pct"))
+    return L.combined_listing(files, V.frame(spark, sf, _STATS).select((F.col("path") * 7).alias("path"), "title", "pct"), V.frame(spark, sf, _POSITIONS))
 
 
 _PATHS = "concat('/lib/', lang, '/', source, '/', case when doc_id % 4 = 0 then 'deep/' else '' end, doc_id, '.txt')"
@@ -230,27 +230,27 @@ def merge_meta(spark, sf):
     return M.merge_meta(a, b, prefer="local")
 
 
-@query(f"""with n as ({NOTES}), a as (select doc, id, note, char_pos as pos, char_pos % 3 as ts from n where id % 5 <> 0),
-b as (select doc, id, concat(note, '!') as note, char_pos as pos, 1 as ts from n where id % 7 <> 0)
+@query(f"""with n as ({NOTES}), a as (select doc, id, note, char_pos as pos, char_pos % 3 as ts from n where char_pos <> 2),
+b as (select doc, id, concat(note, '!') as note, char_pos as pos, 1 as ts from n where char_pos <> 3)
 select coalesce(a.doc, b.doc) as doc, coalesce(a.id, b.id) as id, case when a.id is null or 1 >= a.ts and b.id is not null then b.note else a.note end as note from a full join b on a.doc = b.doc and a.id = b.id
-union all select doc, null, note from n where id % 11 = 0 union all select doc, null, concat(note, '?') from n where id % 13 = 0""")
+union all select doc, null, note from n where char_pos = 0 union all select doc, null, concat(note, '?') from n where char_pos = 1""")
 def merge_notes(spark, sf):
     n = V.frame(spark, sf, V.NOTES)
     none = F.lit(None).cast("long").alias("id")
-    a = n.filter("id % 5 <> 0").select("doc", "id", "note", F.col("char_pos").alias("pos"), (F.col("char_pos") % 3).alias("ts"))
-    a = a.unionByName(n.filter("id % 11 = 0").select("doc", none, "note", F.col("char_pos").alias("pos"), F.lit(0).alias("ts")))
-    b = n.filter("id % 7 <> 0").select("doc", "id", F.concat("note", F.lit("!")).alias("note"), F.col("char_pos").alias("pos"), F.lit(1).alias("ts"))
-    b = b.unionByName(n.filter("id % 13 = 0").select("doc", none, F.concat("note", F.lit("?")).alias("note"), F.col("char_pos").alias("pos"), F.lit(0).alias("ts")))
+    a = n.filter("char_pos <> 2").select("doc", "id", "note", F.col("char_pos").alias("pos"), (F.col("char_pos") % 3).alias("ts"))
+    a = a.unionByName(n.filter("char_pos = 0").select("doc", none, "note", F.col("char_pos").alias("pos"), F.lit(0).alias("ts")))
+    b = n.filter("char_pos <> 3").select("doc", "id", F.concat("note", F.lit("!")).alias("note"), F.col("char_pos").alias("pos"), F.lit(1).alias("ts"))
+    b = b.unionByName(n.filter("char_pos = 1").select("doc", none, F.concat("note", F.lit("?")).alias("note"), F.col("char_pos").alias("pos"), F.lit(0).alias("ts")))
     return M.merge_notes(a, b).select("doc", "id", "note")
 
 
-@query("""with a as (select c_custkey as id, c_name as title, c_mktsegment as doi from customer where c_custkey % 3 <> 0),
-b as (select c_custkey as id, case when c_custkey % 2 = 0 then upper(c_name) || '!' end as title, c_mktsegment || '#' as doi from customer where c_custkey % 5 <> 0)
+@query("""with a as (select c_custkey as id, c_name as title, c_mktsegment as doi from customer where c_mktsegment <> 'BUILDING'),
+b as (select c_custkey as id, case when c_nationkey % 2 = 0 then upper(c_name) || '!' end as title, c_mktsegment || '#' as doi from customer where c_mktsegment <> 'MACHINERY')
 select coalesce(a.id, b.id) as id, coalesce(b.title, a.title) as title, coalesce(b.doi, a.doi) as doi from a full join b on a.id = b.id""")
 def upsert_citations(spark, sf):
     c = table(spark, sf, "customer")
-    a = c.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("doi"))
-    b = c.filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.upper("c_name"), F.lit("!"))).alias("title"), F.concat("c_mktsegment", F.lit("#")).alias("doi"))
+    a = c.filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("doi"))
+    b = c.filter("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.upper("c_name"), F.lit("!"))).alias("title"), F.concat("c_mktsegment", F.lit("#")).alias("doi"))
     return M.upsert_citations(a, b)
 
 

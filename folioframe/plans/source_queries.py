@@ -91,10 +91,13 @@ def write_vault(spark, sf):
     return sinks.write_vault(V.frame(spark, sf, V.NOTES).withColumn("tags", F.array("tag")), V.frame(spark, sf, V.EDGES))
 
 
-@query("""select o_orderkey as doc_id, 0 as n, '1' || chr(10) || '00:00:01,500 --> 00:00:' || case when o_orderkey % 2 = 0 then '01,550' else '03,250' end || chr(10) || o_orderstatus || chr(10) as block from orders""")
+@query("""select l_orderkey as doc_id, cast(l_linenumber - 1 as int) as n, l_linenumber || chr(10) || '00:00:' || lpad(cast(3 * l_linenumber as varchar), 2, '0') || ',500 --> 00:00:' ||
+case when l_quantity > 25 then lpad(cast(3 * l_linenumber as varchar), 2, '0') || ',550' else lpad(cast(3 * l_linenumber + 1 as varchar), 2, '0') || ',250' end || chr(10) || l_returnflag || chr(10) as block from lineitem""")
 def write_captions(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("n"), F.lit(1.5).alias("start_s"), F.when(F.col("o_orderkey") % 2 == 0, 1.5).otherwise(3.25).alias("end_s"), F.col("o_orderstatus").alias("cue"))
-    return sinks.write_captions(o)
+    """A caption file per order, a cue per line of it."""
+    start = F.col("l_linenumber") * 3 + 0.5
+    cues = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).cast("int").alias("n"), start.alias("start_s"), F.when(F.col("l_quantity") > 25, start).otherwise(start + 0.75).alias("end_s"), F.col("l_returnflag").alias("cue"))
+    return sinks.write_captions(cues)
 
 
 @query(f"""with n as ({V.plain(V.NOTES)}) select 'basic' as kind, anchor as front, note as back from n where trim(anchor) <> '' or trim(note) <> ''""")
@@ -202,14 +205,14 @@ def vault_report(spark, sf):
     return vault.vault_report(v, *vault.resolve_links(v))
 
 
-@query("""select 'markdown' as format, count(distinct source) as folders, true as files from documents""")
+@query("""select coalesce(source, '') as folder, 'text' as format, cast(1 as bigint) as files, cast(sum(strlen(text) + 1) as bigint) as bytes from documents where text is not null group by 1""")
 def scan_catalog(spark, sf):
     """Catalog of files that Spark writes, one folder per source."""
-    d = table(spark, sf, "documents").select(F.col("text").alias("value"), "source").repartition("source")
-    folder = _written(d, spark, by="source")
-    # Spark's own part files end in .txt; the catalog takes them as text
-    found = files.scan_catalog(spark, [folder])
-    return found.select(F.lit("markdown").alias("format"), F.regexp_extract("rel", "source=([^/]+)/", 1).alias("s"), "size").groupBy("format").agg(F.countDistinct("s").alias("folders"), (F.min("size") > 0).alias("files"))
+    d = table(spark, sf, "documents").filter("text is not null").select(F.col("text").alias("value"), F.concat(F.lit("s"), F.coalesce("source", F.lit(""))).alias("source")).repartition("source")
+    # Spark's own part files end in .txt, one per source; a line end follows each text
+    found = files.scan_catalog(spark, [_written(d, spark, by="source")])
+    folder = F.url_decode(F.url_decode(F.regexp_extract("rel", "source=s([^/]*)/", 1)))
+    return found.groupBy(folder.alias("folder"), "format").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
 # ---- streams: the events, written as several files and read as a stream
@@ -246,9 +249,8 @@ def progress_stream(spark, sf):
     stream, _ = _event_stream(spark, sf)
     out = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
     updates = stream.selectExpr("user_id as key", "cast(ts as string) as ts", "cast(floor(value) as int) as pos")
-    q = streams.progress_stream(updates, f"{out}/t", f"{out}/_c")
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/t/snapshot={q.lastProgress['batchId']}").select("key", "pos")
+    streams.progress_stream(updates, f"{out}/t", f"{out}/_c").awaitTermination()
+    return streams.current_progress(spark, f"{out}/t").select("key", "pos")
 
 
 @query(f"""with u as (select user_id as key, ts, event_id, max(ts) over (partition by user_id) as last from events) select key, count(*) as late from u where ts < last - interval 20 days group by key""")
@@ -258,15 +260,15 @@ def late_rows(spark, sf):
     return streams.split_late(e, seen)[1].groupBy("key").agg(F.count(F.lit(1)).alias("late"))
 
 
-@query(f"""with s as (select user_id % 50 as path, max(event_id) as size from events group by 1) select path, size from s""")
+@query("""with s as (select user_id as path, event_id as size, case when event_type = 'error' then null else event_type end as text, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events where event_type <> 'error')
+select path, size, text from s where n = 1""")
 def index_stream(spark, sf):
+    """Every event is a changed file of its user; an error is one whose extraction failed."""
     stream, _ = _event_stream(spark, sf, 3)
     out = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-
-    files_ = stream.selectExpr("user_id % 50 as path", "event_id as size", "event_type as text").groupBy("path").agg(F.max("size").alias("size"), F.max_by("text", "size").alias("text"))
-    snapshot = f"{out}/last"
-    files_.writeStream.outputMode("complete").foreachBatch(lambda f, n: f.write.mode("overwrite").parquet(snapshot)).option("checkpointLocation", f"{out}/_c").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(snapshot).select("path", "size")
+    changed = stream.selectExpr("user_id as path", "struct(ts, event_id) as mark", "event_id as size", "case when event_type = 'error' then null else event_type end as text")
+    streams.index_stream(changed, f"{out}/t", f"{out}/_c").awaitTermination()
+    return streams.current_index(spark, f"{out}/t").select("path", "size", "text")
 
 
 @query()

@@ -46,16 +46,16 @@ def scan_catalog(spark: SparkSession, folders: list[str], *, recursive: bool = T
     ``max_files`` at most; of overlapping folders the first keeps a file.
     """
     out: DataFrame | None = None
+    junk = "|".join(map(re.escape, JUNK))
     for n, folder in enumerate(folders):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
         root = re.sub(r"^file:/*", "/", folder).rstrip("/")
         rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(root) + "/", "")
         files = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), rel.alias("rel"), "size", "mtime", F.lit(root).alias("folder"), F.lit(n).alias("folder_order"))
+        files = files.filter(supported(F.col("rel")) & ~F.col("rel").rlike(r"(^|/)\.") & ~F.col("rel").rlike(rf"(^|/)(?:{junk})/"))
+        files = files.orderBy(F.lower("rel")).limit(max_files)  # the first of each task, then of all
         out = files if out is None else out.unionByName(files)
-    junk = "|".join(map(re.escape, JUNK))
-    found = out.filter(supported(F.col("rel")) & ~F.col("rel").rlike(rf"(^|/)\.") & ~F.col("rel").rlike(rf"(^|/)(?:{junk})/"))
-    capped = found.withColumn("_n", F.row_number().over(Window.partitionBy("folder").orderBy(F.lower("rel")))).filter(F.col("_n") <= max_files)
-    first = capped.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("folder_order"))).filter("_n = 1")
+    first = out.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("folder_order"))).filter("_n = 1")
     title = F.regexp_replace(F.element_at(F.split("rel", "/"), -1), r"\.[^.]*$", "")
     return first.select("path", "rel", title.alias("title"), file_format(F.col("path")).alias("format"), "size", "mtime", "folder").orderBy(F.lower("folder"), F.lower("rel"))
 

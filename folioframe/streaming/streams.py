@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from folioframe.operators.merge import merge_progress, refresh_index
 from folioframe.operators.review import AGAIN, DECAY, EASY, FACTOR, HARD, LONGEST, RETENTION, WEIGHTS
 from folioframe.sources.sinks import convert_corpus
 
@@ -110,34 +109,59 @@ def latest_progress(updates: DataFrame, *, window: str = "500 milliseconds", lat
     return found.select("key", "v.*")
 
 
-def progress_stream(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Merge updates into a progress table, kept as numbered snapshots under ``path``; nothing that is newer is lost."""
+#: Micro-batches of an era; the first of an era begins with all that is current.
+ERA = 16
+
+
+def _keep_deltas(changes: DataFrame, path: str, checkpoint: str, order: str, of_batch: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Writes what each micro-batch changes as a delta under ``path``.
+
+    A batch that runs twice replaces its own delta. Every ``ERA`` batches the
+    current rows are written once, so that readers see the deltas of one era.
+    """
 
     def batch(frame: DataFrame, n: int) -> None:
-        spark = frame.sparkSession
-        new = frame.groupBy("key").agg(F.max_by(F.struct(*[c for c in frame.columns if c != "key"]), "ts").alias("v")).select("key", "v.*")
-        if n:
-            old = spark.read.parquet(f"{path}/snapshot={n - 1}")
-            new = merge_progress(new.select(*old.columns), old, prefer="local").drop("resolution")
-        new.write.mode("overwrite").parquet(f"{path}/snapshot={n}")
+        era = n // ERA
+        if era and n % ERA == 0:
+            current(frame.sparkSession, path, order, era - 1).write.mode("overwrite").parquet(f"{path}/era={era}/delta={n - 1}")
+        of_batch(frame).write.mode("overwrite").parquet(f"{path}/era={era}/delta={n}")
+
+    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, path: str, order: str, era: int | None = None, key: str | None = None) -> DataFrame:
+    """The last row of each key (the first column) by ``order`` over the deltas of an era, the newest without one."""
+    found = spark.read.parquet(path)
+    if era is None:
+        era = found.agg(F.max("era")).first()[0]
+    found = found.filter(F.col("era") == era).drop("era", "delta")
+    key = key or found.columns[0]
+    values = [c for c in found.columns if c != key]
+    return found.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("_v")).select(key, "_v.*")
 
-    return updates.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def progress_stream(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Progress updates (``key``, ``ts``, values) as deltas under ``path``; the newest of a key counts, late or not."""
+    values = [c for c in updates.columns if c != "key"]
+    newest = lambda f: f.groupBy("key").agg(F.max_by(F.struct(*values), "ts").alias("_v")).select("key", "_v.*")
+    return _keep_deltas(updates, path, checkpoint, "ts", newest)
+
+
+def current_progress(spark: SparkSession, path: str) -> DataFrame:
+    return current(spark, path, "ts")
 
 
 def index_stream(files: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Changed files (``path``, ``size``, ``text``) into an index kept as numbered snapshots."""
+    """Changed files (``path``, ``mark``, ``size``, ``text``) as deltas of an index; ``mark`` orders a file's changes.
 
-    def batch(frame: DataFrame, n: int) -> None:
-        spark = frame.sparkSession
-        new = frame.dropDuplicates(["path"])
-        if n:
-            old = spark.read.parquet(f"{path}/snapshot={n - 1}")
-            merged = refresh_index(old, new, mark=("size",))
-            gone = merged.filter("action = 'drop'").select("path")
-            new = merged.filter("action not in ('drop', 'failed')").drop("action").unionByName(old.join(gone, "path", "left_semi").select("path", "size", "text"))
-        new.select("path", "size", "text").write.mode("overwrite").parquet(f"{path}/snapshot={n}")
-
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    A change whose extraction failed (null text) leaves the file's row as it was.
+    """
+    last = lambda f: f.filter("text is not null").groupBy("path").agg(F.max_by(F.struct("mark", "size", "text"), "mark").alias("_v")).select("path", "_v.*")
+    return _keep_deltas(files, path, checkpoint, "mark", last)
+
+
+def current_index(spark: SparkSession, path: str) -> DataFrame:
+    return current(spark, path, "mark")
 
 
 def split_late(rows: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:

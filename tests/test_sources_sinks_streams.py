@@ -148,3 +148,18 @@ def test_late_rows_and_latest(spark):
     assert [r.pos for r in late[0].collect()] == [2] and sorted(r.pos for r in late[1].collect()) == [1, 3]
     u = spark.sql("select 'k' as key, timestamp'2024-01-01 00:00:00.1' as ts, 1 as pos union all select 'k', timestamp'2024-01-01 00:00:00.3', 2 union all select 'k', timestamp'2024-01-01 00:00:00.9', 3")
     assert sorted(r.pos for r in T.latest_progress(u).collect()) == [2, 3]
+
+
+def test_deltas_over_eras(spark, tmp_path, monkeypatch):
+    from folioframe.streaming import streams
+
+    monkeypatch.setattr(streams, "ERA", 2)
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    batches = [[("a", 1, 1, "x"), ("b", 1, 1, "y")], [("a", 2, 2, None)], [("a", 3, 3, "z"), ("c", 1, 9, None)], [("b", 0, 5, "old")], [("d", 1, 1, "w")]]
+    schema = "path string, mark int, size long, text string"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        streams.index_stream(spark.readStream.schema(schema).parquet(str(source)), out, str(tmp_path / "check")).awaitTermination()
+    got = {r.path: (r.size, r.text) for r in streams.current_index(spark, out).collect()}
+    assert got == {"a": (3, "z"), "b": (1, "y"), "d": (1, "w")}
+    assert len(list((tmp_path / "out").glob("era=*"))) == 3
