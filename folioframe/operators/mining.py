@@ -247,6 +247,55 @@ def summarize(docs: DataFrame, *, n: int = 7, key: str = "doc_id", text: str = "
     return rows.mapInArrow(run, rows.select(key).schema.add("summary", "string"))
 
 
+#: Regions of fewer pairs of words are aligned without hashes.
+SMALL_REGION = 1 << 14
+_ODD = 0x9E3779B97F4A7C15
+_UP = np.cumprod(np.full(1 << 13, _ODD, np.uint64))
+_DOWN = np.cumprod(np.full(1 << 13, pow(_ODD, -1, 1 << 64), np.uint64))
+
+
+def longest_run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """The longest run that two stretches share: (place in a, place in b, length), the first in a, then in b.
+
+    Runs of a length are compared by hashes taken from running sums; the length
+    is found by halving.
+    """
+
+    def hashes(x: np.ndarray, n: int) -> np.ndarray:
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((x + np.uint64(1)) * _UP[: len(x)])])
+        return (sums[n:] - sums[:-n]) * _DOWN[: len(x) - n + 1]
+
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        n = (low + high + 1) // 2
+        low, high = (n, high) if np.isin(hashes(a, n), hashes(b, n)).any() else (low, n - 1)
+    if not low:
+        return 0, 0, 0
+    ha, hb = hashes(a, low), hashes(b, low)
+    i = int(np.argmax(np.isin(ha, hb)))
+    return i, int(np.argmax(hb == ha[i])), low
+
+
+def common_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """Matched runs in order: the longest one, then those on either side of it, and so on."""
+    from difflib import SequenceMatcher
+
+    found, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if (a1 - a0) * (b1 - b0) < SMALL_REGION or max(a1 - a0, b1 - b0) > len(_UP):
+            found += [(a0 + m.a, b0 + m.b, m.size) for m in SequenceMatcher(None, a[a0:a1].tolist(), b[b0:b1].tolist(), autojunk=False).get_matching_blocks() if m.size]
+            continue
+        i, j, n = longest_run(a[a0:a1], b[b0:b1])
+        if n:
+            i, j = a0 + i, b0 + j
+            found.append((i, j, n))
+            todo += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
+    return sorted(found)
+
+
 def matched_places(spoken: list[str], shown: list[str], chunk: int, pad: int) -> list[int | None]:
     """For each spoken word the place of the shown word it was matched with, if any.
 
@@ -254,17 +303,17 @@ def matched_places(spoken: list[str], shown: list[str], chunk: int, pad: int) ->
     last match ended; where a stretch has no word in common, both sides move on
     by half a stretch.
     """
-    from difflib import SequenceMatcher
-
+    number: dict[str, int] = {}
+    a, b = (np.array([number.setdefault(w, len(number)) for w in words], np.uint64) for words in (spoken, shown))
     found: list[int | None] = [None] * len(spoken)
     s = r = 0
     while s < len(spoken) and r < len(shown):
-        a, b = spoken[s : s + chunk], shown[r : r + chunk + pad]
-        runs = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()[:-1]
+        runs = common_runs(a[s : s + chunk], b[r : r + chunk + pad])
+        for i, j, n in runs:
+            found[s + i : s + i + n] = range(r + j, r + j + n)
         if runs:
-            for run in runs:
-                found[s + run.a : s + run.a + run.size] = range(r + run.b, r + run.b + run.size)
-            s, r = s + runs[-1].a + runs[-1].size, r + runs[-1].b + runs[-1].size
+            i, j, n = runs[-1]
+            s, r = s + i + n, r + j + n
         else:
             s, r = s + max(1, chunk // 2), r + max(1, chunk // 2)
     return found

@@ -10,6 +10,11 @@ a filter that would fold every document a second time.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,33 +69,52 @@ def sentence_timing(docs: DataFrame, duration: Column, key: str = "doc_id", text
     return spans.withColumn("_u", upto).withColumn("_t", whole).select(key, "n", (F.col("_d") * (F.col("_u") - F.col("_w")) / F.col("_t")).alias("start_s"), (F.col("_d") * F.col("_u") / F.col("_t")).alias("end_s"))
 
 
+_GAP, _OPEN = re.compile(SENTENCE_GAP), re.compile(r"\s")
+
+
+def cue_starts(words: list[str], opens: set[int], max_words: int, max_chars: int) -> list[int]:
+    """The first word of each cue: ``opens`` begin sentences."""
+    starts: list[int] = []
+    held = chars = 0
+    for i, w in enumerate(words):
+        size = len(w) + 1
+        if not held or i in opens or held >= max_words or chars + size > max_chars:
+            starts.append(i)
+            held = chars = 0
+        held += 1
+        chars += size
+    return starts
+
+
 def pack_cues(docs: DataFrame, duration: Column, *, max_words: int = 12, max_chars: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Cues of a few words each: (key, ``n``, ``start_s``, ``end_s``, ``cue``).
 
     A cue ends before a sentence, at ``max_words`` words, or where another word
-    would pass ``max_chars``.
+    would pass ``max_chars``. The fold over words runs on Arrow batches, where it
+    is several times faster than as an expression; a document's cues go out as
+    soon as they are made.
     """
-    words = lambda p: F.regexp_extract_all(p, F.lit(r"\S+"), F.lit(0))
-    opens = lambda p, i, j: (j == 0) & (i > 0) & ~p.rlike(r"^\s")
-    tokens = F.flatten(F.transform(F.split(text, SENTENCE_GAP, -1), lambda p, i: F.transform(words(p), lambda w, j: F.struct(F.length(w).alias("l"), opens(p, i, j).alias("s"), w.alias("w")))))
-    zero = F.lit(0)
-    start = F.struct(zero.alias("i"), zero.alias("words"), zero.alias("chars"), zero.alias("u"))
-    cut = lambda a, t: (a["words"] == 0) | t["s"] | (a["words"] >= max_words) | (a["chars"] + t["l"] + 1 > max_chars)
-    place = lambda a: F.struct(a["i"].alias("i"), a["u"].alias("u"))
-
-    def step(a: Column, t: Column) -> Column:
-        new = cut(a, t)
-        return F.struct((a["i"] + 1).alias("i"), F.when(new, 1).otherwise(a["words"] + 1).alias("words"), (F.when(new, 0).otherwise(a["chars"]) + t["l"] + 1).alias("chars"), (a["u"] + t["l"] + 1).alias("u"))
-
-    def cues(t: Column, f: Column) -> Column:
-        """Each cut's stretch of the words ``t``; ``u`` counts what stands before a cut."""
-        upto = lambda i: F.coalesce(F.get(f["cuts"], i + 1), place(f["last"]))
-        text_of = lambda c, e: F.array_join(F.transform(F.slice(t, c["i"] + 1, e["i"] - c["i"]), lambda w: w["w"]), " ")
-        return F.transform(f["cuts"], lambda c, i: let(upto(i), lambda e: F.struct(i.alias("n"), c["u"].alias("a"), e["u"].alias("b"), f["last"]["u"].alias("t"), text_of(c, e).alias("cue"))))
-
-    found = let(tokens, lambda t: let(fold_cuts(t, start, step, cut, place, "struct<i:int,u:int>"), lambda f: cues(t, f)))
-    rows = docs.filter(F.col(text).isNotNull()).select(key, duration.cast("double").alias("_d"), F.explode_outer(found).alias("c")).filter("c is not null")
-    return rows.select(key, "c.n", (F.col("_d") * F.col("c.a") / F.col("c.t")).alias("start_s"), (F.col("_d") * F.col("c.b") / F.col("c.t")).alias("end_s"), "c.cue")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, d, t in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words: list[str] = []
+                opens = set()
+                for n, piece in enumerate(_GAP.split(t)):
+                    if n and not _OPEN.match(piece):
+                        opens.add(len(words))
+                    words += piece.split()
+                starts = cue_starts(words, opens, max_words, max_chars)
+                upto = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words], dtype=np.int64)])
+                edges = np.array([*starts, len(words)])
+                share = (d if d is not None else np.nan) * upto[edges] / max(1, upto[-1])
+                seconds = pa.array(share, pa.float64(), mask=np.full(len(share), d is None))
+                cues = [" ".join(words[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+                n = len(cues)
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * n, batch.schema.field(0).type), pa.array(range(n), pa.int32()), seconds[:-1], seconds[1:], pa.array(cues, pa.string())], [key, "n", "start_s", "end_s", "cue"])
+
+    rows = docs.filter(F.col(text).isNotNull()).select(key, duration.cast("double").alias("_d"), text)
+    return rows.mapInArrow(fold, rows.select(key).schema.add("n", "integer").add("start_s", "double").add("end_s", "double").add("cue", "string"))
 
 
 # ---- pages and chunks

@@ -14,7 +14,7 @@ from folioframe.operators import mining as M
 from folioframe.operators import search
 from folioframe.operators import shaping as S
 from folioframe.plans import views as V
-from folioframe.session import table
+from folioframe.session import dealt, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -36,6 +36,11 @@ def _docs(spark, sf):
     return table(spark, sf, "documents")
 
 
+def _dealt(spark, sf):
+    """The documents, for work that takes long per text."""
+    return dealt(table(spark, sf, "documents"), "doc_id")
+
+
 # ---- words, time, pages
 
 
@@ -74,7 +79,7 @@ union all select r.doc_id, r.n, r.page + 1, (r.start + 240) // 40 * 40 from r wh
 select doc_id, cast(page as int) as page, cast(start as int) as start from (select doc_id, n, 0 as page, 0 as start from b
 union all select doc_id, n, (s // 200), s from k where s % 200 = 0 and s < n) x""")
 def paginate(spark, sf):
-    words = _docs(spark, sf).select("doc_id", F.regexp_count("text", F.lit(r"\S+")).alias("n_words"))
+    words = _dealt(spark, sf).select("doc_id", F.regexp_count("text", F.lit(r"\S+")).alias("n_words"))
     blocks = words.withColumn("block_starts", F.sequence(F.lit(0), F.greatest("n_words", F.lit(1)), F.lit(40)))
     return S.paginate(blocks, words_per_page=200).select("doc_id", "page", "start")
 
@@ -82,24 +87,24 @@ def paginate(spark, sf):
 @query("""with p as (select doc_id, list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: case when length(x) > 800 then regexp_replace(x, '([.!?…])\\s+', '\\1 ', 'g') else x end) as ps from documents where length(text) > 0)
 select doc_id, md5(array_to_string(ps, chr(10) || chr(10))) as digest, true as bounded from p""")
 def chunk_text(spark, sf):
-    chunks = S.chunk_text(_docs(spark, sf).withColumn("text", F.regexp_replace("text", "\n", "\n\n")), limit=800)
+    chunks = S.chunk_text(_dealt(spark, sf).withColumn("text", F.regexp_replace("text", "\n", "\n\n")), limit=800)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat("chunk", "sep").alias("t")))), lambda x: x["t"])
     return chunks.groupBy("doc_id").agg(F.md5(F.array_join(parts, "").cast("binary")).alias("digest"), (F.max(F.length("chunk")) <= 800).alias("bounded"))
 
 
 @query()
 def sentence_spans(spark, sf):
-    return S.sentence_spans(_docs(spark, sf))
+    return S.sentence_spans(_dealt(spark, sf))
 
 
 @query()
 def sentence_timing(spark, sf):
-    return S.sentence_timing(_docs(spark, sf), F.lit(60.0))
+    return S.sentence_timing(_dealt(spark, sf), F.lit(60.0))
 
 
 @query()
 def pack_cues(spark, sf):
-    return S.pack_cues(_docs(spark, sf), F.lit(60.0))
+    return S.pack_cues(_dealt(spark, sf), F.lit(60.0))
 
 
 @query("""with l as (select source, doc_id, regexp_replace(regexp_replace(lower(trim(unnest(string_split(text, chr(10))), ' ')), '\\s+', ' ', 'g'), '[0-9]+', '#', 'g') as key from documents),
@@ -196,13 +201,13 @@ def verbalize_numbers(spark, sf):
 @query()
 def number_kinds(spark, sf):
     """The numbers of all documents by kind; SQL lacks the reading of runs from the left, a test holds brute force."""
-    return N.number_table(_docs(spark, sf)).groupBy("kind").agg(F.sum("count").alias("found"), F.count(F.lit(1)).alias("literals"))
+    return N.number_table(_dealt(spark, sf)).groupBy("kind").agg(F.sum("count").alias("found"), F.count(F.lit(1)).alias("literals"))
 
 
 @query("""with w as (select doc_id, regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_]+') as ws from documents)
 select doc_id, md5(array_to_string(list_transform(ws, lambda x: case lower(x) when 'the' then 'THEE' when 'of' then 'from' else x end), '')) as digest from w""")
 def normalize_corpus(spark, sf):
-    return N.normalize_corpus(_docs(spark, sf), lexicon={"the": "THEE", "of": "from"}, numbers=False).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return N.normalize_corpus(_dealt(spark, sf), lexicon={"the": "THEE", "of": "from"}, numbers=False).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 # ---- mining
@@ -250,12 +255,12 @@ def capital_phrases(spark, sf):
 
 @query()
 def concept_spans(spark, sf):
-    return M.concept_spans(_docs(spark, sf), "medical")
+    return M.concept_spans(_dealt(spark, sf), "medical")
 
 
 @query()
 def distinct_concepts(spark, sf):
-    return M.distinct_concepts(M.concept_spans(_docs(spark, sf), "medical"))
+    return M.distinct_concepts(M.concept_spans(_dealt(spark, sf), "medical"))
 
 
 @query("""with c as (select lower(p_brand) as c, min(p_brand) as concept from part group by lower(p_brand)), n as (select p_partkey as id, lower(p_name || ' ' || p_brand || ' ' || p_type) as hay from part)
@@ -269,19 +274,19 @@ def suggest_links(spark, sf):
 
 @query()
 def cloze_cards(spark, sf):
-    return M.cloze_cards(_docs(spark, sf), frequencies=M.token_frequencies(_docs(spark, sf)))
+    return M.cloze_cards(_dealt(spark, sf), frequencies=M.token_frequencies(_docs(spark, sf)))
 
 
 @query()
 def summarize(spark, sf):
-    return M.summarize(_docs(spark, sf))
+    return M.summarize(_dealt(spark, sf))
 
 
 @query("""with a as (select doc_id, len(regexp_extract_all(text, '[^\\s]+')) as n from documents where text is not null)
 select doc_id, cast(n + 2 as bigint) as words, cast(n * (n - 1) // 2 as bigint) as places from a""")
 def align_tokens(spark, sf):
     """Texts with words before them that are spoken only, and words behind them that are shown only."""
-    d = _docs(spark, sf).select("doc_id", F.concat(F.lit("[[table]] [[row]] "), "text").alias("spoken"), F.concat("text", F.lit(" {{footer}}")).alias("rendered"))
+    d = _dealt(spark, sf).select("doc_id", F.concat(F.lit("[[table]] [[row]] "), "text").alias("spoken"), F.concat("text", F.lit(" {{footer}}")).alias("rendered"))
     return M.align_tokens(d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum("offset").alias("places"))
 
 

@@ -30,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` spread over all cores where they come from fewer files than there are cores.
+
+    A small table is often one file with one row group, which one task reads
+    whatever its splits; work that is long per row goes over it first. Tables of
+    many files stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores, key) if len(rows.inputFiles()) < cores else rows
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder driver and executors share.
 
