@@ -16,15 +16,19 @@ Confirmed links join classes into components; a further link inside a
 component would change nothing. In the second, large nodes that hold more than
 ``limit`` classes beside their largest component branch on, ``depth`` levels
 at most, and nodes that stay large are compared block by block, all pairs of
-blocks that hold different components, so none is skipped. Members with a
+blocks that hold different components, so none is skipped. As a pair is less
+likely to share a node the deeper the nodes are, the classes of such nodes
+descend ``deep_trees`` further trees, which keep the recall of the first level
+down to the last. Members with a
 candidate in another component get their full sets, and the node confirms
 links itself. So either round emits rows in proportion to a node's members,
 not to its pairs.
 
 Defined cases: a null or blank text has an empty set and is linked with
 nothing; a text shorter than a shingle is one shingle; rows with equal ids
-each count (they are one class); extra columns are ignored; an empty table
-gives an empty result.
+each count (they are one class); extra columns, whatever their names, are
+ignored; texts of any length are read whole; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -37,16 +41,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.operators.components import connected_components
+from folioframe.llm.spread import join_spread
 from folioframe.llm.words import WORD
+from folioframe.operators.components import connected_components
 from folioframe.session import materialize
 
 WORDS = 5
 SIMILARITY = 0.8
 HASHES = 128
 TREES = 16
+#: Further trees for the classes of large nodes. A pair at the threshold shares a node of a tree's level 6 with
+#: probability 0.24, of level 1 with 0.63: 64 trees miss at level 6 what 16 miss at level 1.
+DEEP_TREES = 48
 DEPTH = 6
 LIMIT = 256
+#: Parts that a node is counted in.
+PARTS = 256
 #: A pair whose sketches agree less than this many standard errors below the threshold is no candidate.
 ERRORS = 4.0
 
@@ -155,16 +165,16 @@ def _chosen(seed: np.uint64, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     return at, draws[at]
 
 
-def branch(rows: DataFrame, level: int, trees: int, threshold: float) -> DataFrame:
+def branch(rows: DataFrame, level: int, trees: range, threshold: float) -> DataFrame:
     """Rows (``node``, ``class_id``) one level below (``node``, ``class_id``, ``signature``).
 
-    Level 0 branches every class at the roots of all trees; there ``node`` is
+    Level 0 branches every class at the roots of all ``trees``; there ``node`` is
     ignored. A root that chooses no coordinate takes its first.
     """
 
     def roots() -> tuple[np.ndarray, np.ndarray]:
         found = []
-        for tree in range(trees):
+        for tree in trees:
             at, draws = _chosen(np.uint64((tree + 1) * 1_000_003), threshold)
             found.append((at, draws) if len(at) else (np.array([tree % HASHES]), np.array([tree + 1], np.uint64)))
         return np.concatenate([a for a, _ in found]), np.concatenate([d for _, d in found])
@@ -440,6 +450,7 @@ def near_duplicates(
     words: int = WORDS,
     similarity: float = SIMILARITY,
     trees: int = TREES,
+    deep_trees: int = DEEP_TREES,
     depth: int = DEPTH,
     limit: int = LIMIT,
 ) -> DataFrame:
@@ -449,17 +460,25 @@ def near_duplicates(
     classes = rows.filter("class_id is not null and doc_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = materialize(classes, "neardup-classes")
 
-    def nodes_at(level: int, frontier: DataFrame) -> DataFrame:
-        here = materialize(branch(frontier, level, trees, similarity), "neardup-level").distinct()
-        counts = here.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.min("class_id").alias("first")).filter("count > 1")
-        return materialize(here.join(counts, "node"), "neardup-nodes")
+    def nodes_at(level: int, frontier: DataFrame, of_trees: range) -> DataFrame:
+        """(``node``, ``class_id``, ``count``, ``first``) of the nodes of more than one class.
+
+        A node is counted by parts first, and the counts go back to the parts, so a
+        node that holds a third of all classes is never in one task.
+        """
+        here = branch(frontier, level, of_trees, similarity).withColumn("_part", F.pmod(F.xxhash64("class_id"), F.lit(PARTS)).cast("int"))
+        here = materialize(here, "neardup-level")
+        parts = here.groupBy("node", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("first"))
+        counts = parts.groupBy("node").agg(F.sum("n").alias("count"), F.min("first").alias("first")).filter("count > 1")
+        return materialize(here.join(parts.select("node", "_part").join(counts, "node"), ["node", "_part"]).select("node", "class_id", "count", "first"), "neardup-nodes")
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low = [np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low, pa.binary())], ["class_id", "n_shingles", "sketch"])
 
-    top = nodes_at(0, classes.select(F.lit(0).cast("long").alias("node"), "class_id", "signature"))
+    at_roots = lambda of: of.select(F.lit(0).cast("long").alias("node"), "class_id", "signature")
+    top = nodes_at(0, at_roots(classes), range(trees))
     drawn = classes.join(top.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "n_shingles", "signature").mapInArrow(sketches, "class_id long, n_shingles long, sketch binary")
     drawn = materialize(drawn, "neardup-sketches")
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
@@ -476,21 +495,29 @@ def near_duplicates(
     links = confirmed(materialize(forests(groups, similarity), "neardup-pairs"))
     now = materialize(component_of(links, drawn), "neardup-now")
 
-    leaves, level, large = [top.filter(F.col("count") <= limit)], 1, top.filter(F.col("count") > limit)
-    while True:
-        held = large.join(now.select("class_id", "component"), "class_id").groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+    def still_large(of: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of large nodes with several components, those with few classes beside the largest one, and the others."""
+        held = of.join(now.select("class_id", "component"), "class_id").groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
         names = held.groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter("most < n").select("node", (F.col("n") - F.col("most")).alias("others"))
-        large = materialize(large.join(names, "node"), "neardup-large")
-        leaves.append(large.filter(F.col("others") <= limit).drop("others"))
-        large = large.filter(F.col("others") > limit).drop("others")
-        if large.isEmpty():
-            break
+        found = materialize(join_spread(of, names, ["node"], "class_id"), "neardup-large")
+        return found.filter(F.col("others") <= limit).drop("others"), found.filter(F.col("others") > limit).drop("others")
+
+    few, large = still_large(top.filter(F.col("count") > limit))
+    leaves, level = [top.filter(F.col("count") <= limit), few], 1
+    if not large.isEmpty():
+        deeper = classes.join(large.select("class_id").distinct(), "class_id", "left_semi")
+        more = nodes_at(0, at_roots(deeper), range(trees, trees + deep_trees))
+        few, others = still_large(more.filter(F.col("count") > limit))
+        leaves += [more.filter(F.col("count") <= limit), few]
+        large = large.unionByName(others)
+    while not large.isEmpty():
         if level == depth:
             leaves.append(large)
             break
-        below = nodes_at(level, large.join(classes.select("class_id", "signature"), "class_id").select("node", "class_id", "signature"))
-        leaves.append(below.filter(F.col("count") <= limit))
-        large, level = below.filter(F.col("count") > limit), level + 1
+        below = nodes_at(level, large.join(classes.select("class_id", "signature"), "class_id").select("node", "class_id", "signature"), range(0))
+        few, large = still_large(below.filter(F.col("count") > limit))
+        leaves += [below.filter(F.col("count") <= limit), few]
+        level += 1
     nodes = leaves[0]
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)

@@ -7,9 +7,6 @@ from folioframe.session import table
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-
-
-
 def shingle_set(text, k):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
@@ -64,6 +61,35 @@ def test_components_match_brute_force(spark):
         assert got == {i: (n, c, c == i) for i, (n, c) in want.items()}
 
 
+def test_recall_at_full_depth(spark):
+    """Many classes that resemble one another below the threshold, pairs just above it among them: every large node branches down to the last level."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    base, n = np.arange(200), 1200
+    sets = []
+    for i in range(n):
+        own = np.concatenate([r.choice(base, 160, replace=False), 1000 + i * 100 + np.arange(40)])  # about 0.5 alike
+        sets.append(own)
+        if i % 4 == 0:  # a partner at 0.852: 184 of 216 words
+            sets.append(np.concatenate([r.permutation(own)[:184], 500_000 + i * 100 + np.arange(16)]))
+    rows = [(i, " ".join(f"w{w}" for w in s), "en", "s", 1) for i, s in enumerate(sets)]
+    found = N.near_duplicates(spark.createDataFrame(rows, DOCS), words=1, similarity=0.85, limit=24).collect()
+    groups = {}
+    for x in found:
+        groups.setdefault(x.component_id, []).append(x.doc_id)
+    index = {w: k for k, w in enumerate(sorted({int(w) for s in sets for w in s}))}
+    m = np.zeros((len(sets), len(index)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [index[int(w)] for w in s]] = 1
+    shared = m @ m.T
+    size = m.sum(axis=1)
+    a, b = np.nonzero(np.triu(100 * shared >= 85 * (size[:, None] + size[None] - shared), 1))
+    assert len(a) == n // 4
+    component = {x.doc_id: x.component_id for x in found}
+    assert all(component[i] == component[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)) and len(groups) == n
+
+
 def test_query_matches_brute_force_on_the_table(spark):
     sf = "/root/testdata/sf0.001"
     want = brute([(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()], 3, 85)
