@@ -1,21 +1,25 @@
 """Quality classification by co-training two views of a document.
 
 The text view sees words (hashed) and the texture of the text; the metadata
-view sees language, source, length and layout. Each has a logistic classifier.
-Both start from labelled rows; over ``rounds``, each labels the unlabelled rows
-it is surest of, in the proportions of the classes, for the other to learn
-from. Each view is then calibrated on labelled rows that neither learned from,
-and the calibrated log odds of both are combined by a logistic fit on the same
-rows. All documents are scored with both views in one pass.
-
-Learning uses bounded samples (``LABELLED`` and ``POOL`` rows with the smallest
-hash of their id); rows of the held-out fold are in neither. Word and texture
-features of one document are computed from its whole text.
-
-Defined cases: null texts, languages and sources have features of their own; rows
-with equal ids are scored separately; without labels of both classes every
-score is the share of good labels (1 without labels); an empty table gives an
-empty result; extra columns are ignored.
+view sees language, source and the recorded length, and nothing of the text.
+Each has a logistic classifier. Both start from labelled rows; in each of
+``rounds`` rounds, every unlabelled row of the corpus that one view is sure of
+is taught to the other. "Sure" is a score beyond limits that the same share of
+labelled rows passes which the view has not learned from. What a view is taught
+is summed where the rows are: per label, ``BUCKETS`` mean rows reach the driver,
+whatever the size of the corpus, and count as much as a fixed share of the
+labelled rows. Each view is then calibrated on labelled rows that neither
+learned from, and the calibrated log odds of both are combined by a logistic fit
+on the same rows. All documents are scored with both views in one pass.
+
+Learning uses a bounded sample of labelled rows (``LABELLED`` rows with the
+smallest hash of their id); rows of the held-out fold take no part in learning.
+Word and texture features of one document are computed from its whole text.
+
+Defined cases: null texts, languages, sources and lengths have features of their
+own; rows with equal ids are scored separately; without labels of both classes
+every score is the share of good labels (1 without labels); an empty table gives
+an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,53 +33,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.words import remainder, words_of
+from folioframe.llm.neardup import word_hashes
+from folioframe.llm.words import remainder
 from folioframe.session import table
 
 LABELLED = 6_000
-POOL = 6_000
-ROUNDS = 4
-EXCHANGED = 0.05
-PSEUDO_WEIGHT = 0.5
+ROUNDS = 2
+#: Share of the rows that a view is sure of, and of the labelled rows that what it teaches counts for.
+EXCHANGED, PSEUDO_WEIGHT = 0.05, 0.1
+BUCKETS = 4
 FOLDS, HELD_OUT, CALIBRATION = 10, 0, 1
 WORD_DIMS = 1 << 14
 META_DIMS = 1 << 9
-CACHE = 1 << 20
 
 
 class Features:
     """Sparse features (places, values) of the two views of a row."""
 
-    def __init__(self) -> None:
-        self.places: dict[bytes, int] = {}
-
     def text(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = words_of(text)
-        known = self.places
-        if len(known) > CACHE:
-            known.clear()
-        at = np.empty(len(words), np.int32)
-        for i, w in enumerate(words):
-            p = known.get(w)
-            if p is None:
-                p = known[w] = zlib.crc32(w) % (WORD_DIMS - 16) + 16
-            at[i] = p
+        at = (word_hashes(text) % np.uint64(WORD_DIMS - 16)).astype(np.int32) + 16
         places, counts = np.unique(at, return_counts=True)
-        n = max(1, len(words))
+        n = max(1, len(at))
         raw = text or ""
         size = max(1, len(raw))
         signs = sum(raw.count(c) for c in "#$%&*|!")
-        texture = [1.0, min(1.0, signs / n), len(places) / n, (counts.max() if len(words) else 0) / n, size / n / 10.0, sum(map(raw.count, "0123456789")) / size * 10, sum(map(str.isupper, raw)) / size]
+        texture = [1.0, min(1.0, signs / n), len(places) / n, (counts.max() if len(at) else 0) / n, size / n / 10.0, sum(map(raw.count, "0123456789")) / size * 10, sum(map(str.isupper, raw)) / size]
         values = np.sqrt(counts / n)
         return np.concatenate([np.arange(len(texture)), places]).astype(np.int32), np.concatenate([texture, values])
 
-    def meta(self, lang: str | None, source: str | None, n_chars: int | None, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        raw = text or ""
-        lines = raw.count("\n") + 1
+    def meta(self, lang: str | None, source: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
         size = np.log1p(max(0, n_chars or 0)) / 10
-        numbers = [1.0, size, size * size, np.log1p(lines) / 8, np.log1p(len(raw) / lines) / 8, float(n_chars is None)]
-        named = [16 + zlib.crc32(f"{k}={v}".encode()) % (META_DIMS - 16) for k, v in (("lang", lang), ("source", source), ("size", int(size * 10)))]
-        return np.array([*range(len(numbers)), *named], np.int32), np.array([*numbers, 1.0, 1.0, 1.0])
+        numbers = [1.0, size, size * size, float(n_chars is None)]
+        named = [16 + zlib.crc32(f"{k}={v}".encode()) % (META_DIMS - 16) for k, v in (("lang", lang), ("source", source), ("size", int(size * 10)), ("both", f"{lang}/{source}"))]
+        return np.array([*range(len(numbers)), *named], np.int32), np.array([*numbers, 1.0, 1.0, 1.0, 1.0])
+
+    def of(self, text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The rows of both views."""
+        return [self.text(text), self.meta(lang, source, n_chars)]
+
+
+VIEWS = (WORD_DIMS, META_DIMS)
 
 
 class Sparse:
@@ -140,64 +137,109 @@ class Model:
         return tuple(float(v) for v in _sigmoid(np.array([t, m, c])))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, n_labelled: int, n_pool: int) -> list[tuple]:
-    """(text features, metadata features, label or None, fold) of bounded samples."""
+def _sample(docs: DataFrame, labels: DataFrame, n_labelled: int) -> list[tuple]:
+    """(rows of the views, label, fold) of a bounded sample of labelled rows, by id."""
     fold = remainder(F.col("doc_id"), FOLDS)
-    known = labels.filter("doc_id is not null and quality is not null").filter(fold != HELD_OUT)
-    known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_labelled)
-    pool = docs.filter("doc_id is not null").filter(fold != HELD_OUT).select("doc_id").orderBy(F.xxhash64(F.col("doc_id"), F.lit("pool")), "doc_id").limit(n_pool)
-    #: at most n_labelled + n_pool rows
-    wanted = pool.withColumn("y", F.lit(None).cast("int")).unionByName(known).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "y", fold.alias("fold"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), "text")
+    #: at most n_labelled rows
+    rows = docs.join(F.broadcast(_wanted(labels, n_labelled)), "doc_id").select("doc_id", "y", fold.alias("fold"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
             tp, tv, mp, mv = [], [], [], []
             for r in batch.to_pylist():
-                a, b = features.text(r["text"]), features.meta(r["lang"], r["source"], r["n_chars"], r["text"])
+                a, b = features.of(r["text"], r["lang"], r["source"], r["n_chars"])
                 tp.append(a[0]), tv.append(a[1].astype(np.float32)), mp.append(b[0]), mv.append(b[1].astype(np.float32))
             arrays = [pa.array(tp, pa.list_(pa.int32())), pa.array(tv, pa.list_(pa.float32())), pa.array(mp, pa.list_(pa.int32())), pa.array(mv, pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *arrays], ["doc_id", "y", "fold", "tp", "tv", "mp", "mv"])
 
-    found = rows.mapInArrow(extract, "doc_id long, y int, fold long, tp array<int>, tv array<float>, mp array<int>, mv array<float>").toArrow().sort_by("doc_id")
+    found = rows.mapInArrow(extract, "doc_id long, y int, fold long, tp array<int>, tv array<float>, mp array<int>, mv array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     array = lambda c, k: np.array(c.values, k)
     cols = [found.column(i).combine_chunks() for i in range(7)]
-    return [((array(cols[3][i], np.int32), array(cols[4][i], float)), (array(cols[5][i], np.int32), array(cols[6][i], float)), cols[1][i].as_py(), cols[2][i].as_py()) for i in range(len(found))]
+    return [([(array(cols[3][i], np.int32), array(cols[4][i], float)), (array(cols[5][i], np.int32), array(cols[6][i], float))], cols[1][i].as_py(), cols[2][i].as_py()) for i in range(len(found))]
+
 
+def _wanted(labels: DataFrame, n_labelled: int) -> DataFrame:
+    """(``doc_id``, ``y``) of the labelled rows that are learned from or judged by."""
+    known = labels.filter("doc_id is not null and quality is not null").filter(remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
+    return known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_labelled)
 
-def co_train(docs: DataFrame, labels: DataFrame, *, n_labelled: int = LABELLED, n_pool: int = POOL, rounds: int = ROUNDS) -> Model:
+
+def taught(docs: DataFrame, labels: DataFrame, weights: list[np.ndarray], limits: list[tuple[float, float]], n_labelled: int = LABELLED) -> list[list[tuple[tuple, int, int]]]:
+    """What each view is taught: (mean row, label, number of rows) per label and bucket.
+
+    ``limits`` are each view's (low, high): unlabelled rows that score no more,
+    or no less, are taught to the other view as bad, or good.
+    """
+    fold = remainder(F.col("doc_id"), FOLDS)
+    pool = docs.filter(F.col("doc_id").isNotNull() & (fold != HELD_OUT)).join(F.broadcast(_wanted(labels, n_labelled).select("doc_id")), "doc_id", "left_anti")
+    rows = pool.select(remainder(F.col("doc_id"), BUCKETS * FOLDS).alias("k"), "text", "lang", "source", F.col("n_chars").cast("long"))
+    shared = docs.sparkSession.sparkContext.broadcast((weights, limits))
+
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        (w, bounds), sums = shared.value, {}
+        for batch in batches:
+            for k, text, lang, source, n_chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                views = features.of(text, lang, source, n_chars)
+                for v, other in ((0, 1), (1, 0)):
+                    at, value = views[v]
+                    score = float(value @ w[v][at])
+                    label = 0 if score <= bounds[v][0] else 1 if score >= bounds[v][1] else None
+                    if label is not None:
+                        total = sums.setdefault((other, label, k // FOLDS), np.zeros(VIEWS[other] + 1))
+                        np.add.at(total, views[other][0], views[other][1])
+                        total[-1] += 1
+        for (view, label, bucket), total in sums.items():
+            at = np.flatnonzero(total)
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.array([x] * n, pa.int32()) for x in (view, label, bucket)] + [pa.array(at, pa.int32()), pa.array(total[at])], ["view", "label", "bucket", "place", "total"])
+
+    partial = rows.mapInArrow(teach, "view int, label int, bucket int, place int, total double")
+    #: at most 2 labels * BUCKETS rows per feature
+    found = partial.groupBy("view", "label", "bucket", "place").agg(F.sum("total").alias("total")).toArrow().sort_by([(c, "ascending") for c in ("view", "label", "bucket", "place")])
+    cols = [found.column(c).to_numpy() for c in ("view", "label", "bucket", "place", "total")]
+    out: list[list[tuple[tuple, int, int]]] = [[], []]
+    for view, dims in enumerate(VIEWS):
+        for label in (0, 1):
+            for bucket in range(BUCKETS):
+                mine = (cols[0] == view) & (cols[1] == label) & (cols[2] == bucket)
+                at, total = cols[3][mine], cols[4][mine]
+                if len(at):
+                    n = total[at == dims][0]
+                    out[view].append(((at[at < dims].astype(np.int32), total[at < dims] / n), label, int(n)))
+    return out
+
+
+def sure(scores: np.ndarray, share: float) -> tuple[float, float]:
+    """The scores that the worst and best of rows pass: ``EXCHANGED`` of them, in the proportions of the classes."""
+    return float(np.quantile(scores, EXCHANGED * (1 - share))), float(np.quantile(scores, 1 - EXCHANGED * share))
+
+
+def co_train(docs: DataFrame, labels: DataFrame, *, n_labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
     """The model; ``docs`` has doc_id, text, lang, source and n_chars."""
-    rows = _sample(docs, labels, n_labelled, n_pool)
-    learn = [r for r in rows if r[2] is not None and r[3] != CALIBRATION]
-    judge = [r for r in rows if r[2] is not None and r[3] == CALIBRATION]
-    pool = [r for r in rows if r[2] is None]
-    share = float(np.mean([r[2] for r in learn + judge])) if learn + judge else 1.0
-    if not 0 < share < 1 or len({r[2] for r in learn}) < 2 or len({r[2] for r in judge}) < 2:
+    rows = _sample(docs, labels, n_labelled)
+    learn = [r for r in rows if r[2] != CALIBRATION]
+    judge = [r for r in rows if r[2] == CALIBRATION]
+    share = float(np.mean([r[1] for r in rows])) if rows else 1.0
+    if not 0 < share < 1 or len({r[1] for r in learn}) < 2 or len({r[1] for r in judge}) < 2:
         constant = np.array([0.0, np.log(max(share, 1e-9) / max(1 - share, 1e-9))])
         return Model(np.zeros(WORD_DIMS), np.zeros(META_DIMS), constant, constant, np.array([0.5, 0.5, 0.0]))
-    views = ((0, WORD_DIMS), (1, META_DIMS))
-    taught: list[list[tuple[int, int]]] = [[], []]  # what each view was taught: (pool row, label)
-    pool_x = [Sparse([r[v] for r in pool], d) for v, d in views]
-    weights: list[np.ndarray] = [np.zeros(0)] * 2
+    lessons: list[list[tuple[tuple, int, int]]] = [[], []]
+    judged = [Sparse([r[0][v] for r in judge], d) for v, d in enumerate(VIEWS)]
     for k in range(rounds + 1):
-        for v, d in views:
-            own = learn + [pool[i] for i, _ in taught[v]]
-            y = np.array([r[2] for r in learn] + [label for _, label in taught[v]], float)
-            trust = np.array([1.0] * len(learn) + [PSEUDO_WEIGHT] * len(taught[v]))
-            weights[v] = fit(Sparse([r[v] for r in own], d), y, trust)
-        if k == rounds or not pool:
-            break
-        taken = {i for t in taught for i, _ in t}
-        for v, other in ((0, 1), (1, 0)):
-            order = [int(i) for i in np.argsort(pool_x[v].dot(weights[v]), kind="stable") if int(i) not in taken]
-            n = int(EXCHANGED * len(pool))
-            bad, good = max(1, round(n * (1 - share))), max(1, round(n * share))
-            chosen = [(i, 0) for i in order[:bad]] + [(i, 1) for i in order[bad:][-good:]]
-            taught[other] += chosen
-            taken |= {i for i, _ in chosen}
-    y = np.array([r[2] for r in judge], float)
-    raw = [Sparse([r[v] for r in judge], d).dot(weights[v]) for v, d in views]
+        weights = []
+        for v, d in enumerate(VIEWS):
+            y = np.array([r[1] for r in learn] + [label for _, label, _ in lessons[v]], float)
+            #: the lessons of a label share the weight of that many labelled rows
+            of_label = [max(1, sum(n for _, x, n in lessons[v] if x == label)) for label in (0, 1)]
+            class_share = (1 - share, share)
+            trust = [PSEUDO_WEIGHT * len(learn) * class_share[label] * n / of_label[label] for _, label, n in lessons[v]]
+            weights.append(fit(Sparse([r[0][v] for r in learn] + [x for x, _, _ in lessons[v]], d), y, np.array([1.0] * len(learn) + trust)))
+        raw = [x.dot(w) for x, w in zip(judged, weights, strict=True)]
+        if k < rounds:
+            lessons = taught(docs, labels, weights, [sure(x, share) for x in raw], n_labelled)
+    y = np.array([r[1] for r in judge], float)
     curves = [fit_dense(x[:, None], y) for x in raw]
     odds = np.stack([x * c[0] + c[1] for x, c in zip(raw, curves, strict=True)], axis=1)
     return Model(weights[0], weights[1], curves[0], curves[1], fit_dense(odds, y))
@@ -212,8 +254,7 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = []
             for _, text, lang, source, n_chars in zip(*(batch.column(i) for i in range(5)), strict=True):
-                t = text.as_py()
-                found.append(shared.value.scores(features.text(t), features.meta(lang.as_py(), source.as_py(), n_chars.as_py(), t)))
+                found.append(shared.value.scores(*features.of(text.as_py(), lang.as_py(), source.as_py(), n_chars.as_py())))
             cols = zip(*found, strict=True) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in cols)], ["doc_id", "text_score", "meta_score", "score"])
 
