@@ -28,12 +28,11 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""select page_id, len(regexp_extract_all(html, '<a href=')) as links, len(regexp_extract_all(html, '<h1>')) as headings, len(regexp_extract_all(html, '<li>')) as items from pages""")
+@query("""select page_id, len(regexp_extract_all(html, '<a href=')) as links, len(regexp_extract_all(html, '<h1>')) as headings from pages""")
 def page_blocks(spark, sf):
     b = files.page_blocks(table(spark, sf, "pages"))
     n = lambda k: F.count_if(F.col("kind") == k)
-    items = table(spark, sf, "pages").select("page_id", F.regexp_count("html", F.lit("<li>")).cast("long").alias("items"))
-    return b.groupBy("page_id").agg(n("link").alias("links"), n("heading").alias("headings")).join(items, "page_id")
+    return b.groupBy("page_id").agg(n("link").alias("links"), n("heading").alias("headings"))
 
 
 @query("""with l as (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) as own from pages)

@@ -44,11 +44,14 @@ def dealt(rows: DataFrame, key: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests,
-    one machine) a temporary folder is made once per application.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local
+    master (tests, one machine) gets a temporary folder once per application; on
+    any other it is an error, as executors don't see the driver's folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         made = getattr(spark.sparkContext, "_folio_folder", None)
         if made is None:
             made = "file://" + tempfile.mkdtemp(prefix="folio-")
@@ -61,9 +64,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    context._folio_written = [*getattr(context, "_folio_written", []), path]
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_intermediate(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` has written in this application; the number of them.
+
+    To be called when results are written: frames that are still to be computed
+    read them.
+    """
+    context = spark.sparkContext
+    paths, context._folio_written = getattr(context, "_folio_written", []), []
+    for path in paths:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
     """A local session with the settings that tests and the benchmark use."""
     builder = (

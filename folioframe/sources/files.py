@@ -172,34 +172,76 @@ BLOCK = "page_id long, seq int, kind string, level int, text string, href string
 
 
 class _Blocks(HTMLParser):
-    """Rows of a page: titles, headings, paragraphs, items, links, images."""
+    """Rows of a page: titles, headings, paragraphs, items, tables, links, images.
 
-    KINDS = {**{f"h{n}": ("heading", n) for n in range(1, 7)}, "p": ("paragraph", 0), "li": ("item", 0), "blockquote": ("quote", 0), "pre": ("code", 0), "td": ("cell", 0), "th": ("cell", 1), "figcaption": ("caption", 0), "title": ("title", 0)}
+    Emphasis is marked in the text. An item of an ordered list has its number in
+    the last column; a table is one row in pipe form.
+    """
+
+    KINDS = {**{f"h{n}": ("heading", n) for n in range(1, 7)}, "p": ("paragraph", 0), "li": ("item", 0), "blockquote": ("quote", 0), "pre": ("code", 0), "figcaption": ("caption", 0), "title": ("title", 0)}
+    MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+    CUTS = frozenset("div ul ol table tr td th section article main header figure".split())
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple[str, int, str, str | None]] = []
         self.parts: list[str] = []
-        self.kind: tuple[str, int] = ("paragraph", 0)
+        self.kind: tuple[str, int, str | None] = ("paragraph", 0, None)
         self.silent = 0
         self.link: tuple[str, list[str]] | None = None
-        self.lists = 0
+        self.lists: list[list] = []  #: [ordered, items so far] of each open list
+        self.marks: list[str] = []
+        self.tables: list[list[list[str]]] = []
+        self.cell: list[str] | None = None
 
     def flush(self) -> None:
         text = re.sub(r"\s+", " ", "".join(self.parts)).strip()
-        if text:
-            self.rows.append((*self.kind, text, None))
-        self.parts, self.kind = [], ("paragraph", 0)
+        if text and self.cell is not None:
+            self.cell.append(text)
+        elif text:
+            self.rows.append((self.kind[0], self.kind[1], text, self.kind[2]))
+        self.parts, self.kind = [], ("paragraph", 0, None)
+
+    def end_cell(self) -> None:
+        self.flush()
+        if self.cell is not None and self.tables:
+            if not self.tables[-1]:
+                self.tables[-1].append([])
+            self.tables[-1][-1].append(" ".join(self.cell).replace("|", "\\|"))
+        self.cell = None
+
+    def end_table(self) -> None:
+        self.end_cell()
+        rows = [r for r in self.tables.pop() if any(r)] if self.tables else []
+        if rows:
+            width = max(map(len, rows))
+            lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+            self.rows.append(("table", 0, "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]), None))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         named = dict(attrs)
         if tag in BOILERPLATE and tag != "head":
             self.silent += 1
-        if tag in self.KINDS or tag in ("div", "ul", "ol", "table", "tr", "section", "article"):
+        if tag in self.KINDS or tag in self.CUTS:
             self.flush()
-            kind = self.KINDS.get(tag, ("paragraph", 0))
-            self.kind = (kind[0], self.lists) if tag == "li" else kind
-        self.lists += tag in ("ul", "ol")
+        if tag in self.KINDS:
+            self.kind = (*self.KINDS[tag], None)
+        if tag in ("ul", "ol"):
+            self.lists.append([tag == "ol", 0])
+        elif tag == "li" and self.lists:
+            self.lists[-1][1] += 1
+            self.kind = ("item", len(self.lists), f"{self.lists[-1][1]}." if self.lists[-1][0] else None)
+        elif tag == "table":
+            self.tables.append([])
+            self.cell = None
+        elif tag in ("tr", "td", "th") and self.tables:
+            self.end_cell()
+            if tag == "tr":
+                self.tables[-1].append([])
+            else:
+                self.cell = []
+        if tag in self.MARKS:
+            self.marks.append(tag)
         if tag == "a" and named.get("href"):
             self.link = (named["href"], [])
         if tag == "img" and not self.silent:
@@ -211,7 +253,15 @@ class _Blocks(HTMLParser):
             self.silent = max(0, self.silent - 1)
         if tag in self.KINDS:
             self.flush()
-        self.lists = max(0, self.lists - (tag in ("ul", "ol")))
+        if tag in ("ul", "ol") and self.lists:
+            self.flush()
+            self.lists.pop()
+        if tag in ("td", "th", "tr"):
+            self.end_cell()
+        if tag == "table":
+            self.end_table()
+        if tag in self.marks:
+            del self.marks[len(self.marks) - 1 - self.marks[::-1].index(tag)]
         if tag == "a" and self.link:
             self.rows.append(("link", 0, re.sub(r"\s+", " ", "".join(self.link[1])).strip(), self.link[0]))
             self.link = None
@@ -219,8 +269,21 @@ class _Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.link:
             self.link[1].append(data)
-        if not self.silent:
-            self.parts.append(data)
+        if self.silent:
+            return
+        core = data.strip()
+        if self.marks and core:
+            kinds = [self.MARKS[t] for t in dict.fromkeys(self.marks)]
+            mark = "`" if "`" in kinds else "".join(dict.fromkeys(kinds))
+            at = data.index(core)
+            data = f"{data[:at]}{mark}{core}{mark[::-1]}{data[at + len(core) :]}"
+        self.parts.append(data)
+
+    def close(self) -> None:
+        super().close()
+        while self.tables:
+            self.end_table()
+        self.flush()
 
 
 def page_blocks(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -233,7 +296,6 @@ def page_blocks(pages: DataFrame, *, key: str = "page_id", html: str = "html") -
                 parser = _Blocks()
                 parser.feed(value.as_py() or "")
                 parser.close()
-                parser.flush()
                 out += [(k, n, *row) for n, row in enumerate(parser.rows)]
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string())
@@ -243,11 +305,11 @@ def page_blocks(pages: DataFrame, *, key: str = "page_id", html: str = "html") -
 
 
 def extract_pages(blocks: DataFrame) -> DataFrame:
-    """(``page_id``, ``markdown``): titles, headings, paragraphs, items, quotes and images in order."""
+    """(``page_id``, ``markdown``): titles, headings, paragraphs, items, tables, quotes and images in order."""
     mark = (
         F.when(F.col("kind") == "title", F.concat(F.lit("# "), "text"))
         .when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "text"))
-        .when(F.col("kind") == "item", F.concat(F.repeat(F.lit("  "), F.greatest(F.col("level") - 1, F.lit(0))), F.lit("- "), "text"))
+        .when(F.col("kind") == "item", F.concat(F.repeat(F.lit("  "), F.greatest(F.col("level") - 1, F.lit(0))), F.coalesce("href", F.lit("-")), F.lit(" "), "text"))
         .when(F.col("kind") == "quote", F.concat(F.lit("> "), "text"))
         .when(F.col("kind") == "code", F.concat(F.lit("```\n"), "text", F.lit("\n```")))
         .when(F.col("kind") == "image", F.concat(F.lit("!["), "text", F.lit("]("), F.coalesce("href", F.lit("")), F.lit(")")))

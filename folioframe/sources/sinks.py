@@ -103,8 +103,34 @@ def write_citations(items: DataFrame, ext: str) -> DataFrame:
     return items.select("id", text.alias("record"))
 
 
-def write_notes(notes: DataFrame, ext: str = "md") -> DataFrame:
-    """(``doc``, ``artefact``): each document's notes in order, as md, txt or json."""
+def notes_reference(notes: DataFrame, ext: str, meta: DataFrame | None = None, year: str | None = None) -> DataFrame:
+    """(``doc``, ``artefact``): one reference per document that carries its notes, as bib or ris.
+
+    ``meta`` has ``doc``, ``title``, ``author`` and ``source``; without it the
+    document's key is its title. ``year`` is the year of export, this one if None.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    both = F.struct(F.row_number().over(Window.partitionBy("doc").orderBy("char_pos", "id")).alias("n"), blank("anchor").alias("a"), blank("note").alias("b"))
+    listed = notes.withColumn("_x", both).groupBy("doc").agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+    known = listed.join(meta.select("doc", "title", "author", "source"), "doc", "left") if meta is not None else listed.withColumns({c: F.lit(None).cast("string") for c in ("title", "author", "source")})
+    title, when = F.coalesce("title", F.col("doc").cast("string")), F.lit(year) if year else F.year(F.current_date()).cast("string")
+    if ext == "bib":
+        stem = F.regexp_replace(F.element_at(F.split(F.coalesce("source", F.lit("")), "/"), -1), r"\.[^.]*$", "")
+        key = F.substring(F.regexp_replace(F.coalesce(F.nullif(stem, F.lit("")), title), r"(?U)\W+", ""), 1, 40)
+        said = F.array_join(F.transform("_x", lambda x: F.trim(F.concat(F.lit("["), x["a"], F.lit("] "), x["b"]))), "; ")
+        field = lambda name, c: F.when(blank(c) != "", F.concat(F.lit(f"  {name} = {{"), c, F.lit("}")))
+        fields = F.concat_ws(",\n", field("title", title), field("author", F.col("author")), field("howpublished", F.col("source")), field("year", when), F.concat(F.lit("  annote = {"), said, F.lit("}")))
+        return known.select("doc", F.concat(F.lit("@misc{"), F.when(key == "", "notes").otherwise(key), F.lit(",\n"), fields, F.lit("\n}\n")).alias("artefact"))
+    line = lambda tag, c: F.when(blank(c) != "", F.concat(F.lit(f"{tag}  - "), c))
+    said = F.transform("_x", lambda x: F.concat(F.lit("N1  - "), F.when(x["a"] != "", F.concat(F.lit("“"), x["a"], F.lit("” — "))).otherwise(F.lit("")), x["b"]))
+    lines = F.concat_ws("\r\n", F.lit("TY  - GEN"), line("TI", title), line("AU", F.col("author")), said, line("UR", F.col("source")), line("PY", when), F.lit("ER  - "), F.lit(""))
+    return known.select("doc", lines.alias("artefact"))
+
+
+def write_notes(notes: DataFrame, ext: str = "md", *, meta: DataFrame | None = None, year: str | None = None) -> DataFrame:
+    """(``doc``, ``artefact``): each document's notes in order, as md, txt, json, bib or ris."""
+    if ext in ("bib", "ris"):
+        return notes_reference(notes, ext, meta, year)
     at = F.row_number().over(Window.partitionBy("doc").orderBy("char_pos", "id"))
     rows = notes.withColumn("_n", at)
     if ext == "json":

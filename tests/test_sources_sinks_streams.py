@@ -163,3 +163,34 @@ def test_deltas_over_eras(spark, tmp_path, monkeypatch):
     got = {r.path: (r.size, r.text) for r in streams.current_index(spark, out).collect()}
     assert got == {"a": (3, "z"), "b": (1, "y"), "d": (1, "w")}
     assert len(list((tmp_path / "out").glob("era=*"))) == 3
+
+
+def test_page_tables_lists_and_emphasis(spark):
+    from folioframe.sources import files
+
+    html = "<title>T</title><p>a <b>bold</b> and <em>soft</em> <code>x</code></p><ol><li>one<ul><li>in</ul><li>two</ol><table><tr><th>H<th>I<tr><td>1<td><b>2</b></table><table><tr><td>a|b</td></tr><p>end"
+    blocks = files.page_blocks(spark.createDataFrame([(1, html), (2, None), (3, "<table><tr><td>")], "page_id long, html string"))
+    got = {r.page_id: r.markdown for r in files.extract_pages(blocks).collect()}
+    assert got == {1: "# T\n\na **bold** and *soft* `x`\n\n1. one\n\n  - in\n\n2. two\n\n| H | I |\n| --- | --- |\n| 1 | **2** |\n\nend\n\n| a\\|b |\n| --- |"}
+
+
+def test_notes_as_references(spark):
+    from folioframe.sources import sinks
+
+    notes = spark.createDataFrame([(1, 2, 9, "b", "second"), (1, 1, 3, "a", "first"), (2, 3, 0, "", "only")], "doc int, id int, char_pos int, anchor string, note string")
+    meta = spark.createDataFrame([(1, "Title", "Doe", "/x/My Book.pdf"), (2, None, None, None)], "doc int, title string, author string, source string")
+    got = {r.doc: r.artefact for r in sinks.write_notes(notes, "bib", meta=meta, year="2024").collect()}
+    assert got[1] == "@misc{MyBook,\n  title = {Title},\n  author = {Doe},\n  howpublished = {/x/My Book.pdf},\n  year = {2024},\n  annote = {[a] first; [b] second}\n}\n"
+    got = {r.doc: r.artefact for r in sinks.write_notes(notes, "ris", meta=meta, year="2024").collect()}
+    assert got[1] == "TY  - GEN\r\nTI  - Title\r\nAU  - Doe\r\nN1  - “a” — first\r\nN1  - “b” — second\r\nUR  - /x/My Book.pdf\r\nPY  - 2024\r\nER  - \r\n" and got[2] == "TY  - GEN\r\nTI  - 2\r\nN1  - only\r\nPY  - 2024\r\nER  - \r\n"
+
+
+def test_intermediate_tables_are_cleared(spark, tmp_path):
+    from pathlib import Path
+
+    from folioframe import session
+
+    session.clear_intermediate(spark)
+    frame = session.materialize(spark.range(5), "some")
+    folder = Path(frame.inputFiles()[0].removeprefix("file://")).parent
+    assert frame.count() == 5 and session.clear_intermediate(spark) == 1 and not folder.exists()
