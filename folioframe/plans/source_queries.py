@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from folioframe.operators import sessions, vault
+from folioframe.plans import library_queries
 from folioframe.plans import views as V
 from folioframe.session import shared_folder, table
 from folioframe.sources import files, sinks
@@ -270,7 +271,7 @@ def index_stream(spark, sf):
     return streams.current_index(spark, f"{out}/t").select("path", "size", "text")
 
 
-@query()
+@query(library_queries.ORACLE_SQL["schedule_reviews"])
 def review_states_by_fold(spark, sf):
     """The streaming fold's Python step over the batch log, in groups; equals the native fold."""
     log = V.frame(spark, sf, V.REVIEW_LOG)
@@ -283,5 +284,7 @@ def review_states_by_fold(spark, sf):
             state = streams.fold_review(state, pd.Timestamp(r.day).date(), int(r.grade))
         return pd.DataFrame([(pdf["card_id"].iloc[0], *state)], columns=["card_id", "stability", "difficulty", "interval", "reps", "lapses", "last_review", "next_review"])
 
-    return log.groupBy("card_id").applyInPandas(fold, f"card_id long, {streams.STATE}")
+    out = log.groupBy("card_id").applyInPandas(fold, f"card_id long, {streams.STATE}")
+    days = {c: F.col(c).cast("string") for c in ("last_review", "next_review")}
+    return out.withColumns({"stability": F.round("stability", 3), "difficulty": F.round("difficulty", 3), **days})
 
