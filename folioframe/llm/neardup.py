@@ -1,7 +1,8 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document is the set of its distinct word shingles. Sets that are equal are
-one class from the start. Every class carries ``HASHES`` minwise values. In
+A document is the set of its distinct word shingles. Sets that are equal, by two
+digests of 64 bits, are one class from the start; the first digest names it, and
+classes that share a name get others. Every class carries ``HASHES`` minwise values. In
 each of ``trees`` independent trees the classes branch recursively: at a node,
 every coordinate is chosen with probability 1 / (threshold * HASHES), by a hash
 of the node, and a class descends to one child per chosen coordinate, named by
@@ -135,27 +136,33 @@ def minwise(sets: np.ndarray) -> np.ndarray:
     return (_mix(best.astype(np.uint64) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
 
 
-def set_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """Per document: ``text_hash``, ``n_shingles``, ``class_id`` (a 64-bit digest of the set; null if empty) and the minwise values."""
+def set_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, id_bits: int = 64) -> DataFrame:
+    """Per document: ``text_hash``, ``n_shingles``, ``class_id`` and ``class_check`` (digests of the set; null if empty) and the minwise values."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, signatures = [], [], []
+            sizes, names, checks, signatures = [], [], [], []
             for value in batch.column(2):
                 s = shingles(value.as_py(), words)
                 sizes.append(len(s))
-                names.append(class_name(s))
+                names.append(class_name(s, id_bits))
+                checks.append(class_check(s))
                 signatures.append(minwise(s).tobytes() if len(s) else None)
-            arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(signatures, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_shingles", "class_id", "signature"])
+            arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(checks, pa.int64()), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_shingles", "class_id", "class_check", "signature"])
 
-    schema = "doc_id long, text_hash long, n_shingles long, class_id long, signature binary"
+    schema = "doc_id long, text_hash long, n_shingles long, class_id long, class_check long, signature binary"
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text)).mapInArrow(build, schema)
 
 
-def class_name(s: np.ndarray) -> int | None:
-    """A set's name: 64 bits of a digest of its sorted members."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
+def class_name(s: np.ndarray, bits: int = 64) -> int | None:
+    """A set's name: a digest of its sorted members."""
+    return (xxhash.xxh3_64_intdigest(s.tobytes()) >> (64 - bits)) - (1 << 63) if len(s) else None
+
+
+def class_check(s: np.ndarray) -> int | None:
+    """Another digest, which tells sets of one name apart."""
+    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=1) - (1 << 63) if len(s) else None
 
 
 def _chosen(seed: np.uint64, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -371,19 +378,19 @@ def confirmed_inside(groups: DataFrame, threshold: float, percent: int) -> DataF
 
 
 def full_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(``class_id``, ``full``) of texts (``class_id``, ``text``); a text that is not the class's own is left out."""
+    """(``class_id``, ``full``) of texts (``class_id``, ``class_check``, ``text``); a text that is not the class's own is left out."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = [], []
-            for c, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for c, check, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = shingles(value.as_py(), words)
-                if class_name(s) == c:
+                if class_check(s) == check:
                     ids.append(c)
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["class_id", "full"])
 
-    return texts.select("class_id", "text").mapInArrow(build, "class_id long, full binary").dropDuplicates(["class_id"])
+    return texts.select("class_id", "class_check", "text").mapInArrow(build, "class_id long, full binary").dropDuplicates(["class_id"])
 
 
 def first_groups(nodes: DataFrame, limit: int) -> DataFrame:
@@ -420,23 +427,23 @@ def second_groups(nodes: DataFrame, limit: int) -> DataFrame:
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the similarity.
 
-    ``texts`` has (``class_id``, ``text``); where rows of one id hold several
-    texts, only the one whose set is the class's own counts.
+    ``texts`` has (``class_id``, ``class_check``, ``text``); where rows of one id
+    hold several texts, only the one whose set is the class's own counts.
     """
-    one = pairs.join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = one.join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    side = lambda x: texts.select(F.col("class_id").alias(x), F.col("class_check").alias(f"check_{x}"), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "check_a", "check_b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None, None)
         for batch in batches:
             ok = []
-            for a, b, text_a, text_b in zip(*(batch.column(i) for i in range(4)), strict=True):
-                a, b, text_a = a.as_py(), b.as_py(), text_a.as_py()
+            for a, check_a, check_b, text_a, text_b in zip(*(batch.column(i) for i in (0, 2, 3, 4, 5)), strict=True):
+                a, text_a = a.as_py(), text_a.as_py()
                 if last[:2] != (a, text_a):
                     last = a, text_a, shingles(text_a, words)
                 x, y = last[2], shingles(text_b.as_py(), words)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(class_name(x) == a and class_name(y) == b and 100 * shared >= percent * (len(x) + len(y) - shared))
+                ok.append(class_check(x) == check_a.as_py() and class_check(y) == check_b.as_py() and 100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(check, "a long, b long")
@@ -453,12 +460,18 @@ def near_duplicates(
     deep_trees: int = DEEP_TREES,
     depth: int = DEPTH,
     limit: int = LIMIT,
+    id_bits: int = 64,
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``text_hash``, ``n_shingles``, ``component_id``, ``kept``."""
     percent = round(100 * similarity)
-    rows = materialize(set_rows(docs, doc_id=doc_id, text=text, words=words), "neardup-sets")
-    classes = rows.filter("class_id is not null and doc_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    rows = materialize(set_rows(docs, doc_id=doc_id, text=text, words=words, id_bits=id_bits), "neardup-sets")
+    classes = rows.filter("class_id is not null and doc_id is not null").groupBy("class_id", "class_check").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = materialize(classes, "neardup-classes")
+    twins = materialize(classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("class_id", F.lit(True).alias("_twin")), "neardup-twins")
+    if not twins.isEmpty():  # different sets of one name get names of both digests
+        other = F.when(F.col("_twin"), F.xxhash64("class_id", "class_check")).otherwise(F.col("class_id"))
+        renamed = lambda f: f.join(twins, "class_id", "left").withColumn("class_id", other).drop("_twin")
+        rows, classes = materialize(renamed(rows), "neardup-sets"), materialize(renamed(classes), "neardup-classes")
 
     def nodes_at(level: int, frontier: DataFrame, of_trees: range) -> DataFrame:
         """(``node``, ``class_id``, ``count``, ``first``) of the nodes of more than one class.
@@ -484,8 +497,8 @@ def near_duplicates(
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct().join(classes.select("class_id", "rep"), "class_id")
-        return materialize(confirm(pairs, texts.join(ends, "rep").select("class_id", "text"), words, percent).distinct(), "neardup-links")
+        ends = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct().join(classes.select("class_id", "class_check", "rep"), "class_id")
+        return materialize(confirm(pairs, texts.join(ends, "rep").select("class_id", "class_check", "text"), words, percent).distinct(), "neardup-links")
 
     def component_of(links: DataFrame, ids: DataFrame) -> DataFrame:
         found = connected_components(links, "a", "b").select(F.col("node").alias("class_id"), "component")
@@ -525,7 +538,7 @@ def near_duplicates(
     places = nodes.groupBy("class_id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
     known = materialize(now.join(places, "class_id"), "neardup-known")
     members = materialize(hopeful(met.join(known, "class_id"), similarity), "neardup-members")
-    ends = members.select("class_id").distinct().join(classes.select("class_id", "rep"), "class_id")
+    ends = members.select("class_id").distinct().join(classes.select("class_id", "class_check", "rep"), "class_id")
     sets = full_sets(texts.join(ends, "rep"), words)
     links = links.unionByName(materialize(confirmed_inside(members.join(known.join(sets, "class_id"), "class_id"), similarity, percent), "neardup-links"))
 

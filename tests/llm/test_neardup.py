@@ -61,6 +61,13 @@ def test_components_match_brute_force(spark):
         assert got == {i: (n, c, c == i) for i, (n, c) in want.items()}
 
 
+def test_sets_of_one_name_stay_apart(spark):
+    rows = corpus(3)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(docs, words=3, similarity=0.85, id_bits=5).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 3, 85).items()}
+
+
 def test_recall_at_full_depth(spark):
     """Many classes that resemble one another below the threshold, pairs just above it among them: every large node branches down to the last level."""
     import numpy as np
