@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -69,6 +70,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(written: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing will read again."""
+    context = written.sparkSession.sparkContext
+    folders = {f.rsplit("/", 1)[0].removeprefix("file://") for f in written.inputFiles()}
+    mine = [p for p in getattr(context, "_folio_written", []) if p.removeprefix("file://") in folders]
+    context._folio_written = [p for p in getattr(context, "_folio_written", []) if p not in mine]
+    _delete(written.sparkSession, mine)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of results that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    context = spark.sparkContext
+    for path in paths:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def clear_intermediate(spark: SparkSession) -> int:
     """Delete the tables that ``materialize`` has written in this application; the number of them.
 
@@ -77,9 +100,7 @@ def clear_intermediate(spark: SparkSession) -> int:
     """
     context = spark.sparkContext
     paths, context._folio_written = getattr(context, "_folio_written", []), []
-    for path in paths:
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(spark, paths)
     return len(paths)
 
 

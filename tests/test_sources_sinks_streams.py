@@ -194,3 +194,7 @@ def test_intermediate_tables_are_cleared(spark, tmp_path):
     frame = session.materialize(spark.range(5), "some")
     folder = Path(frame.inputFiles()[0].removeprefix("file://")).parent
     assert frame.count() == 5 and session.clear_intermediate(spark) == 1 and not folder.exists()
+    frame = session.materialize(spark.range(5), "some")
+    folder = Path(frame.inputFiles()[0].removeprefix("file://")).parent
+    session.discard(frame)
+    assert not folder.exists() and session.clear_intermediate(spark) == 0
