@@ -31,7 +31,6 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -40,11 +39,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.llm.words import remainder, words_of
-from folioframe.session import materialize, table
+from folioframe.session import forget_shuffles, materialize, table
 
 ORDER = 3
 CORE_FLOOR = 2.0**-15
@@ -431,12 +430,6 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, n: int, v: int, order: i
     return found.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Have Spark remove the shuffle files of results that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def lm_scores(docs: DataFrame, *, folds: int = FOLDS, order: int = ORDER, block_tokens: int = BLOCK_TOKENS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores of all ``docs``, learned from those outside the held-out fold."""
     blocks = materialize(token_blocks(docs, doc_id=doc_id, text=text, folds=folds, block_tokens=block_tokens), "lm-blocks")

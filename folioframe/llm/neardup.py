@@ -19,8 +19,7 @@ component would change nothing. In the second, large nodes that hold more than
 at most, and nodes that stay large are compared block by block, all pairs of
 blocks that hold different components, so none is skipped. As a pair is less
 likely to share a node the deeper the nodes are, the classes of such nodes
-descend ``deep_trees`` further trees, which keep the recall of the first level
-down to the last. Members with a
+descend ``deep_trees`` further trees. Members with a
 candidate in another component get their full sets, and the node confirms
 links itself. So either round emits rows in proportion to a node's members,
 not to its pairs.
@@ -45,15 +44,14 @@ from pyspark.sql import functions as F
 from folioframe.llm.spread import join_spread
 from folioframe.llm.words import WORD
 from folioframe.operators.components import connected_components
-from folioframe.session import materialize
+from folioframe.session import discard, forget_shuffles, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
 HASHES = 128
 TREES = 16
-#: Further trees for the classes of large nodes. A pair at the threshold shares a node of a tree's level 6 with
-#: probability 0.24, of level 1 with 0.63: 64 trees miss at level 6 what 16 miss at level 1.
-DEEP_TREES = 48
+#: Further trees for the classes of large nodes, as a pair is less likely to share a node the deeper nodes are.
+DEEP_TREES = 8
 DEPTH = 6
 LIMIT = 256
 #: Parts that a node is counted in.
@@ -483,7 +481,10 @@ def near_duplicates(
         here = materialize(here, "neardup-level")
         parts = here.groupBy("node", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("first"))
         counts = parts.groupBy("node").agg(F.sum("n").alias("count"), F.min("first").alias("first")).filter("count > 1")
-        return materialize(here.join(parts.select("node", "_part").join(counts, "node"), ["node", "_part"]).select("node", "class_id", "count", "first"), "neardup-nodes")
+        found = materialize(here.join(parts.select("node", "_part").join(counts, "node"), ["node", "_part"]).select("node", "class_id", "count", "first"), "neardup-nodes")
+        discard(here)
+        forget_shuffles(docs.sparkSession)
+        return found
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -507,6 +508,7 @@ def near_duplicates(
     groups = first_groups(top, limit).join(drawn.withColumn("component", F.col("class_id")), "class_id")
     links = confirmed(materialize(forests(groups, similarity), "neardup-pairs"))
     now = materialize(component_of(links, drawn), "neardup-now")
+    forget_shuffles(docs.sparkSession)
 
     def still_large(of: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Of large nodes with several components, those with few classes beside the largest one, and the others."""
@@ -538,6 +540,7 @@ def near_duplicates(
     places = nodes.groupBy("class_id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
     known = materialize(now.join(places, "class_id"), "neardup-known")
     members = materialize(hopeful(met.join(known, "class_id"), similarity), "neardup-members")
+    forget_shuffles(docs.sparkSession)
     ends = members.select("class_id").distinct().join(classes.select("class_id", "class_check", "rep"), "class_id")
     sets = full_sets(texts.join(ends, "rep"), words)
     links = links.unionByName(materialize(confirmed_inside(members.join(known.join(sets, "class_id"), "class_id"), similarity, percent), "neardup-links"))
