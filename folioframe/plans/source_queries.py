@@ -116,8 +116,8 @@ def _written(frame, spark, column: str = "value", by: str | None = None, fmt: st
 
 
 def _brands(spark, sf):
-    """One row per brand: its parts in order."""
-    p = table(spark, sf, "part").withColumn("p_name", F.regexp_replace("p_name", "[^A-Za-z0-9 #]", " "))
+    """Rows of up to a thousand parts of a brand, in order; their number grows with the table, not their size."""
+    p = table(spark, sf, "part").withColumn("p_name", F.regexp_replace("p_name", "[^A-Za-z0-9 #]", " ")).withColumn("p_brand", F.concat("p_brand", F.lit("-"), F.floor(F.col("p_partkey") / 1000)))
     ordered = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size")))
     return p.groupBy("p_brand").agg(ordered.alias("parts"))
 
@@ -140,7 +140,7 @@ def read_text_corpus(spark, sf):
     return lines.select(F.md5(body.cast("binary")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select p_brand, cast(row_number() over (partition by p_brand order by p_partkey) - 1 as int) as n, case when p_size > 25 then 'code' else 'markdown' end as kind, p_partkey || '-line' as source from part""")
+@query("""select p_brand, cast(row_number() over (partition by p_brand order by p_partkey) - 1 as int) as n, case when p_size > 25 then 'code' else 'markdown' end as kind, p_partkey || '-line' as source from (select * replace (p_brand || '-' || (p_partkey // 1000) as p_brand) from part) b""")
 def notebook_cells(spark, sf):
     cell = lambda p: F.struct(F.when(p["p_size"] > 25, "code").otherwise("markdown").alias("cell_type"), F.array(p["p_partkey"].cast("string"), F.lit("-line")).alias("source"))
     books = _brands(spark, sf).select("p_brand", F.to_json(F.struct(F.transform("parts", cell).alias("cells"), F.struct(F.struct(F.lit("sql").alias("language")).alias("kernelspec")).alias("metadata"))).alias("value"))
@@ -149,7 +149,7 @@ def notebook_cells(spark, sf):
     return files.notebook_cells(spark, folder).select(brand.alias("p_brand"), "n", "kind", "source")
 
 
-@query("""select feed, cast(n as int) as n, title, url from (select p_brand as feed, row_number() over (partition by p_brand order by p_partkey) - 1 as n, case when p_size % 2 = 0 then 'part ' || p_partkey else 'http://x.example/' || p_partkey end as title, 'http://x.example/' || p_partkey as url, p_size from part) x where n < 50 and p_size % 5 <> 0""")
+@query("""select feed, cast(n as int) as n, title, url from (select p_brand as feed, row_number() over (partition by p_brand order by p_partkey) - 1 as n, case when p_size % 2 = 0 then 'part ' || p_partkey else 'http://x.example/' || p_partkey end as title, 'http://x.example/' || p_partkey as url, p_size from (select * replace (p_brand || '-' || (p_partkey // 1000) as p_brand) from part) b) x where n < 50 and p_size % 5 <> 0""")
 def feed_items(spark, sf):
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
     url = lambda p: F.concat(F.lit("http://x.example/"), p["p_partkey"])

@@ -88,15 +88,22 @@ def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
 def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """(``path``, ``row``, ``cells``): rows padded to the widest of their file; row 0 is the header.
 
-    Fields may be quoted. The rows of one file are numbered by their place.
+    Fields may be quoted. The rows of one file are numbered by their place: inside
+    each split, and from there by the counts of the splits before, so that a large
+    file isn't one task's work.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), "value")
     quoted = rf'(?:^|{re.escape(sep)})(?:"((?:[^"]|"")*)"|([^{re.escape(sep)}]*))'
     pieces = F.regexp_extract_all("value", F.lit(quoted), F.lit(0))
     clean = F.transform(pieces, lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "^" + re.escape(sep), ""), r'^"|"$', ""), '""', '"'))
-    rows = lines.withColumn("cells", clean).withColumn("row", F.row_number().over(Window.partitionBy("path").orderBy("_b", "_i")) - 1)
-    widest = F.max(F.size("cells")).over(Window.partitionBy("path"))
-    return rows.withColumn("_w", widest).select("path", "row", F.concat("cells", F.array_repeat(F.lit(""), F.col("_w") - F.size("cells"))).alias("cells"))
+    rows = lines.withColumn("cells", clean)
+    whole = Window.partitionBy("path")
+    ahead = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("path", "_b").agg(F.count(F.lit(1)).alias("_n"), F.max(F.size("cells")).alias("_m"))
+    #: one row per split
+    splits = splits.select("path", "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"), F.max("_m").over(whole).alias("_w"))
+    numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy("path", "_b").orderBy("_i")) - 1).join(splits, ["path", "_b"])
+    return numbered.select("path", (F.col("_before") + F.col("_k")).cast("int").alias("row"), F.concat("cells", F.array_repeat(F.lit(""), F.col("_w") - F.size("cells"))).alias("cells"))
 
 
 def delimited_markdown(rows: DataFrame) -> DataFrame:
