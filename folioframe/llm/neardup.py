@@ -41,7 +41,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.spread import join_spread
 from folioframe.llm.words import WORD
 from folioframe.operators.components import connected_components
 from folioframe.session import discard, forget_shuffles, materialize
@@ -472,16 +471,16 @@ def near_duplicates(
         rows, classes = materialize(renamed(rows), "neardup-sets"), materialize(renamed(classes), "neardup-classes")
 
     def nodes_at(level: int, frontier: DataFrame, of_trees: range) -> DataFrame:
-        """(``node``, ``class_id``, ``count``, ``first``) of the nodes of more than one class.
+        """(``node``, ``part``, ``class_id``, ``count``, ``first``) of the nodes of more than one class.
 
         A node is counted by parts first, and the counts go back to the parts, so a
         node that holds a third of all classes is never in one task.
         """
-        here = branch(frontier, level, of_trees, similarity).withColumn("_part", F.pmod(F.xxhash64("class_id"), F.lit(PARTS)).cast("int"))
+        here = branch(frontier, level, of_trees, similarity).withColumn("part", F.pmod(F.xxhash64("class_id"), F.lit(PARTS)).cast("int"))
         here = materialize(here, "neardup-level")
-        parts = here.groupBy("node", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("first"))
+        parts = here.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("first"))
         counts = parts.groupBy("node").agg(F.sum("n").alias("count"), F.min("first").alias("first")).filter("count > 1")
-        found = materialize(here.join(parts.select("node", "_part").join(counts, "node"), ["node", "_part"]).select("node", "class_id", "count", "first"), "neardup-nodes")
+        found = materialize(here.join(parts.select("node", "part").join(counts, "node"), ["node", "part"]).select("node", "part", "class_id", "count", "first"), "neardup-nodes")
         discard(here)
         forget_shuffles(docs.sparkSession)
         return found
@@ -514,7 +513,8 @@ def near_duplicates(
         """Of large nodes with several components, those with few classes beside the largest one, and the others."""
         held = of.join(now.select("class_id", "component"), "class_id").groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
         names = held.groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter("most < n").select("node", (F.col("n") - F.col("most")).alias("others"))
-        found = materialize(join_spread(of, names, ["node"], "class_id"), "neardup-large")
+        #: a row meets one other, by the node's parts again
+        found = materialize(of.join(of.select("node", "part").distinct().join(names, "node"), ["node", "part"]), "neardup-large")
         return found.filter(F.col("others") <= limit).drop("others"), found.filter(F.col("others") > limit).drop("others")
 
     few, large = still_large(top.filter(F.col("count") > limit))
