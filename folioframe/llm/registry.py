@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioframe.llm import html_text, lm, media, mixing, neardup, packing, quality, secrets, topk, toxicity
+from folioframe.llm import best_fit, html_text, lm, media, mixing, neardup, packing, quality, secrets, topk, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pack_power_of_two": packing.op8_pack_power_of_two,
     "op9_media_columns": media.op9_media_columns,
     "op10_extract_text": html_text.op10_extract_text,
+    "op13_best_fit": best_fit.op13_best_fit,
 }
 
 ORACLE_SQL = {
