@@ -47,7 +47,9 @@ from folioframe.llm.spread import join_spread
 from folioframe.session import discard, materialize, table
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
-SHARDS = 3
+SHARDS = 2
+#: Posts are summed in so many turns, by hash, so that not all are shuffled at once.
+TURNS = 2
 BLOCK_WORDS = 1 << 21
 UNKNOWN = "und"
 #: Marks that end a piece, as bytes; LF to CR are among them.
@@ -57,8 +59,10 @@ FOLDED = bytes(10 if c in MARKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 e
 STEP_1, STEP_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 BLOCK = "block long, shard int, ids binary, first binary, second binary, words binary, word_langs binary, langs array<string>, lang_words array<long>"
-POST = "block long, k int, h1 long, h2 int, n long"
-KEY = ["k", "h1", "h2"]
+#: ``m`` is 32 times the occurrences plus twice the length.
+POST = "block long, h1 long, h2 int, m long"
+#: In this order a sort by key can go by the first hash alone.
+KEY = ["h1", "h2", "k"]
 NAMED = "lang string, phrase string, k int, h1 long, h2 int, a long, cuts array<struct<cut:int,l1:long,l2:int,r1:long,r2:int>>"
 
 
@@ -181,7 +185,7 @@ def scan(blocks: DataFrame, told: DataFrame | None, round_: int) -> DataFrame:
     """POST rows of one round: the words of the shard that enters, and what has become active in the others."""
 
     def posts(block: int, k: int, h1: np.ndarray, h2: np.ndarray, n: np.ndarray) -> pa.Table:
-        return pa.table({"block": np.full(len(h1), block, np.int64), "k": np.full(len(h1), k, np.int32), "h1": h1, "h2": h2, "n": n.astype(np.int64)})
+        return pa.table({"block": np.full(len(h1), block, np.int64), "h1": h1, "h2": h2, "m": n.astype(np.int64) * 32 + 2 * k})
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [posts(0, 0, *(np.empty(0, t) for t in (np.int64, np.int32, np.int64)))]
@@ -203,46 +207,55 @@ def scan(blocks: DataFrame, told: DataFrame | None, round_: int) -> DataFrame:
     if told is None:
         entering = blocks.filter(F.col("shard") == round_)
         return entering.groupBy("block").applyInArrow(lambda left: run(left, left.slice(0, 0)), POST)
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, POST)
+    return blocks.groupBy("block").cogroup(told.select("block", "k", "h1", "fresh").groupBy("block")).applyInArrow(run, POST)
 
 
-def told_blocks(posts: list[DataFrame], lengths: range, round_: int, least: int) -> DataFrame:
-    """(block, k, h1, fresh): phrases that have reached ``least``, to each block that posted them.
+def told_blocks(posts: list[DataFrame], lengths: list[int], least: int, turn: int, turns: int) -> DataFrame:
+    """(block, k, h1, h2, total, fresh): phrases that have reached ``least``, to each block that posted them.
 
-    ``fresh`` are those that the block is told for the first time.
+    ``fresh`` are those that the block is told for the first time: they reached
+    it with the last posts, or the block's own is among these.
     """
     rows = None
     for n, post in enumerate(posts):
-        part = post.filter(F.col("k").between(lengths.start, lengths.stop - 1)).withColumn("round", F.lit(n))
+        part = post.filter(F.expr("(m & 31) >> 1").isin(lengths) & (F.pmod("h1", F.lit(turns)) == turn)).withColumn("m", F.col("m") + int(n == len(posts) - 1))
         rows = part if rows is None else rows.unionByName(part)
-    of = Window.partitionBy(*KEY)
-    before = F.sum(F.when(F.col("round") < round_ - 1, F.col("n")).otherwise(0)).over(of)
-    found = rows.select("block", *KEY, "round", F.sum("n").over(of).alias("total"), before.alias("before")).filter(F.col("total") >= least)
-    return found.select("block", "k", "h1", ((F.col("before") < least) | (F.col("round") == round_ - 1)).alias("fresh"))
+    of, newest = Window.partitionBy("h1", "h2", "k"), F.expr("m & 1") == 1
+    rows = rows.select("block", "h1", "h2", F.expr("cast((m & 31) >> 1 as int)").alias("k"), "m")
+    last = F.sum(F.when(newest, F.expr("m >> 5")).otherwise(F.lit(0))).over(of)
+    found = rows.select("block", *KEY, "m", F.sum(F.expr("m >> 5")).over(of).alias("total"), last.alias("last")).filter(F.col("total") >= least)
+    return found.select("block", *KEY, "total", ((F.col("total") - F.col("last") < least) | newest).alias("fresh"))
 
 
-def frequent(blocks: DataFrame, *, longest: int = LONGEST, least: int = LEAST, shards: int = SHARDS) -> DataFrame:
-    """(k, h1, h2, a, home): every phrase of up to ``longest`` words that occurs ``least`` times, written.
+def frequent(blocks: DataFrame, *, longest: int = LONGEST, least: int = LEAST, shards: int = SHARDS, turns: int = TURNS) -> DataFrame:
+    """(h1, h2, k, a, home): every phrase of up to ``longest`` words that occurs ``least`` times, written.
 
-    ``home`` is a block that holds it.
+    ``home`` is a block that holds it. A length's counts are complete, and its
+    posts done with, ``shards`` rounds after its first.
     """
     spark = blocks.sparkSession
     dealt = blocks.select("block", "shard", "ids", "first", "second").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").persist(StorageLevel.DISK_ONLY)
     posts: list[DataFrame] = []
+    written: list[DataFrame] = []
+    complete = None
     try:
-        for n in range(shards + longest - 1):
-            lengths = range(max(1, n - shards + 1), min(longest - 1, n) + 1)
-            told = told_blocks(posts, lengths, n, least) if n else None
-            posts.append(materialize(scan(dealt, told, n), "phrase-posts"))
-        rows = posts[0]
-        for post in posts[1:]:
-            rows = rows.unionByName(post)
-        found = rows.groupBy(*KEY).agg(F.sum("n").alias("a"), F.min("block").alias("home")).filter(F.col("a") >= least)
-        return materialize(found, "phrases")
+        for n in range(shards + longest):
+            told, lengths = None, [*range(max(1, n - shards + 1), min(longest - 1, n) + 1), *([longest] if n == shards + longest - 1 else [])]
+            if n:
+                for turn in range(turns):
+                    part = materialize(told_blocks(posts, lengths, least, turn, turns), "phrases-told")
+                    written.append(part)
+                    told = part if told is None else told.unionByName(part)
+                if n >= shards:
+                    ended = told.filter(F.col("k") == n - shards + 1).groupBy(*KEY).agg(F.max("total").alias("a"), F.min("block").alias("home"))
+                    complete = ended if complete is None else complete.unionByName(ended)
+            if n < shards + longest - 1:
+                posts.append(materialize(scan(dealt, told, n), "phrase-posts"))
+        return materialize(complete, "phrases")
     finally:
         dealt.unpersist()
-        for post in posts:
-            discard(post)
+        for table_ in posts + written:
+            discard(table_)
 
 
 def named(blocks: DataFrame, found: DataFrame) -> DataFrame:
