@@ -6,6 +6,8 @@ import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,16 +67,22 @@ def shared_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of queries that are run inside go with them."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and with it the shuffle files of the write."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
-    try:
+    with cleaned(df.sparkSession):
         df.write.parquet(path)
-    finally:
-        conf.set(CLEANUP, before)
     context = df.sparkSession.sparkContext
     context._folio_written = [*getattr(context, "_folio_written", []), path]
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -86,7 +94,7 @@ def discard(written: DataFrame) -> None:
     folders = {f.rsplit("/", 1)[0].removeprefix("file://") for f in written.inputFiles()}
     mine = [p for p in getattr(context, "_folio_written", []) if p.removeprefix("file://") in folders]
     context._folio_written = [p for p in getattr(context, "_folio_written", []) if p not in mine]
-    _delete(written.sparkSession, mine)
+    delete(written.sparkSession, mine)
 
 
 def forget_shuffles(spark: SparkSession) -> None:
@@ -95,7 +103,8 @@ def forget_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared folder."""
     context = spark.sparkContext
     for path in paths:
         target = context._jvm.org.apache.hadoop.fs.Path(path)
@@ -110,7 +119,7 @@ def clear_intermediate(spark: SparkSession) -> int:
     """
     context = spark.sparkContext
     paths, context._folio_written = getattr(context, "_folio_written", []), []
-    _delete(spark, paths)
+    delete(spark, paths)
     return len(paths)
 
 
