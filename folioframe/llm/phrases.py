@@ -19,8 +19,8 @@ are done: lengths are interleaved over the scans.
 
 A phrase has one post a block, so neither a frequent word nor a language that
 holds a third of all rows makes a group that grows with its occurrences. Blocks
-stay where they are, dealt by number and kept on disk; posts are written to the
-shared folder. Phrases that reached the threshold get their words from one block
+are written once, in buckets by number, and never shuffled again; posts are
+written to the shared folder and deleted when their lengths are complete. Phrases that reached the threshold get their words from one block
 that holds them, their parts' counts by joins, and scores from exact decimals.
 
 Texts of any length are read whole; a piece (what lies between two marks) stays in
@@ -32,7 +32,9 @@ columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,23 +42,22 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from folioframe.llm.lm import pack, unpack
 from folioframe.llm.spread import join_spread
-from folioframe.session import discard, materialize, table
+from folioframe.session import cleaned, delete, discard, materialize, shared_folder, table
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
 SHARDS = 2
 #: Posts are summed in so many turns, by hash, so that not all are shuffled at once.
-TURNS = 2
+TURNS = 3
 BLOCK_WORDS = 1 << 21
 UNKNOWN = "und"
 #: Marks that end a piece, as bytes; LF to CR are among them.
 MARKS = b".,;:!?\n\x0b\x0c\r"
 FOLDED = bytes(10 if c in MARKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers of the two hashes of a word sequence.
-STEP_1, STEP_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+STEP_1, STEP_2 = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x27D4EB4F)
 
 BLOCK = "block long, shard int, ids binary, first binary, second binary, words binary, word_langs binary, langs array<string>, lang_words array<long>"
 #: ``m`` is 32 times the occurrences plus twice the length.
@@ -96,16 +97,16 @@ def word_blocks(docs: DataFrame, *, text: str = "text", lang: str = "lang", shar
         def block() -> pa.RecordBatch:
             langs = {name: i for i, name in enumerate(numbers)}
             kinds = np.zeros(len(seen), np.int32)
-            hashes = np.empty((2, len(seen)), np.uint64)
+            first, second = np.empty(len(seen), np.uint64), np.empty(len(seen), np.uint32)
             for name, found in numbers.items():
                 seed = xxhash.xxh3_64_intdigest(name)
                 for word, n in found.items():
                     if n >= 0:
                         kinds[n] = langs[name]
                         h = xxhash.xxh3_128_intdigest(word, seed)
-                        hashes[0, n], hashes[1, n] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
+                        first[n], second[n] = h & 0xFFFFFFFFFFFFFFFF, h >> 96
             key = xxhash.xxh3_64_intdigest(f"{partition}/{number}") >> 1
-            row = (key, key % shards, pack(np.concatenate(parts)), pack(hashes[0]), pack(hashes[1]), pa.compress(b"\n".join(seen), codec="zstd", asbytes=True) + sum(map(len, seen), len(seen)).to_bytes(8, "little"), pack(kinds), list(langs), [counts[x] for x in langs])
+            row = (key, key % shards, pack(np.concatenate(parts)), pack(first), pack(second), pa.compress(b"\n".join(seen), codec="zstd", asbytes=True) + sum(map(len, seen), len(seen)).to_bytes(8, "little"), pack(kinds), list(langs), [counts[x] for x in langs])
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -140,7 +141,7 @@ class Sequences:
 
     def __init__(self, row: dict):
         self.ids = unpack(row["ids"], np.int32)
-        self.words = [np.append(unpack(row[c], np.uint64), np.uint64(0)) for c in ("first", "second")]
+        self.words = [np.append(unpack(row[c], t), t(0)) for c, t in (("first", np.uint64), ("second", np.uint32))]
         here = np.arange(len(self.ids))
         ends = np.where(self.ids < 0, here, len(here))
         self.room = np.minimum.accumulate(ends[::-1])[::-1] - here  # words from a place to its piece's end
@@ -155,7 +156,7 @@ class Sequences:
 
     def keys(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, second = self.hashes(k)
-        return first[at].view(np.int64), (second[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return first[at].view(np.int64), second[at].view(np.int32)
 
 
 def counted(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,8 +193,7 @@ def scan(blocks: DataFrame, told: DataFrame | None, round_: int) -> DataFrame:
         for row in left.to_pylist():
             if row["shard"] == round_:
                 n = np.bincount((ids := unpack(row["ids"], np.int32))[ids >= 0])
-                first, second = (unpack(row[c], np.uint64) for c in ("first", "second"))
-                out.append(posts(row["block"], 1, first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32), n))
+                out.append(posts(row["block"], 1, unpack(row["first"], np.int64), unpack(row["second"], np.int32), n))
             elif right.num_rows:
                 text = Sequences(row)
                 for length in sorted(pc.unique(right["k"]).to_pylist()):
@@ -233,8 +233,7 @@ def frequent(blocks: DataFrame, *, longest: int = LONGEST, least: int = LEAST, s
     ``home`` is a block that holds it. A length's counts are complete, and its
     posts done with, ``shards`` rounds after its first.
     """
-    spark = blocks.sparkSession
-    dealt = blocks.select("block", "shard", "ids", "first", "second").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").persist(StorageLevel.DISK_ONLY)
+    scanned = blocks.select("block", "shard", "ids", "first", "second")
     posts: list[DataFrame] = []
     written: list[DataFrame] = []
     complete = None
@@ -243,18 +242,18 @@ def frequent(blocks: DataFrame, *, longest: int = LONGEST, least: int = LEAST, s
             told, lengths = None, [*range(max(1, n - shards + 1), min(longest - 1, n) + 1), *([longest] if n == shards + longest - 1 else [])]
             if n:
                 for turn in range(turns):
-                    part = materialize(told_blocks(posts, lengths, least, turn, turns), "phrases-told")
+                    part = materialize(told_blocks(posts[max(0, n - shards) :], lengths, least, turn, turns), "phrases-told")
                     written.append(part)
                     told = part if told is None else told.unionByName(part)
                 if n >= shards:
+                    discard(posts[n - shards])  # of lengths that are complete now
                     ended = told.filter(F.col("k") == n - shards + 1).groupBy(*KEY).agg(F.max("total").alias("a"), F.min("block").alias("home"))
                     complete = ended if complete is None else complete.unionByName(ended)
             if n < shards + longest - 1:
-                posts.append(materialize(scan(dealt, told, n), "phrase-posts"))
+                posts.append(materialize(scan(scanned, told, n), "phrase-posts"))
         return materialize(complete, "phrases")
     finally:
-        dealt.unpersist()
-        for table_ in posts + written:
+        for table_ in posts[-shards:] + written:
             discard(table_)
 
 
@@ -294,12 +293,28 @@ def named(blocks: DataFrame, found: DataFrame) -> DataFrame:
     return homes.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, NAMED)
 
 
+@contextmanager
+def bucketed(blocks: DataFrame) -> Iterator[DataFrame]:
+    """``blocks`` as a table in buckets by ``block``, so that no scan has to shuffle it; it goes at the end."""
+    spark = blocks.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"phrase_blocks_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    with cleaned(spark):
+        blocks.repartition(n, "block").write.bucketBy(n, "block").sortBy("block").option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"drop table {name}")
+        delete(spark, [path])
+
+
 def collocations(docs: DataFrame, *, longest: int = LONGEST, least: int = LEAST, first: int = FIRST, shards: int = SHARDS, **options: object) -> DataFrame:
     """The ``first`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    blocks = materialize(word_blocks(docs, shards=shards, **options), "phrase-blocks")
-    found = frequent(blocks, longest=longest, least=least, shards=shards)
-    phrases = materialize(named(blocks, found), "phrases-named")
-    totals = blocks.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.lang_words").alias("n"))
+    with bucketed(word_blocks(docs, shards=shards, **options)) as blocks:
+        found = frequent(blocks, longest=longest, least=least, shards=shards)
+        phrases = materialize(named(blocks, found), "phrases-named")
+        totals = blocks.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.lang_words").alias("n"))
+        totals = materialize(totals, "phrase-totals")
 
     cuts = phrases.select(*KEY, "a", F.explode("cuts").alias("c")).select(*KEY, "a", "c.*")
     part = lambda side, n, x, y: found.select(F.col("k").alias(n), F.col("h1").alias(x), F.col("h2").alias(y), F.col("a").alias(side))
