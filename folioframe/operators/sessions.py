@@ -1,4 +1,4 @@
-"""Reading sessions from ticks: gaps and islands, batch and streaming."""
+"""Reading sessions from ticks: gaps and islands. The streaming twin is in ``streaming.ordered``."""
 
 from __future__ import annotations
 
@@ -25,13 +25,5 @@ def reading_sessions(ticks: DataFrame, *, gap: str = "12 hours", words_total: in
     words = (F.max("word_idx") + 1).cast("int")
     return marked.filter("speaking").groupBy("reader", "doc", "session").agg(
         F.min("ts").alias("started"), F.max("ts").alias("ended"), F.sum("_wait").alias("seconds"), F.count(F.lit(1)).alias("ticks"),
-        (F.least(words, F.lit(words_total)) if words_total else words).alias("words_read"),
+        (F.when(words.isNotNull(), F.least(words, F.lit(words_total))) if words_total else words).alias("words_read"),
     )
-
-
-def sessions_by_window(ticks: DataFrame, *, gap: str = "12 hours", late: str = "1 day") -> DataFrame:
-    """Sessions by gap alone, for streams: (reader, doc, started, ended, ticks)."""
-    ticks = ticks.withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = ticks.withWatermark("ts", late) if ticks.isStreaming else ticks
-    found = stream.filter("speaking").groupBy("reader", "doc", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("ticks"), F.max("word_idx").alias("word_idx"))
-    return found.select("reader", "doc", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "ticks", "word_idx")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -13,34 +14,127 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from folioframe.operators.merge import merge_progress
 from folioframe.operators.review import AGAIN, DECAY, EASY, FACTOR, HARD, LONGEST, RETENTION, WEIGHTS
 from folioframe.sources.sinks import convert_corpus
+from folioframe.streaming.ordered import InOrder, stateful
 
 
-def watch_and_convert(spark: SparkSession, folder: str, out: str, fmt: str = "text", *, render: Callable | None = None, min_age: str = "2 seconds", continuous: bool = False) -> StreamingQuery:
-    """Convert files as they arrive: each once, results to ``out/converted``, failures to ``out/failed``, all to ``out/log``.
+FOUND = "path string, length long, modified timestamp"
 
-    The checkpoint remembers what was taken, also over restarts. Writers
-    should rename finished files into the folder; a file younger than
-    ``min_age`` is listed as failed rather than read half-written. Spark's file
-    source passes over files without a byte.
+
+class Settling(StatefulProcessor):
+    """A file is let through once its size and time have held for ``quiet`` seconds, once per version.
+
+    The state is what was seen last, since when, and whether it was let
+    through; a timer comes back for a file that nothing more is heard of. A file
+    that keeps changing for ``give_up`` seconds is let through as unsettled.
+    """
+
+    def __init__(self, quiet: float, give_up: float):
+        self.quiet, self.give_up = quiet, give_up
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "length long, modified long, since long, first long, done boolean")
+
+    def _judge(self, key: Any, seen: tuple, now: int) -> Iterator[pd.DataFrame]:
+        length, modified, since, first, done = seen
+        due = max(since, modified) + int(self.quiet * 1000)
+        settled = length > 0 and due <= now
+        if not done and (settled or first + int(self.give_up * 1000) <= now):
+            done = True
+            yield pd.DataFrame({"path": [key[0]], "length": [length], "modified": [pd.Timestamp(modified, unit="ms")], "settled": [settled]})
+        elif not done:
+            self.handle.registerTimer(max(min(due if length > 0 else now + int(self.give_up * 1000), first + int(self.give_up * 1000)), now) + 1)
+        self.seen.update((length, modified, since, first, done))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        latest = pd.concat(list(rows)).sort_values("modified").iloc[-1]
+        length, modified = int(latest["length"]), int(pd.Timestamp(latest["modified"]).value // 1_000_000)
+        seen = tuple(self.seen.get()) if self.seen.exists() else None
+        if seen is None or seen[4] and seen[:2] != (length, modified):
+            seen = (length, modified, min(now, modified), now, False)
+        elif seen[:2] != (length, modified):
+            seen = (length, modified, now, seen[3], False)
+        yield from self._judge(key, seen, now)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield from self._judge(key, tuple(self.seen.get()), timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def _listing(spark: SparkSession, folder: str, out: str) -> DataFrame:
+    """FOUND rows of the files under ``folder``; their bytes aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.filter(~F.contains("path", F.lit(f"{out.split(':', 1)[-1]}/"))).select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def watch_and_convert(spark: SparkSession, folder: str, out: str, fmt: str = "text", *, render: Callable | None = None, quiet: float = 2.0, give_up: float = 600.0, poll: str = "1 second", continuous: bool = False) -> StreamingQuery:
+    """Convert files as they settle: each version once, results to ``out/converted``, failures to ``out/failed``, all to ``out/log``.
+
+    Each poll lists the folder; what is not in the log yet is an observation
+    for a stream that holds a file until it has kept its size and time for
+    ``quiet`` seconds (a file last written before that is settled at first
+    sight). A file that is still being written is neither converted nor logged;
+    later polls, in this run or the next, come back to it. After ``give_up``
+    seconds without settling it fails. A file that changes after it was
+    converted is a new version; one without a byte is passed over. Without
+    ``continuous`` there is one poll.
+    The driver holds the names of the files that settle in one poll, as Spark's
+    own file source does. Needs the RocksDB state store; the checkpoint keeps
+    the states over restarts.
     """
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    seen, log = f"{out}/_seen", f"{out}/log"
+
+    def observe() -> None:
+        found, done = _listing(spark, folder, out), _table_or_none(spark, log)
+        if done is not None:
+            found = found.join(done.select(F.col("source").alias("path"), "length", "modified"), ["path", "length", "modified"], "left_anti")
+        found.write.mode("append").parquet(seen)
 
     def batch(frame: DataFrame, n: int) -> None:
-        text = F.when(F.col("length") > 0, F.try_validate_utf8("content"))
-        ready = F.col("modificationTime") <= F.current_timestamp() - F.expr(f"interval {min_age}")
-        rows = frame.select("path", F.when(ready, text).alias("text"))
-        results = convert_corpus(rows, fmt, render).withColumn("batch", F.lit(n)).withColumn("logged_at", F.current_timestamp()).persist()
+        settled = frame.persist()
         try:
-            results.filter("ok").select("source", "output", "content", "batch").write.mode("append").parquet(f"{out}/converted")
-            results.filter("not ok").select("source", "error", "batch").write.mode("append").parquet(f"{out}/failed")
-            results.select("source", "output", "ok", "error", "batch", "logged_at").write.mode("append").parquet(f"{out}/log")
+            if settled.isEmpty():
+                return
+            now = _listing(spark, folder, out).join(settled.select("path", "length", "modified", "settled"), ["path", "length", "modified"], "left_semi")
+            names = [re.sub(r"([\\\\*?\[\]{}])", r"\\\1", r["path"]) for r in now.filter("length > 0").select("path").collect()]
+            content = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(names).select("path", "content") if names else spark.createDataFrame([], "path string, content binary")
+            text = F.when(F.col("settled"), F.try_validate_utf8("content"))
+            rows = settled.join(content, "path", "left").select("path", "length", "modified", "settled", text.alias("text"))
+            error = F.when(~F.col("settled"), F.lit("never settled"))
+            results = convert_corpus(rows.select("path", "text"), fmt, render).join(rows.select(F.col("path").alias("source"), "length", "modified", error.alias("_error")), "source").withColumn("error", F.coalesce("_error", "error")).withColumn("logged_at", F.current_timestamp()).persist()
+            try:
+                results.filter("ok").select("source", "output", "content").write.mode("overwrite").parquet(f"{out}/converted/batch={n}")
+                results.filter("not ok").select("source", "error").write.mode("overwrite").parquet(f"{out}/failed/batch={n}")
+                results.select("source", "length", "modified", "output", "ok", "error", "logged_at").write.mode("overwrite").parquet(f"{log}/batch={n}")
+            finally:
+                results.unpersist()
         finally:
-            results.unpersist()
+            settled.unpersist()
+            if continuous:
+                observe()
 
+    observe()
+    observed = spark.readStream.schema(FOUND).parquet(seen)
+    files = observed.groupBy("path").transformWithStateInPandas(Settling(quiet, give_up), f"{FOUND}, settled boolean", "Append", "ProcessingTime")
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/_checkpoint")
-    return (writer if continuous else writer.trigger(availableNow=True)).start()
+    with stateful(spark, idle_batches=continuous):
+        return (writer.trigger(processingTime=poll) if continuous else writer.trigger(availableNow=True)).start()
+
+
+def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that some run has written, or nothing if none has."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
 
 
 # ---- review states
@@ -72,30 +166,35 @@ def fold_review(state: tuple | None, day: dt.date, grade: int, w: tuple[float, .
 STATE = "stability double, difficulty double, interval int, reps int, lapses int, last_review date, next_review date"
 
 
-class ReviewProcessor(StatefulProcessor):
-    """A card's state, updated with each of its reviews in (day, event) order."""
+class ReviewProcessor(InOrder):
+    """A card's state, updated with its reviews as the watermark passes them."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    ROW = "us long, event_id long, day date, grade int"
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("card", STATE)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        reviews = pd.concat(list(rows)).sort_values(["day", "event_id"])
+    def released(self, key: Any, rows: list[tuple], watermark_us: int) -> Iterator[pd.DataFrame]:
+        graded = sorted((r for r in rows if r[3] is not None), key=lambda r: (r[2], r[1]))
+        if not graded:
+            return
         state = tuple(self.state.get()) if self.state.exists() else None
-        for r in reviews.itertuples():
-            state = fold_review(state, pd.Timestamp(r.day).date(), int(r.grade))
+        for _, _, day, grade in graded:
+            state = fold_review(state, day, grade)
         self.state.update(state)
         yield pd.DataFrame([(key[0], *state)], columns=["card_id", "stability", "difficulty", "interval", "reps", "lapses", "last_review", "next_review"])
 
-    def close(self) -> None:
-        pass
-
 
-def review_stream(log: DataFrame) -> DataFrame:
-    """Card states updated per review; needs the RocksDB state store.
+def review_stream(log: DataFrame, *, late: str = "1 day", card: str = "card_id") -> DataFrame:
+    """Card states updated per review, whatever order the reviews come in; needs the RocksDB state store.
 
-    Equals the batch schedule when a card's reviews arrive in order.
+    A card's reviews wait until the watermark, ``late`` behind the newest ``ts``,
+    has passed them and are then folded in time order, so the states equal the
+    batch schedule. Reviews later than that are dropped; a row without a grade
+    moves the watermark and nothing else.
     """
-    return log.groupBy("card_id").transformWithStateInPandas(ReviewProcessor(), f"card_id long, {STATE}", "Update", "None")
+    rows = log.withWatermark("ts", late).select(F.col(card).cast("long").alias("card_id"), "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long"), F.col("day").cast("date"), F.col("grade").cast("int"))
+    return rows.groupBy("card_id").transformWithStateInPandas(ReviewProcessor(), f"card_id long, {STATE}", "Update", "EventTime")
 
 
 # ---- progress, index, late rows
@@ -140,10 +239,29 @@ def current(spark: SparkSession, path: str, order: str, era: int | None = None,
     return found.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("_v")).select(key, "_v.*")
 
 
-def progress_stream(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Progress updates (``key``, ``ts``, values) as deltas under ``path``; the newest of a key counts, late or not."""
-    values = [c for c in updates.columns if c != "key"]
-    newest = lambda f: f.groupBy("key").agg(F.max_by(F.struct(*values), "ts").alias("_v")).select("key", "_v.*")
+def progress_stream(updates: DataFrame, path: str, checkpoint: str, *, replica: str | None = None, window: str = "500 milliseconds") -> StreamingQuery:
+    """Progress updates (``key``, ``ts``, values) as deltas under ``path``; the newest of a key counts, late or not.
+
+    Updates of a key inside one ``window`` of a micro-batch are coalesced. With
+    ``replica``, the path of another stream's deltas, each micro-batch is merged
+    with what that replica holds by then and this one doesn't know yet: the
+    newer row wins, this one's where both are equally new.
+    """
+
+    def newest(frame: DataFrame) -> DataFrame:
+        rows = latest_progress(frame.withColumn("ts", F.col("ts").cast("timestamp")), window=window)
+        values = [c for c in rows.columns if c != "key"]
+        mine = rows.groupBy("key").agg(F.max_by(F.struct(*values), "ts").alias("_v")).select("key", "_v.*")
+        theirs = _table_or_none(frame.sparkSession, replica) if replica else None
+        if theirs is None:
+            return mine
+        theirs = current(frame.sparkSession, replica, "ts").select("key", *values)
+        own = _table_or_none(frame.sparkSession, path)
+        if own is not None:
+            known = current(frame.sparkSession, path, "ts").select(F.col("key").alias("_k"), F.col("ts").alias("_ts"))
+            theirs = theirs.join(known, F.col("key") == F.col("_k"), "left").filter("_ts is null or ts > _ts").drop("_k", "_ts")
+        return merge_progress(mine, theirs, prefer="local").drop("resolution")
+
     return _keep_deltas(updates, path, checkpoint, "ts", newest)
 
 

@@ -8,15 +8,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from folioframe.operators import review as R
 from folioframe.operators import vault as V
-from folioframe.plans import views
-from folioframe.session import local_session
 from folioframe.sources import files as A
 from folioframe.sources import sinks as K
 from folioframe.streaming import streams as T
 
-SF = "/root/testdata/sf0.001"
 CITED = ", ".join(f"{c} string" for c in A.CITATION)
 
 
@@ -120,28 +116,6 @@ def test_hot_folder_takes_each_file_once(spark, tmp_path):
     assert spark.read.parquet(str(out / "failed")).count() == 1
 
 
-def test_review_stream_equals_batch(tmp_path):
-    spark = local_session("4")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    log = views.frame(spark, SF, views.REVIEW_LOG).orderBy("day", "event_id")
-    want = {r.card_id: r.state for r in R.schedule_reviews(log).collect()}
-    rows = log.collect()
-    for n in range(3):
-        part = rows[n * len(rows) // 3 : (n + 1) * len(rows) // 3]
-        spark.createDataFrame(part, log.schema).coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in*"))
-    seen: dict = {}
-
-    def keep(frame, n):
-        seen.update({r.card_id: r for r in frame.collect()})
-
-    try:
-        T.review_stream(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert {k: (r.stability, r.difficulty, r.interval, r.reps, r.lapses, r.next_review) for k, r in seen.items()} == {k: (s.stability, s.difficulty, s.interval, s.reps, s.lapses, s.next_review) for k, s in want.items()}
-
-
 def test_late_rows_and_latest(spark):
     schema = "key string, ts string, pos int"
     late = T.split_late(spark.createDataFrame([("a", "1", 1), ("a", "3", 2), ("b", None, 3)], schema), spark.createDataFrame([("a", "2", 0)], schema))
