@@ -51,18 +51,34 @@ FOLDS, HELD_OUT = 4, 2
 HOMOGLYPHS = str.maketrans("абвгеѕіїјкмнорстухузԁԛԝαβγεηικνορτυχ", "abbresiijkmhopctyxy3dqwabyenikvoptux")
 #: Digits and signs and the letters they replace inside words.
 SUBSTITUTES = str.maketrans("01345789@$", "oieastbgas")
-_DIGIT_IN_WORD = re.compile(r"(?<=[^\W\d_])[0-9]+|[0-9]+(?=[@$]*[^\W\d_])|[@$]+(?=[0-9@$]*[^\W\d_])")
+_RUN, _PART, _LETTER = re.compile(r"[0-9@$]+"), re.compile(r"[0-9]+|[@$]+"), re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"(?<=[^\W\d_])[0-9]+|[0-9]+(?=[@$]*[^\W\d_])|[@$]+(?=[0-9@$]*[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _substituted(m: re.Match) -> str:
+    """A run of digits and signs, read as letters where it touches a word.
+
+    Digits right behind a letter are letters; before a letter all signs of the
+    run are, and its last digits.
+    """
+    text, parts = m.string, _PART.findall(m[0])
+    behind, before = m.start() > 0 and _LETTER.match(text, m.start() - 1), _LETTER.match(text, m.end())
+    if not before and not (behind and parts[0][0].isdigit()):
+        return m[0]
+    last = max((i for i, p in enumerate(parts) if p[0] not in "@$"), default=-1)
+    read = lambda i, p: before if p[0] in "@$" else (i == 0 and behind) or (i == last and before)
+    return "".join(p.translate(SUBSTITUTES) if read(i, p) else p for i, p in enumerate(parts))
+
+
 def fold(text: str | None) -> str:
-    """Lower case, homoglyphs and substitutes replaced."""
+    """Lower case, homoglyphs and substitutes replaced, in one pass over each run."""
     if not text:
         return ""
     text = text.lower()
     if not text.isascii():
         text = text.translate(HOMOGLYPHS)
-    return _DIGIT_IN_WORD.sub(lambda m: m[0].translate(SUBSTITUTES), text)
+    return _RUN.sub(_substituted, text)
 
 
 @dataclass

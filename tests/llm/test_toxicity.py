@@ -1,3 +1,5 @@
+import random
+
 from folioframe.llm import toxicity as X
 from folioframe.session import table
 
@@ -85,3 +87,18 @@ def test_long_texts_are_linear():
     began = time.perf_counter()
     assert len(X.hits("trash can trash " * 60_000, lex.automaton())) == 60_000
     assert time.perf_counter() - began < 5
+
+
+def test_runs_of_signs_and_digits_fold_in_one_pass():
+    import re
+    import time
+
+    told = re.compile(r"(?<=[^\W\d_])[0-9]+|[0-9]+(?=[@$]*[^\W\d_])|[@$]+(?=[0-9@$]*[^\W\d_])")
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab01 @$5_é²٣-") for _ in range(rng.randint(0, 12)))
+        assert X.fold(text) == told.sub(lambda m: m[0].translate(X.SUBSTITUTES), text)
+    for text in ("@" * 10**6, "$" * 10**6 + " ", "1" * 10**6, "a" + "1@" * 500_000, "$1" * 500_000 + "a", "1@ " * 300_000):
+        began = time.process_time()
+        X.fold(text)
+        assert time.process_time() - began < 3
