@@ -23,6 +23,7 @@ _ONES = "zero one two three four five six seven eight nine ten eleven twelve thi
 _TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
 _MONTHS = "January February March April May June July August September October November December".split()
 _ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+#: Currencies and their coins.
 _COINS = {"$": ("dollar", "cent"), "£": ("pound", "penny"), "€": ("euro", "cent")}
 KINDS = ("iso_date", "us_date", "time", "money", "percent", "ordinal", "grouped", "decimal", "plain")
 
@@ -36,10 +37,12 @@ def _small(n: int) -> str:
     return _ONES[n]
 
 
-def int_words(n: int) -> str:
-    """Words of an integer from 0 to a quadrillion; digits beyond."""
-    if n >= 10**15:
-        return str(n)
+def int_words(n: int | str) -> str:
+    """Words of an integer, given as such or by its digits, from 0 to a quadrillion; digits beyond."""
+    digits = str(n).lstrip("0")
+    if len(digits) > 15:
+        return digits
+    n = int(digits or 0)
     parts = [f"{_small(n // u % 1000)} {name}" for u, name in ((10**12, "trillion"), (10**9, "billion"), (10**6, "million"), (10**3, "thousand")) if n // u % 1000]
     if n % 1000 or not parts:
         parts.append(_small(n % 1000))
@@ -54,7 +57,7 @@ def year_words(n: int) -> str:
     return f"{int_words(century)} " + ("hundred" if not rest else f"oh {int_words(rest)}" if rest < 10 else int_words(rest))
 
 
-def ordinal_words(n: int) -> str:
+def ordinal_words(n: int | str) -> str:
     """first, twenty-second, one hundredth."""
     head, last = re.fullmatch("(.*?)([a-z]+|[0-9]+)", int_words(n)).groups()
     return head + (_ORDINALS.get(last) or (last[:-1] + "ieth" if last.endswith("y") else last + "th"))
@@ -62,7 +65,7 @@ def ordinal_words(n: int) -> str:
 
 def point_words(whole: str, part: str) -> str:
     """A decimal: the digits behind the point one by one."""
-    return " ".join([int_words(int(whole)), "point", *(_ONES[int(d)] for d in part)])
+    return " ".join([int_words(whole), "point", *(_ONES[int(d)] for d in part)])
 
 
 def date_words(year: str, month: str, day: str) -> str:
@@ -81,12 +84,12 @@ def clock_words(hour: int, minute: int, half: str) -> str:
     return " ".join(said + ([int_words(minute)] if minute else []) + [half])
 
 
-def money_words(sign: str, whole: int, part: str) -> str:
+def money_words(sign: str, whole: str, part: str) -> str:
     """Coins and notes; more than two digits behind the point are read as a decimal."""
     note, coin = _COINS[sign]
     if len(part) > 2:
-        return f"{point_words(str(whole), part)} {note}s"
-    said = [f"{int_words(n)} {name}" + ("s" if n != 1 else "") for n, name in ((whole, note), (int(part.ljust(2, "0")), coin)) if n]
+        return f"{point_words(whole, part)} {note}s"
+    said = [f"{int_words(n)} {name}" + ("s" if n != "1" else "") for n, name in ((whole.lstrip("0"), note), (part.ljust(2, "0").lstrip("0"), coin)) if n]
     return " and ".join(said) or f"zero {note}s"
 
 
@@ -114,11 +117,11 @@ def reading(sign: str, groups: list[str], marks: str, behind: str, left: str, ri
         if behind or set(marks[: len(marks) - point]) - {","}:
             return None
         whole = "".join(groups[: len(groups) - point])
-        return "money", money_words(sign, int(whole), groups[-1] if point else "")
+        return "money", money_words(sign, whole, groups[-1] if point else "")
     if behind == "%":
-        return ("percent", (int_words(int(groups[0])) if not marks else point_words(*groups)) + " percent") if marks in ("", ".") else None
+        return ("percent", (int_words(groups[0]) if not marks else point_words(*groups)) + " percent") if marks in ("", ".") else None
     if behind[:1].isalpha() and not behind.endswith("m"):
-        return ("ordinal", ordinal_words(int(groups[0]))) if not marks else None
+        return ("ordinal", ordinal_words(groups[0])) if not marks else None
     if marks in (":", "::"):
         fits = _in(groups[0], 0, 23) and all(_in(g, 0, 59, (2,)) for g in groups[1:])
         return ("time", clock_words(int(groups[0]), int(groups[1]), behind.strip().upper())) if fits else None
@@ -129,12 +132,12 @@ def reading(sign: str, groups: list[str], marks: str, behind: str, left: str, ri
     if marks == "//" and _in(groups[0], 1, 12) and _in(groups[1], 1, 31) and len(groups[2]) == 4:
         return "us_date", date_words(groups[2], groups[0], groups[1])
     if marks and set(marks) == {","} and _thousands(groups):
-        return "grouped", int_words(int("".join(groups)))
+        return "grouped", int_words("".join(groups))
     if marks == "." and left not in "-/" and right not in "-/":  # no part of a range or a fraction
         return "decimal", point_words(*groups)
     if not marks and len(groups[0]) >= 4 and left != "." and right != ".":
-        n = int(groups[0])
-        return "plain", year_words(n) if 1000 <= n <= 2099 else int_words(n)
+        digits = groups[0].lstrip("0")
+        return "plain", year_words(int(digits)) if len(digits) == 4 and digits <= "2099" else int_words(digits)
     return None
 
 

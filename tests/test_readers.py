@@ -118,3 +118,10 @@ def test_summaries_of_long_documents_in_blocks():
     assert len(packed) > 10 and (np.concatenate([np.unpackbits(b, axis=1, count=400) for b in packed]).astype(bool) == np.concatenate(whole)).all()
     began = time.perf_counter()
     assert abs(M.lexrank(parts * 8).sum() - 1) < 1e-9 and time.perf_counter() - began < 20
+
+
+def test_numbers_of_any_length():
+    nines = "9" * 5000
+    assert numbers.spoken(nines) == nines and numbers.spoken(f"${nines}.05") == f"{nines} dollars and five cents" and numbers.spoken(f"{nines}th") == f"{nines}th"
+    assert numbers.spoken(f"{nines}% 1,{','.join(['999'] * 2000)} 5.{nines[:6]}").startswith(f"{nines} percent 1999")
+    assert numbers.spoken("0001984 $0.00 $01.10") == "nineteen eighty-four zero dollars one dollar and ten cents"
