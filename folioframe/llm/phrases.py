@@ -51,7 +51,7 @@ LONGEST, LEAST, FIRST = 5, 100, 2000
 SHARDS = 2
 #: Posts are summed in so many turns, by hash, so that not all are shuffled at once.
 TURNS = 3
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 UNKNOWN = "und"
 #: Marks that end a piece, as bytes; LF to CR are among them.
 MARKS = b".,;:!?\n\x0b\x0c\r"
