@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -247,76 +248,137 @@ def summarize(docs: DataFrame, *, n: int = 7, key: str = "doc_id", text: str = "
     return rows.mapInArrow(run, rows.select(key).schema.add("summary", "string"))
 
 
-#: Regions of fewer pairs of words are aligned without hashes.
-SMALL_REGION = 1 << 14
-_ODD = 0x9E3779B97F4A7C15
-_UP = np.cumprod(np.full(1 << 13, _ODD, np.uint64))
-_DOWN = np.cumprod(np.full(1 << 13, pow(_ODD, -1, 1 << 64), np.uint64))
-
-
-def longest_run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """The longest run that two stretches share: (place in a, place in b, length), the first in a, then in b.
-
-    Runs of a length are compared by hashes taken from running sums; the length
-    is found by halving.
+#: Words of a window that is compared word by word, and of its part whose matches are kept.
+WINDOW, KEPT = 768, 512
+#: Anchors are sought in runs of so many words, one after the other.
+ANCHOR_RUNS = (1, 2, 4)
+
+
+def _rising(values: np.ndarray) -> np.ndarray:
+    """Places of a longest strictly rising subsequence; of several, one that keeps to the front, sought from the end."""
+    values = -values[::-1]
+    tails: list[int] = []
+    ends: list[int] = []
+    before = np.full(len(values), -1)
+    for i, v in enumerate(values.tolist()):
+        at = bisect_left(tails, v)
+        before[i] = ends[at - 1] if at else -1
+        if at == len(tails):
+            tails.append(v)
+            ends.append(i)
+        else:
+            tails[at], ends[at] = v, i
+    out, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return len(values) - 1 - np.array(out, np.int64)
+
+
+def anchors(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words, or else of short runs, that stand once on either side, in an order both sides share."""
+    none = np.empty(0, np.int64), np.empty(0, np.int64)
+    for n in ANCHOR_RUNS:
+        if min(len(a), len(b)) < n:
+            return none
+        # a run is numbered by its first half and its second
+        both = np.concatenate([a, b]) if n == 1 else np.concatenate([x[: len(x) - n // 2] * (int(runs.max()) + 1) + x[n // 2 :] for x in (runs[:cut], runs[cut:])])
+        runs = np.unique(both, return_inverse=True)[1]
+        cut = len(a) - n + 1
+        once = (np.bincount(runs[:cut], minlength=runs.max() + 1) == 1) & (np.bincount(runs[cut:], minlength=runs.max() + 1) == 1)
+        if once.any():
+            in_b = np.zeros(len(once), np.int64)
+            in_b[runs[cut:]] = np.arange(len(runs) - cut)
+            at_a = np.flatnonzero(once[runs[:cut]])
+            at_b = in_b[runs[at_a]]
+            keep = _rising(at_b)
+            return at_a[keep], at_b[keep]
+    return none
+
+
+def common_words(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Matched places of two short stretches: a longest common subsequence, as far in front as it can be.
+
+    A matched word moves to the next one's side where an equal word stands
+    there, so that matches lie in runs.
     """
-
-    def hashes(x: np.ndarray, n: int) -> np.ndarray:
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((x + np.uint64(1)) * _UP[: len(x)])])
-        return (sums[n:] - sums[:-n]) * _DOWN[: len(x) - n + 1]
-
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        n = (low + high + 1) // 2
-        low, high = (n, high) if np.isin(hashes(a, n), hashes(b, n)).any() else (low, n - 1)
-    if not low:
-        return 0, 0, 0
-    ha, hb = hashes(a, low), hashes(b, low)
-    i = int(np.argmax(np.isin(ha, hb)))
-    return i, int(np.argmax(hb == ha[i])), low
+    best = np.zeros((len(a) + 1, len(b) + 1), np.int16)
+    for i, word in enumerate(a):
+        np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + (b == word)), out=best[i + 1, 1:])
+    i, j, found = len(a), len(b), []
+    while i and j:
+        here = best[i, j]
+        if best[i, j - 1] == here:
+            j -= 1
+        elif best[i - 1, j] == here:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            found.append((i, j))
+    for n in range(1, len(found)):  # from the end
+        (i, j), (p, q) = found[n - 1], found[n]
+        if p == i - 1 and b[j - 1] == a[p]:
+            found[n] = p, j - 1
+        elif q == j - 1 and a[i - 1] == b[q]:
+            found[n] = i - 1, q
+    return found[::-1]
+
+
+def _between(a: np.ndarray, b: np.ndarray, pad: int) -> list[tuple[int, int]]:
+    """Matched places of stretches without anchors, window by window.
+
+    Each window begins where the last kept match ended; where one has no word in
+    common, both sides move on by half of it.
+    """
+    found, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        last = i + WINDOW >= len(a) and j + WINDOW + pad >= len(b)
+        pairs = common_words(a[i : i + WINDOW], b[j : j + WINDOW + pad])
+        kept = pairs if last else [p for p in pairs if p[0] < KEPT]
+        found += [(i + p, j + q) for p, q in kept]
+        if last:
+            break
+        i, j = (i + kept[-1][0] + 1, j + kept[-1][1] + 1) if kept else (i + WINDOW // 2, j + WINDOW // 2)
+    return found
 
 
-def common_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
-    """Matched runs in order: the longest one, then those on either side of it, and so on."""
-    from difflib import SequenceMatcher
+def matched_places(spoken: list[str], shown: list[str], pad: int = 256) -> list[int | None]:
+    """For each spoken word the place of the shown word it was matched with, if any.
 
-    found, todo = [], [(0, len(a), 0, len(b))]
+    What both sides begin and end with is matched first. In what is left, words
+    that stand once on either side are anchors, if they come in an order both
+    sides share (the longest such order); matches grow from anchors while words
+    are equal, and the stretches between are treated alike. Where no
+    word or short run is alone, windows are compared word by word. Time grows with
+    the words, whatever repeats.
+    """
+    number: dict[str, int] = {}
+    a, b = (np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in (spoken, shown))
+    found = np.full(len(a), -1, np.int64)
+    todo = [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
+        n = min(a1 - a0, b1 - b0)
+        differ = np.flatnonzero(a[a0 : a0 + n] != b[b0 : b0 + n])
+        same = int(differ[0]) if len(differ) else n
+        found[a0 : a0 + same] = np.arange(b0, b0 + same)
+        a0, b0, n = a0 + same, b0 + same, n - same
+        differ = np.flatnonzero(a[a1 - n : a1][::-1] != b[b1 - n : b1][::-1])
+        same = int(differ[0]) if len(differ) else n
+        found[a1 - same : a1] = np.arange(b1 - same, b1)
+        a1, b1 = a1 - same, b1 - same
         if a0 == a1 or b0 == b1:
             continue
-        if (a1 - a0) * (b1 - b0) < SMALL_REGION or max(a1 - a0, b1 - b0) > len(_UP):
-            found += [(a0 + m.a, b0 + m.b, m.size) for m in SequenceMatcher(None, a[a0:a1].tolist(), b[b0:b1].tolist(), autojunk=False).get_matching_blocks() if m.size]
+        at_a, at_b = anchors(a[a0:a1], b[b0:b1])
+        if not len(at_a):
+            for i, j in _between(a[a0:a1], b[b0:b1], pad):
+                found[a0 + i] = b0 + j
             continue
-        i, j, n = longest_run(a[a0:a1], b[b0:b1])
-        if n:
-            i, j = a0 + i, b0 + j
-            found.append((i, j, n))
-            todo += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
-    return sorted(found)
-
-
-def matched_places(spoken: list[str], shown: list[str], chunk: int, pad: int) -> list[int | None]:
-    """For each spoken word the place of the shown word it was matched with, if any.
-
-    Stretches of both sides are aligned one after the other, each from where the
-    last match ended; where a stretch has no word in common, both sides move on
-    by half a stretch.
-    """
-    number: dict[str, int] = {}
-    a, b = (np.array([number.setdefault(w, len(number)) for w in words], np.uint64) for words in (spoken, shown))
-    found: list[int | None] = [None] * len(spoken)
-    s = r = 0
-    while s < len(spoken) and r < len(shown):
-        runs = common_runs(a[s : s + chunk], b[r : r + chunk + pad])
-        for i, j, n in runs:
-            found[s + i : s + i + n] = range(r + j, r + j + n)
-        if runs:
-            i, j, n = runs[-1]
-            s, r = s + i + n, r + j + n
-        else:
-            s, r = s + max(1, chunk // 2), r + max(1, chunk // 2)
-    return found
+        at_a, at_b = at_a + a0, at_b + b0
+        found[at_a] = at_b
+        starts, ends = np.append(at_a + 1, a1), np.append(at_b + 1, b1)
+        todo += [(x, y, u, v) for x, y, u, v in zip([a0, *starts[:-1]], [*at_a, a1], [b0, *ends[:-1]], [*at_b, b1], strict=True) if x < y and u < v]
+    return [None if f < 0 else f for f in found.tolist()]
 
 
 def filled_places(found: list[int | None]) -> list[int]:
@@ -329,20 +391,21 @@ def filled_places(found: list[int | None]) -> list[int]:
     return out
 
 
-def align_tokens(docs: DataFrame, *, key: str = "doc_id", spoken: str = "spoken", rendered: str = "rendered", chunk: int = 2000, pad: int = 500) -> DataFrame:
+def align_tokens(docs: DataFrame, *, key: str = "doc_id", spoken: str = "spoken", rendered: str = "rendered", word: str = r"\S+", fold: bool = False) -> DataFrame:
     """(key, ``idx``, ``offset``): for each spoken word the place of the rendered word it stands for.
 
-    Documents whose word lists are equal are matched by position in the JVM;
-    only the others go to Python.
+    ``word`` is the pattern of a word; with ``fold`` words are compared in lower
+    case. Documents whose word lists are equal are matched by position in the
+    JVM; only the others go to Python.
     """
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
+    words = lambda c: F.regexp_extract_all(F.lower(c) if fold else c, F.lit(word), F.lit(0))
     rows = docs.select(key, words(F.coalesce(F.col(spoken), F.lit(""))).alias("_a"), words(F.coalesce(F.col(rendered), F.lit(""))).alias("_b"))
     same = rows.filter(F.col("_a") == F.col("_b")).select(key, F.posexplode("_a").alias("idx", "_")).select(key, "idx", F.col("idx").alias("offset"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, a, b in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                places = filled_places(matched_places(a, b, chunk, pad))
+                places = filled_places(matched_places(a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(a), batch.schema.field(0).type), pa.array(range(len(a)), pa.int32()), pa.array(places, pa.int32())], [key, "idx", "offset"])
 
     other = rows.filter(F.col("_a") != F.col("_b"))

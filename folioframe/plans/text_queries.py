@@ -290,6 +290,16 @@ def align_tokens(spark, sf):
     return M.align_tokens(d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum("offset").alias("places"))
 
 
+@query("""with k as (select p_brand || '-' || p_size as doc_id, count(*) as k from part group by 1) select doc_id, cast(8 * k as bigint) as words, cast(8 * k * (k + 1) + 3 * k - 6 as bigint) as places from k""")
+def align_narration(spark, sf):
+    """Tables of parts as they are narrated, against the words as they are shown."""
+    p = table(spark, sf, "part").groupBy(F.concat_ws("-", "p_brand", "p_size").alias("doc_id")).agg(F.array_sort(F.collect_list("p_partkey")).alias("parts"))
+    lines = lambda form, sep: F.array_join(F.transform("parts", lambda x: F.replace(F.lit(form), F.lit("#"), x.cast("string"))), sep)
+    p = p.select("doc_id", F.concat(F.lit("| Part | Size |\n| --- | --- |\n"), lines("| p# | s# |", "\n")).alias("text"), F.concat(F.lit("part size "), lines("P# S#", " ")).alias("rendered"))
+    said = S.narrate_tables(p).select("doc_id", F.col("narration").alias("spoken"))
+    return M.align_tokens(p.join(said, "doc_id"), word=r"\w+", fold=True).groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum("offset").alias("places"))
+
+
 @query(f"""with {_TOKENS}, {_WORDS.replace("w as", "lw as")}, {_FREQ.replace("from w ", "from lw ")}, h as (select distinct lw.doc_id, lw.word from lw join z on lw.word = z.word where length(lw.word) >= 4 and zipf < 4.5),
 k as (select w.doc_id, w.n, lower(regexp_replace(w.word, '[^A-Za-z]', '', 'g')) as word from w), d as (select k.doc_id, n, row_number() over (partition by k.doc_id order by n) as r from k join h on k.doc_id = h.doc_id and k.word = h.word)
 select doc_id, cast(n - 1 as int) as idx, 'user' as kind from w where n <= 3 union all select doc_id, cast(n - 1 as int), 'difficult' from d where n > 3 and r <= 5000""")

@@ -4,6 +4,8 @@ import random
 import time
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioframe.functions import markup, numbers
@@ -103,11 +105,46 @@ def test_rare_words_fill_up_cards(spark):
 def test_alignment_anchors_again():
     spoken = "table with 2 columns row 1 name is alice age is 30 the end".split()
     shown = "name age alice 30 the end".split()
-    got = M.filled_places(M.matched_places(spoken, shown, 2000, 500))
+    got = M.filled_places(M.matched_places(spoken, shown))
     assert [shown[got[i]] for i in (8, 11, 12, 13)] == ["alice", "30", "the", "end"]
     # four spoken words that are not shown, then text that both have
-    assert M.matched_places(list("wxyzab"), list("qrstab"), 4, 1) == [None] * 4 + [4, 5]
-    assert M.matched_places([], ["a"], 4, 1) == [] and M.matched_places(["a"], [], 4, 1) == [None]
+    assert M.matched_places(list("wxyzab"), list("qrstab")) == [None] * 4 + [4, 5]
+    assert M.matched_places([], ["a"]) == [] and M.matched_places(["a"], []) == [None]
+    assert M.matched_places("a x b c".split(), "a q a x b d".split()) == [2, 3, 4, None] or M.matched_places("a x b c".split(), "a q a x b d".split()) == [0, 3, 4, None]
+
+
+@given(st.lists(st.sampled_from("abcdef"), max_size=30), st.lists(st.sampled_from("abcdef"), max_size=30))
+def test_alignment_is_rising_and_equal(spoken, shown):
+    got = M.matched_places(spoken, shown)
+    pairs = [(i, j) for i, j in enumerate(got) if j is not None]
+    assert all(spoken[i] == shown[j] for i, j in pairs) and [j for _, j in pairs] == sorted({j for _, j in pairs})
+    assert bool(pairs) == bool(set(spoken) & set(shown)) and (spoken != shown or got == list(range(len(spoken))))
+
+
+@pytest.mark.parametrize("n", [3, 2000])
+def test_alignment_of_insertions_only(n):
+    rng = random.Random(n)
+    for few in (3, 10**6):  # hardly a word stands alone, or nearly all do
+        shown = [f"w{rng.randrange(few)}" for _ in range(n)]
+        spoken, want = [], []
+        for i, w in enumerate(shown):
+            if rng.random() < 0.1:
+                spoken += ["<row>"] * rng.randint(1, 4)
+            want.append(len(spoken))
+            spoken.append(w)
+        got = M.matched_places(spoken, shown)
+        assert [got[i] for i in want] == list(range(n)) or few == 3 and sum(g is not None for g in got) > 0.97 * n
+
+
+def test_alignment_of_repeating_texts_ends():
+    for spoken, shown in ((["a", "b"] * 10_000, ["b", "a", "c"] * 7_000), (["x"] * 20_000, ["x"] * 21_000 + ["y"]), (list("abcab") * 5_000, list("bcaba") * 5_000)):
+        began = time.process_time()
+        got = M.matched_places(["<"] + spoken, shown)
+        assert time.process_time() - began < 5 and sum(g is not None for g in got) > 6_000
+    words = [f"w{i % 977}" for i in range(110_000)]
+    began = time.process_time()
+    got = M.matched_places(["table", "with", *words[:50_000], "row", *words[50_000:]], words)
+    assert time.process_time() - began < 10 and got[2] == 0 and got[-1] == len(words) - 1
 
 
 def test_summaries_of_long_documents_in_blocks():
