@@ -11,7 +11,7 @@ import re
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -178,7 +178,63 @@ BOILERPLATE = frozenset("script style noscript template nav footer aside form if
 BLOCK = "page_id long, seq int, kind string, level int, text string, href string"
 
 
-class _Blocks(HTMLParser):
+_OPEN, _CLOSE = re.compile(r"<([A-Za-z][^\s/>]*+)"), re.compile(r"</([A-Za-z][^\s/>]*+)[^>]*+>")
+_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?""")
+_TAG_END = re.compile(r"[\s/=]*+>")
+#: Elements whose content is no markup.
+RAW = frozenset("script style".split())
+
+
+def markup_events(html: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
+    """(``open``, tag, attributes), (``close``, tag, None) and (``text``, text, None) of a page in one pass.
+
+    Comments and declarations are passed over. What never ends (a comment, a tag
+    or a quote at the end of the page) is looked for once: an unfinished comment
+    takes the rest, the rest behind an unfinished tag is text.
+    """
+    at, text_from, end = 0, 0, len(html)
+    say = lambda upto: [("text", unescape(html[text_from:upto]), None)] if upto > text_from else []
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            after = html.find("-->", at + 4)
+            after = end if after < 0 else after + 3
+            yield from say(at)
+        elif html.startswith(("<!", "<?"), at):
+            after = html.find(">", at)
+            if after < 0:
+                break
+            after += 1
+            yield from say(at)
+        elif m := _CLOSE.match(html, at):
+            after = m.end()
+            yield from say(at)
+            yield "close", m[1].lower(), None
+        elif m := _OPEN.match(html, at):
+            tag, named, after = m[1].lower(), {}, m.end()
+            while a := _ATTRIBUTE.match(html, after):
+                value = a[2] or ""
+                named.setdefault(a[1].lower(), unescape(value[1:-1] if value[:1] in ("'", '"') and len(value) > 1 and value[-1] == value[0] else value))
+                after = a.end()
+            closed = _TAG_END.match(html, after)
+            if not closed:
+                break
+            after = closed.end()
+            yield from say(at)
+            yield "open", tag, named
+            if tag in RAW and not html[closed.start() : after].endswith("/>"):
+                stop = re.compile(f"</{tag}(?![^\\s/>])", re.I).search(html, after)
+                text_from, after = after, stop.start() if stop else end
+                yield from say(after)
+        elif html.startswith("</", at) and html.find(">", at) < 0:
+            break
+        else:
+            at += 1
+            continue
+        at = text_from = after
+    yield from say(end)
+
+
+class _Blocks:
     """Rows of a page: titles, headings, paragraphs, items, tables, links, images.
 
     Emphasis is marked in the text. An item of an ordered list has its number in
@@ -190,14 +246,13 @@ class _Blocks(HTMLParser):
     CUTS = frozenset("div ul ol table tr td th section article main header figure".split())
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.rows: list[tuple[str, int, str, str | None]] = []
         self.parts: list[str] = []
         self.kind: tuple[str, int, str | None] = ("paragraph", 0, None)
         self.silent = 0
         self.link: tuple[str, list[str]] | None = None
         self.lists: list[list] = []  #: [ordered, items so far] of each open list
-        self.marks: list[str] = []
+        self.marks: dict[str, int] = {}  #: open marks and how often, by the first to open
         self.tables: list[list[list[str]]] = []
         self.cell: list[str] | None = None
 
@@ -225,8 +280,21 @@ class _Blocks(HTMLParser):
             lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
             self.rows.append(("table", 0, "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]), None))
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        named = dict(attrs)
+    def read(self, html: str) -> list[tuple[str, int, str, str | None]]:
+        """The page's rows."""
+        for what, value, named in markup_events(html):
+            if what == "open":
+                self.begin(value, named)
+            elif what == "close":
+                self.end(value)
+            else:
+                self.say(value)
+        while self.tables:
+            self.end_table()
+        self.flush()
+        return self.rows
+
+    def begin(self, tag: str, named: dict[str, str]) -> None:
         if tag in BOILERPLATE and tag != "head":
             self.silent += 1
         if tag in self.KINDS or tag in self.CUTS:
@@ -248,14 +316,14 @@ class _Blocks(HTMLParser):
             else:
                 self.cell = []
         if tag in self.MARKS:
-            self.marks.append(tag)
+            self.marks[tag] = self.marks.get(tag, 0) + 1
         if tag == "a" and named.get("href"):
             self.link = (named["href"], [])
         if tag == "img" and not self.silent:
             text = next((named[k] for k in ("alt", "aria-label", "title", "longdesc") if named.get(k)), "")
             self.rows.append(("image", 0, text, named.get("src")))
 
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag in BOILERPLATE and tag != "head":
             self.silent = max(0, self.silent - 1)
         if tag in self.KINDS:
@@ -268,30 +336,26 @@ class _Blocks(HTMLParser):
         if tag == "table":
             self.end_table()
         if tag in self.marks:
-            del self.marks[len(self.marks) - 1 - self.marks[::-1].index(tag)]
+            self.marks[tag] -= 1
+            if not self.marks[tag]:
+                del self.marks[tag]
         if tag == "a" and self.link:
             self.rows.append(("link", 0, re.sub(r"\s+", " ", "".join(self.link[1])).strip(), self.link[0]))
             self.link = None
 
-    def handle_data(self, data: str) -> None:
+    def say(self, data: str) -> None:
         if self.link:
             self.link[1].append(data)
         if self.silent:
             return
         core = data.strip()
         if self.marks and core:
-            kinds = [self.MARKS[t] for t in dict.fromkeys(self.marks)]
+            kinds = [self.MARKS[t] for t in self.marks]
             mark = "`" if "`" in kinds else "".join(dict.fromkeys(kinds))
             at = data.index(core)
             data = f"{data[:at]}{mark}{core}{mark[::-1]}{data[at + len(core) :]}"
         self.parts.append(data)
 
-    def close(self) -> None:
-        super().close()
-        while self.tables:
-            self.end_table()
-        self.flush()
-
 
 def page_blocks(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
     """(``page_id``, ``seq``, ``kind``, ``level``, ``text``, ``href``): every page parsed once."""
@@ -300,10 +364,7 @@ def page_blocks(pages: DataFrame, *, key: str = "page_id", html: str = "html") -
         for batch in batches:
             out: list[tuple] = []
             for k, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                parser = _Blocks()
-                parser.feed(value.as_py() or "")
-                parser.close()
-                out += [(k, n, *row) for n, row in enumerate(parser.rows)]
+                out += [(k, n, *row) for n, row in enumerate(_Blocks().read(value.as_py() or ""))]
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["page_id", "seq", "kind", "level", "text", "href"])

@@ -172,3 +172,45 @@ def test_intermediate_tables_are_cleared(spark, tmp_path):
     folder = Path(frame.inputFiles()[0].removeprefix("file://")).parent
     session.discard(frame)
     assert not folder.exists() and session.clear_intermediate(spark) == 0
+
+
+def test_page_reader_equals_the_standard_parser():
+    import random
+    from html.parser import HTMLParser
+
+    from folioframe.sources import files
+
+    class Standard(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks = files._Blocks()
+
+        def handle_starttag(self, tag, attrs):
+            self.blocks.begin(tag, {k: v or "" for k, v in attrs})
+
+        def handle_endtag(self, tag):
+            self.blocks.end(tag)
+
+        def handle_data(self, data):
+            self.blocks.say(data)
+
+    pieces = ["<p>", "</p>", "<b>", "</b>", "<i class=x>", "</i>", "<a href='u?a=1&amp;b'>", "</a>", "<li>", "<ul>", "</ul>", "<ol start=3>", "</ol>", "<table>", "<tr>", "<td>", "<th>", "</td>", "</table>", '<h2 id=a b title="x>y">', "</h2>", "<script>", "x &lt; y </script>", "<!-- c -->", "text ", " more&nbsp;t", '<img alt="q" src=s>', "<nav>", "</nav>", "<br/>", "<!DOCTYPE html>", "<pre>", "</pre>", "<blockquote>", "<code>", "</code>", "<figcaption>", "<TITLE>", "</Title >"]
+    rng = random.Random(2)
+    for _ in range(4000):
+        html = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 16))) + "</script>"
+        standard = Standard()
+        standard.feed(html)
+        standard.close()
+        while standard.blocks.tables:
+            standard.blocks.end_table()
+        standard.blocks.flush()
+        assert files._Blocks().read(html) == standard.blocks.rows
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!--", "<b>x", "<p>", "</a ", '<a href="', "&amp;", "<", "<table>", "<script>", "<![CDATA[", "<ul><li>", "<a x='1' "])
+def test_page_reader_is_linear(piece):
+    from folioframe.sources import files
+
+    began = time.process_time()
+    files._Blocks().read(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 6
