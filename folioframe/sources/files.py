@@ -76,6 +76,36 @@ def read_registered(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
+def read_catalog(spark: SparkSession, folder: str, *, only: str = "*") -> DataFrame:
+    """The files of a folder as one frame (``path``, ``format``, ``title``, ``text``), each by the reader of its extension.
+
+    ``only`` is a pattern for names without extension; it and the extension go
+    into the path that a reader gets, so other files are never opened. Readers
+    are those of ``BUILT_IN`` and registered ones; the lowest number counts, and
+    where numbers are equal the registered one. What a reader doesn't say is filled in.
+    """
+    of = {e: min(_READERS.get(e, []) + [(200, r) for r in [BUILT_IN.get(e)] if r], key=lambda r: r[0])[1] for e in sorted({*_READERS, *BUILT_IN})}
+    context, out = spark.sparkContext, None
+    for ext, reader in of.items():
+        pattern = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{only}.{ext}")
+        if not pattern.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(pattern):
+            continue
+        rows = reader(spark, pattern.toString())
+        name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+        title = F.coalesce("title", name) if "title" in rows.columns else name
+        frame = rows.select("path", file_format(F.col("path")).alias("format"), title.alias("title"), "text")
+        out = frame if out is None else out.unionByName(frame)
+    return spark.createDataFrame([], "path string, format string, title string, text string") if out is None else out
+
+
+def notebook_markdown(cells: DataFrame) -> DataFrame:
+    """(``path``, ``text``) of notebook cells; code is fenced, an unreadable notebook has a null text."""
+    shown = F.when(F.col("kind") == "code", F.concat(F.lit("```"), "language", F.lit("\n"), "source", F.lit("\n```"))).when(F.col("kind") == "markdown", F.col("source"))
+    ordered = F.array_sort(F.collect_list(F.struct("n", shown.alias("t"))))
+    text = F.when(F.max("kind") != "error", F.array_join(F.transform(ordered, lambda x: x["t"]), "\n\n"))
+    return cells.groupBy("path").agg(text.alias("text"))
+
+
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as (``path``, ``title``, ``text``): the first heading, else the file's name; front matter off."""
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -93,7 +123,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     file isn't one task's work.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), "value")
-    quoted = rf'(?:^|{re.escape(sep)})(?:"((?:[^"]|"")*)"|([^{re.escape(sep)}]*))'
+    quoted = rf'(?:^|{re.escape(sep)})(?:"((?:[^"]++|"")*+)"|([^{re.escape(sep)}]*))'
     pieces = F.regexp_extract_all("value", F.lit(quoted), F.lit(0))
     clean = F.transform(pieces, lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "^" + re.escape(sep), ""), r'^"|"$', ""), '""', '"'))
     rows = lines.withColumn("cells", clean)
@@ -126,6 +156,15 @@ def notebook_cells(spark: SparkSession, path: str) -> DataFrame:
     return cells.unionByName(bad)
 
 
+#: Readers that need no registration: (path, text) and perhaps a title, by extension.
+BUILT_IN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **dict.fromkeys(("txt", "text", "md", "markdown", "log"), read_text_corpus),
+    "csv": lambda spark, path: delimited_markdown(read_delimited(spark, path)).withColumnRenamed("markdown", "text"),
+    "tsv": lambda spark, path: delimited_markdown(read_delimited(spark, path, "\t")).withColumnRenamed("markdown", "text"),
+    "ipynb": lambda spark, path: notebook_markdown(notebook_cells(spark, path)),
+}
+
+
 def archive_members(spark: SparkSession, path: str, *, content: bool = False) -> DataFrame:
     """Members of zip and tar archives: (``path``, ``member``, ``ref``, ``size``, ``content``).
 
