@@ -78,11 +78,14 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and with it the shuffle files of the write."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and with it the shuffle files of the write.
+
+    ``options`` are the writer's.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with cleaned(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     context = df.sparkSession.sparkContext
     context._folio_written = [*getattr(context, "_folio_written", []), path]
     return df.sparkSession.read.schema(df.schema).parquet(path)
