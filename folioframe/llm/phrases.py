@@ -37,6 +37,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -50,7 +51,7 @@ from folioframe.session import cleaned, delete, discard, materialize, shared_fol
 LONGEST, LEAST, FIRST = 5, 100, 2000
 SHARDS = 2
 #: Posts are summed in so many turns, by hash, so that not all are shuffled at once.
-TURNS = 3
+TURNS = 4
 BLOCK_WORDS = 1 << 20
 UNKNOWN = "und"
 #: Marks that end a piece, as bytes; LF to CR are among them.
@@ -59,7 +60,9 @@ FOLDED = bytes(10 if c in MARKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 e
 #: Odd multipliers of the two hashes of a word sequence.
 STEP_1, STEP_2 = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x27D4EB4F)
 
-BLOCK = "block long, shard int, ids binary, first binary, second binary, words binary, word_langs binary, langs array<string>, lang_words array<long>"
+BLOCK = "block long, shard int, ids binary, words binary, word_langs binary, langs array<string>, lang_words array<long>"
+#: Keys of a word's two hashes.
+KEY_1, KEY_2 = "phrase word 0001", "phrase word 0002"
 #: ``m`` is 32 times the occurrences plus twice the length.
 POST = "block long, h1 long, h2 int, m long"
 #: In this order a sort by key can go by the first hash alone.
@@ -81,13 +84,13 @@ class _Numbers(dict):
 
 
 def word_blocks(docs: DataFrame, *, text: str = "text", lang: str = "lang", shards: int = SHARDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """BLOCK rows: word numbers with -1 between pieces, and each number's hashes, word and language."""
+    """BLOCK rows: word numbers with -1 between pieces, and each number's word and language."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         partition, number = TaskContext.get().partitionId(), 0
-        schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), *((c, pa.binary()) for c in ("ids", "first", "second", "words", "word_langs")), ("langs", pa.list_(pa.string())), ("lang_words", pa.list_(pa.int64()))])
+        schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), *((c, pa.binary()) for c in ("ids", "words", "word_langs")), ("langs", pa.list_(pa.string())), ("lang_words", pa.list_(pa.int64()))])
         seen: list[bytes] = []
         of: list[str] = []
         numbers: dict[str, _Numbers] = {}
@@ -97,16 +100,10 @@ def word_blocks(docs: DataFrame, *, text: str = "text", lang: str = "lang", shar
         def block() -> pa.RecordBatch:
             langs = {name: i for i, name in enumerate(numbers)}
             kinds = np.zeros(len(seen), np.int32)
-            first, second = np.empty(len(seen), np.uint64), np.empty(len(seen), np.uint32)
             for name, found in numbers.items():
-                seed = xxhash.xxh3_64_intdigest(name)
-                for word, n in found.items():
-                    if n >= 0:
-                        kinds[n] = langs[name]
-                        h = xxhash.xxh3_128_intdigest(word, seed)
-                        first[n], second[n] = h & 0xFFFFFFFFFFFFFFFF, h >> 96
+                kinds[[n for n in found.values() if n >= 0]] = langs[name]
             key = xxhash.xxh3_64_intdigest(f"{partition}/{number}") >> 1
-            row = (key, key % shards, pack(np.concatenate(parts)), pack(first), pack(second), pa.compress(b"\n".join(seen), codec="zstd", asbytes=True) + sum(map(len, seen), len(seen)).to_bytes(8, "little"), pack(kinds), list(langs), [counts[x] for x in langs])
+            row = (key, key % shards, pack(np.concatenate(parts)), pa.compress(b"\n".join(seen), codec="zstd", asbytes=True) + sum(map(len, seen), len(seen)).to_bytes(8, "little"), pack(kinds), list(langs), [counts[x] for x in langs])
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -136,12 +133,26 @@ def word_blocks(docs: DataFrame, *, text: str = "text", lang: str = "lang", shar
     return docs.select(F.col(text), F.coalesce(F.col(lang), F.lit(UNKNOWN))).mapInArrow(build, BLOCK)
 
 
+def words_in(row: dict) -> list[bytes]:
+    """A block's words by number."""
+    size = int.from_bytes(row["words"][-8:], "little")
+    return pa.decompress(row["words"][:-8], decompressed_size=max(0, size - 1), codec="zstd", asbytes=True).split(b"\n")
+
+
+def word_hashes(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of a block's words, each with its language."""
+    words, kinds = np.array(words_in(row), object), unpack(row["word_langs"], np.int32)
+    langs = np.array([xxhash.xxh3_64_intdigest(x) for x in row["langs"]], np.uint64)[kinds]
+    first, second = (pd.util.hash_array(words, hash_key=k, categorize=False) for k in (KEY_1, KEY_2))
+    return first ^ langs, ((second ^ langs * STEP_1) >> np.uint64(32)).astype(np.uint32)
+
+
 class Sequences:
     """A block's word sequences: hashes of each length by place."""
 
     def __init__(self, row: dict):
         self.ids = unpack(row["ids"], np.int32)
-        self.words = [np.append(unpack(row[c], t), t(0)) for c, t in (("first", np.uint64), ("second", np.uint32))]
+        self.words = [np.append(h, h.dtype.type(0)) for h in word_hashes(row)]
         here = np.arange(len(self.ids))
         ends = np.where(self.ids < 0, here, len(here))
         self.room = np.minimum.accumulate(ends[::-1])[::-1] - here  # words from a place to its piece's end
@@ -193,7 +204,9 @@ def scan(blocks: DataFrame, told: DataFrame | None, round_: int) -> DataFrame:
         for row in left.to_pylist():
             if row["shard"] == round_:
                 n = np.bincount((ids := unpack(row["ids"], np.int32))[ids >= 0])
-                out.append(posts(row["block"], 1, unpack(row["first"], np.int64), unpack(row["second"], np.int32), n))
+                first, second = word_hashes(row)
+                by = np.argsort(first)
+                out.append(posts(row["block"], 1, first[by].view(np.int64), second[by].view(np.int32), n[by]))
             elif right.num_rows:
                 text = Sequences(row)
                 for length in sorted(pc.unique(right["k"]).to_pylist()):
@@ -233,7 +246,7 @@ def frequent(blocks: DataFrame, *, longest: int = LONGEST, least: int = LEAST, s
     ``home`` is a block that holds it. A length's counts are complete, and its
     posts done with, ``shards`` rounds after its first.
     """
-    scanned = blocks.select("block", "shard", "ids", "first", "second")
+    scanned = blocks.select("block", "shard", "ids", "words", "word_langs", "langs")
     posts: list[DataFrame] = []
     written: list[DataFrame] = []
     complete = None
@@ -250,7 +263,7 @@ def frequent(blocks: DataFrame, *, longest: int = LONGEST, least: int = LEAST, s
                     ended = told.filter(F.col("k") == n - shards + 1).groupBy(*KEY).agg(F.max("total").alias("a"), F.min("block").alias("home"))
                     complete = ended if complete is None else complete.unionByName(ended)
             if n < shards + longest - 1:
-                posts.append(materialize(scan(scanned, told, n), "phrase-posts"))
+                posts.append(materialize(scan(scanned, told, n), "phrase-posts", **{"parquet.writer.version": "v2"}))  # a block's hashes are sorted: steps are shorter
         return materialize(complete, "phrases")
     finally:
         for table_ in posts[-shards:] + written:
@@ -264,8 +277,7 @@ def named(blocks: DataFrame, found: DataFrame) -> DataFrame:
         out: dict[str, list] = {c: [] for c in ("lang", "phrase", "k", "h1", "h2", "a", "cuts")}
         row = left.to_pylist()[0]
         text = Sequences(row)
-        size = int.from_bytes(row["words"][-8:], "little")
-        words = pa.decompress(row["words"][:-8], decompressed_size=max(0, size - 1), codec="zstd", asbytes=True).split(b"\n")
+        words = words_in(row)
         kinds = unpack(row["word_langs"], np.int32)
         for k in sorted(pc.unique(right["k"]).to_pylist()):
             part = right.filter(pc.equal(right["k"], k))
