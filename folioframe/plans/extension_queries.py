@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tarfile
 import uuid
+import zipfile
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import dictionary as D
+from folioframe.functions import text as T
 from folioframe.functions.tables import register_tables
 from folioframe.operators import mining as M
 from folioframe.session import dealt, shared_folder, table
@@ -63,6 +69,37 @@ def read_catalog(spark, sf):
     return found.select("format", F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")).alias("title"), lines.alias("lines"))
 
 
+@query("""select doc_id, cast(strlen(text) as bigint) as size, md5(text) as digest from documents where text is not null and doc_id % 2 = 1""")
+def archive_members(spark, sf):
+    """Documents in archives that tasks write; those that the library doesn't have yet are read by their references."""
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    local = folder.removeprefix("file://").removeprefix("file:")
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        os.makedirs(local, exist_ok=True)
+        name, fresh = f"{local}/{key[0]}.{'tar' if key[0] % 2 else 'zip'}", f"{local}/.{key[0]}-{uuid.uuid4().hex}"
+        members = [(f"d/{i}.txt", t.encode()) for i, t in zip(rows["doc_id"], rows["text"], strict=True)]
+        if key[0] % 2:
+            with tarfile.open(fresh, "w") as t:
+                for member, data in members:
+                    info = tarfile.TarInfo(member)
+                    info.size = len(data)
+                    t.addfile(info, io.BytesIO(data))
+        else:
+            with zipfile.ZipFile(fresh, "w", zipfile.ZIP_DEFLATED) as z:
+                for member, data in members:
+                    z.writestr(member, data)
+        os.replace(fresh, name)  # a task that is run again writes the same file
+        return pd.DataFrame({"n": [len(members)]})
+
+    docs = table(spark, sf, "documents").filter("text is not null").select("doc_id", "text")
+    docs.groupBy((F.floor(F.col("doc_id") / 100)).alias("archive")).applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    members = files.archive_members(spark, folder, content=True, range_bytes=1 << 16)
+    known = docs.filter("doc_id % 2 = 0").select(F.concat(F.lit(f"{local}/"), F.floor(F.col("doc_id") / 100), F.when(F.floor(F.col("doc_id") / 100) % 2 == 1, ".tar").otherwise(".zip"), F.lit("!d/"), "doc_id", F.lit(".txt")).alias("path"))
+    new = files.new_members(members, known).withColumn("r", T.parse_ref(F.col("ref")))
+    return new.select(F.regexp_extract("r.member", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), "size", F.md5("content").alias("digest"))
+
+
 @query(r"""with w as (select lang, source, doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as word from documents),
 t as (select word from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents) x group by word order by count(*) desc, word limit 10000)
 select lang, source, word as term, cast(count(*) as bigint) as hits, count(distinct doc_id) as docs from w join t using (word) group by all""")

@@ -6,10 +6,7 @@ that a query does not use (the bytes of a catalog's files, say) are never read.
 
 from __future__ import annotations
 
-import io
 import re
-import tarfile
-import zipfile
 from collections.abc import Callable, Iterator
 from html import unescape
 
@@ -17,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioframe.sources import archives
+
 #: Formats by file extension; a rule of the library, extended by ``register_reader``.
 FORMATS = {
     "txt": "text", "text": "text", "log": "text", "md": "markdown", "markdown": "markdown", "rmd": "rmarkdown", "rst": "rst", "org": "org", "adoc": "asciidoc", "tex": "latex", "wiki": "mediawiki", "creole": "creole", "textile": "textile",
@@ -24,7 +23,6 @@ FORMATS = {
     "py": "code", "js": "code", "java": "code", "c": "code", "cpp": "code", "rs": "code", "go": "code", "sh": "code", "sql": "code", "r": "code", "srt": "subtitles", "vtt": "subtitles", "bib": "bibtex", "ris": "ris", "zip": "archive", "tar": "archive",
 }
 JUNK = ("node_modules", "__pycache__", "__MACOSX", "venv", "build", "dist")
-MEMBER = "path string, member string, ref string, size long, content binary"
 _READERS: dict[str, list[tuple[int, Callable[[SparkSession, str], DataFrame]]]] = {}
 
 
@@ -165,34 +163,15 @@ BUILT_IN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def archive_members(spark: SparkSession, path: str, *, content: bool = False) -> DataFrame:
-    """Members of zip and tar archives: (``path``, ``member``, ``ref``, ``size``, ``content``).
+def archive_members(spark: SparkSession, path: str, *, content: bool = False, range_bytes: int = archives.RANGE_BYTES) -> DataFrame:
+    """Members of zip and tar archives: (``path``, ``member``, ``ref``, ``offset``, ``size``, ``content``, ``error``).
 
-    Folders, hidden members, resource forks and unsupported formats are left out; an unreadable archive has none.
+    Folders, hidden members, resource forks and unsupported formats are left
+    out; an unreadable archive has none. Members are read in ranges of
+    ``range_bytes`` of their archive, and only if ``content`` is asked for.
     """
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows: list[tuple[str, int, bytes | None]] = []
-                stream = io.BytesIO(data.as_py())
-                try:
-                    if zipfile.is_zipfile(stream):
-                        with zipfile.ZipFile(stream) as z:
-                            rows = [(i.filename, i.file_size, z.read(i) if content else None) for i in z.infolist() if not i.is_dir()]
-                    else:
-                        stream.seek(0)
-                        with tarfile.open(fileobj=stream) as t:
-                            rows = [(m.name, m.size, t.extractfile(m).read() if content else None) for m in t if m.isfile()]
-                except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError):
-                    rows = []
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([f"{name}!{r[0]}" for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                    ["path", "member", "ref", "size", "content"],
-                )
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    found = files.mapInArrow(members, MEMBER)
+    archives.register(spark)
+    found = spark.read.format("folio_archives").options(content=str(content).lower(), range_bytes=str(range_bytes)).load(path)
     return found.filter(supported(F.col("member")) & ~F.col("member").rlike(r"(^|/)(?:\.|__MACOSX/)"))
 
 

@@ -1,9 +1,12 @@
 """Dictionaries as tables, readers by format, table functions."""
 
+import io
 import json
 import random
 import re
+import tarfile
 import time
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +107,33 @@ def test_table_functions_equal_the_operators(spark):
     pages = spark.createDataFrame([(1, "<h1>A</h1><p>b <a href=u>c</a>"), (2, None)], "page_id long, html string")
     got = spark.sql("select page_id, b.* from {p}, lateral page_blocks_of(html) b", p=pages).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, files.page_blocks(pages).collect()), key=repr) and len(got) == 3
+
+
+@pytest.mark.parametrize("range_bytes", [9_000, 1 << 26])
+def test_archives_in_ranges(spark, tmp_path, range_bytes):
+    data = {f"d{i}/{i}.txt": bytes([65 + i % 26]) * (37 * i) for i in range(60)}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in data.items():
+            z.writestr(name, content)
+    for name, mode in (("b.tar", "w"), ("c.tgz", "w:gz"), ("d.tar.xz", "w:xz")):
+        with tarfile.open(tmp_path / name, mode) as t:
+            for member, content in data.items():
+                info = tarfile.TarInfo(member)
+                info.size = len(content)
+                t.addfile(info, io.BytesIO(content))
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    (tmp_path / "short.tar").write_bytes((tmp_path / "b.tar").read_bytes()[:40_000])
+    whole = (tmp_path / "a.zip").read_bytes()
+    at = whole.index(b"d50/50.txt") + 12
+    (tmp_path / "hurt.zip").write_bytes(whole[:at] + b"?????" + whole[at + 5 :])
+    got = files.archive_members(spark, str(tmp_path), content=True, range_bytes=range_bytes).collect()
+    by = {}
+    for r in got:
+        assert r.ref == f"{r.path}!{r.member}" and (r.content is None) == (r.error is not None)
+        assert by.setdefault(r.path.rsplit("/", 1)[-1], {}).setdefault(r.member, r.content) is r.content
+    assert all(by[n] == data for n in ("a.zip", "b.tar", "c.tgz", "d.tar.xz")) and "bad.zip" not in by
+    assert by["hurt.zip"].pop("d50/50.txt") is None and by["hurt.zip"] == {k: v for k, v in data.items() if k != "d50/50.txt"}
+    kept = {k: v for k, v in by["short.tar"].items() if v is not None}
+    assert 10 < len(kept) < 60 and all(data[k] == v for k, v in kept.items())
+    names = files.archive_members(spark, str(tmp_path / "a.zip"), range_bytes=range_bytes).collect()
+    assert {r.member: r.size for r in names} == {k: len(v) for k, v in data.items()} and all(r.content is None for r in names)
