@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 from folioframe.functions import dictionary as D
 from folioframe.functions import text as T
 from folioframe.functions.tables import register_tables
+from folioframe.operators import listing
 from folioframe.operators import mining as M
+from folioframe.operators import review as R
+from folioframe.operators import shaping as S
+from folioframe.plans import library_queries
+from folioframe.plans import views as V
 from folioframe.session import dealt, shared_folder, table
-from folioframe.sources import files
+from folioframe.sources import files, sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -115,3 +120,59 @@ def lateral_blocks(spark, sf):
     """The page reader as a table function, used laterally in SQL."""
     register_tables(spark)
     return spark.sql("select p.page_id, count_if(b.kind = 'link') as links, count_if(b.kind = 'heading') as headings from {pages} p, lateral page_blocks_of(p.html) b group by p.page_id", pages=table(spark, sf, "pages"))
+
+
+# ---- labels, catalogs and schedules that come from elsewhere
+
+
+@query("""with c as (select 'f' || (doc_id % 400) as path, cast(doc_id // 400 as int) as folder_order, '/lib/' || coalesce(source, '') as folder from documents)
+select path, folder_order, folder from (select *, row_number() over (partition by path order by folder_order) as n from c) x where n = 1""")
+def unique_catalog(spark, sf):
+    d = table(spark, sf, "documents")
+    rows = d.select(F.concat(F.lit("f"), F.col("doc_id") % 400).alias("path"), F.floor(F.col("doc_id") / 400).cast("int").alias("folder_order"), F.concat(F.lit("/lib/"), F.coalesce("source", F.lit(""))).alias("folder"))
+    return listing.unique_catalog(rows)
+
+
+@query("""select c_custkey as id, case c_custkey % 4 when 0 then 'Doe ' when 1 then 'Roe ' when 2 then 'Poe ' else '' end || case when c_custkey % 3 = 0 then '' else '(' || (1900 + c_custkey % 100) || '). ' end || c_name || ' [k' || c_custkey || ']' as label from customer""")
+def citation_label(spark, sf):
+    c = table(spark, sf, "customer")
+    author = F.element_at(F.array(F.lit("Doe, Jane and Roe, K"), F.lit("Richard Roe"), F.lit(" Edgar A. Poe and X"), F.lit(None)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    year = F.when(F.col("c_custkey") % 3 == 0, " ").otherwise((F.col("c_custkey") % 100 + 1900).cast("string"))
+    return c.select(F.col("c_custkey").alias("id"), T.citation_label(author, year, F.col("c_name"), F.concat(F.lit("k"), "c_custkey")).alias("label"))
+
+
+@query("""with s as (select l_orderkey, l_linenumber, cast(l_quantity * l_linenumber * 60 + l_linenumber as bigint) as s from lineitem)
+select l_orderkey, l_linenumber, case when s >= 3600 then (s // 3600) || 'h ' || lpad(cast(s % 3600 // 60 as varchar), 2, '0') || 'm' when s >= 60 then (s // 60) || 'm ' || lpad(cast(s % 60 as varchar), 2, '0') || 's' else s || 's' end as duration from s""")
+def fmt_duration(spark, sf):
+    seconds = F.col("l_quantity") * F.col("l_linenumber") * 60 + F.col("l_linenumber")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.fmt_duration(seconds).alias("duration"))
+
+
+@query("""with w as (select doc_id, len(regexp_extract_all(text, '\\S+')) as n from documents where text is not null), p as (select doc_id, cast(unnest(range(0, n, 300)) as int) as s, n from w)
+select doc_id, cast(s // 300 as int) as page, cast(greatest(s - 600, 0) as int) as shown_from, cast(least(s + 900, n) as int) as shown_to from p""")
+def page_window(spark, sf):
+    """Pages of 300 words each, with what is shown around them."""
+    n = F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
+    pages = table(spark, sf, "documents").filter("text is not null").select("doc_id", n.alias("n")).filter("n > 0").select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(300))).alias("start"))
+    pages = pages.select("doc_id", F.floor(F.col("start") / 300).cast("int").alias("page"), "start", F.least(F.col("start") + 300, F.col("n")).alias("end"))
+    return S.page_window(pages).select("doc_id", "page", "shown_from", "shown_to")
+
+
+@query(library_queries.ORACLE_SQL["schedule_reviews"].rsplit("select card_id", 1)[0] + """
+, e as (select o_custkey % 300 as id, max(o_orderkey) as reps from orders group by 1)
+select l.card_id as id, case when e.id is null then l."interval" else cast(e.reps % 90 + 1 as int) end as "interval", cast(case when e.id is null then l.n else e.reps end as bigint) as reps,
+cast(cast(day + case when e.id is null then l."interval" else cast(e.reps % 90 + 1 as int) end as date) as varchar) as next_review
+from l left join e on e.id = l.card_id""")
+def external_schedule(spark, sf):
+    """Cards take the schedule of an export that names them in its tags; of several entries the one with the most reviews."""
+    cards = R.schedule_reviews(V.frame(spark, sf, V.REVIEW_LOG)).select(F.col("card_id").alias("id"), "state")
+    reps = F.col("o_orderkey").cast("int")
+    exported = table(spark, sf, "orders").select(F.array(F.lit("deck"), F.concat(F.lit("card::"), F.col("o_custkey") % 300)).alias("tags"), (reps % 90 + 1).alias("interval"), F.lit(2500).alias("factor"), reps.alias("reps"), F.lit(0).alias("lapses"))
+    s = F.col("state")
+    return R.apply_external_schedule(cards, exported).select("id", s["interval"].alias("interval"), s["reps"].cast("long").alias("reps"), s["next_review"].cast("string").alias("next_review"))
+
+
+@query("""select p_brand as source, case when p_brand = 'Brand#11' then 'failed  Brand#11: no readable text' else 'ok      ' || p_brand || ' -> ' || p_brand || '.md' end as line from (select distinct p_brand from part) x""")
+def conversion_log(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("path"), F.when(F.col("p_brand") != "Brand#11", F.col("p_brand")).alias("text"))
+    return sinks.conversion_log(sinks.convert_corpus(p, "md"))

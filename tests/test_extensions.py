@@ -137,3 +137,24 @@ def test_archives_in_ranges(spark, tmp_path, range_bytes):
     assert 10 < len(kept) < 60 and all(data[k] == v for k, v in kept.items())
     names = files.archive_members(spark, str(tmp_path / "a.zip"), range_bytes=range_bytes).collect()
     assert {r.member: r.size for r in names} == {k: len(v) for k, v in data.items()} and all(r.content is None for r in names)
+
+
+def test_bookmarks_keep_their_document_order(spark):
+    from folioframe.operators import listing
+
+    rows = [(d, p) for p in (5, 1, 9, 3) for d in ("a", "b", "c")]
+    got = listing.bookmarks_in_order(spark.createDataFrame(rows, "doc string, char_pos int")).select("doc", "char_pos", F.spark_partition_id().alias("p")).collect()
+    for doc in "abc":
+        mine = [r for r in got if r.doc == doc]
+        assert [r.char_pos for r in mine] == [1, 3, 5, 9] and len({r.p for r in mine}) == 1
+
+
+def test_abbreviations_one_by_one_and_as_a_table(spark):
+    from folioframe.functions.normalize import expand_abbreviations
+
+    docs = spark.createDataFrame([(1, "Dr. No vs. Dr.X, approx. 5 cf. etc."), (2, None)], "doc_id long, text string")
+    builtin, custom = {"Dr.": "Doctor", "approx.": "about", "cf.": "compare"}, {"cf.": "see", "vs.": "against"}
+    plain = {r.doc_id: r.t for r in docs.select("doc_id", expand_abbreviations(F.col("text"), builtin, custom).alias("t")).collect()}
+    terms = [(k, v, c, False) for t, c in ((builtin, False), (custom, True)) for k, v in t.items()]
+    assert plain == {1: "Doctor No against Dr.X, about 5 see etc.", 2: None}
+    assert {r.doc_id: r.text for r in D.apply_dictionary(docs, spark.createDataFrame(terms, TERMS)).collect()} == plain
