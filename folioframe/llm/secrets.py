@@ -18,7 +18,11 @@ Spans are code points, end exclusive. Positions come from the lengths of the
 gaps and the matches, because Spark's expressions return matches without
 offsets.
 
-Defined cases: a null or empty text has no spans; rows with X"""
+Defined cases: a null or empty text has no spans; rows with equal ids or equal
+texts are scopes of their own and keep their spans; a null id stays null; texts
+of any length are read whole; of overlapping spans of one kind the leftmost
+counts; an empty table gives an empty result; extra columns, whatever their
+names, are kept by ``redact`` and ignored by the scan."""
 
 from __future__ import annotations
 
