@@ -67,11 +67,15 @@ EXACT = float(1 << 53)
 
 
 def quantised(embedding: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of every component; null unless all are finite and scores fit."""
+    """floor(scale * x) of every component; null unless all are finite and scores fit.
+
+    Scores are longs: a vector takes part if its product with itself is one, so
+    that its product with any other that takes part is one too.
+    """
     x = lambda v: v.cast("double") * scale
-    most = F.sqrt(F.lit(float(2**63)) / F.size(embedding)) - 1
-    usable = F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(x(v)) & (F.abs(x(v)) < most))
-    return F.when(usable & (F.size(embedding) > 0), F.transform(embedding, lambda v: F.floor(x(v)).cast("long")))
+    whole = F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(x(v)) & (F.abs(x(v)) < float(2**62)))
+    square = F.aggregate(embedding, F.lit(0.0), lambda s, v: s + F.pow(F.floor(x(v)).cast("double"), 2.0))
+    return F.when(whole & (square < float(2**63 - 2**32)) & (F.size(embedding) > 0), F.transform(embedding, lambda v: F.floor(x(v)).cast("long")))
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -94,3 +94,15 @@ def test_hot_vectors_ties_and_unusable_rows(spark, monkeypatch):
     few = spark.createDataFrame([(20, [0.5, 0.1], 0), (1, [0.5, -0.5], 0)], SCHEMA)
     assert [tuple(r) for r in T.top_k(few).collect()] == [(20, 1, 1, 32 * 32 + 6 * -32)]
     assert T.top_k(few.limit(0)).count() == 0 and T.top_k(few.filter("vec_id = 20")).count() == 0
+
+
+def test_large_finite_vectors_take_part(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0] * 64), (1, [1e6] * 64), (2, [1e7] + [0.0] * 63), (20, [0.5] * 64), (3, [float("inf")] * 64), (40, [-3e6] * 64)]
+    rows += [(100 + i, (rng.normal(size=64) * 10.0 ** rng.integers(0, 7)).tolist()) for i in range(300)]
+    got = T.top_k(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")).collect()
+    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i != 3]
+    for q, a in ok:
+        if q % 20 == 0:
+            want = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ok if i != q)[:20]
+            assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
