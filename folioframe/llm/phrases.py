@@ -37,7 +37,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -61,8 +60,6 @@ FOLDED = bytes(10 if c in MARKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 e
 STEP_1, STEP_2 = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x27D4EB4F)
 
 BLOCK = "block long, shard int, ids binary, words binary, word_langs binary, langs array<string>, lang_words array<long>"
-#: Keys of a word's two hashes.
-KEY_1, KEY_2 = "phrase word 0001", "phrase word 0002"
 #: ``m`` is 32 times the occurrences plus twice the length.
 POST = "block long, h1 long, h2 int, m long"
 #: In this order a sort by key can go by the first hash alone.
@@ -141,10 +138,10 @@ def words_in(row: dict) -> list[bytes]:
 
 def word_hashes(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Both hashes of a block's words, each with its language."""
-    words, kinds = np.array(words_in(row), object), unpack(row["word_langs"], np.int32)
+    kinds = unpack(row["word_langs"], np.int32)
     langs = np.array([xxhash.xxh3_64_intdigest(x) for x in row["langs"]], np.uint64)[kinds]
-    first, second = (pd.util.hash_array(words, hash_key=k, categorize=False) for k in (KEY_1, KEY_2))
-    return first ^ langs, ((second ^ langs * STEP_1) >> np.uint64(32)).astype(np.uint32)
+    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words_in(row))), np.uint64).reshape(-1, 2)
+    return halves[:, 0] ^ langs, ((halves[:, 1] ^ langs * STEP_1) >> np.uint64(32)).astype(np.uint32)
 
 
 class Sequences:
