@@ -257,7 +257,7 @@ def frequent(blocks: DataFrame, *, longest: int = LONGEST, least: int = LEAST, s
                     told = part if told is None else told.unionByName(part)
                 if n >= shards:
                     discard(posts[n - shards])  # of lengths that are complete now
-                    ended = told.filter(F.col("k") == n - shards + 1).groupBy(*KEY).agg(F.max("total").alias("a"), F.min("block").alias("home"))
+                    ended = told.filter(F.col("k") == n - shards + 1).groupBy(*KEY).agg(F.max("total").alias("a"), F.min_by("block", F.xxhash64("block", "h1")).alias("home"))
                     complete = ended if complete is None else complete.unionByName(ended)
             if n < shards + longest - 1:
                 posts.append(materialize(scan(scanned, told, n), "phrase-posts", **{"parquet.writer.version": "v2"}))  # a block's hashes are sorted: steps are shorter
