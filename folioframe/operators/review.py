@@ -16,6 +16,8 @@ WEIGHTS = (0.4072, 1.1829, 3.1262, 15.4722, 7.2102, 0.5316, 1.0651, 0.0234, 1.61
 RETENTION = 0.9
 #: Fixed values of the forgetting curve and the longest interval.
 DECAY, FACTOR, LONGEST = -0.5, 19.0 / 81.0, 36500
+#: The older rule has no longest interval; what passes an int, or the last date there is, stays there.
+LAST_INTERVAL, LAST_DAY = (1 << 31) - 1, (1 << 31) - 2
 STATE = "struct<stability:double,difficulty:double,interval:int,reps:int,lapses:int,last_review:date,next_review:date,ease:double>"
 
 
@@ -93,8 +95,9 @@ def review_step_sm2(state: Column, day: Column, grade: Column) -> Column:
     """One review by the older rule: fixed first intervals, then growth by ease."""
     reps, ease = state["reps"], F.coalesce(state["ease"], F.lit(2.5))
     interval = (
-        F.when((grade == AGAIN) | (reps == 0), F.lit(1)).when(reps == 1, F.lit(6)).otherwise(F.greatest(F.rint(state["interval"] * ease), F.lit(1.0)).cast("int"))
+        F.when((grade == AGAIN) | (reps == 0), F.lit(1)).when(reps == 1, F.lit(6)).otherwise(F.least(F.greatest(F.rint(state["interval"] * ease), F.lit(1.0)), F.lit(float(LAST_INTERVAL))).cast("int"))
     )
+    ahead = F.least(interval.cast("long"), F.lit(LAST_DAY).cast("long") - F.unix_date(day)).cast("int")
     q = grade + 1  # grades 1 to 4 are qualities 2 to 5
     eased = F.greatest(F.lit(1.3), ease + (F.lit(0.1) - (F.lit(5) - q) * (F.lit(0.08) + (F.lit(5) - q) * 0.02)))
     return F.struct(
@@ -104,7 +107,7 @@ def review_step_sm2(state: Column, day: Column, grade: Column) -> Column:
         (reps + 1).alias("reps"),
         (state["lapses"] + (grade == AGAIN).cast("int")).alias("lapses"),
         day.alias("last_review"),
-        F.date_add(day, interval).alias("next_review"),
+        F.date_add(day, ahead).alias("next_review"),
         F.bround(eased, 4).alias("ease"),
     ).cast(STATE)
 

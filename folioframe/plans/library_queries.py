@@ -293,7 +293,7 @@ select card_id, ivl as "interval", reps, lapses, round(ease, 3) as ease, cast(ca
 def schedule_reviews_sm2(spark, sf):
     s = F.col("state")
     log = V.frame(spark, sf, V.REVIEW_LOG)
-    return R.schedule_reviews(log, rule="sm2").select("card_id", s["interval"].alias("interval"), s["reps"].alias("reps"), s["lapses"].alias("lapses"), F.round(s["ease"], 3).alias("ease"), s["next_review"].cast("string").alias("next_review"))
+    return R.schedule_reviews(log, rule="sm2").select("card_id", s["interval"].alias("interval"), s["reps"].alias("reps"), s["lapses"].alias("lapses"), F.round(s["ease"], 3).alias("ease"), F.regexp_replace(s["next_review"].cast("string"), r"^\+", "").alias("next_review"))  # years of more than four digits have a sign
 
 
 def _cards(spark, sf):
