@@ -258,7 +258,8 @@ def upsert_citations(spark, sf):
 
 
 _W = R.WEIGHTS
-_FSRS = f"""with recursive g as ({LOG}), o as (select card_id, day, grade, row_number() over (partition by card_id order by day, event_id) as n from g),
+#: Reviews that share day and event go by grade, as the fold takes them; states have four decimals, and the fifth of a thousandth goes up.
+_FSRS = f"""with recursive g as ({LOG}), o as (select card_id, day, grade, row_number() over (partition by card_id order by day, event_id, grade) as n from g),
 f as (
   select card_id, n, day, cast(case grade when 1 then {_W[0]} when 2 then {_W[1]} when 3 then {_W[2]} else {_W[3]} end as double) as s,
     round_even(least(greatest({_W[4]} - exp({_W[5]}::double * (grade - 1)) + 1, 1.0), 10.0)::double, 4) as d, case when grade = 1 then 1 else 0 end as lapses, grade
@@ -276,7 +277,7 @@ from f where (card_id, n) in (select card_id, max(n) from o group by card_id))
 """
 
 
-@query(_FSRS + _LAST + """select card_id, round(s, 3) as stability, round(d, 3) as difficulty, "interval", cast(n as int) as reps, cast(lapses as int) as lapses, cast(day as varchar) as last_review, cast(cast(day + "interval" as date) as varchar) as next_review from l""")
+@query(_FSRS + _LAST + """select card_id, cast(round(cast(s as decimal(38, 4)), 3) as double) as stability, cast(round(cast(d as decimal(38, 4)), 3) as double) as difficulty, "interval", cast(n as int) as reps, cast(lapses as int) as lapses, cast(day as varchar) as last_review, cast(cast(day + "interval" as date) as varchar) as next_review from l""")
 def schedule_reviews(spark, sf):
     s = F.col("state")
     out = R.schedule_reviews(V.frame(spark, sf, V.REVIEW_LOG))

@@ -263,7 +263,7 @@ def review_states_by_fold(spark, sf):
         import pandas as pd
 
         state = None
-        for r in pdf.sort_values(["day", "event_id"]).itertuples():
+        for r in pdf.sort_values(["day", "event_id", "grade"]).itertuples():
             state = streams.fold_review(state, pd.Timestamp(r.day).date(), int(r.grade))
         return pd.DataFrame([(pdf["card_id"].iloc[0], *state)], columns=["card_id", "stability", "difficulty", "interval", "reps", "lapses", "last_review", "next_review"])
 

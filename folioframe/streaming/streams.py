@@ -175,7 +175,7 @@ class ReviewProcessor(InOrder):
         self.state = handle.getValueState("card", STATE)
 
     def released(self, key: Any, rows: list[tuple], watermark_us: int) -> Iterator[pd.DataFrame]:
-        graded = sorted((r for r in rows if r[3] is not None), key=lambda r: (r[2], r[1]))
+        graded = sorted((r for r in rows if r[3] is not None), key=lambda r: (r[2], r[1], r[3]))
         if not graded:
             return
         state = tuple(self.state.get()) if self.state.exists() else None
