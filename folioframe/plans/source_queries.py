@@ -133,8 +133,8 @@ def read_delimited(spark, sf):
 @query("""select md5(text) as digest, count(*) as n from documents group by md5(text)""")
 def read_text_corpus(spark, sf):
     d = table(spark, sf, "documents").select(F.concat(F.lit("# Doc "), "doc_id", F.lit("\n"), "text").alias("value"), F.col("doc_id").alias("part"))
-    # one line per record, so that one file holds several whole texts
-    folder = _written(d.select(F.base64(F.encode("value", "UTF-8")).alias("value")).withColumn("value", F.regexp_replace("value", r"\s", "")), spark)
+    # one line per record, so that one file holds several whole texts: at most 200, so that the files' number grows with the table, not their size
+    folder = _written(d.select(F.base64(F.encode("value", "UTF-8")).alias("value")).withColumn("value", F.regexp_replace("value", r"\s", "")), spark, maxRecordsPerFile=200)
     lines = files.read_text_corpus(spark, folder).select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
     body = F.regexp_replace(F.decode(F.unbase64("line"), "UTF-8"), r"^# Doc \d+\n", "")
     return lines.select(F.md5(body.cast("binary")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
