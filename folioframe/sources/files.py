@@ -147,7 +147,9 @@ def notebook_cells(spark: SparkSession, path: str) -> DataFrame:
     """(``path``, ``n``, ``kind``, ``language``, ``source``) of notebooks; an unreadable one is an ``error`` row."""
     schema = "cells array<struct<cell_type:string,source:string>>, metadata struct<kernelspec:struct<language:string>>"
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema).alias("j"))
-    good = rows.filter("j.cells is not null").select("path", F.coalesce("j.metadata.kernelspec.language", F.lit("python")).alias("language"), F.posexplode("j.cells").alias("n", "c"))
+    # the cells alone go into the generator, or each cell's row would hold the whole notebook
+    good = rows.filter("j.cells is not null").select("path", F.coalesce("j.metadata.kernelspec.language", F.lit("python")).alias("language"), F.col("j.cells").alias("_cells"))
+    good = good.select("path", "language", F.posexplode("_cells").alias("n", "c"))
     source = F.coalesce(F.array_join(F.from_json("c.source", "array<string>"), ""), F.col("c.source"))
     cells = good.filter(F.col("c.cell_type").isin("markdown", "code")).select("path", "n", F.col("c.cell_type").alias("kind"), "language", source.alias("source"))
     bad = rows.filter("j is null or j.cells is null").select("path", F.lit(0).alias("n"), F.lit("error").alias("kind"), F.lit(None).cast("string").alias("language"), F.lit("no readable notebook").alias("source"))
