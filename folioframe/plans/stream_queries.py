@@ -16,6 +16,8 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 #: Rows arrive up to so many days after their time, in so many files.
 JITTER, PARTS, LATE = 2, 5, "9 days"
+#: Ids whose documents of one source share a hot file.
+HOT_RUN = 6_000
 
 
 def query(sql: str | None = None):
@@ -93,9 +95,13 @@ def progress_with_replica(spark, sf):
 
 @query("""select coalesce(source, '') as source, cast(count(*) as bigint) as lines, cast(1 as bigint) as versions from documents where text is not null group by 1""")
 def hot_folder(spark, sf):
-    """A file per source, written in two steps: it is converted once, with the lines of both."""
+    """Files of a source, written in two steps: each is converted once, with the lines of both.
+
+    A source has a file per ``HOT_RUN`` ids, so that the files' number grows with
+    the table, not their size.
+    """
     folder, out = _folder(spark, "hot"), _folder(spark, "converted")
-    docs = table(spark, sf, "documents").filter("text is not null").select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value"), F.concat(F.lit("s"), F.coalesce("source", F.lit(""))).alias("source"), "doc_id")
+    docs = table(spark, sf, "documents").filter("text is not null").select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value"), F.concat_ws("-", F.concat(F.lit("s"), F.coalesce("source", F.lit(""))), F.floor(F.col("doc_id") / HOT_RUN)).alias("source"), "doc_id")
     context = spark.sparkContext
     at = lambda p: context._jvm.org.apache.hadoop.fs.Path(p)
     fs = at(folder).getFileSystem(context._jsc.hadoopConfiguration())
@@ -117,6 +123,7 @@ def hot_folder(spark, sf):
     streams.watch_and_convert(spark, folder, out, quiet=86_400.0, give_up=1e6).awaitTermination()
     streams.watch_and_convert(spark, folder, out, quiet=0.0, give_up=1e6).awaitTermination()
     found = spark.read.parquet(f"{out}/converted")
-    name = F.url_decode(F.url_decode(F.regexp_extract("source", r"source=s([^/]*)\.txt$", 1)))
     lines = F.regexp_count("content", F.lit("\n")).cast("long")
-    return found.groupBy(name.alias("source")).agg(F.max(lines).alias("lines"), F.count(F.lit(1)).alias("versions"))
+    converted = found.groupBy("source").agg(F.max(lines).alias("lines"), F.count(F.lit(1)).alias("versions"))
+    name = F.url_decode(F.url_decode(F.regexp_extract("source", r"source=s([^/]*)-[0-9]+\.txt$", 1)))
+    return converted.groupBy(name.alias("source")).agg(F.sum("lines").alias("lines"), F.max("versions").alias("versions"))
