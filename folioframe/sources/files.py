@@ -196,6 +196,8 @@ def feed_items(spark: SparkSession, path: str, *, most: int = 50) -> DataFrame:
 
 BOILERPLATE = frozenset("script style noscript template nav footer aside form iframe svg button select textarea head".split())
 BLOCK = "page_id long, seq int, kind string, level int, text string, href string"
+#: Rows of blocks that go out of Python at once.
+BLOCK_ROWS = 10_000
 
 
 _OPEN, _CLOSE = re.compile(r"<([A-Za-z][^\s/>]*+)"), re.compile(r"</([A-Za-z][^\s/>]*+)[^>]*+>")
@@ -380,14 +382,24 @@ class _Blocks:
 def page_blocks(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
     """(``page_id``, ``seq``, ``kind``, ``level``, ``text``, ``href``): every page parsed once."""
 
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string())
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["page_id", "seq", "kind", "level", "text", "href"])
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks go out as soon as there are enough; a batch of pages may have millions."""
         for batch in batches:
             out: list[tuple] = []
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out += [(k, n, *row) for n, row in enumerate(_Blocks().read(value.as_py() or ""))]
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["page_id", "seq", "kind", "level", "text", "href"])
+            for k, value in zip(batch.column(0), batch.column(1), strict=True):
+                page = k.as_py()
+                out += [(page, n, *row) for n, row in enumerate(_Blocks().read(value.as_py() or ""))]
+                if len(out) >= BLOCK_ROWS:
+                    yield from (rows(out[i : i + BLOCK_ROWS]) for i in range(0, len(out), BLOCK_ROWS))
+                    out = []
+            if out:
+                yield rows(out)
 
     return pages.select(F.col(key).cast("long"), html).mapInArrow(parse, BLOCK)
 
