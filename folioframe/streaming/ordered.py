@@ -6,9 +6,13 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -83,61 +87,133 @@ class InOrder(StatefulProcessor):
         pass
 
 
-class SessionProcessor(InOrder):
-    """A reader's session as a state machine; it comes out when the next one begins or ``gap`` has passed without a tick.
+#: Groups that readers are dealt over; the readers of a group share a state.
+GROUPS = 256
+
+
+def _blob(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _codes(values: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value; nulls are one value."""
+    return values.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
+class SessionProcessor(StatefulProcessor):
+    """Readers' sessions as state machines; one comes out when the next one begins or ``gap`` has passed without a tick.
 
     Counts and measures as the batch operator does: a tick goes on with the
     session if the tick before was speaking in the same document and no longer
     ago than the gap, else it has the next number.
+
+    A group of readers is one key. Its ticks are held as Arrow tables, one per
+    micro-batch, until the watermark has passed them; its last sessions are a
+    table of one row per reader. So the calls to the state store grow with groups
+    and micro-batches, not with readers, and a step over all ticks of a group is
+    done by arrays. A timer stands at the earliest tick or end.
     """
 
     SCHEMA = "doc {doc}, session long, started timestamp, ended timestamp, seconds double, ticks long, words_read int"
 
-    def __init__(self, doc: str, gap_us: int, words_total: int | None):
+    def __init__(self, reader: pa.DataType, doc: pa.DataType, gap_us: int, words_total: int | None):
         self.gap_us, self.words_total = gap_us, words_total
-        self.ROW = f"us long, event_id long, doc {doc}, speaking boolean, word_idx int"
-        self.STATE = f"doc {doc}, speaking boolean, last long, session long, started long, seconds long, ticks long, word int, running boolean"
+        self.tick = pa.schema([("reader", reader), ("us", pa.int64()), ("event_id", pa.int64()), ("doc", doc), ("speaking", pa.bool_()), ("word_idx", pa.int32())])
+        self.session = pa.schema([("reader", reader), ("doc", doc), ("speaking", pa.bool_()), ("last", pa.int64()), ("session", pa.int64()), ("started", pa.int64()), ("seconds", pa.int64()), ("ticks", pa.int64()), ("word", pa.int32()), ("running", pa.bool_())])
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", self.STATE)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "ticks binary")
+        self.last = handle.getValueState("last", "sessions binary")
 
-    def _closed(self, key: Any, s: tuple) -> pd.DataFrame:
-        words = None if s[7] is None else s[7] + 1 if self.words_total is None else min(s[7] + 1, self.words_total)
-        row = {"reader": key[0], "doc": s[0], "session": s[3], "started": pd.Timestamp(s[4], unit="us"), "ended": pd.Timestamp(s[2], unit="us"), "seconds": s[5] / 1e6, "ticks": s[6], "words_read": words}
-        return pd.DataFrame([row])
+    def wake(self, us: int) -> None:
+        """A timer once the watermark is past ``us``."""
+        self.handle.registerTimer(us // 1000 + 1)
 
-    def released(self, key: Any, rows: list[tuple], watermark_us: int) -> Iterator[pd.DataFrame]:
-        if not rows and not self.state.exists():
-            return
-        none = (None, None, 0, 0, 0, 0, 0, None, False)
-        s = tuple(self.state.get()) if self.state.exists() else none
-        for us, _, doc, speaking, word in rows:
-            wait = us - s[2]
-            if s[1] and speaking and s[0] == doc and wait <= self.gap_us:
-                furthest = s[7] if word is None else word if s[7] is None else max(s[7], word)
-                s = (doc, True, us, s[3], s[4], s[5] + wait, s[6] + 1, furthest, True)
-                continue
-            if s[8]:
-                yield self._closed(key, s)
-            s = (doc, bool(speaking), us, s[3] + 1, us, 0, 1, word, bool(speaking))
-        if s[8] and s[2] + self.gap_us < watermark_us:
-            yield self._closed(key, s)
-            s = (*s[:8], False)
-        elif s[8]:
-            self.wake(s[2] + self.gap_us)
-        self.state.update(s)
-
-
-def session_stream(ticks: DataFrame, *, gap: str = "12 hours", late: str = "1 day", words_total: int | None = None) -> DataFrame:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new = pa.concat_tables(pa.Table.from_pandas(frame[self.tick.names], self.tick, preserve_index=False) for frame in rows)
+        self.held.appendValue((_blob(new),))
+        self.wake(pc.min(new["us"]).as_py())
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        held = pa.concat_tables([self.tick.empty_table(), *(pa.ipc.open_stream(bytes(r[0])).read_all() for r in (self.held.get() if self.held.exists() else ()))])
+        last = pa.ipc.open_stream(bytes(self.last.get()[0])).read_all() if self.last.exists() else self.session.empty_table()
+        passed = held["us"].to_numpy() <= watermark
+        ready, rest = held.filter(pa.array(passed)), held.filter(pa.array(~passed))
+        if len(ready) and len(rest):
+            self.held.put([(_blob(rest),)])
+        elif len(ready):
+            self.held.clear()
+        over, last = self.sessions(last, ready, watermark)
+        self.last.update((_blob(last),))
+        ends = last.filter(last["running"])["last"].to_numpy() + self.gap_us
+        if len(rest) or len(ends):
+            self.wake(int(min(x.min() for x in (rest["us"].to_numpy(), ends) if len(x))))
+        if len(over):
+            yield over
+
+    def sessions(self, known: pa.Table, ticks: pa.Table, watermark_us: int) -> tuple[pd.DataFrame, pa.Table]:
+        """(sessions that are over, the last one of each reader) after ``ticks``; a reader's known session stands before them as one tick."""
+        both = lambda name, other, fill=None: np.concatenate([(t[c] if fill is None else t[c].fill_null(fill)).to_numpy() for t, c in ((known, name), (ticks, other))])
+        readers, docs = (pa.chunked_array([*known[c].chunks, *ticks[c].chunks], self.tick.field(c).type) for c in ("reader", "doc"))
+        if not len(readers):
+            return pd.DataFrame(), known
+        old = len(known)
+        reader, doc, us = _codes(readers), _codes(docs), both("last", "us")
+        new = np.arange(len(us)) >= old
+        event = np.concatenate([np.zeros(old, np.int64), ticks["event_id"].fill_null(np.iinfo(np.int64).min).to_numpy()])
+        order = np.lexsort((event, us, new, reader))
+        reader, doc, us, new = reader[order], doc[order], us[order], new[order]
+        speaking = both("speaking", "speaking", False)[order].astype(bool)
+        none = np.iinfo(np.int64).min
+        word = np.concatenate([t[c].cast(pa.int64()).fill_null(none).to_numpy() for t, c in ((known, "word"), (ticks, "word_idx"))])[order]
+        of_known = lambda c, other: np.where(new, other, np.concatenate([known[c].to_numpy(), np.zeros(len(ticks), np.int64)])[order])
+
+        first = np.concatenate([[True], reader[1:] != reader[:-1]])
+        wait = np.diff(us, prepend=us[0])
+        goes_on = ~first & np.roll(speaking, 1) & speaking & (doc == np.roll(doc, 1)) & (wait <= self.gap_us)
+        at = np.flatnonzero(~goes_on)
+        ends = np.append(at[1:], len(us))
+        leads = np.flatnonzero(first[at])  # the first session of each reader
+        number = np.arange(len(at)) + np.repeat(of_known("session", 1)[at][leads] - leads, np.diff(np.append(leads, len(at))))
+        alone = ~new[at] & (ends - at == 1)
+        running = np.where(alone, of_known("running", 0)[at].astype(bool), speaking[at])
+        started, ended = of_known("started", us)[at], us[ends - 1]
+        seconds, count = np.add.reduceat(of_known("seconds", np.where(goes_on, wait, 0)), at), np.add.reduceat(of_known("ticks", 1), at)
+        furthest = np.maximum.reduceat(word, at)
+        newest = np.append(first[at][1:], True)
+        over = running & (~newest | (ended + self.gap_us < watermark_us))
+
+        who, what = readers.take(pa.array(order[at])), docs.take(pa.array(order[at]))
+        words = furthest if self.words_total is None else np.minimum(furthest, self.words_total - 1)
+        out = pa.table({"reader": who, "doc": what, "session": number, "seconds": seconds / 1e6, "ticks": count, "words_read": pa.array(np.where(furthest == none, 0, words + 1), pa.int32(), mask=furthest == none)}).filter(pa.array(over)).to_pandas(integer_object_nulls=True)
+        for name, times in (("started", started), ("ended", ended)):
+            out[name] = pd.to_datetime(times[over], unit="us")
+        columns = [who, what, speaking[at], ended, number, started, seconds, count, pa.array(np.where(furthest == none, 0, furthest), pa.int32(), mask=furthest == none), running & ~over]
+        last = pa.table(dict(zip(self.session.names, columns, strict=True)), self.session).filter(pa.array(newest))
+        return out[["reader", *(c.split()[0] for c in self.SCHEMA.split(", "))]], last
+
+    def close(self) -> None:
+        pass
+
+
+def session_stream(ticks: DataFrame, *, gap: str = "12 hours", late: str = "1 day", words_total: int | None = None, groups: int = GROUPS) -> DataFrame:
     """The sessions of ``reading_sessions`` from a stream of ticks (``reader``, ``ts``, ``event_id``, ``doc``, ``speaking``, ``word_idx``), each once, when it is over.
 
     Ticks may come up to ``late`` out of order; later ones are dropped. A reader
-    keeps one row of state between sessions. Needs the RocksDB state store
-    (``stateful``).
+    keeps one row of state between sessions, in the state of one of ``groups``
+    groups; a task has a group's held ticks in memory. Needs the RocksDB state
+    store (``stateful``).
     """
     types = dict(ticks.dtypes)
-    processor = SessionProcessor(types["doc"], pd.Timedelta(gap) // pd.Timedelta("1us"), words_total)
+    processor = SessionProcessor(*(to_arrow_type(ticks.schema[c].dataType) for c in ("reader", "doc")), pd.Timedelta(gap) // pd.Timedelta("1us"), words_total)
     schema = f"reader {types['reader']}, {SessionProcessor.SCHEMA.format(doc=types['doc'])}"
     rows = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    rows = rows.select("reader", "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"), "doc", "speaking", F.col("word_idx").cast("int").alias("word_idx"))
-    return rows.groupBy("reader").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    group = F.pmod(F.xxhash64("reader"), F.lit(groups)).cast("int").alias("group")
+    rows = rows.select(group, "reader", "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"), "doc", "speaking", F.col("word_idx").cast("int").alias("word_idx"))
+    return rows.groupBy("group").transformWithStateInPandas(processor, schema, "Append", "EventTime")
