@@ -2,16 +2,18 @@
 
 A dictionary is a DataFrame of ``term`` and ``spoken``, and if it has them
 ``custom`` (goes before the others) and ``fold`` (found whatever its case). Its
-terms become one automaton for exact and one for folded terms, built once per
-Python worker. A dictionary is bounded: one of more than ``MOST`` rows raises.
+terms become a table of words and, where they have other forms, one automaton for
+exact and one for folded terms, built once per Python worker. A dictionary is
+bounded: one of more than ``MOST`` rows raises.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,28 +32,54 @@ def _in_word(c: str) -> bool:
     return c == "_" or c.isalnum()
 
 
+#: What ``_in_word`` calls a word, as a pattern.
+_WORDS = re.compile(r"(\w+)")
+
+
 class Finder:
-    """Finds and replaces the terms of (term, spoken, custom, fold) rows; of equal terms a custom one counts, else the first."""
+    """Finds and replaces the terms of (term, spoken, custom, fold) rows; of equal terms a custom one counts, else the first.
+
+    A term that is one word can stand only where a word of the text equals it,
+    so it is looked up per word; terms of other forms are sought by automata.
+    """
 
     def __init__(self, rows: list[tuple[str, str, bool, bool]]):
         import ahocorasick
 
+        self.words: list[tuple[bool, dict[str, tuple[int, str, str, bool]]]] = []
         self.automata = []
         for fold in (False, True):
             terms: dict[str, tuple[str, str, bool]] = {}
             for term, spoken, custom, folds in sorted(rows, key=lambda r: not r[2]):
                 if term and folds == fold:
                     terms.setdefault(_folded(term) if fold else term, (term, spoken, custom))
-            if terms:
+            words = {k: (len(k), *v) for k, v in terms.items() if _WORDS.fullmatch(k)}
+            if words:
+                self.words.append((fold, words))
+            if len(words) < len(terms):
                 automaton = ahocorasick.Automaton()
                 for key, (term, spoken, custom) in terms.items():
-                    automaton.add_word(key, (len(key), term, spoken, custom))
+                    if key not in words:
+                        automaton.add_word(key, (len(key), term, spoken, custom))
                 automaton.make_automaton()
                 self.automata.append((fold, automaton))
 
+    def _word(self, word: str) -> tuple[str, str] | None:
+        """(term, spoken) of a word of the text: a custom term first."""
+        if len(self.words) == 1 and not self.words[0][0]:
+            hit = self.words[0][1].get(word)
+            return hit and hit[1:3]
+        found = [w for fold, words in self.words if (w := words.get(_folded(word) if fold else word))]
+        return min((not custom, term, spoken) for _, term, spoken, custom in found)[1:] if found else None
+
     def matches(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, term, spoken) of whole-word terms in order: custom ones first, then longer ones, then those in front; none overlap."""
         found = []
+        for fold, words in self.words:
+            for m in _WORDS.finditer(_folded(text) if fold else text):
+                if hit := words.get(m[0]):
+                    size, term, spoken, custom = hit
+                    found.append((not custom, -size, *m.span(), term, spoken))
         for fold, automaton in self.automata:
             for last, (size, term, spoken, custom) in automaton.iter(_folded(text) if fold else text):
                 start, end = last + 1 - size, last + 1
@@ -65,6 +93,15 @@ class Finder:
         return sorted(out)
 
     def replaced(self, text: str) -> tuple[str, list[tuple[str, int]]]:
+        if not self.automata:  # words don't overlap: the text is taken apart once
+            parts = _WORDS.split(text)
+            counts = Counter(parts[1::2])
+            found = {w: hit for w in counts if (hit := self._word(w))}
+            parts[1::2] = [found[w][1] if w in found else w for w in parts[1::2]]
+            hits = Counter()
+            for w, (term, _) in found.items():
+                hits[term] += counts[w]
+            return "".join(parts), sorted(hits.items())
         parts, at, hits = [], 0, Counter()
         for start, end, term, spoken in self.matches(text):
             parts += (text[at:start], spoken)
@@ -84,14 +121,23 @@ def apply_dictionary(docs: DataFrame, dictionary: DataFrame, *, text: str = "tex
         raise ValueError(f"a dictionary holds {most} terms at most")
     shared, name = docs.sparkSession.sparkContext.broadcast(sorted(rows)), uuid.uuid4().hex
 
-    @F.pandas_udf(HIT)
-    def replace(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(HIT)
+    def replace(texts: pa.Array) -> pa.Array:
         if name not in _BUILT:
             _BUILT.clear()
             _BUILT[name] = Finder(shared.value)
-        found = [(None, None) if t is None else _BUILT[name].replaced(t) for t in texts]
-        return pd.DataFrame({"text": [t for t, _ in found], "hits": [None if h is None else [{"term": k, "n": n} for k, n in h] for _, h in found]})
-
+        said, ends, terms, counts = [], [0], [], []
+        for t in texts:  # hits go out as flat columns, not as an object each
+            new, hits = (None, ()) if not t.is_valid else _BUILT[name].replaced(t.as_py())
+            said.append(new)
+            terms += [k for k, _ in hits]
+            counts += [n for _, n in hits]
+            ends.append(len(terms))
+        flat = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int32())], ["term", "n"])
+        return pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["text", "hits"])
+
+    #: so called, it is run once per text, and no filter on hits runs it again in front
+    replace = replace.asNondeterministic()
     return docs.withColumn("_said", replace(F.col(text))).withColumn(text, F.col("_said.text")).withColumn("hits", F.coalesce("_said.hits", F.array().cast("array<struct<term:string,n:int>>"))).drop("_said")
 
 

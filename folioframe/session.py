@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -39,9 +40,13 @@ def dealt(rows: DataFrame, key: str) -> DataFrame:
     A small table is often one file with one row group, which one task reads
     whatever its splits; work that is long per row goes over it first. Tables of
     many files stay as they are.
+
+    Spark would move a filter, and with it all that is computed for it, in front of
+    the exchange, and compute it again behind: an explode has such a filter of its
+    own. The one here holds for every row and lets no other pass.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(2 * cores, key) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(2 * cores, key).filter(F.spark_partition_id() >= 0) if len(rows.inputFiles()) < cores else rows
 
 
 def shared_folder(spark: SparkSession) -> str:
