@@ -56,9 +56,26 @@ def token_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return counts.join(F.broadcast(total)).withColumn("zipf", F.round(F.log10(F.col("count") / F.col("total") * 1e9), 4)).drop("total")
 
 
+#: From this zipf value on, the words above are at most a million.
+LISTED = 3.0
+
+
+def common_words_of(frequencies: DataFrame, threshold: float) -> DataFrame:
+    """The words of at least this zipf value, to be broadcast: 10^(9 - threshold) at most, as shares of a corpus add up to one."""
+    return F.broadcast(frequencies.filter(F.col("zipf") >= threshold).select("word").distinct())
+
+
 def difficult_words(docs: DataFrame, frequencies: DataFrame, *, threshold: float = 4.5, least: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ``word``): distinct words of a document that are rare; unlisted words are."""
-    words = words_in(docs, key=key, text=text).filter(F.length("word") >= least).distinct()
+    """(key, ``word``): distinct words of a document that are rare; unlisted words are.
+
+    The words that are not rare go first, by a list of them that no corpus makes
+    longer (``common_words_of``); what is left is not looked up any more.
+    """
+    found = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= least))
+    words = docs.select(key, F.explode(found).alias("word"))
+    if threshold >= LISTED:
+        return words.join(common_words_of(frequencies, threshold), "word", "left_anti").select(key, "word").distinct()
+    words = words.distinct()
     return words.join(frequencies.select("word", "zipf"), "word", "left").filter(F.coalesce("zipf", F.lit(0.0)) < threshold).select(key, "word")
 
 
@@ -135,6 +152,8 @@ def rare_words(sentences_: DataFrame, frequencies: DataFrame, keys: list[str], s
     """(keys, ``rare``): the rarest words of each sentence that the frequency table (``word``, ``zipf``) knows."""
     words = F.array_distinct(F.filter(F.regexp_extract_all(sentence, F.lit(LETTERS), F.lit(0)), lambda w: F.length(w) >= least))
     rows = sentences_.select(*keys, F.posexplode(words).alias("_at", "_w")).withColumn("word", F.lower("_w"))
+    if threshold >= LISTED:  # the frequent ones don't travel to be turned away
+        rows = rows.join(common_words_of(frequencies, threshold), "word", "left_anti")
     found = rows.join(frequencies.filter((F.col("zipf") > 0) & (F.col("zipf") < threshold)).select("word", "zipf"), "word")
     return found.groupBy(*keys).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("zipf", "_at", "_w"))), 1, 2 * most), lambda x: x["_w"]).alias("rare"))
 

@@ -224,7 +224,7 @@ def token_frequencies(spark, sf):
 
 @query(f"with {_WORDS}, {_FREQ} select distinct w.doc_id, w.word from w join z on w.word = z.word where length(w.word) >= 4 and zipf < 4.5")
 def difficult_words(spark, sf):
-    return M.difficult_words(_docs(spark, sf), M.token_frequencies(_docs(spark, sf)))
+    return M.difficult_words(_dealt(spark, sf), M.token_frequencies(_dealt(spark, sf)))
 
 
 _KNOWN = "select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from benchmark"
@@ -274,7 +274,7 @@ def suggest_links(spark, sf):
 
 @query()
 def cloze_cards(spark, sf):
-    return M.cloze_cards(_dealt(spark, sf), frequencies=M.token_frequencies(_docs(spark, sf)))
+    return M.cloze_cards(_dealt(spark, sf), frequencies=M.token_frequencies(_dealt(spark, sf)))
 
 
 @query()
