@@ -373,6 +373,11 @@ def matched_places(spoken: list[str], shown: list[str], pad: int = 256) -> list[
     """
     number: dict[str, int] = {}
     a, b = (np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in (spoken, shown))
+    return [None if f < 0 else f for f in matched_numbers(a, b, pad).tolist()]
+
+
+def matched_numbers(a: np.ndarray, b: np.ndarray, pad: int = 256) -> np.ndarray:
+    """``matched_places`` of words that are numbered; -1 where there is none."""
     found = np.full(len(a), -1, np.int64)
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -397,7 +402,7 @@ def matched_places(spoken: list[str], shown: list[str], pad: int = 256) -> list[
         found[at_a] = at_b
         starts, ends = np.append(at_a + 1, a1), np.append(at_b + 1, b1)
         todo += [(x, y, u, v) for x, y, u, v in zip([a0, *starts[:-1]], [*at_a, a1], [b0, *ends[:-1]], [*at_b, b1], strict=True) if x < y and u < v]
-    return [None if f < 0 else f for f in found.tolist()]
+    return found
 
 
 def filled_places(found: list[int | None]) -> list[int]:
@@ -410,6 +415,15 @@ def filled_places(found: list[int | None]) -> list[int]:
     return out
 
 
+def filled_numbers(found: np.ndarray) -> np.ndarray:
+    """``filled_places`` of an array with -1 where there is no match."""
+    if not len(found):
+        return found
+    at = np.where(found >= 0, np.arange(len(found)), len(found))
+    ahead = np.minimum.accumulate(at[::-1])[::-1]
+    return np.append(found, max(0, int(found.max())))[ahead]
+
+
 def align_tokens(docs: DataFrame, *, key: str = "doc_id", spoken: str = "spoken", rendered: str = "rendered", word: str = r"\S+", fold: bool = False) -> DataFrame:
     """(key, ``idx``, ``offset``): for each spoken word the place of the rendered word it stands for.
 
@@ -423,9 +437,11 @@ def align_tokens(docs: DataFrame, *, key: str = "doc_id", spoken: str = "spoken"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, a, b in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                places = filled_places(matched_places(a, b))
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(a), batch.schema.field(0).type), pa.array(range(len(a)), pa.int32()), pa.array(places, pa.int32())], [key, "idx", "offset"])
+            for i in range(batch.num_rows):
+                k, a, b = (batch.column(c)[i] for c in range(3))
+                n, words = len(a.values), pa.concat_arrays([a.values, b.values]).dictionary_encode().indices.to_numpy().astype(np.int64)
+                places = filled_numbers(matched_numbers(words[:n], words[n:]))
+                yield pa.RecordBatch.from_arrays([pa.repeat(k, n), pa.array(np.arange(n, dtype=np.int32)), pa.array(places.astype(np.int32))], [key, "idx", "offset"])
 
     other = rows.filter(F.col("_a") != F.col("_b"))
     return same.unionByName(other.mapInArrow(run, other.select(key).schema.add("idx", "integer").add("offset", "integer")))
