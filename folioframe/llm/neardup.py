@@ -41,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.llm.spread import join_spread
 from folioframe.llm.words import WORD
 from folioframe.operators.components import connected_components
 from folioframe.session import discard, forget_shuffles, materialize
@@ -406,12 +407,17 @@ def second_groups(nodes: DataFrame, limit: int) -> DataFrame:
     """Pairs of blocks that hold more than one component. ``nodes`` has ``component`` too.
 
     A component that fills more than half a block of a large node has blocks of
-    its own; pairs of these need no comparison.
+    its own; pairs of these need no comparison. The other classes get as many
+    blocks as they alone fill, so that few classes beside a large component meet
+    each of its blocks once.
     """
     sizes = nodes.filter(F.col("count") > limit).groupBy("node", "component").agg(F.count(F.lit(1)).alias("here"))
+    own = sizes.filter(F.col("here") > limit / 2).groupBy("node").agg(F.sum("here").alias("own"))
+    sizes = join_spread(sizes, own, ["node"], "component", how="left")
     placed = nodes.join(sizes, ["node", "component"], "left")
-    own = F.xxhash64("component", F.pmod(F.xxhash64("class_id"), F.ceil(F.col("here") / limit).cast("long")))
-    block = F.when(F.col("count") <= limit, F.lit(0).cast("long")).when(F.col("here") > limit / 2, own).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("count") / limit).cast("long")))
+    rest = F.greatest(F.ceil((F.col("count") - F.coalesce("own", F.lit(0))) / limit).cast("long"), F.lit(1))
+    apart = F.xxhash64("component", F.pmod(F.xxhash64("class_id"), F.ceil(F.col("here") / limit).cast("long")))
+    block = F.when(F.col("count") <= limit, F.lit(0).cast("long")).when(F.col("here") > limit / 2, apart).otherwise(F.pmod(F.xxhash64("component"), rest))
     placed = placed.select("node", block.alias("block"), "class_id", "component")
     blocks = placed.groupBy("node", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     x, y = blocks.alias("x"), blocks.alias("y")
