@@ -53,7 +53,8 @@ TREES = 16
 #: Further trees for the classes of large nodes, as a pair is less likely to share a node the deeper nodes are.
 DEEP_TREES = 8
 DEPTH = 6
-LIMIT = 256
+#: Classes that are compared with each other at once: a node of more costs a row a member, tree and level on its way down.
+LIMIT = 1024
 #: Parts that a node is counted in.
 PARTS = 256
 #: A pair whose sketches agree less than this many standard errors below the threshold is no candidate.
@@ -214,7 +215,8 @@ SMALL = 48
 
 def near_pairs(comp: np.ndarray, sizes: np.ndarray, side: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs (i, j, estimate) of a group: members of different
-    components that may be linked, of either side where there are two sides."""
+    components that may be linked, of either side where there are two sides.
+    There may be a million, so they take twelve bytes each."""
     least = threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / HASHES)
     n = len(comp)
     apart = side.any() and not side.all()
@@ -224,18 +226,18 @@ def near_pairs(comp: np.ndarray, sizes: np.ndarray, side: np.ndarray, sketch: np
         meet &= (comp[:, None] != comp[None, :]) & (np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9)
         i, j = np.nonzero(meet)
         e = (sketch[i] == sketch[j]).mean(axis=1) if len(i) else np.empty(0)
-        return i[e >= least], j[e >= least], e[e >= least]
-    left = np.flatnonzero(side == 0) if apart else np.arange(n)
-    right = np.flatnonzero(side == 1) if apart else None
+        return i[e >= least].astype(np.int32), j[e >= least].astype(np.int32), e[e >= least].astype(np.float32)
+    left = (np.flatnonzero(side == 0) if apart else np.arange(n)).astype(np.int32)
+    right = np.flatnonzero(side == 1).astype(np.int32) if apart else None
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in left:
-        to = right if apart else np.arange(i + 1, n)
+        to = right if apart else np.arange(i + 1, n, dtype=np.int32)
         to = to[(comp[to] != comp[i]) & (np.minimum(sizes[to], sizes[i]) >= threshold * np.maximum(sizes[to], sizes[i]) - 1e-9)]
         if len(to):
             e = (sketch[to] == sketch[i]).mean(axis=1)
             near = e >= least
-            found.append((np.full(int(near.sum()), i), to[near], e[near]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+            found.append((np.full(int(near.sum()), i, np.int32), to[near], e[near].astype(np.float32)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.float32))
 
 
 class Union:
@@ -335,7 +337,7 @@ def hopeful(groups: DataFrame, threshold: float) -> DataFrame:
                 continue
             i_, j_, _ = near_pairs(comp, sizes, side, sketch, threshold)
             keep = np.zeros(len(ids), bool)
-            for i, j in zip(i_.tolist(), j_.tolist(), strict=True):
+            for i, j in zip(i_, j_, strict=True):  # as lists they would take five times the memory
                 if not (keep[i] and keep[j]) and first_common(nodes[i], nodes[j]) == node[0]:
                     keep[i] = keep[j] = True
             if not keep.any():
