@@ -1,10 +1,11 @@
 """Zip and tar archives as a data source: partitions are byte ranges, members are read by offset.
 
-The driver lists archives and their sizes. A task opens one archive, takes the
+The driver lists archives and their sizes. A task opens an archive, takes the
 members whose header lies in its range from the archive's own index (the
 directory of a zip, the headers of an uncompressed tar, passed over by seeking)
 and reads those alone; a compressed tar has one range, as it can't be entered in
-the middle. No archive is ever a value in memory. An archive without a readable
+the middle. A task takes several ranges where archives are small, so that the
+number of tasks grows with the bytes, not with the archives. No archive is ever a value in memory. An archive without a readable
 index has no members; a member that doesn't unpack has a null content and its
 ``error``. Paths are those that Arrow's file systems open.
 """
@@ -32,7 +33,7 @@ DAMAGED = (zipfile.BadZipFile, tarfile.TarError, zlib.error, EOFError, OSError,
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Members of ``archive`` whose headers start in [start, end)."""
 
     archive: str
@@ -40,14 +41,36 @@ class Range(InputPartition):
     end: int
 
 
-def plan(sizes: list[tuple[str, int]], range_bytes: int) -> list[Range]:
-    """Ranges of archives (path, bytes)."""
-    found = []
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads, one after the other."""
+
+    ranges: list[Range]
+
+
+def plan(sizes: list[tuple[str, int]], range_bytes: int, tasks: int = 1 << 62) -> list[Ranges]:
+    """Ranges of archives (path, bytes), dealt to about ``tasks`` tasks.
+
+    A task gets 64 MB at most unless one range has more; ranges of one archive
+    that follow each other become one.
+    """
+    found: list[Ranges] = []
+    share = min(RANGE_BYTES, sum(size for _, size in sizes) // tasks)
+    room = 0
     for path, size in sorted(sizes):
-        if path.lower().endswith(PACKED_TARS):  # its offsets are those of the unpacked stream
-            found.append(Range(path, 0, 1 << 62))
-        else:
-            found += [Range(path, s, s + range_bytes) for s in range(0, max(1, size), range_bytes)]
+        whole = path.lower().endswith(PACKED_TARS)  # its offsets are those of the unpacked stream
+        step = max(1, size) if whole else range_bytes
+        for s in range(0, max(1, size), step):
+            here = min(step, size - s)
+            if not found or here > room:
+                found.append(Ranges([]))
+                room = share
+            room -= here
+            last = found[-1].ranges[-1] if found[-1].ranges else None
+            if last and last.archive == path:
+                last.end = s + step
+            else:
+                found[-1].ranges.append(Range(path, s, 1 << 62 if whole else s + step))
     return found
 
 
@@ -83,25 +106,25 @@ def tar_members(file: pa.NativeFile, start: int, end: int, content: bool, mode:
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, path: str, content: bool, range_bytes: int):
-        self.path, self.content, self.range_bytes = path, content, range_bytes
+    def __init__(self, path: str, content: bool, range_bytes: int, tasks: int):
+        self.path, self.content, self.range_bytes, self.tasks = path, content, range_bytes, tasks
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         system, root = pafs.FileSystem.from_uri(self.path)
         at = system.get_file_info(root)
         infos = [at] if at.is_file else system.get_file_info(pafs.FileSelector(root, recursive=True))
-        return plan([(i.path, i.size) for i in infos if i.is_file and i.path.lower().endswith((*ZIPS, *TARS, *PACKED_TARS))], self.range_bytes) or [Range("", 0, 0)]
+        return plan([(i.path, i.size) for i in infos if i.is_file and i.path.lower().endswith((*ZIPS, *TARS, *PACKED_TARS))], self.range_bytes, self.tasks) or [Ranges([])]
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        system, _ = pafs.FileSystem.from_uri(self.path)
         rows, size = [], 0
-        if part.archive:
-            system, _ = pafs.FileSystem.from_uri(self.path)
-            name = part.archive.lower()
+        for at in part.ranges:
+            name = at.archive.lower()
             try:
-                with system.open_input_file(part.archive) as file:
-                    found = zip_members(file, part.start, part.end, self.content) if name.endswith(ZIPS) else tar_members(file, part.start, part.end, self.content, "r:" if name.endswith(TARS) else "r:*")
+                with system.open_input_file(at.archive) as file:
+                    found = zip_members(file, at.start, at.end, self.content) if name.endswith(ZIPS) else tar_members(file, at.start, at.end, self.content, "r:" if name.endswith(TARS) else "r:*")
                     for member, offset, n, data, error in found:
-                        rows.append((part.archive, member, f"{part.archive}!{member}", offset, n, data, error))
+                        rows.append((at.archive, member, f"{at.archive}!{member}", offset, n, data, error))
                         size += len(data or b"")
                         if size >= BATCH_BYTES:
                             yield self._batch(rows)
@@ -116,7 +139,7 @@ class ArchiveReader(DataSourceReader):
 
 
 class Archives(DataSource):
-    """``spark.read.format("folio_archives").load(folder)``; options ``content`` and ``range_bytes``."""
+    """``spark.read.format("folio_archives").load(folder)``; options ``content``, ``range_bytes`` and ``tasks``."""
 
     @classmethod
     def name(cls) -> str:
@@ -127,7 +150,7 @@ class Archives(DataSource):
 
     def reader(self, schema: StructType) -> ArchiveReader:
         path = self.options["path"]
-        return ArchiveReader(path if "://" in path or not path.startswith("file:") else "file://" + path.removeprefix("file:"), self.options.get("content", "false") == "true", int(self.options.get("range_bytes", RANGE_BYTES)))
+        return ArchiveReader(path if "://" in path or not path.startswith("file:") else "file://" + path.removeprefix("file:"), self.options.get("content", "false") == "true", int(self.options.get("range_bytes", RANGE_BYTES)), int(self.options.get("tasks", 1 << 62)))
 
 
 def register(spark: SparkSession) -> None:

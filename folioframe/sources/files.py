@@ -170,10 +170,12 @@ def archive_members(spark: SparkSession, path: str, *, content: bool = False, ra
 
     Folders, hidden members, resource forks and unsupported formats are left
     out; an unreadable archive has none. Members are read in ranges of
-    ``range_bytes`` of their archive, and only if ``content`` is asked for.
+    ``range_bytes`` of their archive, and only if ``content`` is asked for; a
+    task takes several ranges where there are more than eight a core.
     """
     archives.register(spark)
-    found = spark.read.format("folio_archives").options(content=str(content).lower(), range_bytes=str(range_bytes)).load(path)
+    tasks = 8 * spark.sparkContext.defaultParallelism
+    found = spark.read.format("folio_archives").options(content=str(content).lower(), range_bytes=str(range_bytes), tasks=str(tasks)).load(path)
     return found.filter(supported(F.col("member")) & ~F.col("member").rlike(r"(^|/)(?:\.|__MACOSX/)"))
 
 
