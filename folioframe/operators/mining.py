@@ -123,16 +123,25 @@ def distinct_concepts(spans: DataFrame, key: str = "doc_id", cap: int = 500) ->
     return grouped.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("first", "label", "text"))).filter(F.col("n") <= cap)
 
 
+#: Parts that the notes holding a word are dealt to.
+NOTE_SALTS = 64
+
+
 def suggest_links(concepts: DataFrame, notes: DataFrame) -> DataFrame:
     """(``concept``, ``ids``): notes whose anchor or text holds a concept.
 
     Candidates share the concept's first word (an equi-join on an inverted
-    index of the notes); containment is verified on these.
+    index of the notes); containment is verified on these. Where many notes hold
+    a word, they are dealt by the word and the note to a stated number of tasks:
+    notes are alike and shrink in a shuffle, whose bytes would put them all in one.
     """
     c = concepts.groupBy(F.lower("text").alias("_c")).agg(F.min_by("text", "first").alias("concept")).withColumn("_w", F.regexp_extract("_c", "^[a-z0-9]+", 0)).filter("_w <> ''")
     hay = notes.select("id", F.lower(F.concat_ws(" ", "anchor", "note")).alias("_hay"))
     index = hay.select("id", "_hay", F.explode(F.array_distinct(F.regexp_extract_all("_hay", F.lit("[a-z0-9]+"), F.lit(0)))).alias("_w"))
-    return c.join(index, "_w").filter(F.expr("contains(_hay, _c)")).groupBy("concept").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    tasks = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = c.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(NOTE_SALTS - 1))))
+    index = index.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(NOTE_SALTS)).cast("int")).repartition(tasks, "_w", "_salt")
+    return c.join(index, ["_w", "_salt"]).filter(F.expr("contains(_hay, _c)")).groupBy("concept").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
 def cloze_candidates(sentence: Column, rare: Column | None = None, most: int = 3) -> Column:
