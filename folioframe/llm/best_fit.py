@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.llm.packing import MAX_TOKENS, VOCABULARY, encoder
+from folioframe.llm.spread import sliced
 from folioframe.session import materialize, table
 
 END = 0
@@ -146,7 +147,7 @@ def piece_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", m
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in range(5)]
             kept = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

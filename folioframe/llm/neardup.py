@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.spread import join_spread
+from folioframe.llm.spread import join_spread, sliced
 from folioframe.llm.words import WORD
 from folioframe.operators.components import connected_components
 from folioframe.session import discard, forget_shuffles, materialize
@@ -139,7 +139,7 @@ def set_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
     """Per document: ``text_hash``, ``n_shingles``, ``class_id`` and ``class_check`` (digests of the set; null if empty) and the minwise values."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, names, checks, signatures = [], [], [], []
             for value in batch.column(2):
                 s = shingles(value.as_py(), words)
@@ -187,9 +187,7 @@ def branch(rows: DataFrame, level: int, trees: range, threshold: float) -> DataF
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = np.uint64(0x9E3779B97F4A7C15)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             ids = batch.column(1).to_numpy(zero_copy_only=False)
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
             if level == 0:
@@ -381,7 +379,7 @@ def full_sets(texts: DataFrame, words: int) -> DataFrame:
     """(``class_id``, ``full``) of texts (``class_id``, ``class_check``, ``text``); a text that is not the class's own is left out."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, out = [], []
             for c, check, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = shingles(value.as_py(), words)
@@ -494,7 +492,7 @@ def near_duplicates(
         return found
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             low = [np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low, pa.binary())], ["class_id", "n_shingles", "sketch"])
 

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 MAX_TOKENS = 2048
 END = 1
 SALTS = 1024
+#: Pieces leave Python in batches of about so many tokens, however long a batch of documents is.
+BATCH_TOKENS = 1 << 18
 VOCABULARY = "byte_bpe_50k"
 
 
@@ -76,25 +78,32 @@ def pieces(n: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:
 def piece_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most: int = MAX_TOKENS, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """One row per piece, with the tokens themselves if ``with_ids``."""
 
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def made(out: list[list[int]], kept: list[np.ndarray]) -> pa.RecordBatch:
+        arrays = [pa.array(v, pa.int64()) for v in out]
+        if with_ids:
+            ends = np.cumsum([0, *out[names.index("length")]], dtype=np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept))))
+        return pa.RecordBatch.from_arrays(arrays, [*names, "ids"] if with_ids else names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-            kept = []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(value.as_py() or ""), END], "<u4")
+            out, kept, held = [[] for _ in names], [], 0
+            for key, value in zip(batch.column(0), batch.column(1), strict=True):
+                key, ids = key.as_py(), np.array([*encode(value.as_py() or ""), END], "<u4")
                 for start, length in pieces(len(ids), most):
-                    part = ids[start : start + length]
-                    for k, v in zip(out, (key, start, length, zlib.crc32(part.tobytes()), len(ids)), strict=True):
-                        out[k].append(v)
-                    if with_ids:
-                        kept.append(part.astype("<i4"))
-            arrays = [pa.array(v, pa.int64()) for v in out.values()]
-            names = list(out)
-            if with_ids:
-                arrays.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                    for column, v in zip(out, (key, start, length, zlib.crc32(ids[start : start + length]), len(ids)), strict=True):
+                        column.append(v)
+                if with_ids:
+                    kept.append(ids.astype("<i4"))
+                held += len(ids)
+                if held >= BATCH_TOKENS:
+                    yield made(out, kept)
+                    out, kept, held = [[] for _ in names], [], 0
+            if held:
+                yield made(out, kept)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, schema)

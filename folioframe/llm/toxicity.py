@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.llm.spread import sliced
 from folioframe.llm.words import remainder
 from folioframe.session import materialize, table
 
@@ -224,6 +225,15 @@ def learn(docs: DataFrame, labels: DataFrame, **options: object) -> Lexicon:
     return Lexicon(weights, exceptions, found[3], found[0], found[1])
 
 
+def ratings(texts: pa.Array, lexicon: Lexicon, automaton) -> list[float]:
+    """The score of each text."""
+    scores = []
+    for value in texts:
+        folded = fold(value.as_py())
+        scores.append(lexicon.score(sum(h[2] for h in hits(folded, automaton)), len(folded)))
+    return scores
+
+
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``score`` and ``predicted``."""
     keep = docs.columns if keep is None else keep
@@ -231,11 +241,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, doc_id: str = "doc_id",
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
-            scores = []
-            for value in batch.column(batch.num_columns - 1):
-                folded = fold(value.as_py())
-                scores.append(lexicon.score(sum(h[2] for h in hits(folded, automaton)), len(folded)))
+        for batch in sliced(batches):
+            scores = ratings(batch.column(batch.num_columns - 1), lexicon, automaton)
             flags = [int(s >= THRESHOLD) for s in scores]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(flags, pa.int32())], [*batch.schema.names[:-1], "score", "predicted"])
 
@@ -247,8 +254,14 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, doc_id: str = "doc_id",
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted to be toxic, unchanged."""
     lexicon = learn(docs, labels)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    return score_toxicity(rows, lexicon, text="_text", keep=["_row"]).filter("predicted = 0").select("_row.*")
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in sliced(batches):
+            yield batch.filter(pa.array([s < THRESHOLD for s in ratings(batch.column(at), lexicon, automaton)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op7_score_toxicity(spark, sf_dir):

@@ -1,7 +1,9 @@
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
+from folioframe.llm import best_fit, neardup, packing
 from folioframe.llm import secrets as S
 from folioframe.llm.packing import encoder
 from folioframe.session import table
@@ -87,3 +89,28 @@ def test_run_is_the_stages(spark, steps):
 
     key = lambda r: (r.doc_id, r.start, r.ids_crc32)
     assert sorted(map(key, e.queries()["pipeline"](spark, SF).collect())) == sorted(map(key, steps[-1][2].collect()))
+
+
+class Step:
+    """Stands for a frame, to get at the function that a step gives mapInArrow."""
+
+    columns = ["doc_id", "text"]
+    schema = None
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        self.run = f
+        return self
+
+
+@pytest.mark.parametrize("step", [lambda d: packing.piece_rows(d, with_ids=True), lambda d: best_fit.piece_rows(d, with_ids=True), neardup.set_rows])
+def test_a_step_leaves_python_in_bounded_batches(spark, step):
+    docs = Step()
+    step(docs)
+    texts = ["some words of a text " * (i % 300) for i in range(6000)]
+    batch = pa.record_batch({"doc_id": range(len(texts)), "hash": range(len(texts)), "text": texts} if step is neardup.set_rows else {"doc_id": range(len(texts)), "text": texts})
+    whole = [b for b in docs.run(iter([batch]))]
+    assert max(b.nbytes for b in whole) < 4_000_000 and len(whole) > 5
+    assert {i for b in whole for i in b.column(0).to_pylist()} == set(range(len(texts)))
