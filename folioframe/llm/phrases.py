@@ -35,6 +35,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +46,14 @@ from pyspark.sql import functions as F
 
 from folioframe.llm.lm import pack, unpack
 from folioframe.llm.spread import join_spread
-from folioframe.session import cleaned, delete, discard, materialize, shared_folder, table
+from folioframe.session import cleaned, delete, discard, materialize, materialize_by, shared_folder, table
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
 SHARDS = 2
 #: Posts are summed in so many turns, by hash, so that not all are shuffled at once.
-TURNS = 4
+TURNS = 6
+#: A block's hashes are sorted: their steps are shorter, and the counts are small.
+POST_FILES = {"parquet.writer.version": "v2", "compression": "zstd"}
 BLOCK_WORDS = 1 << 20
 UNKNOWN = "und"
 #: Marks that end a piece, as bytes; LF to CR are among them.
@@ -190,8 +193,10 @@ def active_places(text: Sequences, k: int, h1: np.ndarray, fresh: np.ndarray) ->
     return np.flatnonzero(known[:-1] & known[1:] & (new[:-1] | new[1:]) & (text.room[: len(at) - 1] >= k))
 
 
-def scan(blocks: DataFrame, told: DataFrame | None, round_: int) -> DataFrame:
-    """POST rows of one round: the words of the shard that enters, and what has become active in the others."""
+def scan(blocks: DataFrame, told: DataFrame | None) -> DataFrame:
+    """POST rows of a shard's blocks in one round: their words when it enters (``told`` is None), then what has become active."""
+
+    entering = told is None
 
     def posts(block: int, k: int, h1: np.ndarray, h2: np.ndarray, n: np.ndarray) -> pa.Table:
         return pa.table({"block": np.full(len(h1), block, np.int64), "h1": h1, "h2": h2, "m": n.astype(np.int64) * 32 + 2 * k})
@@ -199,7 +204,7 @@ def scan(blocks: DataFrame, told: DataFrame | None, round_: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [posts(0, 0, *(np.empty(0, t) for t in (np.int64, np.int32, np.int64)))]
         for row in left.to_pylist():
-            if row["shard"] == round_:
+            if entering:
                 n = np.bincount((ids := unpack(row["ids"], np.int32))[ids >= 0])
                 first, second = word_hashes(row)
                 by = np.argsort(first)
@@ -214,21 +219,21 @@ def scan(blocks: DataFrame, told: DataFrame | None, round_: int) -> DataFrame:
                         out.append(posts(row["block"], length + 1, *counted(*text.keys(length + 1, at))))
         return pa.concat_tables(out)
 
-    if told is None:
-        entering = blocks.filter(F.col("shard") == round_)
-        return entering.groupBy("block").applyInArrow(lambda left: run(left, left.slice(0, 0)), POST)
+    if entering:
+        return blocks.groupBy("block").applyInArrow(lambda left: run(left, left.slice(0, 0)), POST)
     return blocks.groupBy("block").cogroup(told.select("block", "k", "h1", "fresh").groupBy("block")).applyInArrow(run, POST)
 
 
-def told_blocks(posts: list[DataFrame], lengths: list[int], least: int, turn: int, turns: int) -> DataFrame:
+def told_blocks(posts: list[tuple[DataFrame, bool]], lengths: list[int], least: int, turn: int, turns: int) -> DataFrame:
     """(block, k, h1, h2, total, fresh): phrases that have reached ``least``, to each block that posted them.
 
     ``fresh`` are those that the block is told for the first time: they reached
-    it with the last posts, or the block's own is among these.
+    it with the last posts, or the block's own is among these. ``posts`` come with
+    whether they are of the last round.
     """
     rows = None
-    for n, post in enumerate(posts):
-        part = post.filter(F.expr("(m & 31) >> 1").isin(lengths) & (F.pmod("h1", F.lit(turns)) == turn)).withColumn("m", F.col("m") + int(n == len(posts) - 1))
+    for post, last_round in posts:
+        part = post.filter(F.expr("(m & 31) >> 1").isin(lengths) & (F.pmod("h1", F.lit(turns)) == turn)).withColumn("m", F.col("m") + int(last_round))
         rows = part if rows is None else rows.unionByName(part)
     of, newest = Window.partitionBy("h1", "h2", "k"), F.expr("m & 1") == 1
     rows = rows.select("block", "h1", "h2", F.expr("cast((m & 31) >> 1 as int)").alias("k"), "m")
@@ -240,30 +245,41 @@ def told_blocks(posts: list[DataFrame], lengths: list[int], least: int, turn: in
 def frequent(blocks: DataFrame, *, longest: int = LONGEST, least: int = LEAST, shards: int = SHARDS, turns: int = TURNS) -> DataFrame:
     """(h1, h2, k, a, home): every phrase of up to ``longest`` words that occurs ``least`` times, written.
 
-    ``home`` is a block that holds it. A length's counts are complete, and its
-    posts done with, ``shards`` rounds after its first.
+    ``home`` is a block that holds it. A length's counts are complete ``shards``
+    rounds after its first. The posts of a round, shard and length are a table of
+    their own, which goes when the length is complete; what blocks were told goes
+    when they were scanned.
     """
     scanned = blocks.select("block", "shard", "ids", "words", "word_langs", "langs")
-    posts: list[DataFrame] = []
-    written: list[DataFrame] = []
-    complete = None
+    posts: dict[tuple[int, int, int], DataFrame] = {}  # by round, shard and length
+    none = blocks.sparkSession.createDataFrame([], POST)
+    told: list[DataFrame] = []
+    complete: list[DataFrame] = []
     try:
         for n in range(shards + longest):
-            told, lengths = None, [*range(max(1, n - shards + 1), min(longest - 1, n) + 1), *([longest] if n == shards + longest - 1 else [])]
             if n:
+                lengths = [*range(max(1, n - shards + 1), min(longest - 1, n) + 1), *([longest] if n == shards + longest - 1 else [])]
+                known = [(p, r == n - 1) for (r, _, k), p in posts.items() if k in lengths] or [(none, True)]
                 for turn in range(turns):
-                    part = materialize(told_blocks(posts[max(0, n - shards) :], lengths, least, turn, turns), "phrases-told")
-                    written.append(part)
-                    told = part if told is None else told.unionByName(part)
+                    told.append(materialize(told_blocks(known, lengths, least, turn, turns), "phrases-told"))
+                for at in [x for x in posts if x[2] <= n - shards + 1]:
+                    discard(posts.pop(at))  # of lengths that are complete now
                 if n >= shards:
-                    discard(posts[n - shards])  # of lengths that are complete now
-                    ended = told.filter(F.col("k") == n - shards + 1).groupBy(*KEY).agg(F.max("total").alias("a"), F.min_by("block", F.xxhash64("block", "h1")).alias("home"))
-                    complete = ended if complete is None else complete.unionByName(ended)
+                    ended = reduce(DataFrame.unionByName, told).filter(F.col("k") == n - shards + 1).groupBy(*KEY)
+                    complete.append(materialize(ended.agg(F.max("total").alias("a"), F.min_by("block", F.xxhash64("block", "h1")).alias("home")), "phrases-ended"))
             if n < shards + longest - 1:
-                posts.append(materialize(scan(scanned, told, n), "phrase-posts", **{"parquet.writer.version": "v2"}))  # a block's hashes are sorted: steps are shorter
-        return materialize(complete, "phrases")
+                for shard in range(min(n + 1, shards)):
+                    heard = reduce(DataFrame.unionByName, told).filter(F.col("block") % shards == shard) if shard < n else None
+                    made = scan(scanned.filter(F.col("shard") == shard), heard)
+                    if shard < min(n, shards - 1):  # later shards make shorter phrases active, too
+                        posts |= {(n, shard, k): p for k, p in materialize_by(made.withColumn("k", F.expr("(m & 31) >> 1")), "phrase-posts", "k", **POST_FILES).items()}
+                    else:
+                        posts[n, shard, min(n - shard + 1, longest)] = materialize(made, "phrase-posts", **POST_FILES)
+            while told:
+                discard(told.pop())
+        return materialize(reduce(DataFrame.unionByName, complete), "phrases")
     finally:
-        for table_ in posts[-shards:] + written:
+        for table_ in [*posts.values(), *told, *complete]:
             discard(table_)
 
 

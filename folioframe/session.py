@@ -96,6 +96,18 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, name: str, by: str, **options: str) -> dict[int, DataFrame]:
+    """``materialize`` with a table for each value of the whole number ``by``, a column they lack; each can be discarded alone."""
+    spark = df.sparkSession
+    context, path = spark.sparkContext, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with cleaned(spark):
+        df.write.options(**options).partitionBy(by).parquet(path)
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in target.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(target) if f.isDirectory()]
+    context._folio_written = [*getattr(context, "_folio_written", []), path, *(f"{path}/{x}" for x in names)]
+    return {int(x.split("=")[1]): spark.read.schema(df.drop(by).schema).parquet(f"{path}/{x}") for x in names}
+
+
 def discard(written: DataFrame) -> None:
     """Delete a table of ``materialize`` that nothing will read again."""
     context = written.sparkSession.sparkContext

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter
@@ -75,3 +76,39 @@ def test_empty_and_wordless_tables(spark):
 def test_exact_beyond_64_bits(spark):
     value = spark.sql("select cast((cast(1000 as decimal(4,0)) * cast(a as decimal(17,0)) * cast(n as decimal(17,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as bigint) as x from values (1234567890123L, 98765432109876L, 1234567890124L, 1234567890999L) as t(a, n, l, r)").first().x
     assert value == 1000 * 1234567890123 * 98765432109876 // (1234567890124 * 1234567890999)
+
+
+def test_tables_go_when_their_lengths_are_complete(spark, monkeypatch):
+    """Told tables live for one round; posts that only hold complete lengths are gone before the next are summed."""
+    live, told_rounds, alive = {}, [], []
+    make, make_by, drop = P.materialize, P.materialize_by, P.discard
+
+    def materialize(df, name, **options):
+        if name == "phrases-told" and not any(n == name for n, _ in live.values()):
+            alive.append([sorted({r.k for r in d.selectExpr("(m & 31) >> 1 as k").distinct().collect()}) for n, d in live.values() if n == "phrase-posts"])
+        if name == "phrase-posts":
+            told_rounds.append(sum(n == "phrases-told" for n, _ in live.values()))
+        out = make(df, name, **options)
+        live[id(out)] = name, out
+        return out
+
+    monkeypatch.setattr(P, "materialize", materialize)
+    def materialize_by(df, name, by, **options):
+        out = make_by(df, name, by, **options)
+        live.update({id(d): (name, d) for d in out.values()})
+        return out
+
+    def discard(df):
+        live.pop(id(df), None)
+        files = [f.removeprefix("file://") for f in df.inputFiles()]
+        drop(df)
+        assert not any(map(os.path.exists, files))
+
+    monkeypatch.setattr(P, "materialize_by", materialize_by)
+    monkeypatch.setattr(P, "discard", discard)
+    docs = spark.createDataFrame([(i, t, g, "s", 0) for i, (t, g) in enumerate(texts(random.Random(3), 120))], DOCS).repartition(2)
+    P.collocations(docs, least=8, first=60, block_words=60)
+    assert max(told_rounds) == P.TURNS
+    for n, tables in enumerate(alive, 1):
+        assert all(min(ks, default=99) >= min(n - P.SHARDS + 1, P.LONGEST) for ks in tables), (n, tables)
+    assert not {n for n, _ in live.values()} & {"phrase-posts", "phrases-told", "phrases-ended"}
