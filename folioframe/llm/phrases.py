@@ -50,8 +50,8 @@ from folioframe.session import cleaned, delete, discard, materialize, materializ
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
 SHARDS = 2
-#: Posts are summed in so many turns, by hash, so that not all are shuffled at once.
-TURNS = 6
+#: Posts of a length are summed in so many turns, by hash, so that not all are shuffled at once.
+TURNS = 7
 #: A block's hashes are sorted: their steps are shorter, and the counts are small.
 POST_FILES = {"parquet.writer.version": "v2", "compression": "zstd"}
 BLOCK_WORDS = 1 << 20
@@ -259,11 +259,12 @@ def frequent(blocks: DataFrame, *, longest: int = LONGEST, least: int = LEAST, s
         for n in range(shards + longest):
             if n:
                 lengths = [*range(max(1, n - shards + 1), min(longest - 1, n) + 1), *([longest] if n == shards + longest - 1 else [])]
-                known = [(p, r == n - 1) for (r, _, k), p in posts.items() if k in lengths] or [(none, True)]
-                for turn in range(turns):
-                    told.append(materialize(told_blocks(known, lengths, least, turn, turns), "phrases-told"))
-                for at in [x for x in posts if x[2] <= n - shards + 1]:
-                    discard(posts.pop(at))  # of lengths that are complete now
+                for length in lengths:
+                    known = [(p, r == n - 1) for (r, _, k), p in posts.items() if k == length] or [(none, True)]
+                    for turn in range(turns):
+                        told.append(materialize(told_blocks(known, [length], least, turn, turns), "phrases-told"))
+                    for at in [x for x in posts if x[2] <= min(length, n - shards + 1)]:
+                        discard(posts.pop(at))  # of lengths that are complete now
                 if n >= shards:
                     ended = reduce(DataFrame.unionByName, told).filter(F.col("k") == n - shards + 1).groupBy(*KEY)
                     complete.append(materialize(ended.agg(F.max("total").alias("a"), F.min_by("block", F.xxhash64("block", "h1")).alias("home")), "phrases-ended"))
