@@ -64,7 +64,7 @@ def _first_difficulty(grade: Column | int, w: tuple[float, ...]) -> Column:
 
 
 def review_step(state: Column, day: Column, grade: Column, retention: float = RETENTION, w: tuple[float, ...] = WEIGHTS) -> Column:
-    """The state after one review, rounded to four places as it is kept."""
+    """The state after one review, rounded to four places as it is kept; the interval is that of the kept stability."""
     s, d = state["stability"], state["difficulty"]
     r = retrievability(F.datediff(day, state["last_review"]), s)
     eased = d - F.lit(w[6]) * (grade - 3) * ((F.lit(10.0) - d) / 9.0)
@@ -77,10 +77,10 @@ def review_step(state: Column, day: Column, grade: Column, retention: float = RE
     lapsed = F.greatest(F.least(lapsed, s), F.lit(0.1))
     new = (state["reps"] <= 0) | (s <= 0)
     seed = F.greatest(F.element_at(F.array(*map(F.lit, w[:4])), grade), F.lit(0.1))
-    stability = F.when(new, seed).when(grade == AGAIN, lapsed).otherwise(grown)
+    stability = F.bround(F.when(new, seed).when(grade == AGAIN, lapsed).otherwise(grown), 4)
     interval = F.when(grade == AGAIN, F.lit(1)).otherwise(next_interval(stability, retention))
     return F.struct(
-        F.bround(stability, 4).alias("stability"),
+        stability.alias("stability"),
         F.bround(F.when(new, _first_difficulty(grade, w)).otherwise(difficulty), 4).alias("difficulty"),
         interval.alias("interval"),
         (state["reps"] + 1).alias("reps"),
