@@ -159,8 +159,9 @@ def fold_review(state: tuple | None, day: dt.date, grade: int, w: tuple[float, .
         else:
             bonus = (w[15] if grade == HARD else 1.0) * (w[16] if grade == EASY else 1.0)
             s = s0 * (math.exp(w[8]) * (11.0 - d0) * s0 ** -w[9] * (math.exp(w[10] * (1 - r)) - 1) * bonus + 1)
+    s = round(s, 4)  # as it is kept
     interval = 1 if grade == AGAIN else int(min(max(round(s / FACTOR * (retention ** (1 / DECAY) - 1)), 1), LONGEST))
-    return round(s, 4), round(d, 4), interval, reps + 1, lapses + (grade == AGAIN), day, day + dt.timedelta(days=interval)
+    return s, round(d, 4), interval, reps + 1, lapses + (grade == AGAIN), day, day + dt.timedelta(days=interval)
 
 
 STATE = "stability double, difficulty double, interval int, reps int, lapses int, last_review date, next_review date"
