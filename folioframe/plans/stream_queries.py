@@ -16,6 +16,8 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 #: Rows arrive up to so many days after their time, in so many files.
 JITTER, PARTS, LATE = 2, 5, "9 days"
+#: Rows of one of these files at most, about; a micro-batch has as many files as that takes.
+FILE_ROWS = 400_000
 #: Ids whose documents of one source share a hot file.
 HOT_RUN = 6_000
 
@@ -37,17 +39,23 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _out_of_order(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as a stream of files, each row up to ``JITTER`` days late, and at last one row that moves the watermark on."""
+    """The events as a stream of files, each row up to ``JITTER`` days late, and at last one row that moves the watermark on.
+
+    Rows come in ``PARTS`` parts of about the same time each; all parts have as many files, written side by side.
+    """
     folder, day = _folder(spark, "shuffled"), 86_400_000_000
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     late = events.withColumn("_at", F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(JITTER * day)))
-    low, high = late.agg(F.min("_at"), F.max("_at")).first()
-    width = (high - low) // PARTS + 1
+    low, high, rows = late.agg(F.min("_at"), F.max("_at"), F.count(F.lit(1))).first()
+    width, files = (high - low) // PARTS + 1, -(-rows // (PARTS * FILE_ROWS))
     for n in range(PARTS):  # one after the other, as the stream takes files by their age
-        late.filter(F.floor((F.col("_at") - low) / width) == n).orderBy(F.xxhash64("event_id", "ts")).drop("_at").coalesce(1).write.mode("append").parquet(folder)
+        part = late.filter(F.floor((F.col("_at") - low) / width) == n).drop("_at")
+        part.repartition(files).sortWithinPartitions(F.xxhash64("event_id", "ts")).write.mode("append").parquet(folder)
+        for _ in range(files * (n + 1) - len(spark.read.parquet(folder).inputFiles())):  # a part of few rows has empty files, or a micro-batch would go on into the next
+            events.limit(0).coalesce(1).write.mode("append").parquet(folder)
     last = spark.range(1).select(*(F.lit(None).cast(t).alias(c) for c, t in events.dtypes)).withColumns({"ts": F.timestamp_micros(F.lit(high + 400 * day)), "user_id": F.lit(-1).cast("long"), "event_id": F.lit(-1).cast("long")})
     last.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", str(files)).parquet(folder)
 
 
 @query(library_queries.ORACLE_SQL["reading_sessions"])
@@ -64,7 +72,7 @@ def session_stream(spark, sf):
 def review_stream(spark, sf):
     """The batch schedule, from reviews that come out of order."""
     log = _out_of_order(spark, sf).filter("event_type <> 'signup' or user_id = -1")
-    log = log.selectExpr("user_id as card_id", "ts", "cast(ts as date) as day", "event_id", "case event_type when 'error' then 1 when 'view' then 2 when 'click' then 3 when 'purchase' then 4 end as grade")
+    log = log.selectExpr("user_id as card_id", "ts", "cast(ts as date) as day", "event_id", "case event_type when 'error' then 1 when 'view' then 2 when 'click' then 3 else if(event_type is null, null, 4) end as grade")
     out = _folder(spark, "reviews")
 
     def keep(frame: DataFrame, n: int) -> None:

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -37,119 +37,94 @@ def stateful(spark: SparkSession, *, idle_batches: bool = True) -> Iterator[None
                 spark.conf.set(k, v)
 
 
+#: Groups that keys are dealt over; the keys of a group share a state.
+GROUPS = 256
+
+
+def _blob(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(blob: Any) -> pa.Table:
+    return pa.ipc.open_stream(bytes(blob)).read_all()
+
+
+def _codes(values: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value; nulls are one value."""
+    return values.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
 class InOrder(StatefulProcessor):
-    """Holds a key's rows until the watermark has passed them, and hands them on in order of (us, event_id).
+    """Holds a group's rows until the watermark has passed them.
 
-    ``ROW`` is the schema of what is held; its first columns are ``us``, the
-    event time in microseconds, and ``event_id``. A timer stands at the earliest
-    row that is held.
+    They are held as Arrow tables of the schema ``row``, one per micro-batch, so
+    that the calls to the state store grow with groups and micro-batches, not with
+    keys. A column ``us`` has the time, in microseconds, that the watermark must
+    pass; a timer stands at the earliest.
     """
 
-    ROW = ""
+    row: pa.Schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.ROW)
-        self.columns = [c.split()[0] for c in self.ROW.split(", ")]
-        self.open(handle)
-
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        """States of the operator's own."""
-
-    def released(self, key: Any, rows: list[tuple], watermark_us: int) -> Iterator[pd.DataFrame]:
-        """What the rows that the watermark has passed give; ``rows`` may be empty."""
-        raise NotImplementedError
+        self.held = handle.getListState("held", "rows binary")
+        self.last = handle.getValueState("last", "states binary")
 
     def wake(self, us: int) -> None:
         """A timer once the watermark is past ``us``."""
         self.handle.registerTimer(us // 1000 + 1)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            found = frame[self.columns].astype(object).where(frame[self.columns].notna(), None)
-            new = [tuple(r) for r in found.itertuples(index=False)]
-            self.held.appendList(new)
-            self.wake(min(r[0] for r in new))
+        new = pa.concat_tables(pa.Table.from_pandas(frame[self.row.names], self.row, preserve_index=False) for frame in rows)
+        self.held.appendValue((_blob(new),))
+        self.wake(pc.min(new["us"]).as_py())
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        ready, rest = [r for r in held if r[0] <= watermark], [r for r in held if r[0] > watermark]
-        if ready and rest:
-            self.held.put(rest)
-            self.wake(min(r[0] for r in rest))
-        elif ready:
+    def passed(self, watermark_us: int) -> tuple[pa.Table, pa.Table]:
+        """(rows that the watermark has passed, rows that are held on)."""
+        held = pa.concat_tables([self.row.empty_table(), *(_table(r[0]) for r in (self.held.get() if self.held.exists() else ()))])
+        passed = held["us"].to_numpy() <= watermark_us
+        ready, rest = held.filter(pa.array(passed)), held.filter(pa.array(~passed))
+        if len(ready) and len(rest):
+            self.held.put([(_blob(rest),)])
+        elif len(ready):
             self.held.clear()
-        yield from self.released(key, sorted(ready, key=lambda r: r[:2]), watermark)
+        return ready, rest
+
+    def known(self, schema: pa.Schema) -> pa.Table:
+        """What the group keeps of its keys."""
+        return _table(self.last.get()[0]) if self.last.exists() else schema.empty_table()
 
     def close(self) -> None:
         pass
 
 
-#: Groups that readers are dealt over; the readers of a group share a state.
-GROUPS = 256
-
-
-def _blob(rows: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema) as writer:
-        writer.write_table(rows)
-    return sink.getvalue().to_pybytes()
-
-
-def _codes(values: pa.ChunkedArray) -> np.ndarray:
-    """A number for each distinct value; nulls are one value."""
-    return values.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-
-
-class SessionProcessor(StatefulProcessor):
+class SessionProcessor(InOrder):
     """Readers' sessions as state machines; one comes out when the next one begins or ``gap`` has passed without a tick.
 
     Counts and measures as the batch operator does: a tick goes on with the
     session if the tick before was speaking in the same document and no longer
     ago than the gap, else it has the next number.
 
-    A group of readers is one key. Its ticks are held as Arrow tables, one per
-    micro-batch, until the watermark has passed them; its last sessions are a
-    table of one row per reader. So the calls to the state store grow with groups
-    and micro-batches, not with readers, and a step over all ticks of a group is
-    done by arrays. A timer stands at the earliest tick or end.
+    A group of readers is one key; its last sessions are a table of one row per
+    reader. A step over all ticks of a group is done by arrays. A timer stands at
+    the earliest tick or end.
     """
 
     SCHEMA = "doc {doc}, session long, started timestamp, ended timestamp, seconds double, ticks long, words_read int"
 
     def __init__(self, reader: pa.DataType, doc: pa.DataType, gap_us: int, words_total: int | None):
         self.gap_us, self.words_total = gap_us, words_total
-        self.tick = pa.schema([("reader", reader), ("us", pa.int64()), ("event_id", pa.int64()), ("doc", doc), ("speaking", pa.bool_()), ("word_idx", pa.int32())])
+        self.row = pa.schema([("reader", reader), ("us", pa.int64()), ("event_id", pa.int64()), ("doc", doc), ("speaking", pa.bool_()), ("word_idx", pa.int32())])
         self.session = pa.schema([("reader", reader), ("doc", doc), ("speaking", pa.bool_()), ("last", pa.int64()), ("session", pa.int64()), ("started", pa.int64()), ("seconds", pa.int64()), ("ticks", pa.int64()), ("word", pa.int32()), ("running", pa.bool_())])
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "ticks binary")
-        self.last = handle.getValueState("last", "sessions binary")
-
-    def wake(self, us: int) -> None:
-        """A timer once the watermark is past ``us``."""
-        self.handle.registerTimer(us // 1000 + 1)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = pa.concat_tables(pa.Table.from_pandas(frame[self.tick.names], self.tick, preserve_index=False) for frame in rows)
-        self.held.appendValue((_blob(new),))
-        self.wake(pc.min(new["us"]).as_py())
-        return iter(())
-
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = pa.concat_tables([self.tick.empty_table(), *(pa.ipc.open_stream(bytes(r[0])).read_all() for r in (self.held.get() if self.held.exists() else ()))])
-        last = pa.ipc.open_stream(bytes(self.last.get()[0])).read_all() if self.last.exists() else self.session.empty_table()
-        passed = held["us"].to_numpy() <= watermark
-        ready, rest = held.filter(pa.array(passed)), held.filter(pa.array(~passed))
-        if len(ready) and len(rest):
-            self.held.put([(_blob(rest),)])
-        elif len(ready):
-            self.held.clear()
-        over, last = self.sessions(last, ready, watermark)
+        ready, rest = self.passed(watermark)
+        over, last = self.sessions(self.known(self.session), ready, watermark)
         self.last.update((_blob(last),))
         ends = last.filter(last["running"])["last"].to_numpy() + self.gap_us
         if len(rest) or len(ends):
@@ -160,7 +135,7 @@ class SessionProcessor(StatefulProcessor):
     def sessions(self, known: pa.Table, ticks: pa.Table, watermark_us: int) -> tuple[pd.DataFrame, pa.Table]:
         """(sessions that are over, the last one of each reader) after ``ticks``; a reader's known session stands before them as one tick."""
         both = lambda name, other, fill=None: np.concatenate([(t[c] if fill is None else t[c].fill_null(fill)).to_numpy() for t, c in ((known, name), (ticks, other))])
-        readers, docs = (pa.chunked_array([*known[c].chunks, *ticks[c].chunks], self.tick.field(c).type) for c in ("reader", "doc"))
+        readers, docs = (pa.chunked_array([*known[c].chunks, *ticks[c].chunks], self.row.field(c).type) for c in ("reader", "doc"))
         if not len(readers):
             return pd.DataFrame(), known
         old = len(known)
@@ -198,8 +173,9 @@ class SessionProcessor(StatefulProcessor):
         last = pa.table(dict(zip(self.session.names, columns, strict=True)), self.session).filter(pa.array(newest))
         return out[["reader", *(c.split()[0] for c in self.SCHEMA.split(", "))]], last
 
-    def close(self) -> None:
-        pass
+
+def group_of(key: str, groups: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("group")
 
 
 def session_stream(ticks: DataFrame, *, gap: str = "12 hours", late: str = "1 day", words_total: int | None = None, groups: int = GROUPS) -> DataFrame:
@@ -214,6 +190,5 @@ def session_stream(ticks: DataFrame, *, gap: str = "12 hours", late: str = "1 da
     processor = SessionProcessor(*(to_arrow_type(ticks.schema[c].dataType) for c in ("reader", "doc")), pd.Timedelta(gap) // pd.Timedelta("1us"), words_total)
     schema = f"reader {types['reader']}, {SessionProcessor.SCHEMA.format(doc=types['doc'])}"
     rows = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    group = F.pmod(F.xxhash64("reader"), F.lit(groups)).cast("int").alias("group")
-    rows = rows.select(group, "reader", "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"), "doc", "speaking", F.col("word_idx").cast("int").alias("word_idx"))
+    rows = rows.select(group_of("reader", groups), "reader", "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"), "doc", "speaking", F.col("word_idx").cast("int").alias("word_idx"))
     return rows.groupBy("group").transformWithStateInPandas(processor, schema, "Append", "EventTime")

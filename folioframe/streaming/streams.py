@@ -6,9 +6,13 @@ import datetime as dt
 import math
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,7 +21,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from folioframe.operators.merge import merge_progress
 from folioframe.operators.review import AGAIN, DECAY, EASY, FACTOR, HARD, LONGEST, RETENTION, WEIGHTS
 from folioframe.sources.sinks import convert_corpus
-from folioframe.streaming.ordered import InOrder, stateful
+from folioframe.streaming.ordered import GROUPS, InOrder, _blob, group_of, stateful
 
 
 FOUND = "path string, length long, modified timestamp"
@@ -168,34 +172,51 @@ STATE = "stability double, difficulty double, interval int, reps int, lapses int
 
 
 class ReviewProcessor(InOrder):
-    """A card's state, updated with its reviews as the watermark passes them."""
+    """Cards' states, updated with their reviews as the watermark passes these reviews' days.
 
-    ROW = "us long, event_id long, day date, grade int"
+    A group of cards is one key; its states are a table of one row per card.
+    """
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("card", STATE)
+    CARDS = pa.schema([("card_id", pa.int64()), ("stability", pa.float64()), ("difficulty", pa.float64()), ("interval", pa.int32()), ("reps", pa.int32()), ("lapses", pa.int32()), ("last_review", pa.date32()), ("next_review", pa.date32())])
+    row = pa.schema([("card_id", pa.int64()), ("us", pa.int64()), ("event_id", pa.int64()), ("day", pa.date32()), ("grade", pa.int32())])
 
-    def released(self, key: Any, rows: list[tuple], watermark_us: int) -> Iterator[pd.DataFrame]:
-        graded = sorted((r for r in rows if r[3] is not None), key=lambda r: (r[2], r[1], r[3]))
-        if not graded:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        ready, rest = self.passed(timerValues.getCurrentWatermarkInMs() * 1000)
+        if len(rest):
+            self.wake(pc.min(rest["us"]).as_py())
+        graded = ready.filter(pc.is_valid(ready["grade"])).sort_by([(c, "ascending") for c in ("card_id", "day", "event_id", "grade")])
+        if not len(graded):
             return
-        state = tuple(self.state.get()) if self.state.exists() else None
-        for _, _, day, grade in graded:
-            state = fold_review(state, day, grade)
-        self.state.update(state)
-        yield pd.DataFrame([(key[0], *state)], columns=["card_id", "stability", "difficulty", "interval", "reps", "lapses", "last_review", "next_review"])
+        columns = lambda rows, *names: zip(*(rows[c].to_pylist() for c in names), strict=True)
+        states = {card: state for card, *state in columns(self.known(self.CARDS), *self.CARDS.names)}
+        found = {}
+        for card, reviews in groupby(columns(graded, "card_id", "day", "grade"), itemgetter(0)):
+            state = states.get(card)
+            for _, day, grade in reviews:
+                state = fold_review(state, day, grade)
+            found[card] = state
+        self.last.update((_blob(self.cards({**states, **found})),))
+        yield self.cards(found).to_pandas()
+
+    def cards(self, states: dict) -> pa.Table:
+        rows = zip(*((card, *state) for card, state in states.items()), strict=True)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, self.CARDS, strict=True)], schema=self.CARDS)
 
 
-def review_stream(log: DataFrame, *, late: str = "1 day", card: str = "card_id") -> DataFrame:
-    """Card states updated per review, whatever order the reviews come in; needs the RocksDB state store.
+def review_stream(log: DataFrame, *, late: str = "1 day", card: str = "card_id", groups: int = GROUPS) -> DataFrame:
+    """Card states updated per day of reviews, whatever order the reviews come in; needs the RocksDB state store.
 
     A card's reviews wait until the watermark, ``late`` behind the newest ``ts``,
-    has passed them and are then folded in time order, so the states equal the
-    batch schedule. Reviews later than that are dropped; a row without a grade
-    moves the watermark and nothing else.
+    has passed them and their day, and are then folded in the order of the batch
+    schedule (day, event, grade), so the states equal it. Reviews later than
+    that are dropped; a row without a grade moves the watermark and nothing else.
+    Cards share the states of ``groups`` groups; a task has a group's held reviews
+    in memory.
     """
-    rows = log.withWatermark("ts", late).select(F.col(card).cast("long").alias("card_id"), "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long"), F.col("day").cast("date"), F.col("grade").cast("int"))
-    return rows.groupBy("card_id").transformWithStateInPandas(ReviewProcessor(), f"card_id long, {STATE}", "Update", "EventTime")
+    rows = log.withWatermark("ts", late).withColumn("card_id", F.col(card).cast("long")).withColumn("day", F.col("day").cast("date"))
+    until = F.greatest(F.unix_micros("ts"), F.unix_micros(F.date_add("day", 1).cast("timestamp")))
+    rows = rows.select(group_of("card_id", groups), "card_id", "ts", until.alias("us"), F.col("event_id").cast("long").alias("event_id"), "day", F.col("grade").cast("int").alias("grade"))
+    return rows.groupBy("group").transformWithStateInPandas(ReviewProcessor(), f"card_id long, {STATE}", "Update", "EventTime")
 
 
 # ---- progress, index, late rows
