@@ -23,8 +23,9 @@ DOMAINS = {
 #: Small words inside names.
 PARTICLES = "of the and de von van".split()
 NUMBER = r"\b\d[\d,]*(?:\.\d+)?%?"
-PROPER = rf"(?U)\b[A-Z][\w'-]*(?:\s+(?:(?:{'|'.join(PARTICLES)})\s+)?[A-Z][\w'-]*)*"
-LETTERS = r"\p{L}[\p{L}\p{M}]*(?:[-'][\p{L}\p{M}]+)*"
+#: Groups repeat possessively: nothing follows that could take back from them, and others take stack for each time, which long runs of names use up.
+PROPER = rf"(?U)\b[A-Z][\w'-]*(?:\s+(?:(?:{'|'.join(PARTICLES)})\s+)?[A-Z][\w'-]*)*+"
+LETTERS = r"\p{L}[\p{L}\p{M}]*(?:[-'][\p{L}\p{M}]+)*+"
 #: English function words by class; one that opens a sentence is no name.
 FUNCTION_WORDS = {
     "determiners": "a all an another any both each either every few many most much neither no several some such that the these this those what which",
@@ -62,7 +63,7 @@ LISTED = 3.0
 
 def common_words_of(frequencies: DataFrame, threshold: float) -> DataFrame:
     """The words of at least this zipf value, to be broadcast: 10^(9 - threshold) at most, as shares of a corpus add up to one."""
-    return F.broadcast(frequencies.filter(F.col("zipf") >= threshold).select("word").distinct())
+    return F.broadcast(frequencies.filter(F.col("zipf") >= threshold).select("word"))
 
 
 def difficult_words(docs: DataFrame, frequencies: DataFrame, *, threshold: float = 4.5, least: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from folioframe.operators import mining as M
 from folioframe.operators import search
 from folioframe.operators import shaping as S
 from folioframe.plans import views as V
-from folioframe.session import dealt, table
+from folioframe.session import dealt, materialize, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -41,6 +41,11 @@ def _dealt(spark, sf):
     return dealt(table(spark, sf, "documents"), "doc_id")
 
 
+def _listed(spark, sf):
+    """The words' frequencies, counted once and written, so that a broadcast of them waits for no other stage."""
+    return materialize(M.token_frequencies(_dealt(spark, sf)), "frequencies")
+
+
 # ---- words, time, pages
 
 
@@ -274,7 +279,7 @@ def suggest_links(spark, sf):
 
 @query()
 def cloze_cards(spark, sf):
-    return M.cloze_cards(_dealt(spark, sf), frequencies=M.token_frequencies(_dealt(spark, sf)))
+    return M.cloze_cards(_dealt(spark, sf), frequencies=_listed(spark, sf))
 
 
 @query()
