@@ -309,11 +309,11 @@ def align_narration(spark, sf):
 k as (select w.doc_id, w.n, lower(regexp_replace(w.word, '[^A-Za-z]', '', 'g')) as word from w), d as (select k.doc_id, n, row_number() over (partition by k.doc_id order by n) as r from k join h on k.doc_id = h.doc_id and k.word = h.word)
 select doc_id, cast(n - 1 as int) as idx, 'user' as kind from w where n <= 3 union all select doc_id, cast(n - 1 as int), 'difficult' from d where n > 3 and r <= 5000""")
 def highlight_words(spark, sf):
-    d = _docs(spark, sf)
-    tokens = S.tokens_of(d)
-    third = tokens.filter("idx <= 2").groupBy("doc_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    d = _dealt(spark, sf)
+    opening = d.select("doc_id", F.regexp_extract("text", r"^\s*(?:\S+\s*){0,3}", 0).alias("text"))
+    third = S.tokens_of(opening).groupBy("doc_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     spans = S.valid_spans(third.unionByName(d.select("doc_id", F.lit(5).alias("start"), F.lit(5).alias("end"))), d)
-    return S.highlight_words(tokens, spans, M.difficult_words(d, M.token_frequencies(d))).select("doc_id", "idx", "kind")
+    return S.highlight_texts(d, spans, M.difficult_words(d, _listed(spark, sf))).select("doc_id", "idx", "kind")
 
 
 @query("""with t as (select text, source from documents) select source, cast(count(*) as bigint) as n, cast(sum(length(regexp_replace(text, '[^.!?]', '', 'g'))) as bigint) as ends from t group by source""")
